@@ -288,3 +288,24 @@ SQL["roads_long"] = """roads_long AS (
 def with_ctes(*names: str) -> str:
     """``WITH`` prefix holding the named stand-in CTEs, in order."""
     return "WITH " + ",\n".join(SQL[n] for n in names) + "\n"
+
+
+# ---------------------------------------------------------------------------
+# stops: transit stop points (name, mode, lines, lon, lat)
+# ---------------------------------------------------------------------------
+
+def stops(spark, sf_dir) -> DataFrame:
+    pa = table(spark, sf_dir, "part")
+    mode = (F.when(F.col("p_size") % 3 == 0, F.lit("Tram"))
+            .when(F.col("p_size") % 3 == 1, F.lit("Metro")).otherwise(F.lit("Bus")))
+    return pa.select(F.col("p_partkey").alias("stop_id"), F.col("p_name").alias("name"), mode.alias("mode"),
+                     F.col("p_brand").alias("lines"),
+                     (F.lit(4.0) + (F.col("p_partkey") % 1000) / F.lit(1000.0)).alias("lon"),
+                     (F.lit(52.0) + (F.col("p_partkey") % 500) / F.lit(1000.0)).alias("lat"))
+
+
+SQL["stops"] = """stops AS (
+  SELECT p_partkey AS stop_id, p_name AS name,
+         CASE WHEN p_size % 3 = 0 THEN 'Tram' WHEN p_size % 3 = 1 THEN 'Metro' ELSE 'Bus' END AS mode,
+         p_brand AS lines, 4.0 + (p_partkey % 1000) / 1000.0 AS lon, 52.0 + (p_partkey % 500) / 1000.0 AS lat
+  FROM part)"""
