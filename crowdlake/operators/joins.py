@@ -13,11 +13,8 @@ from pyspark.sql import functions as F
 
 from crowdlake.functions.scalars import decimal_comma, id_text, split_lat_lon
 
-_EPOCH = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-
-
 def _micros(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", _EPOCH, ts)
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
 
 
 # ---------------------------------------------------------------------------
