@@ -30,6 +30,18 @@ def _c(c) -> Column:
 # time
 # --------------------------------------------------------------------------
 
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a naive ``datetime`` or ISO text, independent of any zone.
+
+    ``F.lit(datetime)`` would build a session-zone TIMESTAMP and shift
+    comparisons against wall-clock columns when the session zone is not UTC.
+    """
+    if isinstance(value, Column):
+        return value
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def instant_to_utc_ntz(c) -> Column:
     """TIMESTAMP (instant) -> UTC wall clock as TIMESTAMP_NTZ, session-zone free."""
     return _instant_to_utc_ntz(_c(c))
@@ -46,21 +58,18 @@ def utc_ntz_to_instant(c) -> Column:
     return F.timestamp_micros(micros)
 
 
-# The ISO-8601 shapes the feeds use (fraction optional, offset
-# as +HH:MM, +HHMM or Z).
-_ISO_FORMATS = [
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX",
-    "yyyy-MM-dd'T'HH:mm:ssXX",
-]
+# An ISO-8601 date-time that ends in a zone (Z, +HH, +HHMM, +HH:MM).
+_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)$"
 
 
 def parse_iso_utc(c, dtype: str | None = None) -> Column:
     """ISO text with or without fraction / offset -> UTC-NTZ; bad text -> NULL.
 
-    Already-typed columns pass through: TIMESTAMP is converted to UTC-NTZ,
-    TIMESTAMP_NTZ is taken as UTC wall clock.
+    Zoned text is cast to an instant (Spark's cast accepts ``Z``, ``+HH``,
+    ``+HHMM`` and ``+HH:MM``); text without a zone is read as UTC wall clock,
+    like pandas' ``utc=True``, whatever the session zone. Already-typed
+    columns pass through: TIMESTAMP is converted to UTC-NTZ, TIMESTAMP_NTZ is
+    taken as UTC wall clock.
     """
     c = _c(c)
     if dtype in ("timestamp", "timestamp_ltz"):
@@ -68,12 +77,8 @@ def parse_iso_utc(c, dtype: str | None = None) -> Column:
     if dtype == "timestamp_ntz":
         return c
     s = F.trim(c.cast("string"))
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in _ISO_FORMATS],
-                        F.expr("try_cast(NULL AS TIMESTAMP)"))
-    with_zone = _instant_to_utc_ntz(parsed)
-    # last resort (pandas' free-form parser): plain date-time text without offset
-    no_zone = s.try_cast("timestamp_ntz")
-    return F.coalesce(with_zone, no_zone)
+    return F.when(s.rlike(_ZONED), _instant_to_utc_ntz(s.try_cast("timestamp"))).otherwise(
+        s.try_cast("timestamp_ntz"))
 
 
 def to_local_time(utc_ntz, tz: str = LOCAL_TZ) -> Column:

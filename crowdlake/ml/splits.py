@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdlake.functions.scalars import ntz_lit
+
 
 def chronological_split(df: DataFrame, ts: str, cutoff) -> DataFrame:
     """``split`` = train for ``ts < cutoff``, test otherwise."""
-    return df.withColumn("split", F.when(F.col(ts) < F.lit(cutoff), F.lit("train")).otherwise(F.lit("test")))
+    return df.withColumn("split", F.when(F.col(ts) < ntz_lit(cutoff), F.lit("train")).otherwise(F.lit("test")))
 
 
 def time_positions(df: DataFrame, ts: str) -> tuple[DataFrame, int]:

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crowdlake.functions.scalars import ntz_lit
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -19,14 +21,14 @@ def filter_sensors(df: DataFrame, col: str, sensors: list) -> DataFrame:
 
 def filter_time_range(df: DataFrame, col: str, start, end) -> DataFrame:
     """Inclusive range on a wall clock."""
-    return df.where(F.col(col).between(F.lit(start), F.lit(end)))
+    return df.where(F.col(col).between(ntz_lit(start), ntz_lit(end)))
 
 
 def filter_date_slice(df: DataFrame, col: str, start_date: str, end_date: str) -> DataFrame:
     """Whole days ``start_date .. end_date`` (the last day is included whole)."""
     start = dt.datetime.fromisoformat(start_date)
     end = dt.datetime.fromisoformat(end_date) + dt.timedelta(days=1)
-    return df.where((F.col(col) >= F.lit(start)) & (F.col(col) < F.lit(end)))
+    return df.where((F.col(col) >= ntz_lit(start)) & (F.col(col) < ntz_lit(end)))
 
 
 def recent_window(df: DataFrame, col: str, minutes: float) -> DataFrame:
@@ -58,7 +60,7 @@ def drop_null_flow(df: DataFrame, col: str = "flow") -> DataFrame:
 
 def split_past_now_future(df: DataFrame, col: str, now, steps: int = 20, minutes: int = 3) -> DataFrame:
     """Label rows ``historic`` (< now), ``current`` (= now), ``actual_future`` in (now, now+k*min]."""
-    now_c = F.lit(now)
+    now_c = ntz_lit(now)
     horizon = F.timestamp_add("MINUTE", F.lit(steps * minutes), now_c)
     label = (F.when(F.col(col) < now_c, F.lit("historic"))
              .when(F.col(col) == now_c, F.lit("current"))
@@ -98,18 +100,13 @@ def describe_profile(df: DataFrame, cols: list[str], accuracy: int = 100000) ->
                   F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"),
                   F.max(x).alias(f"{c}__max")]
     wide = df.agg(*exprs)
-    parts = []
-    for c in cols:
-        parts.append(wide.select(
-            F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
-            F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-            F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
-            F.col(f"{c}__q")[1].alias("p50"), F.col(f"{c}__q")[2].alias("p75"),
-            F.col(f"{c}__max").alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
+        F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
+        F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
+        F.col(f"{c}__q")[1].alias("p50"), F.col(f"{c}__q")[2].alias("p75"),
+        F.col(f"{c}__max").alias("max")) for c in cols]))
+    return wide.select(rows.alias("r")).select("r.*")
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

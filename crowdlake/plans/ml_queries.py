@@ -14,6 +14,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from crowdlake.functions.scalars import ntz_lit
+
 from crowdlake.ml import forecast as FC
 from crowdlake.ml import models as MD
 from crowdlake.ml import splits as SP
@@ -95,7 +97,7 @@ FROM p JOIN k ON p.pos >= k.start AND p.pos < k.start + 400"""
 @q("standard_scale")
 def q_standard_scale(spark, d):
     f = Q.features_table(spark, d)
-    train = f.where(F.col("ts") < F.lit(CUTOFF))
+    train = f.where(F.col("ts") < ntz_lit(CUTOFF))
     out = SP.standard_scale(f, train, SCALE_COLS)
     return out.select("sensor", "event_id", *[r6(F.col(c)).alias(c) for c in SCALE_COLS])
 
@@ -120,7 +122,7 @@ def _model_dir(spark, d) -> str:
 
 def _fit_and_save(spark, d):
     f = Q.features_table(spark, d)
-    train = f.where(F.col("ts") < F.lit(CUTOFF))
+    train = f.where(F.col("ts") < ntz_lit(CUTOFF))
     model = MD.train_global_model(train, FEATURES, "count")
     MD.save_model(model, _model_dir(spark, d))
     return model
@@ -135,7 +137,7 @@ def _model(spark, d):
 
 def _test_rows(spark, d):
     f = Q.features_table(spark, d)
-    return f.where(F.col("ts") >= F.lit(CUTOFF))
+    return f.where(F.col("ts") >= ntz_lit(CUTOFF))
 
 
 @q("train_global_model")
@@ -167,7 +169,7 @@ def q_save_load_model(spark, d):
 
 
 def _history(spark, d):
-    rd = SI.readings(spark, d).where(F.col("ts") <= F.lit(Q.NOW))
+    rd = SI.readings(spark, d).where(F.col("ts") <= ntz_lit(Q.NOW))
     rd = rd.withColumns({"hour": F.hour("ts"), "weekday": F.weekday("ts"),
                          "is_weekend": (F.weekday("ts") >= 5).cast("int")})
     return rd
@@ -186,7 +188,7 @@ def q_recursive_forecast(spark, d):
 
 @q("forecast_vs_actual")
 def q_forecast_vs_actual(spark, d):
-    actual = SI.readings(spark, d).where(F.col("ts") > F.lit(Q.NOW))
+    actual = SI.readings(spark, d).where(F.col("ts") > ntz_lit(Q.NOW))
     return FC.forecast_vs_actual(_forecast(spark, d), actual, "sensor", "ts", "count", 3)
 
 

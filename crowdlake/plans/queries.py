@@ -13,6 +13,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crowdlake.functions.scalars import ntz_lit
+
 from crowdlake.functions import bands as B
 from crowdlake.functions import scalars as S
 from crowdlake.operators import aggregates as A
@@ -627,9 +629,9 @@ def q_concat_typed_series(spark, d):
     rd = SI.readings(spark, d).select(F.col("ts").alias("timestamp"), F.col("count").alias("value"), "sensor")
     ts = F.col("timestamp")
     parts = {
-        "historic": rd.where(ts < F.lit(NOW)),
-        "current": rd.where(ts == F.lit(NOW)),
-        "actual_future": rd.where((ts > F.lit(NOW)) & (ts <= F.lit(NOW + dt.timedelta(minutes=60)))),
+        "historic": rd.where(ts < ntz_lit(NOW)),
+        "current": rd.where(ts == ntz_lit(NOW)),
+        "actual_future": rd.where((ts > ntz_lit(NOW)) & (ts <= ntz_lit(NOW + dt.timedelta(minutes=60)))),
     }
     return SO.concat_typed_series(parts, "timestamp", "value", keys=["sensor"])
 
@@ -637,7 +639,7 @@ def q_concat_typed_series(spark, d):
 @q("concat_history_current")
 def q_concat_history_current(spark, d):
     rd = SI.readings(spark, d)
-    return SO.concat_history_current(rd.where(F.col("ts") < F.lit(NOW)), rd.where(F.col("ts") == F.lit(NOW)))
+    return SO.concat_history_current(rd.where(F.col("ts") < ntz_lit(NOW)), rd.where(F.col("ts") == ntz_lit(NOW)))
 
 
 @q("concat_columns")
