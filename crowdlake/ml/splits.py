@@ -19,10 +19,19 @@ def chronological_split(df: DataFrame, ts: str, cutoff) -> DataFrame:
 
 
 def time_positions(df: DataFrame, ts: str) -> tuple[DataFrame, int]:
-    """Distinct times with their 0-based order position, and how many there are."""
-    times = df.select(ts).where(F.col(ts).isNotNull()).distinct()
-    pos = times.withColumn("_pos", F.row_number().over(Window.orderBy(ts)) - 1)
-    n = times.count()
+    """Distinct times with their 0-based order position, and how many there are.
+
+    Positions are numbered inside day chunks (partitioned window) and shifted
+    by a prefix sum over the per-day counts (one row per day), so no single
+    task ever orders all times.
+    """
+    times = df.select(ts).where(F.col(ts).isNotNull()).distinct().withColumn("_chunk", F.date_trunc("day", ts))
+    times = times.withColumn("_rn", F.row_number().over(Window.partitionBy("_chunk").orderBy(ts)))
+    counts = times.groupBy("_chunk").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    n = int(offsets.agg(F.sum("_n")).first()[0] or 0)
+    pos = times.join(offsets.drop("_n"), "_chunk").select(ts, (F.col("_off") + F.col("_rn") - 1).alias("_pos"))
     return pos, n
 
 
