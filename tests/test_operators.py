@@ -1,0 +1,206 @@
+"""Bands, joins, windows, filters and flattening on hand-written tables."""
+
+import datetime as dt
+import random
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from crowdlake.functions import bands as B
+from crowdlake.operators import filters as FL
+from crowdlake.operators import joins as J
+from crowdlake.operators import windows as W
+from crowdlake.operators.flatten import carflow_flat
+from crowdlake.plans.jobs import crowd_flow_map
+
+T0 = dt.datetime(2025, 8, 20, 0, 0)
+
+
+def t(minutes):
+    return T0 + dt.timedelta(minutes=minutes)
+
+
+# ---------------------------------------------------------------------------
+# bands
+# ---------------------------------------------------------------------------
+
+def test_band_count_edges_closed_above(spark):
+    df = spark.createDataFrame([(50.0,), (50.1,), (100.0,), (150.0,), (151.0,)], "c double")
+    b = B.band_count("c")
+    got = [(r.band, r.radius) for r in df.select(b["band"].alias("band"), b["radius"].alias("radius")).collect()]
+    assert [g[0] for g in got] == ["green", "yellow", "yellow", "orange", "red"]
+    assert got[0][1] == 12.0
+
+
+def test_band_traffic_edges_open(spark):
+    df = spark.createDataFrame([(None,), (0.5,), (0.7,), (0.85,), (0.1,)], "x double")
+    b = B.band_traffic("x")
+    rows = df.select(b["band"].alias("band"), b["rgba"].alias("rgba")).collect()
+    assert [r.band for r in rows] == ["grey", "yellow", "orange", "red", "green"]
+    assert rows[0].rgba == [180, 180, 180, 80]
+
+
+def test_flow_and_arrow_bands(spark):
+    df = spark.createDataFrame([(1.0,), (5.0,), (6.0,), (12.0,), (12.5,)], "x double")
+    fb, ab = B.band_flow("x"), B.band_arrow_flow("x")
+    rows = df.select(fb["band"].alias("f"), ab["band"].alias("a")).collect()
+    assert [r.f for r in rows] == ["green", "yellow", "yellow", "orange", "red"]
+    assert [r.a for r in rows] == ["green", "yellow", "orange", "red", "red"]
+
+
+# ---------------------------------------------------------------------------
+# as-of nearest
+# ---------------------------------------------------------------------------
+
+def _asof(spark, left_rows, right_rows, tol=60):
+    left = spark.createDataFrame(left_rows, "lid int, ts timestamp_ntz")
+    right = spark.createDataFrame(right_rows, "ts timestamp_ntz, rid int, v string")
+    out = J.asof_nearest(left, right, "ts", "ts", tol, right_order="rid")
+    return {r.lid: r.v for r in out.collect()}
+
+
+def test_asof_ties_follow_pandas(spark):
+    right = [(t(30), 1, "v1"), (t(30), 2, "v2"), (t(60), 3, "v3"), (t(60), 4, "v4")]
+    got = _asof(spark, [(1, t(45)), (2, t(50))], right)
+    assert got == {1: "v2", 2: "v3"}
+
+
+def test_asof_tolerance_inclusive_and_left_kept(spark):
+    got = _asof(spark, [(1, t(300)), (2, t(361))], [(t(240), 1, "a")], tol=60)
+    assert got == {1: "a", 2: None}
+
+
+def test_asof_matches_pandas_merge_asof_random(spark):
+    rnd = random.Random(3)
+    left = [(i, T0 + dt.timedelta(minutes=rnd.randrange(0, 3000))) for i in range(400)]
+    right = [(T0 + dt.timedelta(minutes=rnd.randrange(0, 3000, 7)), j, f"w{j}") for j in range(120)]
+    got = _asof(spark, left, right, tol=30)
+    lp = pd.DataFrame(left, columns=["lid", "ts"]).sort_values("ts", kind="stable")
+    rp = pd.DataFrame(right, columns=["ts", "rid", "v"]).sort_values(["ts", "rid"], kind="stable")
+    exp = pd.merge_asof(lp, rp, on="ts", direction="nearest", tolerance=pd.Timedelta("30min"))
+    want = {int(r.lid): (None if pd.isna(r.v) else r.v) for r in exp.itertuples()}
+    assert got == want
+
+
+# ---------------------------------------------------------------------------
+# crowd flow (Entry A)
+# ---------------------------------------------------------------------------
+
+def test_crowd_flow_defaults(spark):
+    readings = spark.createDataFrame([(t(0), 1, 1, 20.0), (t(0), 2, 2, 30.0), (t(0), 3, 3, 40.0)],
+                                     "ts timestamp_ntz, sensor bigint, event_id bigint, count double")
+    locs = spark.createDataFrame([(1, "1_0", 0, "a", "6,7", "52.3, 4.8"), (3, "3_0", 0, "c", None, "52.3, 4.8")],
+                                 "sensor bigint, sensor_id_full string, direction int, name string, "
+                                 "width_txt string, latlon_txt string")
+    rows = {r.sensor: r for r in crowd_flow_map(readings, locs).collect()}
+    assert round(rows[1].flow, 5) == 0.99502 and rows[1].band == "green"
+    assert rows[2].flow == 0.0          # unknown sensor -> 0
+    assert 3 not in rows                # known sensor without width -> NaN -> dropped
+
+
+# ---------------------------------------------------------------------------
+# windows
+# ---------------------------------------------------------------------------
+
+def test_rolling_mean_needs_all_values(spark):
+    vals = [1.0, 2.0, None, 4.0, 5.0, 6.0]
+    df = spark.createDataFrame([(1, t(3 * i), i, v) for i, v in enumerate(vals)],
+                               "sensor int, ts timestamp_ntz, event_id int, count double")
+    out = W.lag_and_rolling(df, "sensor", ["ts", "event_id"], "count", [1], [3]).orderBy("ts").collect()
+    assert [r.roll_mean_3 for r in out] == [None, None, None, None, None, 5.0]
+    assert [r.lag_1 for r in out] == [None, 1.0, 2.0, None, 4.0, 5.0]
+
+
+def test_bucketed_lags_equal_plain_window_with_hot_key(spark):
+    rnd = random.Random(5)
+    rows = []
+    eid = 0
+    for sensor, n in ((1, 1500), (2, 60), (3, 7)):      # sensor 1 is a hot key
+        for i in range(n):
+            eid += 1
+            rows.append((sensor, t(rnd.randrange(0, 40000)), eid, rnd.choice([None, 1.0, 2.5, 7.0, 11.0])))
+    df = spark.createDataFrame(rows, "sensor int, ts timestamp_ntz, event_id int, count double")
+    lags, wins = [1, 2, 3, 5, 10, 20, 30, 40, 50, 60, 75], [3, 5, 10, 20, 40, 60]
+    a = W.lag_and_rolling(df, "sensor", ["ts", "event_id"], "count", lags, wins, bucket_rows=100,
+                          chunk=F.date_trunc("hour", "ts"))
+    b = W.lag_and_rolling_simple(df, "sensor", ["ts", "event_id"], "count", lags, wins)
+    cols = ["event_id"] + [f"lag_{k}" for k in lags] + [f"roll_mean_{n}" for n in wins]
+    ra = sorted(tuple(None if v is None else round(v, 9) for v in r) for r in a.select(*cols).collect())
+    rb = sorted(tuple(None if v is None else round(v, 9) for v in r) for r in b.select(*cols).collect())
+    assert ra == rb and len(ra) == len(rows)
+
+
+def test_latest_per_key_tie_takes_larger_id(spark):
+    df = spark.createDataFrame([("a", t(0), 1, 1.0), ("a", t(5), 2, 2.0), ("a", t(5), 3, 3.0), ("b", t(1), 4, 9.0)],
+                               "k string, ts timestamp_ntz, event_id int, v double")
+    got = {r.k: r.v for r in W.latest_per_key(df, "k", ["ts", "event_id"]).collect()}
+    assert got == {"a": 3.0, "b": 9.0}
+
+
+def test_tail_n_per_key(spark):
+    df = spark.createDataFrame([("a", t(i)) for i in range(30)] + [("b", t(0))], "k string, ts timestamp_ntz")
+    out = W.tail_n_per_key(df, "k", ["ts"], 20)
+    assert out.where("k = 'a'").count() == 20 and out.where("k = 'b'").count() == 1
+    assert out.where("k = 'a'").agg(F.min("ts")).first()[0] == t(10)
+
+
+def test_recent_window_boundary_inclusive(spark):
+    df = spark.createDataFrame([(t(0),), (t(15),), (t(30),)], "ts timestamp_ntz")
+    got = sorted(r.ts for r in FL.recent_window(df, "ts", 15).collect())
+    assert got == [t(15), t(30)]
+
+
+# ---------------------------------------------------------------------------
+# flattening
+# ---------------------------------------------------------------------------
+
+def _flat(spark, rows, keep=True):
+    raw = spark.createDataFrame(rows, "time string, data string")
+    return sorted((r.id, r.traffic_level) for r in carflow_flat(raw, keep_first_pair=keep).collect())
+
+
+def test_flatten_labelled_drops_bad_level(spark):
+    rows = [("2025-08-20T10:00:00Z", "id,traffic_level\n1,0.5\n2,bad\n3,0.7")]
+    assert _flat(spark, rows) == [(1, 0.5), (3, 0.7)]
+
+
+def test_flatten_semicolon_header_and_column_order(spark):
+    rows = [("2025-08-20T10:00:00Z", "traffic_level;x;id\n0.25;q;7\n0.5;q;8")]
+    assert _flat(spark, rows) == [(7, 0.25), (8, 0.5)]
+
+
+def test_flatten_unlabelled_pairs_strict_drops_first(spark):
+    rows = [("2025-08-20T10:00:00Z", "1,0.5\n2,0.6")]
+    assert _flat(spark, rows, keep=True) == [(1, 0.5), (2, 0.6)]
+    assert _flat(spark, rows, keep=False) == [(2, 0.6)]
+
+
+def test_flatten_bad_time_or_empty_data(spark):
+    rows = [(None, "id,traffic_level\n1,0.5"), ("nonsense", "id,traffic_level\n1,0.5"),
+            ("2025-08-20T10:00:00Z", ""), ("2025-08-20T10:00:00Z", None)]
+    assert _flat(spark, rows) == []
+
+
+def test_flatten_quoted_and_no_header_fallback(spark):
+    rows = [("2025-08-20T10:00:00Z", 'id,traffic_level\n"5","0.9"'),
+            ("2025-08-20T10:00:00Z", "\n6;0.1")]
+    assert _flat(spark, rows, keep=True) == [(5, 0.9), (6, 0.1)]
+    assert _flat(spark, rows, keep=False) == [(5, 0.9)]
+
+
+def test_nest_then_flatten_is_identity(spark):
+    rnd = random.Random(11)
+    flat = [(f"2025-08-20T10:{m:02d}:00Z", i, round(rnd.random(), 4)) for m in range(0, 30, 3) for i in range(5)]
+    by_time = {}
+    for tm, i, lvl in flat:
+        by_time.setdefault(tm, []).append(f"{i},{lvl}")
+    raw = [(tm, "id,traffic_level\n" + "\n".join(lines)) for tm, lines in by_time.items()]
+    assert _flat(spark, raw) == sorted((i, lvl) for _, i, lvl in flat)
+
+
+@pytest.mark.parametrize("how", ["both"])
+def test_duplicate_count(spark, how):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "x int, y string")
+    r = FL.duplicate_count(df).first()
+    assert (r.total_rows, r.distinct_rows, r.duplicates) == (3, 2, 1)
