@@ -86,17 +86,27 @@ def rolling_folds(df: DataFrame, ts: str, window: int = 200, test: int = 200, n_
     return df.join(tagged.drop("_pos"), ts)
 
 
-def standard_scale(df: DataFrame, train: DataFrame, cols: list[str], sample_std: bool = False) -> DataFrame:
-    """Centre and scale ``cols`` with statistics fitted on ``train`` only.
+def fit_standard_scaler(train: DataFrame, cols: list[str], sample_std: bool = False) -> dict:
+    """Fit: mean and std of each column over ``train`` in ONE aggregation.
 
-    Population std by default (scikit-learn's scaler); a zero std scales by 1.
-    The statistics are scalar subqueries over ``train`` (Catalyst merges them
-    into one aggregation).
+    Like MLlib's ``StandardScaler``, the fitted model is its statistics — two
+    numbers per feature, held by the driver — so applying it is a plain
+    projection that never re-reads the training rows.
     """
-    out = {}
+    std_fn = F.stddev_samp if sample_std else F.stddev_pop
+    row = train.agg(*[e for c in cols for e in (F.avg(c).alias(f"m_{c}"), std_fn(c).alias(f"s_{c}"))]).first()
+    model = {}
     for c in cols:
-        mean = train.select(F.avg(c)).scalar()
-        std = train.select(F.stddev_samp(c) if sample_std else F.stddev_pop(c)).scalar()
-        scale = F.when((std.isNull()) | (std == 0), F.lit(1.0)).otherwise(std)
-        out[c] = (F.col(c) - mean) / scale
-    return df.withColumns(out)
+        std = row[f"s_{c}"]
+        model[c] = (row[f"m_{c}"], 1.0 if std is None or std == 0 else std)
+    return model
+
+
+def apply_standard_scaler(df: DataFrame, model: dict) -> DataFrame:
+    """Transform: ``(x - mean) / std`` with the fitted statistics (zero std scales by 1)."""
+    return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in model.items()})
+
+
+def standard_scale(df: DataFrame, train: DataFrame, cols: list[str], sample_std: bool = False) -> DataFrame:
+    """Centre and scale ``cols`` with statistics fitted on ``train`` only (population std by default)."""
+    return apply_standard_scaler(df, fit_standard_scaler(train, cols, sample_std))

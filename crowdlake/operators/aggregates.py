@@ -106,17 +106,17 @@ def metrics_by_location(scored: DataFrame, key: str, actual: str, pred: str) ->
 
 
 def r2_by_sensor(scored: DataFrame, key: str, actual: str, pred: str) -> DataFrame:
-    """R² (0 when the actuals are constant) and MAE per sensor.
+    """R² (0 when the actuals are constant) and MAE per sensor, in one aggregation.
 
-    Two partial-combining aggregations (mean first, then centred sums), never
-    the unstable one-pass ``sum(y²) - n·mean²`` and never a whole-group window.
+    ``ss_tot = n * var_pop(actual)``: Spark's variance aggregate merges
+    central moments (numerically stable, unlike ``sum(y²) - n·mean²``) and
+    combines partially before the shuffle, so a hot sensor costs one partial
+    row per task and no means table has to be joined back.
     """
-    means = scored.groupBy(key).agg(F.avg(actual).alias("_mean"))
-    j = scored.join(means, key)
     e = F.col(actual) - F.col(pred)
-    d = F.col(actual) - F.col("_mean")
-    agg = j.groupBy(key).agg(F.sum(e * e).alias("ss_res"), F.sum(d * d).alias("ss_tot"),
-                             F.avg(F.abs(e)).alias("mae"), F.count("*").alias("n"))
+    agg = scored.groupBy(key).agg(F.sum(e * e).alias("ss_res"),
+                                  (F.var_pop(actual) * F.count(actual)).alias("ss_tot"),
+                                  F.avg(F.abs(e)).alias("mae"), F.count("*").alias("n"))
     r2 = F.when(F.col("ss_tot") != 0, F.lit(1.0) - F.col("ss_res") / F.col("ss_tot")).otherwise(F.lit(0.0))
     return agg.select(key, r2.alias("r2"), "mae", "n")
 
