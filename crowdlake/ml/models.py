@@ -14,15 +14,12 @@ close, not bit-equal, and rows with NULL features must be dropped first.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # The reference's global model configuration.
 GLOBAL_PARAMS = dict(n_trees=300, max_depth=6, learning_rate=0.05, subsample=0.9, colsample=0.8)
@@ -163,7 +160,7 @@ def train_per_sensor(df: DataFrame, key: str, ts: str, feature_col: str, label:
     """One model per sensor, fitted on its ``train`` rows, scoring its ``test`` rows.
 
     ``feature_col`` is an ARRAY<DOUBLE> column. Returns (key, ts, actual,
-    prediction, n_train) for the test rows and the serialized ensemble size.
+    prediction, n_train) for the test rows of every sensor.
     """
     schema = f"{key} {dict(df.dtypes)[key]}, {ts} {dict(df.dtypes)[ts]}, actual double, prediction double, n_train long"
 
@@ -182,13 +179,3 @@ def train_per_sensor(df: DataFrame, key: str, ts: str, feature_col: str, label:
 
     cols = [key, ts, feature_col, label, split_col]
     return df.select(*cols).groupBy(key).applyInPandas(fit_group, schema)
-
-
-def ensemble_json(model) -> str:
-    """Portable text form of a fitted per-sensor ensemble (for saving next to its predictions)."""
-    base, trees = model
-    return json.dumps({"base": base, "trees": [[a.tolist() for a in t] for t in trees]})
-
-
-def assemble_array(cols: list[str]):
-    return F.array(*[F.col(c).cast("double") for c in cols])

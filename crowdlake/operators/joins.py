@@ -116,9 +116,9 @@ def detect_join_key(roads: DataFrame, ids: DataFrame, id_col: str = "id_str",
     """One-row table naming the property whose values overlap the known ids most.
 
     ``explode(properties)`` -> left-semi join with the distinct ids ->
-    overlap count per property name -> top-1 (ties by name). When no property
-    overlaps, the first named fallback present in any feature wins, then the
-    smallest property name. Runs on all features (the reference samples at
+    overlap count per property name -> top-1; equal overlaps are broken by the
+    fallback list, then by name. When no property overlaps, the first named
+    fallback present in any feature wins, else the smallest property name. Runs on all features (the reference samples at
     most 5,000; the full scan is distributed and exact).
     """
     kv = roads.select(F.explode(props_col).alias("prop", "val")).where(F.col("val").isNotNull())

@@ -61,12 +61,3 @@ def sensor_direction_split(df: DataFrame, name_col: str) -> DataFrame:
         "sensor_id": F.get(parts, 0),
         "sensor_direction": F.get(parts, 1).try_cast("int"),
     })
-
-
-def wide_sensor_names(names: list[str]) -> list[tuple[str, str]]:
-    """Schema-level variant: split field names of a wide table (driver-side metadata only)."""
-    out = []
-    for n in names:
-        sid, _, bearing = n.partition("_")
-        out.append((sid, bearing))
-    return out

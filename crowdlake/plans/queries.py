@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdlake.functions.scalars import ntz_lit
@@ -72,11 +72,11 @@ def resampled_3min(spark, d) -> DataFrame:
 
 
 def features_table(spark, d, dropna=True) -> DataFrame:
-    rd = SI.readings(spark, d)
-    cal = S.calendar_features("ts")
-    rd = rd.withColumns({"hour": cal["hour"], "weekday": cal["weekday"], "is_weekend": cal["is_weekend"]})
-    feats = W.lag_and_rolling(rd, "sensor", ["ts", "event_id"], "count", CHECK_LAGS, CHECK_WINDOWS)
-    return feats.dropna() if dropna else feats
+    """Model features (op 80) of the long readings: calendar, lags and rolling means per sensor."""
+    from crowdlake.ml.features import create_features_long
+
+    return create_features_long(SI.readings(spark, d), "sensor", "ts", "count", order_tie="event_id",
+                                lags=CHECK_LAGS, windows=CHECK_WINDOWS, dropna=dropna)
 
 
 def scored_table(spark, d) -> DataFrame:
@@ -115,7 +115,7 @@ def q_flatten_carflow_strict(spark, d):
 
 @q("pack_carflow")
 def q_pack_carflow(spark, d):
-    """Flatten to text, corrupt nothing: count text rows kept vs dropped per frame time."""
+    """Per frame time: flattened text rows and how many of them survive coercion."""
     txt = flatten_carflow(SI.carflow_raw(spark, d))
     packed_ok = (S.parse_iso_utc("time_raw").isNotNull() & F.trim("id_raw").try_cast("double").isNotNull()
                  & F.trim("level_raw").try_cast("double").isNotNull())

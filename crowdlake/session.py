@@ -61,7 +61,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for an intermediate table."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def session_tz(spark: SparkSession) -> str:
-    return spark.conf.get("spark.sql.session.timeZone", "UTC")

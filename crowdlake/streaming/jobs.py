@@ -5,8 +5,10 @@ Structured Streaming file sources with checkpointed state, so a restarted
 query resumes exactly where it stopped. Event time is carried as a real
 TIMESTAMP (``event_time``) because watermarks reject TIMESTAMP_NTZ.
 
-Late-data rule (the reference has none): watermark 15 minutes — the width of
-the reference's vessel snapshot — and rows later than that are dropped.
+Late-data rule (the reference has none): event-time streams (flow, 3-minute
+frames) use a 15-minute watermark — the width of the reference's vessel
+snapshot — and drop rows later than that; the feature ring buffer drops a row
+that is not newer than the newest row it already holds for that sensor.
 """
 
 from __future__ import annotations
