@@ -8,7 +8,7 @@ data falls back to a shuffle join instead of blowing up executor memory.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdlake.functions.scalars import decimal_comma, id_text, split_lat_lon
@@ -32,35 +32,51 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     or before the left time and the first when after. Left rows are never
     lost or duplicated.
 
-    Plan: the match depends only on the left time, so it is computed once
-    per distinct left time (pre-aggregation: many sensors share one
-    timestamp). Right rows are replicated into the adjacent tolerance-wide
-    buckets (3x right rows, usually the small weather side) and equi-joined on
-    the bucket; the winner per left time is a ``min_by`` aggregate, which
-    combines partially before the shuffle. No cross join, no per-group
-    collection.
+    Plan (linear, no candidate pairs): the match depends only on the left
+    time, so it is found once per *distinct* left time. Distinct left times
+    and right rows are unioned and partitioned by tolerance-wide time bucket;
+    every right row is also copied into the two neighbouring buckets, so a
+    bucket holds every right row that can be within tolerance of its left
+    times. Inside a bucket one running window yields, for each left time, the
+    latest right row at or before it, and another the earliest right row at
+    or after it; the nearer one is kept. Both windows share the bucket
+    partitioning (one shuffle); the result is joined back to the left rows.
     """
     tol_us = int(tolerance_minutes * 60 * 1_000_000)
     right_cols = [c for c in right.columns if c != right_on]
     order_col = right_order or right_on
+    payload_fields = [F.col("_t").alias(suffix_ts)] + [F.col(c) for c in right_cols]
 
-    lt = left.select(F.col(left_on).alias("_lts")).where(F.col("_lts").isNotNull()).distinct()
-    lt = lt.withColumn("_b", F.floor(_micros(F.col("_lts")) / F.lit(tol_us)))
-
+    lt = (left.select(F.col(left_on).alias("_t")).where(F.col("_t").isNotNull()).distinct()
+          .withColumn("_b", F.floor(_micros(F.col("_t")) / F.lit(tol_us))))
     r = right.where(F.col(right_on).isNotNull()).select(
-        F.col(right_on).alias("_rts"), F.col(order_col).alias("_rord"), *right_cols)
-    r = r.withColumn("_rb", F.floor(_micros(F.col("_rts")) / F.lit(tol_us)))
-    r = r.withColumn("_b", F.explode(F.array(F.col("_rb") - 1, F.col("_rb"), F.col("_rb") + 1))).drop("_rb")
-
-    cand = lt.join(r, "_b").withColumn("_d", F.abs(_micros(F.col("_rts")) - _micros(F.col("_lts"))))
-    cand = cand.where(F.col("_d") <= F.lit(tol_us))
-    tie = F.when(F.col("_rts") <= F.col("_lts"), -F.col("_rord").cast("double")).otherwise(
-        F.col("_rord").cast("double"))
-    rank_key = F.struct(F.col("_d"), F.col("_rts"), tie.alias("_tie"))
-    payload = F.struct(F.col("_rts").alias(suffix_ts), *[F.col(c) for c in right_cols])
-    best = cand.groupBy("_lts").agg(F.min_by(payload, rank_key).alias("_m"))
-    best = best.select(F.col("_lts"), *[F.col(f"_m.{c}").alias(c) for c in [suffix_ts] + right_cols])
-    return left.join(best, left[left_on] == best["_lts"], "left").drop("_lts")
+        F.col(right_on).alias("_t"), F.col(order_col).cast("double").alias("_rord"), *right_cols)
+    r = r.withColumn("_p", F.struct(*payload_fields)).select("_t", "_rord", "_p")
+    r = r.withColumn("_b0", F.floor(_micros(F.col("_t")) / F.lit(tol_us)))
+    r = r.withColumn("_b", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1))).drop("_b0")
+    r = r.withColumn("_is_left", F.lit(False))
+    lt = lt.select("_t", "_b", F.lit(True).alias("_is_left"), F.lit(None).cast("double").alias("_rord"),
+                   F.lit(None).cast(r.schema["_p"].dataType).alias("_p"))
+    u = lt.unionByName(r.select("_t", "_b", "_is_left", "_rord", "_p"))
+
+    # latest right at or before: right rows sort before a left row of the same time
+    before = (Window.partitionBy("_b").orderBy(F.col("_t"), F.col("_is_left"), F.col("_rord"))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # earliest right at or after: right rows sort after a left row of the same time
+    after = (Window.partitionBy("_b").orderBy(F.col("_t"), (~F.col("_is_left")), F.col("_rord"))
+             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    m = u.select("_t", "_b", "_is_left",
+                 F.last("_p", ignorenulls=True).over(before).alias("_prev"),
+                 F.first("_p", ignorenulls=True).over(after).alias("_next"))
+    m = m.where(F.col("_is_left") & (F.floor(_micros(F.col("_t")) / F.lit(tol_us)) == F.col("_b")))
+    d_prev = _micros(F.col("_t")) - _micros(F.col(f"_prev.{suffix_ts}"))
+    d_next = _micros(F.col(f"_next.{suffix_ts}")) - _micros(F.col("_t"))
+    prev_ok = F.col("_prev").isNotNull() & (d_prev <= F.lit(tol_us))
+    next_ok = F.col("_next").isNotNull() & (d_next <= F.lit(tol_us))
+    best = F.when(prev_ok & (~next_ok | (d_prev <= d_next)), F.col("_prev")).when(next_ok, F.col("_next"))
+    best_df = m.select(F.col("_t").alias("_lts"), best.alias("_m"))
+    best_df = best_df.select("_lts", *[F.col(f"_m.{c}").alias(c) for c in [suffix_ts] + right_cols])
+    return left.join(best_df, left[left_on] == best_df["_lts"], "left").drop("_lts")
 
 
 # ---------------------------------------------------------------------------

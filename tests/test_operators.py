@@ -204,3 +204,16 @@ def test_duplicate_count(spark, how):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "x int, y string")
     r = FL.duplicate_count(df).first()
     assert (r.total_rows, r.distinct_rows, r.duplicates) == (3, 2, 1)
+
+
+def test_asof_dense_duplicates_and_exact_hits(spark):
+    rnd = random.Random(9)
+    left = [(i, T0 + dt.timedelta(minutes=rnd.randrange(0, 600, 5))) for i in range(300)]
+    right = [(T0 + dt.timedelta(minutes=rnd.randrange(0, 600, 10)), j, f"w{j}") for j in range(200)]
+    for tol in (7, 30):
+        got = _asof(spark, left, right, tol=tol)
+        lp = pd.DataFrame(left, columns=["lid", "ts"]).sort_values("ts", kind="stable")
+        rp = pd.DataFrame(right, columns=["ts", "rid", "v"]).sort_values(["ts", "rid"], kind="stable")
+        exp = pd.merge_asof(lp, rp, on="ts", direction="nearest", tolerance=pd.Timedelta(minutes=tol))
+        want = {int(r.lid): (None if pd.isna(r.v) else r.v) for r in exp.itertuples()}
+        assert got == want
