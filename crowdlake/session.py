@@ -43,6 +43,32 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Session settings sized for an input of ``input_bytes`` on ``total_cores`` cores.
+
+    Shuffle partitions are sized so a post-shuffle partition holds about
+    ``target_partition_bytes`` before AQE coalesces them (never fewer than
+    two waves of tasks, never more than 100k, where driver-side scheduling and
+    map-status overhead take over); scan splits grow with the input so task counts stay
+    manageable; skewed partitions are split by AQE above 4x the median or
+    1 GiB. The broadcast threshold stays small: only sides whose estimated
+    size is below it are broadcast, everything else shuffles.
+    """
+    shuffle = min(100_000, max(2 * total_cores, -(-input_bytes // target_partition_bytes)))
+    split = 512 << 20 if input_bytes > (1 << 40) else 128 << 20
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering a private one only if unset."""
     sc = spark.sparkContext

@@ -127,3 +127,19 @@ def test_missing_profile(spark, col, expected):
     wide = spark.createDataFrame([(T0, 1.0), (T0 + dt.timedelta(hours=1), float("nan"))], "hour timestamp_ntz, view double")
     got = {r.column_name: r.nulls for r in FL.missing_profile(wide).collect()}
     assert got[col] == expected
+
+
+def test_scale_conf_bounds():
+    from crowdlake.session import scale_conf
+
+    big = scale_conf(100 << 40, 8000)
+    small = scale_conf(10 << 20, 8)
+    assert big["spark.sql.shuffle.partitions"] == "100000" and big["spark.sql.files.maxPartitionBytes"] == str(512 << 20)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_station_ut_to_local(spark):
+    st = spark.createDataFrame([(20250820, 12, 215, 150, 10130, 40, 90, 0, 3, 80)],
+                               "YYYYMMDD int, HH int, T int, TD int, P int, FF int, FX int, RH int, SQ int, U int")
+    assert RD.clean_station(st).first().datetime == dt.datetime(2025, 8, 20, 12, 0)
+    assert RD.clean_station(st, ut_to_local=True).first().datetime == dt.datetime(2025, 8, 20, 14, 0)
