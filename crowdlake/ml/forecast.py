@@ -5,8 +5,9 @@ values for the reference's lag 75), gathered with a per-key top-N
 (WindowGroupLimit) and ``collect_list`` — never a whole series. Each step
 derives the lag / rolling features from the array with native array
 functions, scores every location with one ``model.transform``, and appends the
-prediction. Calendar and weather inputs stay frozen at the last observed row
-(the reference's behaviour; ``fix=True`` advances the calendar).
+prediction to both the counts and the state's prediction array. Calendar and
+weather inputs stay frozen at the last observed row (the reference's
+behaviour; ``fix=True`` advances the calendar).
 
 The plan grows with each step, so every ``checkpoint_every`` steps the state
 is checkpointed to ``spark.checkpoint.dir`` (reliable storage: the job
@@ -45,34 +46,44 @@ def recursive_forecast(model: PipelineModel, history: DataFrame, key: str, ts: s
     """(key, step, ts, prediction) for ``steps`` future intervals of every location.
 
     Reference semantics: the features of the *latest* row (rolling means
-    including that row) produce the value labelled ``last_ts + k*interval``.
+    including that row) produce the value labelled ``last_ts + k*interval``,
+    and each prediction is appended as the next count. Locations whose
+    recent history is too short, or holds a NULL count, get NULL predictions.
+
+    Each step is one ``model.transform`` and a projection over the state (no
+    join, no shuffle); predictions accumulate in an array column of the state
+    and are exploded once at the end.
     """
     lags = DEFAULT_LAGS if lags is None else list(lags)
     windows = DEFAULT_ROLLING if windows is None else list(windows)
     need = max(lags + windows) + 1
     state = initial_state(history, key, ts, value, frozen, lags, windows)
-    outputs = []
+    complete = (F.size("counts") >= F.lit(need)) & F.forall("counts", lambda x: x.isNotNull() & ~F.isnan(x))
+    short = state.where(~complete)
+    state = state.where(complete).withColumn("preds", F.array().cast("array<double>"))
+    keep = [key, "last_ts", "counts", "preds"] + list(frozen)
     for step in range(1, steps + 1):
         feats = array_features(state, "counts", lags, windows)
         if fix and "hour" in frozen:
             feats = feats.withColumn("hour", F.hour(F.timestamp_add(
                 "MINUTE", F.lit(interval_minutes * (step - 1)), F.col("last_ts"))))
-        scored = model.transform(feats.dropna(subset=[f"lag_{k}" for k in lags] + [f"roll_mean_{n}" for n in windows]))
-        pred = scored.select(key, F.col("prediction").alias("_p"))
-        out_ts = F.timestamp_add("MINUTE", F.lit(interval_minutes * step), F.col("last_ts"))
-        step_out = state.join(pred, key, "left").select(key, F.lit(step).alias("step"), out_ts.alias(ts),
-                                                        F.col("_p").alias("prediction"))
-        outputs.append(step_out)
-        appended = F.when(F.col("_p").isNull(), F.col("counts")).otherwise(
-            F.concat(F.col("counts"), F.array(F.col("_p"))))
-        state = state.join(pred, key, "left").withColumn(
-            "counts", F.slice(appended, F.greatest(F.size(appended) - F.lit(need - 1), F.lit(1)), need)).drop("_p")
+        scored = model.transform(feats.drop(*[c for c in ("features", "prediction") if c in feats.columns]))
+        appended = F.concat(F.col("counts"), F.array(F.col("prediction")))
+        state = scored.select(
+            *[F.col(c) for c in keep if c not in ("counts", "preds")],
+            F.slice(appended, F.size(appended) - F.lit(need - 1), need).alias("counts"),
+            F.concat(F.col("preds"), F.array(F.col("prediction"))).alias("preds"))
         if checkpoint_every and step % checkpoint_every == 0 and step < steps:
             state = state.checkpoint(eager=True)
-    out = outputs[0]
-    for o in outputs[1:]:
-        out = out.unionByName(o)
-    return out
+    out = state.select(key, "last_ts", F.posexplode("preds").alias("_i", "prediction"))
+    out = out.select(key, (F.col("_i") + 1).alias("step"),
+                     F.timestamp_add("MINUTE", (F.col("_i") + 1) * F.lit(interval_minutes), F.col("last_ts")).alias(ts),
+                     "prediction")
+    missing = short.select(key, "last_ts", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    missing = missing.select(key, "step",
+                             F.timestamp_add("MINUTE", F.col("step") * F.lit(interval_minutes), F.col("last_ts")).alias(ts),
+                             F.lit(None).cast("double").alias("prediction"))
+    return out.unionByName(missing)
 
 
 def forecast_vs_actual(forecast: DataFrame, actual: DataFrame, key: str, ts: str, value: str,

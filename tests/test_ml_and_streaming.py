@@ -125,3 +125,27 @@ def test_vessel_window_upsert_over_batches(spark, tmp_dir):
     ST.run_available(stream, None, os.path.join(tmp_dir, "vckpt"), foreach_batch=ST.vessel_window_upsert(root, 15))
     got = {r.id_str: r.event_id for r in spark.read.parquet(f"{root}/current").collect()}
     assert got == {"A": 3, "C": 4}       # B is older than newest - 15 min
+
+
+def test_recursive_forecast_equals_step_by_step(spark):
+    rnd = random.Random(8)
+    lags, wins = [1, 2, 3], [2, 3]
+    rows = [(s, T0 + dt.timedelta(minutes=3 * i), float(rnd.randint(0, 30)), 7) for s in (1, 2) for i in range(12)]
+    hist = spark.createDataFrame(rows, "sensor int, ts timestamp_ntz, count double, hour int")
+    train = W.lag_and_rolling_simple(hist, "sensor", ["ts"], "count", lags, wins).dropna()
+    feats = ["hour"] + [f"lag_{k}" for k in lags] + [f"roll_mean_{n}" for n in wins]
+    model = MD.train_global_model(train, feats, "count", n_trees=5, max_depth=3)
+    from crowdlake.ml import forecast as FC
+    got = {(r.sensor, r.step): r.prediction
+           for r in FC.recursive_forecast(model, hist, "sensor", "ts", "count", ["hour"], steps=4,
+                                          lags=lags, windows=wins, checkpoint_every=2).collect()}
+    for s in (1, 2):
+        counts = [r[2] for r in rows if r[0] == s]
+        for step in range(1, 5):
+            row = {"sensor": s, "hour": 7, "count": counts[-1]}
+            row.update({f"lag_{k}": counts[-1 - k] for k in lags})
+            row.update({f"roll_mean_{n}": sum(counts[-n:]) / n for n in wins})
+            one = spark.createDataFrame([row])
+            p = model.transform(one).first().prediction
+            assert got[(s, step)] == pytest.approx(p)
+            counts.append(p)
