@@ -15,7 +15,7 @@ def create_features(wide: DataFrame, ts: str, sensors: list[str], feature_cols:
                     dropna: bool = True, include_current: bool = True) -> DataFrame:
     """Wide counts -> long (location, count, features) with location id, lags and rolling means."""
     long = melt_with_features(wide, ts, sensors, feature_cols, "location", "count")
-    long = location_index(long, "location")
+    long = location_index(long, "location", order=list(sensors))
     feats = lag_and_rolling(long, "location_id", [ts], "count", lags, windows, include_current=include_current)
     return feats.dropna() if dropna else feats
 

@@ -25,12 +25,19 @@ def melt_with_features(wide: DataFrame, ts: str, sensors: list[str], features: l
     return wide.unpivot([ts] + list(features), sensors, var, value)
 
 
-def location_index(df: DataFrame, location: str, out: str = "location_id") -> DataFrame:
-    """Stable integer per location: position in sorted order of the distinct locations.
-
-    The distinct-location table is tiny (one row per sensor); the global
-    ordering runs on it, not on the readings.
+def location_index(df: DataFrame, location: str, out: str = "location_id",
+                   order: list[str] | None = None) -> DataFrame:
+    """Stable integer per location.
+
+    With ``order`` (the wide table's sensor columns, schema metadata) the id is
+    the column position, as the reference enumerates its columns; it is a
+    native ``array_position`` lookup, no join. Without it, locations are
+    numbered in sorted order of the distinct values (a table of one row per
+    sensor, joined back).
     """
+    if order is not None:
+        pos = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(location).cast("string"))
+        return df.withColumn(out, F.when(pos > 0, (pos - 1).cast("int")))
     locs = df.select(location).distinct()
     idx = locs.withColumn(out, (F.row_number().over(Window.orderBy(location)) - 1).cast("int"))
     return df.join(idx, location, "left")

@@ -143,3 +143,22 @@ def test_station_ut_to_local(spark):
                                "YYYYMMDD int, HH int, T int, TD int, P int, FF int, FX int, RH int, SQ int, U int")
     assert RD.clean_station(st).first().datetime == dt.datetime(2025, 8, 20, 12, 0)
     assert RD.clean_station(st, ut_to_local=True).first().datetime == dt.datetime(2025, 8, 20, 14, 0)
+
+
+def test_location_index_follows_column_order(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",)], "location string")
+    by_cols = {r.location: r.location_id for r in R.location_index(df, "location", order=["c", "a", "b"]).collect()}
+    by_name = {r.location: r.location_id for r in R.location_index(df, "location").collect()}
+    assert by_cols == {"c": 0, "a": 1, "b": 2} and by_name == {"a": 0, "b": 1, "c": 2}
+
+
+def test_create_features_from_wide(spark):
+    from crowdlake.ml.features import create_features
+
+    rows = [(T0 + dt.timedelta(minutes=3 * i), float(i), float(2 * i), 20.0 + i) for i in range(8)]
+    wide = spark.createDataFrame(rows, "timestamp timestamp_ntz, s2 double, s1 double, temperature double")
+    out = create_features(wide, "timestamp", ["s2", "s1"], ["temperature"], lags=[1, 2], windows=[3])
+    got = {(r.location, r.timestamp): r for r in out.collect()}
+    assert len(got) == 2 * 6                          # first two rows per location lack lag_2
+    last = got[("s1", T0 + dt.timedelta(minutes=21))]
+    assert (last.location_id, last.lag_1, last.lag_2, last.roll_mean_3, last.temperature) == (1, 12.0, 10.0, 12.0, 27.0)
