@@ -23,7 +23,7 @@ def _micros(ts: Column) -> Column:
 
 def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
                  tolerance_minutes: float = 60, right_order: str | None = None,
-                 suffix_ts: str = "matched_ts") -> DataFrame:
+                 suffix_ts: str = "matched_ts", split: int = 1) -> DataFrame:
     """Attach to every left row the right row nearest in time within the tolerance.
 
     pandas ``merge_asof(direction='nearest')`` semantics: the tolerance is
@@ -41,19 +41,26 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     latest right row at or before it, and another the earliest right row at
     or after it; the nearer one is kept. Both windows share the bucket
     partitioning (one shuffle); the result is joined back to the left rows.
+
+    ``split`` narrows buckets to ``tolerance / split`` so that a burst of left
+    times inside one tolerance window spreads over ``split`` tasks; each right
+    row is then copied into the ``2*split + 1`` buckets it can match. The
+    result is the same for every ``split``.
     """
     tol_us = int(tolerance_minutes * 60 * 1_000_000)
+    width = max(1, tol_us // max(1, int(split)))
     right_cols = [c for c in right.columns if c != right_on]
     order_col = right_order or right_on
     payload_fields = [F.col("_t").alias(suffix_ts)] + [F.col(c) for c in right_cols]
 
     lt = (left.select(F.col(left_on).alias("_t")).where(F.col("_t").isNotNull()).distinct()
-          .withColumn("_b", F.floor(_micros(F.col("_t")) / F.lit(tol_us))))
+          .withColumn("_b", F.floor(_micros(F.col("_t")) / F.lit(width))))
     r = right.where(F.col(right_on).isNotNull()).select(
         F.col(right_on).alias("_t"), F.col(order_col).cast("double").alias("_rord"), *right_cols)
     r = r.withColumn("_p", F.struct(*payload_fields)).select("_t", "_rord", "_p")
-    r = r.withColumn("_b0", F.floor(_micros(F.col("_t")) / F.lit(tol_us)))
-    r = r.withColumn("_b", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1))).drop("_b0")
+    lo = F.floor((_micros(F.col("_t")) - F.lit(tol_us)) / F.lit(width))
+    hi = F.floor((_micros(F.col("_t")) + F.lit(tol_us)) / F.lit(width))
+    r = r.withColumn("_b", F.explode(F.sequence(lo, hi)))
     r = r.withColumn("_is_left", F.lit(False))
     lt = lt.select("_t", "_b", F.lit(True).alias("_is_left"), F.lit(None).cast("double").alias("_rord"),
                    F.lit(None).cast(r.schema["_p"].dataType).alias("_p"))
@@ -68,7 +75,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     m = u.select("_t", "_b", "_is_left",
                  F.last("_p", ignorenulls=True).over(before).alias("_prev"),
                  F.first("_p", ignorenulls=True).over(after).alias("_next"))
-    m = m.where(F.col("_is_left") & (F.floor(_micros(F.col("_t")) / F.lit(tol_us)) == F.col("_b")))
+    m = m.where(F.col("_is_left"))
     d_prev = _micros(F.col("_t")) - _micros(F.col(f"_prev.{suffix_ts}"))
     d_next = _micros(F.col(f"_next.{suffix_ts}")) - _micros(F.col("_t"))
     prev_ok = F.col("_prev").isNotNull() & (d_prev <= F.lit(tol_us))

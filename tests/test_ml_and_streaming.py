@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crowdlake.functions.scalars import ntz_lit
 from crowdlake.ml import features as FT
 from crowdlake.ml import models as MD
 from crowdlake.ml import splits as SP
@@ -149,3 +150,24 @@ def test_recursive_forecast_equals_step_by_step(spark):
             p = model.transform(one).first().prediction
             assert got[(s, step)] == pytest.approx(p)
             counts.append(p)
+
+
+def test_stream_frames_equal_batch_after_watermark(spark, tmp_dir):
+    rnd = random.Random(12)
+    rows = [(T0 + dt.timedelta(seconds=rnd.randrange(0, 3 * 3600)), rnd.randrange(0, 5), round(rnd.random(), 3))
+            for _ in range(600)]
+    df = spark.createDataFrame(rows, "time_utc timestamp_ntz, id bigint, traffic_level double")
+    src = os.path.join(tmp_dir, "flat")
+    for h in range(3):                                 # one file per hour, in event-time order
+        part = df.where((F.hour("time_utc") == h))
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = ST.file_stream(spark, src, df.schema, max_files_per_trigger=1)
+    sink = os.path.join(tmp_dir, "frames")
+    ST.run_available(ST.stream_frames_3min(stream), sink, os.path.join(tmp_dir, "fckpt"))
+    got = sorted((r.id, r.frame_start_utc, round(r.mean_level, 9)) for r in spark.read.parquet(sink).collect())
+    newest = max(r[0] for r in rows)
+    batch = A.resample_minutes(df, "id", "time_utc", "traffic_level", 3, "frame_start_utc")
+    closed = batch.where(F.col("frame_start_utc") + F.expr("INTERVAL 3 MINUTES")
+                         <= ntz_lit(newest - dt.timedelta(minutes=15)))
+    want = sorted((r.id, r.frame_start_utc, round(r.traffic_level, 9)) for r in closed.collect())
+    assert got == want and len(got) > 0

@@ -53,10 +53,10 @@ def test_flow_and_arrow_bands(spark):
 # as-of nearest
 # ---------------------------------------------------------------------------
 
-def _asof(spark, left_rows, right_rows, tol=60):
+def _asof(spark, left_rows, right_rows, tol=60, split=1):
     left = spark.createDataFrame(left_rows, "lid int, ts timestamp_ntz")
     right = spark.createDataFrame(right_rows, "ts timestamp_ntz, rid int, v string")
-    out = J.asof_nearest(left, right, "ts", "ts", tol, right_order="rid")
+    out = J.asof_nearest(left, right, "ts", "ts", tol, right_order="rid", split=split)
     return {r.lid: r.v for r in out.collect()}
 
 
@@ -210,8 +210,8 @@ def test_asof_dense_duplicates_and_exact_hits(spark):
     rnd = random.Random(9)
     left = [(i, T0 + dt.timedelta(minutes=rnd.randrange(0, 600, 5))) for i in range(300)]
     right = [(T0 + dt.timedelta(minutes=rnd.randrange(0, 600, 10)), j, f"w{j}") for j in range(200)]
-    for tol in (7, 30):
-        got = _asof(spark, left, right, tol=tol)
+    for tol, split in ((7, 1), (30, 1), (30, 4)):
+        got = _asof(spark, left, right, tol=tol, split=split)
         lp = pd.DataFrame(left, columns=["lid", "ts"]).sort_values("ts", kind="stable")
         rp = pd.DataFrame(right, columns=["ts", "rid", "v"]).sort_values(["ts", "rid"], kind="stable")
         exp = pd.merge_asof(lp, rp, on="ts", direction="nearest", tolerance=pd.Timedelta(minutes=tol))
