@@ -178,4 +178,8 @@ def train_per_sensor(df: DataFrame, key: str, ts: str, feature_col: str, label:
                              "n_train": len(train)})
 
     cols = [key, ts, feature_col, label, split_col]
-    return df.select(*cols).groupBy(key).applyInPandas(fit_group, schema)
+    # Fits are compute-heavy but their inputs are small: an explicit partition
+    # count keeps AQE from packing every sensor into one task by byte size, and
+    # the grouped apply reuses this partitioning (no second shuffle).
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*cols).repartition(parts, key).groupBy(key).applyInPandas(fit_group, schema)
