@@ -42,9 +42,9 @@ def array_features(state: DataFrame, counts_col: str, lags: list[int] | None = N
     windows = DEFAULT_ROLLING if windows is None else list(windows)
     arr = F.col(counts_col)
     n = F.size(arr)
-    cols = {"count": F.element_at(arr, -1)}
+    cols = {"count": F.try_element_at(arr, F.lit(-1))}
     for k in lags:
-        cols[f"lag_{k}"] = F.when(n > F.lit(k), F.element_at(arr, -(k + 1)))
+        cols[f"lag_{k}"] = F.when(n > F.lit(k), F.try_element_at(arr, F.lit(-(k + 1))))
     for w in windows:
         tail = F.slice(arr, -w, w)
         total = F.aggregate(tail, F.lit(0.0), lambda acc, x: acc + x)

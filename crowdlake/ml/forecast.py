@@ -33,7 +33,7 @@ def initial_state(history: DataFrame, key: str, ts: str, value: str, frozen: lis
     items = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("v"),
                                                  *[F.col(c).alias(c) for c in frozen])))
     st = tail.groupBy(key).agg(items.alias("_items"))
-    last = F.element_at("_items", -1)
+    last = F.try_element_at("_items", F.lit(-1))
     return st.select(key, last["t"].alias("last_ts"),
                      F.transform("_items", lambda x: x["v"]).alias("counts"),
                      *[last[c].alias(c) for c in frozen])

@@ -242,8 +242,8 @@ def _land_roads(spark, d):
 @q("read_roads")
 def q_read_roads(spark, d):
     roads = RD.read_roads(spark, _land_roads(spark, d))
-    return roads.select("feature_id", S.id_text(F.element_at("properties", F.lit("WVK_ID"))).alias("wvk_id"),
-                        F.element_at("properties", F.lit("name")).alias("name"), "geom_type")
+    return roads.select("feature_id", S.id_text(F.try_element_at("properties", F.lit("WVK_ID"))).alias("wvk_id"),
+                        F.try_element_at("properties", F.lit("name")).alias("name"), "geom_type")
 
 
 ORACLE["read_roads"] = """SELECT s_suppkey AS feature_id, CAST(s_suppkey AS VARCHAR) AS wvk_id, s_name AS name,

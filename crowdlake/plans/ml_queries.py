@@ -124,15 +124,20 @@ def _fit_and_save(spark, d):
     f = Q.features_table(spark, d)
     train = f.where(F.col("ts") < ntz_lit(CUTOFF))
     model = MD.train_global_model(train, FEATURES, "count")
-    MD.save_model(model, _model_dir(spark, d))
+    path = MD.save_model(model, _model_dir(spark, d))
+    _SAVED[path] = True
     return model
 
 
+# Pipelines saved by this process (the checkpoint folder is private to the SparkContext).
+_SAVED: dict = {}
+
+
 def _model(spark, d):
-    try:
-        return MD.load_model(_model_dir(spark, d))
-    except Exception:  # noqa: BLE001 - nothing saved yet in this session: fit and save
-        return _fit_and_save(spark, d)
+    path = _model_dir(spark, d)
+    if path in _SAVED:
+        return MD.load_model(path)
+    return _fit_and_save(spark, d)
 
 
 def _test_rows(spark, d):
