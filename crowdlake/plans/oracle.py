@@ -307,7 +307,8 @@ def _poly_sql(terms, a, b):
 _A = f"((x - {RD_X0!r}) * 1e-05)"
 _B = f"((y - {RD_Y0!r}) * 1e-05)"
 ORACLE["rd_to_lonlat"] = f"""WITH xy AS (
-  SELECT event_id, 100000.0 + value * 100.0 AS x, 450000.0 + (event_id % 1000) * 50.0 AS y FROM events)
+  SELECT event_id, 100000.0 + value * 100.0 AS x, 450000.0 + (event_id % 1000) * 50.0 AS y FROM events
+  WHERE event_id % 50 <> 0)
 SELECT event_id,
   round({RD_LON0!r} + {_poly_sql(RD_LON_TERMS, _A, _B)} / 3600.0, 9) AS lon,
   round({RD_LAT0!r} + {_poly_sql(RD_LAT_TERMS, _A, _B)} / 3600.0, 9) AS lat

@@ -297,11 +297,15 @@ def q_vessel_label(spark, d):
 
 @q("rd_to_lonlat")
 def q_rd_to_lonlat(spark, d):
-    v = SI.table(spark, d, "events").select(
-        "event_id", (F.lit(100000.0) + F.col("value") * F.lit(100.0)).alias("x"),
-        (F.lit(450000.0) + (F.col("event_id") % 1000) * F.lit(50.0)).alias("y"))
-    lon, lat = S.rd_to_lonlat("x", "y")
-    return v.select("event_id", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+    from crowdlake.sources.readers import positions_from_grid
+
+    ev = SI.table(spark, d, "events")
+    grid = ev.select("event_id",
+                     F.when(F.col("event_id") % 50 != 0, F.lit(100000.0) + F.col("value") * F.lit(100.0))
+                     .alias("position-x"),
+                     (F.lit(450000.0) + (F.col("event_id") % 1000) * F.lit(50.0)).alias("position-y"))
+    out = positions_from_grid(grid)
+    return out.select("event_id", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
 
 
 # ---------------------------------------------------------------------------

@@ -116,3 +116,12 @@ def test_write_both_then_read_back(spark, tmp_dir):
     assert RD.read_carflow_flat(spark, w["csv"]).count() == 1
     with pytest.raises(ValueError):
         SK.write_both(df, "x", "y", mode="zip")
+
+
+def test_positions_from_grid_only_without_lon_lat(spark):
+    grid = spark.createDataFrame([("a", "155000", "463000"), ("b", None, "463000"), ("c", "x", "1")],
+                                 "id string, `position-x` string, `position-y` string")
+    out = {r.id: (round(r.lon, 8), round(r.lat, 8)) for r in RD.positions_from_grid(grid).collect()}
+    assert out == {"a": (5.38720621, 52.1551744)}
+    has = spark.createDataFrame([("a", 4.9, 52.3, "1", "2")], "id string, LON double, Lat double, `position-x` string, `position-y` string")
+    assert RD.positions_from_grid(has).collect() == has.collect()
