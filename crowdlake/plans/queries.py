@@ -86,17 +86,16 @@ def scored_table(spark, d) -> DataFrame:
 
 
 def station_clean(spark, d) -> DataFrame:
-    st = SI.station_hourly(spark, d)
-    return st.select(S.hour24_fix("YYYYMMDD", "HH").alias("datetime"), *S.tenths_to_units())
+    from crowdlake.sources.readers import clean_station
+
+    return clean_station(SI.station_hourly(spark, d))
 
 
 def weather_text_numbers(spark, d) -> DataFrame:
-    wt = SI.weather_text(spark, d)
-    num_cols = ["temperature", "dew_point", "humidity", "wind_speed", "wind_gust", "pressure", "precip."]
-    cleaned = wt.select("event_id", "date", "time", *[S.clean_text(F.col(f"`{c}`")).alias(c) for c in num_cols],
-                        S.clean_text("condition").alias("condition"))
-    return cleaned.select("event_id", S.parse_date_ampm("date", "time").alias("timestamp"),
-                          *[S.extract_number(F.col(f"`{c}`")).alias(c) for c in num_cols], "condition")
+    from crowdlake.sources.readers import clean_weather_text
+
+    out = clean_weather_text(SI.weather_text(spark, d))
+    return out.withColumn("event_id", F.col("event_id").cast("bigint"))
 
 
 # ---------------------------------------------------------------------------
@@ -115,12 +114,14 @@ def q_flatten_carflow_strict(spark, d):
 
 @q("pack_carflow")
 def q_pack_carflow(spark, d):
-    """Per frame time: flattened text rows and how many of them survive coercion."""
+    """Per frame time: flattened text rows and how many of them survive ``pack_carflow``."""
+    from crowdlake.operators.flatten import pack_carflow
+
     txt = flatten_carflow(SI.carflow_raw(spark, d))
-    packed_ok = (S.parse_iso_utc("time_raw").isNotNull() & F.trim("id_raw").try_cast("double").isNotNull()
-                 & F.trim("level_raw").try_cast("double").isNotNull())
-    return txt.groupBy(S.parse_iso_utc("time_raw").alias("time_utc")).agg(
-        F.count("*").alias("text_rows"), F.count_if(packed_ok).alias("packed_rows"))
+    text_rows = txt.groupBy(S.parse_iso_utc("time_raw").alias("time_utc")).agg(F.count("*").alias("text_rows"))
+    packed = pack_carflow(txt).groupBy("time_utc").agg(F.count("*").alias("packed_rows"))
+    return (text_rows.join(packed, "time_utc", "left")
+            .select("time_utc", "text_rows", F.coalesce("packed_rows", F.lit(0)).cast("bigint").alias("packed_rows")))
 
 
 @q("melt_counts")
