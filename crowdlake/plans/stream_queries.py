@@ -121,7 +121,9 @@ def q_stream_features(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("roll_mean_")})
 
 
+# rows the final watermark (newest event time, in ms, minus 15 minutes) has passed
 ORACLE["stream_features"] = "WITH " + SI.SQL["readings"] + ",\n" + O._feat_sql(Q.CHECK_LAGS, Q.CHECK_WINDOWS, "sf") + \
     "\nSELECT sensor, ts, event_id, \"count\", " + ", ".join(f"lag_{k}" for k in Q.CHECK_LAGS) + ", " + \
-    ", ".join(f"round(roll_mean_{n}, 6) AS roll_mean_{n}" for n in Q.CHECK_WINDOWS) + " FROM sf"
+    ", ".join(f"round(roll_mean_{n}, 6) AS roll_mean_{n}" for n in Q.CHECK_WINDOWS) + \
+    " FROM sf WHERE epoch_us(ts) <= ((SELECT epoch_ms(max(ts)) FROM events) - 900000) * 1000"
 

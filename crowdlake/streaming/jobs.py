@@ -5,10 +5,10 @@ Structured Streaming file sources with checkpointed state, so a restarted
 query resumes exactly where it stopped. Event time is carried as a real
 TIMESTAMP (``event_time``) because watermarks reject TIMESTAMP_NTZ.
 
-Late-data rule (the reference has none): event-time streams (flow, 3-minute
-frames) use a 15-minute watermark — the width of the reference's vessel
-snapshot — and drop rows later than that; the feature ring buffer drops a row
-that is not newer than the newest row it already holds for that sensor.
+Late-data rule (the reference has none): event-time streams use a 15-minute
+watermark — the width of the reference's vessel snapshot. Windows and
+buffered rows are emitted once the watermark passes them; rows later than
+that are dropped.
 """
 
 from __future__ import annotations
@@ -128,13 +128,18 @@ def vessel_window_upsert(state_root: str, window_minutes: float = 15, key: str =
 
 def stream_features(readings: DataFrame, key: str = "sensor", ts: str = "ts", tie: str = "event_id",
                     value: str = "count", lags: list[int] | None = None,
-                    windows: list[int] | None = None) -> DataFrame:
-    """Features per reading from a bounded per-sensor buffer (``applyInPandasWithState``).
-
-    The state holds the last ``max(lags, windows)`` (time, tie, value) items of
-    the sensor. New rows are ordered by (time, tie); rows not newer than the
-    newest buffered item arrived late and are dropped. Equal to the batch
-    ``lag_and_rolling`` when rows arrive in event-time order.
+                    windows: list[int] | None = None, delay: str = WATERMARK) -> DataFrame:
+    """Lag / rolling features of each reading from bounded per-sensor state.
+
+    ``applyInPandasWithState`` with an event-time watermark: new rows wait in
+    the sensor's state until the watermark passes them, then are processed in
+    (time, tie) order against a ring buffer of the sensor's last
+    ``max(lags, windows)`` values. So rows may arrive out of order within the
+    watermark delay and the output still equals the batch ``lag_and_rolling``
+    for every row older than the watermark; rows arriving behind the watermark
+    (not newer than the buffer) are dropped. A key with pending rows sets an
+    event-time timeout, so its rows are released even if no new data arrives
+    for it. State per sensor: the buffer plus at most ``delay`` of pending rows.
     """
     lags = DEFAULT_LAGS if lags is None else list(lags)
     windows = DEFAULT_ROLLING if windows is None else list(windows)
@@ -143,38 +148,51 @@ def stream_features(readings: DataFrame, key: str = "sensor", ts: str = "ts", ti
     feat_cols = [f"lag_{k}" for k in lags] + [f"roll_mean_{n}" for n in windows]
     out_schema = (f"{key} {key_type}, {ts} timestamp_ntz, {tie} bigint, {value} double, "
                   + ", ".join(f"{c} double" for c in feat_cols))
-    state_schema = "ts_us array<bigint>, ties array<bigint>, vals array<double>"
+    state_schema = ("buf_us array<bigint>, buf_tie array<bigint>, buf_val array<double>, "
+                    "pend_us array<bigint>, pend_tie array<bigint>, pend_val array<double>")
+    empty = pd.DataFrame({"_us": pd.Series([], dtype="int64"), "_tie": pd.Series([], dtype="int64"),
+                          "_val": pd.Series([], dtype="float64")})
 
     def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
-            ts_us, ties, vals = state.get
-            ts_us, ties, vals = list(ts_us), list(ties), list(vals)
+            buf_us, buf_tie, buf_val, pend_us, pend_tie, pend_val = (list(x) for x in state.get)
         else:
-            ts_us, ties, vals = [], [], []
-        new = pd.concat(list(pdfs), ignore_index=True)
-        new = new.assign(_us=pd.to_datetime(new[ts]).astype("int64") // 1000).sort_values(["_us", tie])
-        if ts_us:
-            last = (ts_us[-1], ties[-1])
-            new = new[[(u, t) > last for u, t in zip(new["_us"], new[tie])]]
-        hist = np.array(vals + new[value].astype(float).tolist(), dtype=float)
-        base = len(vals)
+            buf_us, buf_tie, buf_val, pend_us, pend_tie, pend_val = [], [], [], [], [], []
+        frames = [p for p in pdfs if len(p)]
+        new = (pd.concat(frames, ignore_index=True) if frames else None)
+        pend = pd.DataFrame({"_us": pend_us, "_tie": pend_tie, "_val": pend_val}).astype(empty.dtypes)
+        if new is not None:
+            add = pd.DataFrame({"_us": pd.to_datetime(new[ts]).astype("int64") // 1000,
+                                "_tie": new[tie].astype("int64"), "_val": new[value].astype(float)})
+            pend = pd.concat([pend, add], ignore_index=True)
+        if buf_us:                                   # behind the buffer: arrived too late
+            last = (buf_us[-1], buf_tie[-1])
+            pend = pend[[(u, t) > last for u, t in zip(pend["_us"], pend["_tie"])]]
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        pend = pend.sort_values(["_us", "_tie"], kind="stable")
+        ready, wait = pend[pend["_us"] <= wm_us], pend[pend["_us"] > wm_us]
+        hist = np.array(buf_val + ready["_val"].tolist(), dtype=float)
+        base = len(buf_val)
         rows = {c: [] for c in feat_cols}
-        for i in range(len(new)):
+        for i in range(len(ready)):
             pos = base + i
             for lg in lags:
                 rows[f"lag_{lg}"].append(hist[pos - lg] if pos - lg >= 0 else np.nan)
             for w in windows:
                 rows[f"roll_mean_{w}"].append(hist[pos - w + 1: pos + 1].mean() if pos - w + 1 >= 0 else np.nan)
-        out = pd.DataFrame({key: new[key].to_numpy(), ts: new[ts].to_numpy(), tie: new[tie].to_numpy(),
-                            value: new[value].astype(float).to_numpy(), **rows})
-        all_us = ts_us + new["_us"].tolist()
-        all_ties = ties + new[tie].astype("int64").tolist()
-        all_vals = hist.tolist()
-        state.update((all_us[-need:], all_ties[-need:], all_vals[-need:]))
-        yield out
-
-    return readings.groupBy(key).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+        all_us = buf_us + ready["_us"].tolist()
+        all_tie = buf_tie + ready["_tie"].tolist()
+        state.update((all_us[-need:], all_tie[-need:], hist.tolist()[-need:],
+                      wait["_us"].tolist(), wait["_tie"].tolist(), wait["_val"].tolist()))
+        if len(wait):
+            state.setTimeoutTimestamp(int(-(-int(wait["_us"].min()) // 1000)))
+        yield pd.DataFrame({key: [k[0]] * len(ready),
+                            ts: pd.to_datetime(ready["_us"].to_numpy(), unit="us"),
+                            tie: ready["_tie"].to_numpy(), value: ready["_val"].to_numpy(), **rows})
+
+    s = with_event_time(readings, ts).withWatermark("event_time", delay)
+    return s.groupBy(key).applyInPandasWithState(
+        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------------------

@@ -89,28 +89,33 @@ def test_array_features_equal_window_features(spark):
         assert arr[c] == pytest.approx(last[c])
 
 
-def test_stream_features_across_batches_equal_batch(spark, tmp_dir):
+def test_stream_features_out_of_order_equal_batch(spark, tmp_dir):
     rnd = random.Random(4)
     rows = [(s, T0 + dt.timedelta(minutes=3 * i), s * 1000 + i, float(rnd.randint(0, 40)))
             for s in (1, 2, 3) for i in range(60)]
     df = spark.createDataFrame(rows, "sensor bigint, ts timestamp_ntz, event_id bigint, count double")
     src = os.path.join(tmp_dir, "src")
-    # three drops in event-time order, each processed as its own micro-batch
-    for k in range(3):
-        part = df.where((F.col("event_id") % 1000 >= 20 * k) & (F.col("event_id") % 1000 < 20 * (k + 1)))
+    # 6-minute drops delivered with neighbours swapped: out of order by less than the 15-minute delay
+    order = []
+    for k in range(0, 30, 2):
+        order += [k + 1, k]
+    for k in order:
+        part = df.where((F.col("event_id") % 1000 >= 2 * k) & (F.col("event_id") % 1000 < 2 * (k + 1)))
         part.coalesce(1).write.mode("append").parquet(src)
-        os.utime(src, None)
     stream = ST.file_stream(spark, src, df.schema, max_files_per_trigger=1)
     sink, ckpt = os.path.join(tmp_dir, "sink"), os.path.join(tmp_dir, "ckpt")
     ST.run_available(ST.stream_features(stream, "sensor", "ts", "event_id", "count", [1, 5, 20], [3, 10]), sink, ckpt)
     got = spark.read.parquet(sink)
+    newest = max(r[1] for r in rows)
+    watermark = newest - dt.timedelta(minutes=15)
     want = W.lag_and_rolling_simple(df, "sensor", ["ts", "event_id"], "count", [1, 5, 20], [3, 10])
+    want = want.where(F.col("ts") <= ntz_lit(watermark))
     cols = ["event_id", "lag_1", "lag_5", "lag_20", "roll_mean_3", "roll_mean_10"]
 
     def norm(d):
         return sorted(tuple(None if v is None or v != v else round(v, 9) for v in r) for r in d.select(*cols).collect())
 
-    assert norm(got) == norm(want)
+    assert norm(got) == norm(want) and got.count() == 3 * 55
 
 
 def test_vessel_window_upsert_over_batches(spark, tmp_dir):
