@@ -21,7 +21,8 @@ from crowdlake.functions.scalars import parse_iso_utc
 
 
 def _unquote(x: Column) -> Column:
-    return F.regexp_replace(x, r'^"(.*)"$', "$1")
+    # the regex only runs on the rare quoted token
+    return F.when(x.startswith('"'), F.regexp_replace(x, r'^"(.*)"$', "$1")).otherwise(x)
 
 
 def _split_by(line: Column, sep: Column) -> Column:
