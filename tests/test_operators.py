@@ -217,3 +217,11 @@ def test_asof_dense_duplicates_and_exact_hits(spark):
         exp = pd.merge_asof(lp, rp, on="ts", direction="nearest", tolerance=pd.Timedelta(minutes=tol))
         want = {int(r.lid): (None if pd.isna(r.v) else r.v) for r in exp.itertuples()}
         assert got == want
+
+
+def test_asof_keeps_every_left_row(spark):
+    left = spark.createDataFrame([(1, t(10)), (2, t(10)), (3, None), (4, t(500))], "lid int, ts timestamp_ntz")
+    right = spark.createDataFrame([(t(0), 1, "a"), (t(20), 2, "b")], "ts timestamp_ntz, rid int, v string")
+    out = J.asof_nearest(left, right, "ts", "ts", 60, right_order="rid")
+    got = sorted((r.lid, r.v) for r in out.collect())
+    assert got == [(1, "a"), (2, "a"), (3, None), (4, None)]
