@@ -64,6 +64,11 @@ def frame_list(df: DataFrame, frame: str) -> DataFrame:
     return df.select(frame).where(F.col(frame).isNotNull()).distinct().orderBy(frame)
 
 
+def frame_range(df: DataFrame, ts: str) -> DataFrame:
+    """The data range shown beside the frame list: first and last time."""
+    return df.agg(F.min(ts).alias("range_start"), F.max(ts).alias("range_end"))
+
+
 def distinct_times_range(df: DataFrame, ts: str) -> DataFrame:
     """Rows, distinct times, first and last time in one pass."""
     return df.agg(F.count("*").alias("n_rows"), F.count_distinct(ts).alias("n_times"),

@@ -398,8 +398,10 @@ ORACLE["distinct_times_range"] = W("cf") + """SELECT count(*) AS n_rows, count(D
   min(time_utc) AS first_time, max(time_utc) AS last_time FROM cf"""
 ORACLE["map_center"] = W("latest_vessels") + """SELECT round(quantile_cont(lat, 0.5), 6) AS center_lat,
   round(quantile_cont(lon, 0.5), 6) AS center_lon FROM latest_vessels"""
-ORACLE["map_center_lines"] = W("roads_f") + """SELECT coalesce(TRY_CAST(arg_min(lat_txt, feature_id) AS DOUBLE), 52.37) AS center_lat,
-  coalesce(TRY_CAST(arg_min(lon_txt, feature_id) AS DOUBLE), 4.9) AS center_lon FROM roads_f"""
+ORACLE["map_center_lines"] = W("roads_f", "cf") + """SELECT coalesce(TRY_CAST(arg_min(lat_txt, feature_id) AS DOUBLE), 52.37) AS center_lat,
+  coalesce(TRY_CAST(arg_min(lon_txt, feature_id) AS DOUBLE), 4.9) AS center_lon
+FROM roads_f WHERE rid_str IN (SELECT CAST(id AS VARCHAR) FROM cf)"""
+ORACLE["frame_range"] = W("frames") + "SELECT min(time_local) AS range_start, max(time_local) AS range_end FROM frames"
 ORACLE["metrics_by_location"] = W("scored") + """SELECT sensor, round(avg(abs("count" - pred)), 6) AS mae,
   round(sqrt(avg(("count" - pred) * ("count" - pred))), 6) AS rmse, count(*) AS n FROM scored GROUP BY sensor"""
 ORACLE["r2_by_sensor"] = W("r2t") + "SELECT sensor, round(r2, 6) AS r2, round(mae, 6) AS mae, n FROM r2t"

@@ -495,6 +495,11 @@ def q_frame_list(spark, d):
     return A.frame_list(carflow_frames(spark, d), "frame_time")
 
 
+@q("frame_range")
+def q_frame_range(spark, d):
+    return A.frame_range(carflow_frames(spark, d), "time_local")
+
+
 @q("distinct_times_range")
 def q_distinct_times_range(spark, d):
     return A.distinct_times_range(flat_carflow(spark, d), "time_utc")
@@ -509,7 +514,10 @@ def q_map_center(spark, d):
 
 @q("map_center_lines")
 def q_map_center_lines(spark, d):
-    return A.map_center_lines(SI.roads(spark, d))
+    """Centre on the first displayed road: the first feature that has traffic in some frame."""
+    seg = A.segment_mean_in_frame(carflow_frames(spark, d))
+    shown = J.roads_with_traffic(SI.roads(spark, d), seg, "WVK_ID").select("feature_id", "coordinates").distinct()
+    return A.map_center_lines(shown)
 
 
 @q("metrics_by_location")
