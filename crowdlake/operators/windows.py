@@ -41,7 +41,10 @@ def sequence_index(df: DataFrame, key: str, order_cols: list[str], chunk=None,
     counts = d.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
     prefix = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(prefix), F.lit(0))).drop("_n")
-    d = d.join(offsets, [key, "_chunk"])
+    offsets = offsets.withColumnRenamed(key, "_okey").withColumnRenamed("_chunk", "_ochunk")
+    # null-safe: rows with a NULL key or time keep their place (NULLs sort first, as in a plain window)
+    cond = d[key].eqNullSafe(offsets["_okey"]) & d["_chunk"].eqNullSafe(offsets["_ochunk"])
+    d = d.join(offsets, cond).drop("_okey", "_ochunk")
     return d.withColumn(out, F.col("_off") + F.col("_rn") - 1).drop("_chunk", "_rn", "_off")
 
 

@@ -225,3 +225,14 @@ def test_asof_keeps_every_left_row(spark):
     out = J.asof_nearest(left, right, "ts", "ts", 60, right_order="rid")
     got = sorted((r.lid, r.v) for r in out.collect())
     assert got == [(1, "a"), (2, "a"), (3, None), (4, None)]
+
+
+def test_bucketed_lags_keep_null_keys_and_times(spark):
+    rows = [(1, t(i), i, float(i)) for i in range(10)] + [(1, None, 100, 5.0), (None, t(3), 101, 7.0),
+                                                           (None, t(1), 102, 8.0)]
+    df = spark.createDataFrame(rows, "sensor int, ts timestamp_ntz, event_id int, count double")
+    a = W.lag_and_rolling(df, "sensor", ["ts", "event_id"], "count", [1, 2], [3], bucket_rows=4)
+    b = W.lag_and_rolling_simple(df, "sensor", ["ts", "event_id"], "count", [1, 2], [3])
+    cols = ["event_id", "lag_1", "lag_2", "roll_mean_3"]
+    assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
+    assert a.count() == len(rows)
