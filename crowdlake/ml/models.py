@@ -37,12 +37,27 @@ def global_pipeline(feature_cols: list[str], label: str = "count", n_trees: int
     return Pipeline(stages=[assembler, gbt])
 
 
+def training_partitions(n_rows: int, parallelism: int, rows_per_partition: int = 100_000) -> int:
+    """Partitions for an iterative fit: ~100k rows each, at most the cluster's parallelism.
+
+    Boosting runs several jobs per tree, so on small inputs per-task overhead
+    dominates (one task is fastest); on large inputs every core gets a slice.
+    """
+    return max(1, min(parallelism, -(-n_rows // rows_per_partition)))
+
+
 def train_global_model(train: DataFrame, feature_cols: list[str], label: str = "count", **params) -> PipelineModel:
-    """Fit the global model on complete training rows."""
+    """Fit the global model on complete training rows, sized into partitions by row count."""
     p = dict(GLOBAL_PARAMS)
     p.update(params)
-    clean = train.dropna(subset=list(feature_cols) + [label])
-    return global_pipeline(feature_cols, label, **p).fit(clean)
+    clean = train.dropna(subset=list(feature_cols) + [label]).persist()
+    try:
+        # the count materialises the cache with full upstream parallelism
+        parts = training_partitions(clean.count(), clean.sparkSession.sparkContext.defaultParallelism)
+        sized = clean.coalesce(parts) if parts < clean.rdd.getNumPartitions() else clean.repartition(parts)
+        return global_pipeline(feature_cols, label, **p).fit(sized)
+    finally:
+        clean.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -176,3 +176,9 @@ def test_stream_frames_equal_batch_after_watermark(spark, tmp_dir):
                          <= ntz_lit(newest - dt.timedelta(minutes=15)))
     want = sorted((r.id, r.frame_start_utc, round(r.traffic_level, 9)) for r in closed.collect())
     assert got == want and len(got) > 0
+
+
+def test_training_partitions():
+    assert MD.training_partitions(3000, 8) == 1
+    assert MD.training_partitions(450_000, 8) == 5
+    assert MD.training_partitions(10**9, 8000) == 8000
