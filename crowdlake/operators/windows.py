@@ -15,6 +15,9 @@ data. ``lag_and_rolling`` therefore works on bounded buckets:
    context copies are dropped afterwards.
 
 Partition sizes are bounded by ``bucket_rows + context`` whatever the skew.
+The numbering step holds one (key, chunk) per task: the default chunk is a
+day (480 rows for a 3-minute sensor); for feeds denser than that per key,
+pass a finer ``chunk`` (an hour, a minute) so a chunk still fits a task.
 """
 
 from __future__ import annotations

@@ -172,14 +172,19 @@ def stream_features(readings: DataFrame, key: str = "sensor", ts: str = "ts", ti
         pend = pend.sort_values(["_us", "_tie"], kind="stable")
         ready, wait = pend[pend["_us"] <= wm_us], pend[pend["_us"] > wm_us]
         hist = np.array(buf_val + ready["_val"].tolist(), dtype=float)
-        base = len(buf_val)
-        rows = {c: [] for c in feat_cols}
-        for i in range(len(ready)):
-            pos = base + i
-            for lg in lags:
-                rows[f"lag_{lg}"].append(hist[pos - lg] if pos - lg >= 0 else np.nan)
-            for w in windows:
-                rows[f"roll_mean_{w}"].append(hist[pos - w + 1: pos + 1].mean() if pos - w + 1 >= 0 else np.nan)
+        pos = np.arange(len(buf_val), len(hist))          # positions of the released rows
+        rows = {}
+        for lg in lags:                                   # vectorised: no per-row Python loop
+            src = pos - lg
+            rows[f"lag_{lg}"] = np.where(src >= 0, hist[np.clip(src, 0, None)], np.nan) if len(pos) else []
+        for w in windows:
+            out = np.full(len(pos), np.nan)
+            if len(hist) >= w and len(pos):
+                means = np.lib.stride_tricks.sliding_window_view(hist, w).mean(axis=1)
+                start = pos - w + 1                       # window ending at pos starts here
+                ok = start >= 0
+                out[ok] = means[start[ok]]
+            rows[f"roll_mean_{w}"] = out
         all_us = buf_us + ready["_us"].tolist()
         all_tie = buf_tie + ready["_tie"].tolist()
         state.update((all_us[-need:], all_tie[-need:], hist.tolist()[-need:],
