@@ -3,7 +3,7 @@ combine, so a hot key costs one partial row per task before the shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdlake.functions.scalars import frame_floor
@@ -133,3 +133,42 @@ def metrics_summary(per_sensor: DataFrame) -> DataFrame:
 def mse(scored: DataFrame, actual: str, pred: str) -> DataFrame:
     e = F.col(actual) - F.col(pred)
     return scored.agg(F.avg(e * e).alias("mse"))
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], partitions: int | None = None) -> dict:
+    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``), distributed.
+
+    1. pre-aggregate to (distinct value, count) — a value repeated by a third
+       of the rows becomes one row, so no task sees the hot value's rows;
+    2. range-partition the distinct values and number their cumulative counts
+       inside each partition (window per partition), shifted by a prefix sum
+       over the per-partition totals (one row per partition);
+    3. keep the few values whose rank interval holds a wanted rank.
+
+    Returns ``{p: value}``; the driver only receives the handful of values at
+    the wanted ranks (and the row count).
+    """
+    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    vals = x.groupBy("x").agg(F.count("*").alias("c"))
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = vals.repartitionByRange(parts, "x").withColumn("_pid", F.spark_partition_id())
+    within = ranged.withColumn("_cum", F.sum("c").over(
+        Window.partitionBy("_pid").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    totals = ranged.groupBy("_pid").agg(F.sum("c").alias("_t"))
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = int(totals.agg(F.sum("_t")).first()[0] or 0)
+    if n == 0:
+        return {p: None for p in probs}
+    wanted = sorted({r for p in probs for r in (int((n - 1) * p // 1), -int(-(n - 1) * p // 1))})
+    cum = within.join(offsets.select("_pid", "_off"), "_pid").select(
+        "x", (F.col("_off") + F.col("_cum") - F.col("c")).alias("_lo"), (F.col("_off") + F.col("_cum")).alias("_hi"))
+    hits = cum.select("x", F.explode(F.filter(F.array(*[F.lit(k) for k in wanted]),
+                                                lambda k: (k >= F.col("_lo")) & (k < F.col("_hi")))).alias("k"))
+    at = {r.k: r.x for r in hits.collect()}
+    out = {}
+    for p in probs:
+        h = (n - 1) * p
+        lo, hi = int(h // 1), -int(-h // 1)
+        out[p] = at[lo] + (h - lo) * (at[hi] - at[lo])
+    return out

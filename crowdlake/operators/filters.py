@@ -81,28 +81,42 @@ def missing_profile(df: DataFrame) -> DataFrame:
     return wide.selectExpr(f"stack({len(df.columns)}, {stack}) as (column_name, nulls)")
 
 
-def describe_profile(df: DataFrame, cols: list[str], accuracy: int = 100000) -> DataFrame:
+def describe_profile(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """count / mean / std / min / quartiles / max per numeric column, long form.
 
-    Quartiles come from ``percentile_approx`` (bounded-memory sketch, rank
-    error <= 1/accuracy): an exact percentile would hold a whole column in one
-    task. Everything else is exact. One aggregation pass for all columns.
+    Moments come from one aggregation pass over all columns. Quartiles are
+    exact by default (pandas' linear interpolation) through
+    ``aggregates.exact_quantiles`` — distinct values with counts, range
+    partitioned, so no task holds a whole column or a hot value's rows;
+    ``exact=False`` uses the ``percentile_approx`` sketch instead.
     """
+    from crowdlake.operators.aggregates import exact_quantiles
+
     exprs = []
     for c in cols:
         x = F.col(c).cast("double")
         exprs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                   F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                  F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"),
                   F.max(x).alias(f"{c}__max")]
+        if not exact:
+            exprs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"))
     wide = df.agg(*exprs)
-    rows = F.explode(F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
-        F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-        F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
-        F.col(f"{c}__q")[1].alias("p50"), F.col(f"{c}__q")[2].alias("p75"),
-        F.col(f"{c}__max").alias("max")) for c in cols]))
-    return wide.select(rows.alias("r")).select("r.*")
+
+    def quartiles(c):
+        if not exact:
+            return [F.col(f"{c}__q")[i] for i in range(3)]
+        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+        return [F.lit(q[p]).cast("double") for p in (0.25, 0.5, 0.75)]
+
+    rows = []
+    for c in cols:
+        q25, q50, q75 = quartiles(c)
+        rows.append(F.struct(
+            F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
+            F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
+            F.col(f"{c}__min").alias("min"), q25.alias("p25"), q50.alias("p50"), q75.alias("p75"),
+            F.col(f"{c}__max").alias("max")))
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

@@ -341,6 +341,11 @@ ORACLE["missing_profile"] = W("readings_wide") + "SELECT * FROM (" + " UNION ALL
     if c != "hour" else
     f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS nulls FROM readings_wide"
     for c in ["hour"] + WIDE_SENSORS) + ")"
+ORACLE["describe_profile"] = W("readings") + "SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count({e}) AS "count", round(avg({e}), 6) AS mean, round(stddev_samp({e}), 6) AS std,
+  min({e}) AS min, round(quantile_cont({e}, 0.25), 6) AS p25, round(quantile_cont({e}, 0.5), 6) AS p50,
+  round(quantile_cont({e}, 0.75), 6) AS p75, max({e}) AS max FROM readings"""
+    for c, e in (("count", 'CAST("count" AS DOUBLE)'), ("sensor", "CAST(sensor AS DOUBLE)"))) + ")"
 ORACLE["duplicate_count"] = W("readings") + """, g AS (SELECT sensor, date_trunc('hour', ts) AS hour, count(*) AS c FROM readings GROUP BY 1, 2)
 SELECT CAST(sum(c) AS BIGINT) AS total_rows, CAST(count(*) AS BIGINT) AS distinct_rows,
   CAST(sum(c) - count(*) AS BIGINT) AS duplicates FROM g"""

@@ -370,7 +370,8 @@ def q_missing_profile(spark, d):
 
 @q("describe_profile")
 def q_describe_profile(spark, d):
-    return FL.describe_profile(SI.readings(spark, d), ["count", "sensor"])
+    out = FL.describe_profile(SI.readings(spark, d), ["count", "sensor"])
+    return out.withColumns({c: r6(F.col(c)) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
 @q("duplicate_count")

@@ -162,3 +162,24 @@ def test_create_features_from_wide(spark):
     assert len(got) == 2 * 6                          # first two rows per location lack lag_2
     last = got[("s1", T0 + dt.timedelta(minutes=21))]
     assert (last.location_id, last.lag_1, last.lag_2, last.roll_mean_3, last.temperature) == (1, 12.0, 10.0, 12.0, 27.0)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_exact_quantiles_match_numpy_with_hot_value(spark, parts):
+    import numpy as np
+
+    rnd = np.random.default_rng(parts)
+    vals = np.concatenate([np.full(500, 7.0), rnd.normal(10, 3, 1000).round(2)])   # a third is one value
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = A.exact_quantiles(df, "v", probs, partitions=parts)
+    want = np.percentile(vals, [p * 100 for p in probs])
+    assert [round(got[p], 9) for p in probs] == [round(w, 9) for w in want]
+    one = A.exact_quantiles(spark.createDataFrame([(3.0,)], "v double"), "v", [0.5])
+    assert one == {0.5: 3.0}
+
+
+def test_describe_profile_exact_default(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "v double")
+    r = FL.describe_profile(df, ["v"]).first()
+    assert (r["count"], r.mean, r["min"], r.p25, r.p50, r.p75, r["max"]) == (10, 5.5, 1.0, 3.25, 5.5, 7.75, 10.0)
