@@ -76,12 +76,15 @@ def distinct_times_range(df: DataFrame, ts: str) -> DataFrame:
 
 
 def map_center_points(latest_positions: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Median lat / lon of the latest position per vessel.
-
-    The input is one row per vessel (bounded by the fleet size), so the exact
-    median is affordable here.
-    """
-    return latest_positions.agg(F.median(lat).alias("center_lat"), F.median(lon).alias("center_lon"))
+    """Median lat / lon of the latest position per vessel (exact, via ``exact_quantiles``)."""
+    spark = latest_positions.sparkSession
+    pos = latest_positions.select(lat, lon).persist()     # one row per vessel, read by both passes
+    try:
+        mlat = exact_quantiles(pos, lat, [0.5])[0.5]
+        mlon = exact_quantiles(pos, lon, [0.5])[0.5]
+    finally:
+        pos.unpersist()
+    return spark.createDataFrame([(mlat, mlon)], "center_lat double, center_lon double")
 
 
 # Fallback map centre (lat, lon) when no feature has coordinates.
