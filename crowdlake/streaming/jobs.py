@@ -107,10 +107,13 @@ def vessel_window_upsert(state_root: str, window_minutes: float = 15, key: str =
         spark = batch.sparkSession
         prev = None
         if batch_id > 0:
-            try:
-                prev = spark.read.parquet(f"{state_root}/v{batch_id - 1}")
-            except Exception:  # noqa: BLE001 - no earlier version (empty batches)
-                prev = None
+            # explicit schema: an empty version reads as an empty table instead of failing
+            for path in (f"{state_root}/v{batch_id - 1}", f"{state_root}/current"):
+                try:
+                    prev = spark.read.schema(batch.schema).parquet(path)
+                    break
+                except Exception:  # noqa: BLE001 - version not written (yet)
+                    prev = None
         merged = batch if prev is None else prev.unionByName(batch)
         latest = latest_per_key(merged, key, [ts, tie])
         newest = latest.select(F.max(ts)).scalar()
