@@ -92,13 +92,13 @@ def test_array_features_equal_window_features(spark):
 def test_stream_features_out_of_order_equal_batch(spark, tmp_dir):
     rnd = random.Random(4)
     rows = [(s, T0 + dt.timedelta(minutes=3 * i), s * 1000 + i, float(rnd.randint(0, 40)))
-            for s in (1, 2, 3) for i in range(60)]
+            for s in (1, 2, 3) for i in range(30)]
     df = spark.createDataFrame(rows, "sensor bigint, ts timestamp_ntz, event_id bigint, count double")
     src = os.path.join(tmp_dir, "src")
     # 6-minute drops delivered with neighbours swapped: out of order by less than the 15-minute delay
     order = []
-    for k in range(0, 30, 2):
-        order += [k + 1, k]
+    for k in range(0, 15, 2):
+        order += [k + 1, k] if k + 1 < 15 else [k]
     for k in order:
         part = df.where((F.col("event_id") % 1000 >= 2 * k) & (F.col("event_id") % 1000 < 2 * (k + 1)))
         part.coalesce(1).write.mode("append").parquet(src)
@@ -115,7 +115,7 @@ def test_stream_features_out_of_order_equal_batch(spark, tmp_dir):
     def norm(d):
         return sorted(tuple(None if v is None or v != v else round(v, 9) for v in r) for r in d.select(*cols).collect())
 
-    assert norm(got) == norm(want) and got.count() == 3 * 55
+    assert norm(got) == norm(want) and got.count() == 3 * 25
 
 
 def test_vessel_window_upsert_over_batches(spark, tmp_dir):
