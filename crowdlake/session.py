@@ -52,7 +52,8 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int =
     map-status overhead take over); scan splits grow with the input so task counts stay
     manageable; skewed partitions are split by AQE above 4x the median or
     1 GiB. The broadcast threshold stays small: only sides whose estimated
-    size is below it are broadcast, everything else shuffles.
+    size is below it are broadcast, everything else shuffles. Streaming state
+    goes to the RocksDB state store so millions of keys do not live on the heap.
     """
     shuffle = min(100_000, max(2 * total_cores, -(-input_bytes // target_partition_bytes)))
     split = 512 << 20 if input_bytes > (1 << 40) else 128 << 20
@@ -66,6 +67,9 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int =
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        # streaming state (ring buffers, dedup keys, windows) off-heap and spillable
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
 
 
