@@ -28,7 +28,8 @@ def initial_state(history: DataFrame, key: str, ts: str, value: str, frozen: lis
                   lags: list[int], windows: list[int]) -> DataFrame:
     """(key, last_ts, counts ARRAY oldest->newest, frozen columns of the newest row)."""
     need = max(lags + windows) + 1
-    w = Window.partitionBy(key).orderBy(F.col(ts).desc())
+    # a total order (time, then value) so a recomputed task keeps the same rows
+    w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(value).desc())
     tail = history.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= need)
     items = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("v"),
                                                  *[F.col(c).alias(c) for c in frozen])))
