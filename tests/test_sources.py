@@ -125,3 +125,28 @@ def test_positions_from_grid_only_without_lon_lat(spark):
     assert out == {"a": (5.38720621, 52.1551744)}
     has = spark.createDataFrame([("a", 4.9, 52.3, "1", "2")], "id string, LON double, Lat double, `position-x` string, `position-y` string")
     assert RD.positions_from_grid(has).collect() == has.collect()
+
+
+def test_date_partitioned_flat_table_prunes(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    rows = [(f"2025-08-{d:02d}T10:00:00Z", str(i), "0.5") for d in (20, 21, 22) for i in range(3)]
+    df = spark.createDataFrame(rows, "time_utc string, id string, traffic_level string")
+    flat = RD.normalise_flat(df, "string").withColumn("date", F.to_date("time_utc"))
+    path = SK.write_parquet(flat, os.path.join(tmp_dir, "flat_by_date"), partition_by=["date"])
+    q = spark.read.parquet(path).where(F.col("date") == F.lit("2025-08-21").cast("date"))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and q.count() == 3
+
+
+def test_read_carflow_any_requires_flat_columns(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "bad.parquet")
+    spark.createDataFrame([(1, 2)], "a int, b int").write.parquet(p)
+    with pytest.raises(ValueError):
+        RD.read_carflow_any(spark, p)
+
+
+def test_sniff_delimiter(spark, tmp_dir):
+    a = _write(os.path.join(tmp_dir, "a.csv"), "x,y\n1,2\n", bom=True)
+    b = _write(os.path.join(tmp_dir, "b.csv"), "x;y\n1;2\n")
+    assert RD.sniff_delimiter(spark, a) == "," and RD.sniff_delimiter(spark, b) == ";"
