@@ -27,15 +27,26 @@ def filter_date_slice(df: DataFrame, col: str, start_date: str, end_date: str) -
     return df.where((F.col(col) >= ntz_lit(start)) & (F.col(col) < ntz_lit(end)))
 
 
-def recent_window(df: DataFrame, col: str, minutes: float) -> DataFrame:
+def recent_window(df: DataFrame, col: str, minutes: float, partition_col: str | None = None) -> DataFrame:
     """Rows within ``minutes`` of the newest time in ``df``, both ends inclusive.
 
     The newest time is a scalar subquery (one partial max per task), not a
-    driver round trip.
+    driver round trip; it is also pushed into the scan as a runtime filter.
+    With ``partition_col`` (a date partition column of a table partitioned by
+    day) both passes are restricted to the partitions that can hold the
+    window: the newest date comes from the partition column, the newest time
+    is searched only in that day, and the rows only in the days the window
+    spans — partition pruning instead of a scan of all history.
     """
-    newest = df.select(F.max(col)).scalar()
+    if partition_col is None:
+        newest = df.select(F.max(col)).scalar()
+        lo = F.timestamp_add("SECOND", F.lit(-int(minutes * 60)), newest)
+        return df.where((F.col(col) >= lo) & (F.col(col) <= newest))
+    last_day = df.select(F.max(partition_col)).scalar()
+    newest = df.where(F.col(partition_col) == last_day).select(F.max(col)).scalar()
     lo = F.timestamp_add("SECOND", F.lit(-int(minutes * 60)), newest)
-    return df.where((F.col(col) >= lo) & (F.col(col) <= newest))
+    first_day = F.date_sub(last_day, int(-(-minutes // 1440)))
+    return df.where((F.col(partition_col) >= first_day) & (F.col(col) >= lo) & (F.col(col) <= newest))
 
 
 def drop_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -150,3 +150,20 @@ def test_sniff_delimiter(spark, tmp_dir):
     a = _write(os.path.join(tmp_dir, "a.csv"), "x,y\n1,2\n", bom=True)
     b = _write(os.path.join(tmp_dir, "b.csv"), "x;y\n1;2\n")
     assert RD.sniff_delimiter(spark, a) == "," and RD.sniff_delimiter(spark, b) == ";"
+
+
+def test_recent_window_on_date_partitions(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from crowdlake.operators.filters import recent_window
+
+    rows = [(dt.datetime(2025, 8, d, h, m), d * 100 + h) for d in (18, 19, 20, 21) for h in (0, 12, 23) for m in (0, 40)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, v int").withColumn("date", F.to_date("ts"))
+    path = SK.write_parquet(df, os.path.join(tmp_dir, "by_day"), partition_by=["date"])
+    table = spark.read.parquet(path)
+    for minutes in (15, 600, 2000):
+        got = sorted(r.v for r in recent_window(table, "ts", minutes, partition_col="date").collect())
+        want = sorted(r.v for r in recent_window(table, "ts", minutes).collect())
+        assert got == want and got
+    plan = recent_window(table, "ts", 600, partition_col="date")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "date#" in plan
