@@ -236,3 +236,11 @@ def test_bucketed_lags_keep_null_keys_and_times(spark):
     cols = ["event_id", "lag_1", "lag_2", "roll_mean_3"]
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
     assert a.count() == len(rows)
+
+
+def test_rolling_fix_excludes_current_row(spark):
+    df = spark.createDataFrame([(1, t(3 * i), i, float(i + 1)) for i in range(10)],
+                               "sensor int, ts timestamp_ntz, event_id int, count double")
+    out = W.lag_and_rolling(df, "sensor", ["ts", "event_id"], "count", [1], [3], bucket_rows=4,
+                            include_current=False).orderBy("ts").collect()
+    assert [r.roll_mean_3 for r in out] == [None, None, None, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]
