@@ -27,7 +27,7 @@ GLOBAL_PARAMS = dict(n_trees=300, max_depth=6, learning_rate=0.05, subsample=0.9
 PER_SENSOR_PARAMS = dict(n_trees=1000, max_depth=6, learning_rate=0.05)
 
 
-def global_pipeline(feature_cols: list[str], label: str = "count", n_trees: int = 300, max_depth: int = 6,
+def global_model_spec(feature_cols: list[str], label: str = "count", n_trees: int = 300, max_depth: int = 6,
                     learning_rate: float = 0.05, subsample: float = 0.9, colsample: float = 0.8,
                     seed: int = 42) -> Pipeline:
     assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="error")
@@ -55,7 +55,7 @@ def train_global_model(train: DataFrame, feature_cols: list[str], label: str = "
         # the count materialises the cache with full upstream parallelism
         parts = training_partitions(clean.count(), clean.sparkSession.sparkContext.defaultParallelism)
         sized = clean.coalesce(parts) if parts < clean.rdd.getNumPartitions() else clean.repartition(parts)
-        return global_pipeline(feature_cols, label, **p).fit(sized)
+        return global_model_spec(feature_cols, label, **p).fit(sized)
     finally:
         clean.unpersist()
 
