@@ -5,7 +5,10 @@
 * per-sensor models (op 110) are many small, independent fits: the rows are
   shuffled by sensor and each group is fitted inside its task with a compact
   numpy gradient-boosting learner (``groupBy(sensor).applyInPandas``), so
-  thousands of sensors train in parallel instead of in a driver loop.
+  thousands of sensors train in parallel instead of in a driver loop. A loop
+  of MLlib fits would pay Spark's per-stage overhead for every tree level of
+  every one of the 1000 trees per sensor (~0.2 s per tree measured here):
+  hours for a few dozen sensors whose data is a few hundred hourly rows each.
 
 MLlib trees are not XGBoost (no second-order term, no regularisation, column
 sampling per node rather than per tree, no missing-value branch): scores are
