@@ -1,6 +1,7 @@
 """End-to-end batch jobs (the reference's entry points re-expressed as plans).
 
 * ``crowd_flow_map``   – Entry A: readings -> location join -> flow -> NULL filter -> band.
+* ``flow_at_time``     – Entry A's per-refresh call: every sensor's flow at one timestamp.
 * ``carflow_frames``   – Entry C: nested feed -> flat rows -> local 3-minute frames.
 * ``vessel_snapshot``  – Entry D: positions -> newest-time window -> latest per vessel -> label.
 """
@@ -27,6 +28,23 @@ def crowd_flow_map(readings: DataFrame, locations_raw: DataFrame) -> DataFrame:
                        b["band"].alias("band"), b["colour"].alias("colour"), b["radius"].alias("radius"))
 
 
+def flow_at_time(readings: DataFrame, locations_raw: DataFrame, at, key: str = "sensor",
+                 ts: str = "ts") -> DataFrame:
+    """Flow of every sensor seen in ``readings`` at one timestamp (the live map's call).
+
+    A sensor without a reading at ``at`` gets 0, as does an unknown sensor;
+    a known sensor without a width gets NULL (dropped by the map).
+    """
+    from crowdlake.functions.scalars import ntz_lit
+
+    sensors = readings.select(key).distinct()
+    now = readings.where(F.col(ts) == ntz_lit(at))
+    flows = flow_for_readings(now, parse_locations(locations_raw)).select(key, "flow", F.lit(True).alias("_has"))
+    return sensors.join(flows, key, "left").select(
+        key, ntz_lit(at).alias(ts),
+        F.when(F.col("_has").isNull(), F.lit(0.0)).otherwise(F.col("flow")).alias("flow"))
+
+
 def frame_table(flat: DataFrame) -> DataFrame:
     """Flat car-flow rows with local time, 3-minute frame and text id."""
     local = to_local_time("time_utc")

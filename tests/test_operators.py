@@ -244,3 +244,17 @@ def test_rolling_fix_excludes_current_row(spark):
     out = W.lag_and_rolling(df, "sensor", ["ts", "event_id"], "count", [1], [3], bucket_rows=4,
                             include_current=False).orderBy("ts").collect()
     assert [r.roll_mean_3 for r in out] == [None, None, None, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]
+
+
+def test_flow_at_time(spark):
+    from crowdlake.plans.jobs import flow_at_time
+
+    readings = spark.createDataFrame([(t(0), 1, 1, 20.0), (t(3), 1, 2, 30.0), (t(0), 2, 3, 9.0), (t(3), 3, 4, 6.0)],
+                                     "ts timestamp_ntz, sensor bigint, event_id bigint, count double")
+    locs = spark.createDataFrame([(1, "1_0", 0, "a", "6,7", "52.3, 4.8"), (3, "3_0", 0, "c", None, "52.3, 4.8")],
+                                 "sensor bigint, sensor_id_full string, direction int, name string, "
+                                 "width_txt string, latlon_txt string")
+    got = {r.sensor: r.flow for r in flow_at_time(readings, locs, t(0)).collect()}
+    assert round(got[1], 5) == 0.99502 and got[2] == 0.0 and got[3] == 0.0   # 3: no reading at t(0)
+    got3 = {r.sensor: r.flow for r in flow_at_time(readings, locs, t(3)).collect()}
+    assert got3[3] is None and got3[2] == 0.0
