@@ -167,3 +167,15 @@ def test_recent_window_on_date_partitions(spark, tmp_dir):
         assert got == want and got
     plan = recent_window(table, "ts", 600, partition_col="date")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "date#" in plan
+
+
+def test_read_weather_hourly_commented_header(spark, tmp_dir):
+    text = ("# SOURCE: national weather service\n# YYYYMMDD = date\n#\n"
+            "# STN,YYYYMMDD,   HH,    T,   TD,    P,   FF,   FX,   RH,   SQ,    U\n"
+            "#\n"
+            "  240,20250820,    1,  215,  150,10130,   40,   90,   -1,    3,   80\n"
+            "  240,20250820,   24,  200,  140,10120,   30,   80,    2,    0,   85\n")
+    p = _write(os.path.join(tmp_dir, "uurgeg.txt"), text)
+    rows = RD.clean_station(RD.read_weather_hourly(spark, p)).orderBy("datetime").collect()
+    assert [r.datetime for r in rows] == [dt.datetime(2025, 8, 20, 1, 0), dt.datetime(2025, 8, 21, 0, 0)]
+    assert (rows[0].temperature, rows[1].relative_humidity, rows[0].rainfall) == (21.5, 85, -0.1)
