@@ -183,3 +183,13 @@ def test_describe_profile_exact_default(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "v double")
     r = FL.describe_profile(df, ["v"]).first()
     assert (r["count"], r.mean, r["min"], r.p25, r.p50, r.p75, r["max"]) == (10, 5.5, 1.0, 3.25, 5.5, 7.75, 10.0)
+
+
+def test_read_crowd_skips_unnamed_index(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "crowd_idx.csv")
+    with open(p, "w") as f:
+        f.write(",timestamp,S1_0,hour,minute,day,month,weekday,is_weekend\n"
+                "0,2025-08-20T14:03:00+02:00,5,14,3,20,8,2,0\n")
+    out = RD.read_crowd(spark, p)
+    assert [c for c in out.columns if c not in ("timestamp", "hour", "minute", "day", "month", "weekday",
+                                                 "is_weekend")] == ["S1_0"]
