@@ -114,12 +114,12 @@ def test_forecast_state_is_bounded_and_newest_last(spark):
 def test_read_crowd_wide(spark, tmp_dir):
     p = os.path.join(tmp_dir, "crowd.csv")
     with open(p, "w") as f:
-        f.write("timestamp,GASA-01_0,GASA-01_180,hour,minute,day,month,weekday,is_weekend\n"
+        f.write("timestamp,S-01_0,S-01_180,hour,minute,day,month,weekday,is_weekend\n"
                 "2025-08-20T14:03:00+02:00,12,7,14,3,20,8,2,0\n"
                 "2025-08-20T14:06:00+02:00,,9,14,6,20,8,2,0\n")
     rows = RD.read_crowd(spark, p).orderBy("timestamp").collect()
-    assert rows[0].timestamp == dt.datetime(2025, 8, 20, 14, 3) and rows[0]["GASA-01_0"] == 12.0
-    assert rows[1]["GASA-01_0"] is None and rows[1].minute == 6
+    assert rows[0].timestamp == dt.datetime(2025, 8, 20, 14, 3) and rows[0]["S-01_0"] == 12.0
+    assert rows[1]["S-01_0"] is None and rows[1].minute == 6
 
 
 @pytest.mark.parametrize("col,expected", [("view", 1), ("hour", 0)])

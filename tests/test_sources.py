@@ -21,12 +21,12 @@ def _write(path, text, encoding="utf-8", bom=False):
 
 def test_read_locations_bom_crlf_nbsp(spark, tmp_dir):
     header = "Objectummer,Locatienaam,Lat/Long,Breedte,Effectieve  breedte"
-    body = ['GASA-01,Dam,"52.3731, 4.8926",,"6,7"', 'GASA-02,Rokin,"52.37, 4.89",3,', "GASA-03,X,,,4"]
+    body = ['S-01,Dam,"52.3731, 4.8926",,"6,7"', 'S-02,Rokin,"52.37, 4.89",3,', "S-03,X,,,4"]
     p = _write(os.path.join(tmp_dir, "loc.csv"), "\r\n".join([header] + body) + "\r\n", bom=True)
     rows = {r.sensor_id: r for r in RD.read_locations(spark, p).collect()}
-    assert rows["GASA-01"].width == 6.7 and rows["GASA-01"].lat == 52.3731 and rows["GASA-01"].lon == 4.8926
-    assert rows["GASA-02"].width is None
-    assert rows["GASA-03"].lat is None and rows["GASA-03"].width == 4.0
+    assert rows["S-01"].width == 6.7 and rows["S-01"].lat == 52.3731 and rows["S-01"].lon == 4.8926
+    assert rows["S-02"].width is None
+    assert rows["S-03"].lat is None and rows["S-03"].width == 4.0
 
 
 def test_read_weather_hourly_padded_header(spark, tmp_dir):
@@ -175,7 +175,7 @@ def test_read_weather_hourly_commented_header(spark, tmp_dir):
             "#\n"
             "  240,20250820,    1,  215,  150,10130,   40,   90,   -1,    3,   80\n"
             "  240,20250820,   24,  200,  140,10120,   30,   80,    2,    0,   85\n")
-    p = _write(os.path.join(tmp_dir, "uurgeg.txt"), text)
+    p = _write(os.path.join(tmp_dir, "station_hourly.txt"), text)
     rows = RD.clean_station(RD.read_weather_hourly(spark, p)).orderBy("datetime").collect()
     assert [r.datetime for r in rows] == [dt.datetime(2025, 8, 20, 1, 0), dt.datetime(2025, 8, 21, 0, 0)]
     assert (rows[0].temperature, rows[1].relative_humidity, rows[0].rainfall) == (21.5, 85, -0.1)
