@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from crowdlake.functions.scalars import decimal_comma, id_text, split_lat_lon
 
+
 def _micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
 
@@ -56,13 +57,13 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     lt = (left.select(F.col(left_on).alias("_t")).where(F.col("_t").isNotNull()).distinct()
           .withColumn("_b", F.floor(_micros(F.col("_t")) / F.lit(width))))
     r = right.where(F.col(right_on).isNotNull()).select(
-        F.col(right_on).alias("_t"), F.col(order_col).cast("double").alias("_rord"), *right_cols)
+        F.col(right_on).alias("_t"), F.col(order_col).alias("_rord"), *right_cols)
     r = r.withColumn("_p", F.struct(*payload_fields)).select("_t", "_rord", "_p")
     lo = F.floor((_micros(F.col("_t")) - F.lit(tol_us)) / F.lit(width))
     hi = F.floor((_micros(F.col("_t")) + F.lit(tol_us)) / F.lit(width))
     r = r.withColumn("_b", F.explode(F.sequence(lo, hi)))
     r = r.withColumn("_is_left", F.lit(False))
-    lt = lt.select("_t", "_b", F.lit(True).alias("_is_left"), F.lit(None).cast("double").alias("_rord"),
+    lt = lt.select("_t", "_b", F.lit(True).alias("_is_left"), F.lit(None).cast(r.schema["_rord"].dataType).alias("_rord"),
                    F.lit(None).cast(r.schema["_p"].dataType).alias("_p"))
     u = lt.unionByName(r.select("_t", "_b", "_is_left", "_rord", "_p"))
 
