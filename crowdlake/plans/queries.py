@@ -13,10 +13,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crowdlake.functions.scalars import ntz_lit
-
 from crowdlake.functions import bands as B
 from crowdlake.functions import scalars as S
+from crowdlake.functions.scalars import ntz_lit
 from crowdlake.operators import aggregates as A
 from crowdlake.operators import filters as FL
 from crowdlake.operators import joins as J
@@ -34,6 +33,10 @@ QUERIES: dict = {}
 # Fixed parameters of the registered queries (features of the operators, not row caps).
 NOW = dt.datetime(2024, 1, 15, 12, 0, 0)
 CHOSEN_SENSORS = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144]
+# FIXTURES §2: test series hold 45-99 rows per sensor, so a 75-row lag would
+# leave almost nothing after dropna; the registered queries use lags up to 20.
+# The library defaults (windows.DEFAULT_LAGS / DEFAULT_ROLLING) keep the full
+# lists, which the unit tests exercise.
 CHECK_LAGS = [1, 2, 3, 5, 10, 20]
 CHECK_WINDOWS = [3, 5, 10, 20]
 SELECTED_VESSELS = ["1", "2", "3"]
