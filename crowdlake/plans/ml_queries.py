@@ -15,7 +15,6 @@ import os
 from pyspark.sql import functions as F
 
 from crowdlake.functions.scalars import ntz_lit
-
 from crowdlake.ml import forecast as FC
 from crowdlake.ml import models as MD
 from crowdlake.ml import splits as SP
