@@ -4,6 +4,8 @@
 * ``flow_at_time``     – Entry A's per-refresh call: every sensor's flow at one timestamp.
 * ``carflow_frames``   – Entry C: nested feed -> flat rows -> local 3-minute frames.
 * ``vessel_snapshot``  – Entry D: positions -> newest-time window -> latest per vessel -> label.
+* ``train_crowd_model`` / ``score_and_forecast`` – Entry B's training and scoring jobs.
+* ``land_carflow``     – Entry C's landing job (nested feed -> partitioned flat files).
 """
 
 from __future__ import annotations
@@ -68,3 +70,81 @@ def vessel_snapshot(positions: DataFrame, window_minutes: float = 15,
     return latest.select("id_str", "time_utc", "lon", "lat", "speed_cm_s",
                          local.alias("time_ams"),
                          vessel_label("id_str", local, "lon", "lat", "speed_cm_s").alias("tooltip"))
+
+
+# ---------------------------------------------------------------------------
+# Entry B: training and scoring jobs
+# ---------------------------------------------------------------------------
+
+def train_crowd_model(counts: DataFrame, weather: DataFrame, model_path: str, cutoff,
+                      key: str = "sensor", ts: str = "ts", value: str = "count", tie: str = "event_id",
+                      weather_cols: list[str] | None = None, weather_order: str | None = None,
+                      lags: list[int] | None = None, windows: list[int] | None = None,
+                      tolerance_minutes: float = 60, **model_params):
+    """Counts <- nearest weather -> features -> rows before ``cutoff`` -> boosted trees -> saved.
+
+    Returns ``(model, features, feature_cols)``.
+    """
+    from crowdlake.ml.features import create_features_long
+    from crowdlake.ml.models import save_model, train_global_model
+    from crowdlake.ml.splits import chronological_split
+    from crowdlake.operators.joins import asof_nearest
+
+    weather_cols = weather_cols or [c for c in weather.columns if c != ts]
+    merged = asof_nearest(counts, weather.select(ts, *weather_cols), ts, ts, tolerance_minutes,
+                          right_order=weather_order, suffix_ts="weather_ts")
+    feats = create_features_long(merged, key, ts, value, order_tie=tie, lags=lags, windows=windows)
+    feature_cols = (["hour", "weekday", "is_weekend"] + [c for c in weather_cols if c != weather_order]
+                    + [c for c in feats.columns if c.startswith(("lag_", "roll_mean_"))])
+    feats = feats.dropna(subset=feature_cols)
+    train = chronological_split(feats, ts, cutoff).where(F.col("split") == "train")
+    model = train_global_model(train, feature_cols, value, **model_params)
+    save_model(model, model_path)
+    return model, feats, feature_cols
+
+
+def score_and_forecast(model, history: DataFrame, now, key: str = "sensor", ts: str = "ts",
+                       value: str = "count", frozen: list[str] | None = None,
+                       lags: list[int] | None = None, windows: list[int] | None = None,
+                       steps: int = 20, interval_minutes: int = 3) -> DataFrame:
+    """The prediction page as one table: history, current, forecast and actual future per sensor.
+
+    ``history`` must carry the model's frozen inputs (calendar / weather columns).
+    """
+    from crowdlake.functions.scalars import ntz_lit
+    from crowdlake.ml.forecast import recursive_forecast
+    from crowdlake.operators.setops import concat_typed_series
+
+    frozen = frozen or ["hour", "weekday", "is_weekend"]
+    t_now = ntz_lit(now)
+    upto = history.where(F.col(ts) <= t_now)
+    fc = recursive_forecast(model, upto, key, ts, value, frozen, steps, interval_minutes, lags, windows)
+    horizon = F.timestamp_add("MINUTE", F.lit(steps * interval_minutes), t_now)
+    parts = {
+        "historic": history.where(F.col(ts) < t_now).select(key, ts, F.col(value).alias("v")),
+        "current": history.where(F.col(ts) == t_now).select(key, ts, F.col(value).alias("v")),
+        "prediction_multistep": fc.select(key, ts, F.col("prediction").alias("v")),
+        "actual_future": history.where((F.col(ts) > t_now) & (F.col(ts) <= horizon))
+                                .select(key, ts, F.col(value).alias("v")),
+    }
+    return concat_typed_series(parts, ts, "v", keys=[key]).withColumnRenamed("v", "value")
+
+
+# ---------------------------------------------------------------------------
+# Entry C: landing job for the car-flow feed
+# ---------------------------------------------------------------------------
+
+def land_carflow(spark, raw_path: str, parquet_path: str, csv_gz_path: str, mode: str = "both") -> dict:
+    """Nested feed file(s) -> flat rows -> date-partitioned parquet and/or gzipped CSV."""
+    from crowdlake.sources.readers import read_carflow_nested
+    from crowdlake.sources.sinks import write_csv_gz, write_parquet
+
+    flat = carflow_flat(read_carflow_nested(spark, raw_path)).withColumn("date", F.to_date("time_utc"))
+    out = {}
+    if mode in ("parquet", "both"):
+        out["parquet"] = write_parquet(flat, parquet_path, partition_by=["date"])
+    if mode in ("csv", "both"):
+        out["csv"] = write_csv_gz(flat.drop("date"), csv_gz_path)
+    if not out:
+        raise ValueError(f"mode must be parquet, csv or both, not {mode!r}")
+    return out
