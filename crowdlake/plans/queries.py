@@ -57,23 +57,28 @@ def r6(c):
 # shared derived tables
 # ---------------------------------------------------------------------------
 
+@SI.per_session
 def parsed_locations(spark, d) -> DataFrame:
     return J.parse_locations(SI.locations(spark, d))
 
 
+@SI.per_session
 def flat_carflow(spark, d) -> DataFrame:
     return carflow_flat(SI.carflow_raw(spark, d))
 
 
+@SI.per_session
 def carflow_frames(spark, d) -> DataFrame:
     return jobs.frame_table(flat_carflow(spark, d))
 
 
+@SI.per_session
 def resampled_3min(spark, d) -> DataFrame:
     fr = carflow_frames(spark, d)
     return A.resample_minutes(fr, "id_str", "time_local", "traffic_level", 3, "time_local")
 
 
+@SI.per_session
 def features_table(spark, d, dropna=True) -> DataFrame:
     """Model features (op 80) of the long readings: calendar, lags and rolling means per sensor."""
     from crowdlake.ml.features import create_features_long
@@ -82,18 +87,21 @@ def features_table(spark, d, dropna=True) -> DataFrame:
                                 lags=CHECK_LAGS, windows=CHECK_WINDOWS, dropna=dropna)
 
 
+@SI.per_session
 def scored_table(spark, d) -> DataFrame:
     """Hold-out scores of the persistence baseline (prediction = previous count)."""
     f = features_table(spark, d)
     return f.select("sensor", "ts", "count", F.col("lag_1").alias("pred"))
 
 
+@SI.per_session
 def station_clean(spark, d) -> DataFrame:
     from crowdlake.sources.readers import clean_station
 
     return clean_station(SI.station_hourly(spark, d))
 
 
+@SI.per_session
 def weather_text_numbers(spark, d) -> DataFrame:
     from crowdlake.sources.readers import clean_weather_text
 
