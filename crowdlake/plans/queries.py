@@ -115,7 +115,7 @@ def weather_text_numbers(spark, d) -> DataFrame:
 
 @q("flatten_carflow")
 def q_flatten_carflow(spark, d):
-    return carflow_flat(SI.carflow_raw(spark, d), keep_first_pair=True)
+    return flat_carflow(spark, d)           # carflow_flat(raw, keep_first_pair=True), built once
 
 
 @q("flatten_carflow_strict")
