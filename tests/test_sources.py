@@ -179,3 +179,12 @@ def test_read_weather_hourly_commented_header(spark, tmp_dir):
     rows = RD.clean_station(RD.read_weather_hourly(spark, p)).orderBy("datetime").collect()
     assert [r.datetime for r in rows] == [dt.datetime(2025, 8, 20, 1, 0), dt.datetime(2025, 8, 21, 0, 0)]
     assert (rows[0].temperature, rows[1].relative_humidity, rows[0].rainfall) == (21.5, 85, -0.1)
+
+
+def test_roads_one_feature_per_line(spark, tmp_dir):
+    feats = [{"type": "Feature", "id": i, "properties": {"WVK_ID": i, "name": f"r{i}"},
+              "geometry": {"type": "LineString", "coordinates": [[4.8, 52.3], [4.81, 52.31]]}} for i in range(5)]
+    p = _write(os.path.join(tmp_dir, "roads.geojsonl"), "\n".join(json.dumps(f) for f in feats) + "\n")
+    out = RD.read_roads(spark, p, one_per_line=True)
+    assert sorted(r.feature_id for r in out.collect()) == list(range(5))
+    assert {r.geom_type for r in out.collect()} == {"LineString"}
