@@ -60,14 +60,27 @@ def stream_latest_reading(readings: DataFrame, key: str = "sensor", ts: str = "t
 # ---------------------------------------------------------------------------
 
 def stream_crowd_flow(readings: DataFrame, locations: DataFrame, key: str = "sensor",
-                      ts: str = "ts", value: str = "count") -> DataFrame:
-    """Stream-static join with the (static) typed locations; idempotent on (ts, sensor)."""
+                      ts: str = "ts", value: str = "count", with_band: bool = True) -> DataFrame:
+    """Live map as a stream: stream-static join with the typed locations -> flow -> band.
+
+    Idempotent on (ts, sensor) within the watermark. With ``with_band`` the
+    circle band, colour and radius are attached; rows without a flow (known
+    sensor, no width) are kept with a NULL band so the sink holds every reading.
+    """
+    from crowdlake.functions.bands import band_flow
+
     lk = locations.select(F.col(key).alias("_lsensor"), "width", F.lit(True).alias("_known"))
     s = with_event_time(readings, ts).withWatermark("event_time", WATERMARK)
     s = s.dropDuplicatesWithinWatermark([ts, key])
     j = s.join(lk, s[key] == lk["_lsensor"], "left")
     flow = F.when(F.col("_known").isNull(), F.lit(0.0)).otherwise(crowd_flow(value, "width"))
-    return j.withColumn("flow", flow).drop("_lsensor", "_known", "event_time")
+    out = j.withColumn("flow", flow).drop("_lsensor", "_known", "event_time")
+    if with_band:
+        b = band_flow("flow")
+        has = F.col("flow").isNotNull() & ~F.isnan("flow")
+        out = out.withColumns({"band": F.when(has, b["band"]), "colour": F.when(has, b["colour"]),
+                               "radius": F.when(has, b["radius"])})
+    return out
 
 
 def stream_history(readings: DataFrame) -> DataFrame:

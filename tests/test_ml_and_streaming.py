@@ -182,3 +182,16 @@ def test_training_partitions():
     assert MD.training_partitions(3000, 8) == 1
     assert MD.training_partitions(450_000, 8) == 5
     assert MD.training_partitions(10**9, 8000) == 8000
+
+
+def test_stream_crowd_flow_bands(spark, tmp_dir):
+    rows = [(T0, 1, 1, 20.0), (T0, 2, 2, 30.0), (T0 + dt.timedelta(minutes=3), 3, 3, 40.0)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, sensor bigint, event_id bigint, count double")
+    src = os.path.join(tmp_dir, "r")
+    df.write.parquet(src)
+    locs = spark.createDataFrame([(1, 6.7), (3, None)], "sensor bigint, width double")
+    sink = os.path.join(tmp_dir, "s")
+    ST.run_available(ST.stream_crowd_flow(ST.file_stream(spark, src, df.schema), locs), sink, os.path.join(tmp_dir, "c"))
+    got = {r.sensor: (r.flow, r.band) for r in spark.read.parquet(sink).collect()}
+    assert got[1][1] == "green" and round(got[1][0], 5) == 0.99502
+    assert got[2] == (0.0, "green") and got[3] == (None, None)
