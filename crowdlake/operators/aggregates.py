@@ -1,5 +1,10 @@
-"""Aggregations (ops 65-77). All are hash aggregates with map-side partial
-combine, so a hot key costs one partial row per task before the shuffle."""
+"""Aggregations (ops 65-77).
+
+The group-bys are hash aggregates with map-side partial combine, so a hot key
+costs one partial row per task before the shuffle. ``exact_quantiles`` is the
+one order statistic: it pre-aggregates to distinct values, then range-partitions
+them.
+"""
 
 from __future__ import annotations
 
@@ -70,7 +75,7 @@ def frame_range(df: DataFrame, ts: str) -> DataFrame:
 
 
 def distinct_times_range(df: DataFrame, ts: str) -> DataFrame:
-    """Rows, distinct times, first and last time in one pass."""
+    """Rows, distinct times, first and last time from one scan."""
     return df.agg(F.count("*").alias("n_rows"), F.count_distinct(ts).alias("n_times"),
                   F.min(ts).alias("first_time"), F.max(ts).alias("last_time"))
 

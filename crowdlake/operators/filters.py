@@ -131,7 +131,7 @@ def describe_profile(df: DataFrame, cols: list[str], exact: bool = True, accurac
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows, distinct rows and repeated rows, via one partial-combining group-by."""
+    """Rows, distinct rows and repeated rows: a partial-combining group-by, then a one-row total."""
     g = df.groupBy(*df.columns).count()
     return g.agg(F.sum("count").cast("bigint").alias("total_rows"),
                  F.count("*").cast("bigint").alias("distinct_rows")).withColumn(

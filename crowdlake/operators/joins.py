@@ -40,8 +40,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     bucket holds every right row that can be within tolerance of its left
     times. Inside a bucket one running window yields, for each left time, the
     latest right row at or before it, and another the earliest right row at
-    or after it; the nearer one is kept. Both windows share the bucket
-    partitioning (one shuffle); the result is joined back to the left rows.
+    or after it; the nearer one is kept. Both windows share one shuffle on the
+    bucket; the result is joined back to the left rows on the time.
 
     ``split`` narrows buckets to ``tolerance / split`` so that a burst of left
     times inside one tolerance window spreads over ``split`` tasks; each right
