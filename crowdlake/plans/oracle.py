@@ -330,7 +330,9 @@ WHERE time_utc >= (SELECT max(time_utc) FROM vessels) - INTERVAL 1440 MINUTE
 ORACLE["drop_incomplete"] = W("ploc") + """SELECT sensor, name, lat, lon, width FROM ploc
 WHERE lat IS NOT NULL AND lon IS NOT NULL AND width IS NOT NULL"""
 ORACLE["incomplete_rows"] = W("ploc") + """SELECT DISTINCT sensor, name FROM ploc
-WHERE lat IS NULL OR lon IS NULL OR name IS NULL OR sensor IS NULL"""
+WHERE lat IS NULL OR lon IS NULL OR name IS NULL OR sensor IS NULL
+UNION SELECT DISTINCT sensor, name FROM ploc
+WHERE lat IS NULL OR lon IS NULL OR name IS NULL OR sensor IS NULL OR direction IS NULL"""
 ORACLE["drop_null_flow"] = W("flow") + "SELECT event_id, sensor, flow FROM flow WHERE flow IS NOT NULL AND NOT isnan(flow)"
 ORACLE["split_past_now_future"] = W("readings") + """SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-15 12:00:00' THEN 'historic'
   WHEN ts = TIMESTAMP '2024-01-15 12:00:00' THEN 'current' ELSE 'actual_future' END AS type

@@ -353,8 +353,10 @@ def q_drop_incomplete(spark, d):
 
 @q("incomplete_rows")
 def q_incomplete_rows(spark, d):
+    """Location rows skipped by the circle layer (4 fields) or the arrow layer (5 fields)."""
     loc = parsed_locations(spark, d)
-    return FL.incomplete_rows(loc, ["lat", "lon", "name", "sensor"], ["sensor", "name"])
+    return FL.incomplete_rows_by_layer(loc, {"circles": M.CIRCLE_REQUIRED, "arrows": M.ARROW_REQUIRED},
+                                       ["sensor", "name"])
 
 
 @q("drop_null_flow")

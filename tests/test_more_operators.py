@@ -193,3 +193,11 @@ def test_read_crowd_skips_unnamed_index(spark, tmp_dir):
     out = RD.read_crowd(spark, p)
     assert [c for c in out.columns if c not in ("timestamp", "hour", "minute", "day", "month", "weekday",
                                                  "is_weekend")] == ["S1_0"]
+
+
+def test_incomplete_rows_by_layer(spark):
+    loc = spark.createDataFrame([(1, "a", 52.3, 4.8, None), (2, "b", None, 4.8, 90), (3, "c", 52.3, 4.9, 0)],
+                                "sensor bigint, name string, lat double, lon double, direction int")
+    got = FL.incomplete_rows_by_layer(loc, {"circles": M.CIRCLE_REQUIRED, "arrows": M.ARROW_REQUIRED},
+                                      ["sensor", "name"]).collect()
+    assert [(r.sensor, r.name) for r in got] == [(1, "a"), (2, "b")]
