@@ -196,6 +196,22 @@ def q_forecast_vs_actual(spark, d):
     return FC.forecast_vs_actual(_forecast(spark, d), actual, "sensor", "ts", "count", 3)
 
 
+@q("prediction_series")
+def q_prediction_series(spark, d):
+    """The prediction page's table (op 91 with the forecast): historic, current,
+    20-step forecast and actual future per sensor, via ``jobs.score_and_forecast``."""
+    from crowdlake.plans import jobs
+
+    return jobs.score_and_forecast(_model(spark, d), _history(spark, d).unionByName(
+        _future(spark, d)), Q.NOW, lags=Q.CHECK_LAGS, windows=Q.CHECK_WINDOWS, steps=20, interval_minutes=3)
+
+
+def _future(spark, d):
+    rd = SI.readings(spark, d).where(F.col("ts") > ntz_lit(Q.NOW))
+    return rd.withColumns({"hour": F.hour("ts"), "weekday": F.weekday("ts"),
+                           "is_weekend": (F.weekday("ts") >= 5).cast("int")})
+
+
 # ---------------------------------------------------------------------------
 # per-sensor models on hourly sliding windows
 # ---------------------------------------------------------------------------
