@@ -40,3 +40,14 @@ def test_land_carflow(spark, tmp_dir):
     a = spark.read.parquet(out["parquet"])
     assert "date" in a.columns and a.count() == SI.table(spark, SF, "events").count()
     assert spark.read.option("header", True).csv(out["csv"]).count() == a.count()
+
+
+def test_land_carflow_modes(spark, tmp_dir):
+    import pytest
+
+    raw = spark.createDataFrame([("2025-08-20T10:00:00Z", "id,traffic_level\n1,0.5\n2,0.7")], "time string, data string")
+    raw_path = SK.write_csv(raw, os.path.join(tmp_dir, "raw2"))
+    out = jobs.land_carflow(spark, raw_path, os.path.join(tmp_dir, "p2"), os.path.join(tmp_dir, "c2"), mode="csv")
+    assert set(out) == {"csv"} and spark.read.option("header", True).csv(out["csv"]).count() == 2
+    with pytest.raises(ValueError):
+        jobs.land_carflow(spark, raw_path, os.path.join(tmp_dir, "p3"), os.path.join(tmp_dir, "c3"), mode="zip")

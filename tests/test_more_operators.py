@@ -201,3 +201,13 @@ def test_incomplete_rows_by_layer(spark):
     got = FL.incomplete_rows_by_layer(loc, {"circles": M.CIRCLE_REQUIRED, "arrows": M.ARROW_REQUIRED},
                                       ["sensor", "name"]).collect()
     assert [(r.sensor, r.name) for r in got] == [(1, "a"), (2, "b")]
+
+
+def test_concat_columns_keeps_unmatched_hours(spark):
+    from crowdlake.operators import setops as SO
+
+    a = spark.createDataFrame([(T0, 1.0), (T0 + dt.timedelta(hours=1), 2.0)], "hour timestamp_ntz, s double")
+    b = spark.createDataFrame([(T0 + dt.timedelta(hours=1), 9.0), (T0 + dt.timedelta(hours=2), 8.0)],
+                              "hour timestamp_ntz, w double")
+    got = sorted((r.hour, r.s, r.w) for r in SO.concat_columns(a, b, "hour").collect())
+    assert got == [(T0, 1.0, None), (T0 + dt.timedelta(hours=1), 2.0, 9.0), (T0 + dt.timedelta(hours=2), None, 8.0)]
