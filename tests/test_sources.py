@@ -188,3 +188,13 @@ def test_roads_one_feature_per_line(spark, tmp_dir):
     out = RD.read_roads(spark, p, one_per_line=True)
     assert sorted(r.feature_id for r in out.collect()) == list(range(5))
     assert {r.geom_type for r in out.collect()} == {"LineString"}
+
+
+def test_read_vessels_from_grid_positions(spark, tmp_dir):
+    text = ("upload-timestamp;position-x;position-y;identifier-sensor\n"
+            "2025-08-20T10:00:00Z;155000;463000;A\n"
+            "2025-08-20T10:01:00Z;;463000;B\n")
+    p = _write(os.path.join(tmp_dir, "vgrid.csv"), text)
+    rows = {r.id_str: r for r in RD.read_vessels(spark, p).collect()}
+    assert set(rows) == {"A"}
+    assert abs(rows["A"].lon - 5.38720621) < 1e-9 and abs(rows["A"].lat - 52.1551744) < 1e-9
