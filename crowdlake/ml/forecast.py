@@ -82,7 +82,8 @@ def recursive_forecast(model: PipelineModel, history: DataFrame, key: str, ts: s
                      "prediction")
     missing = short.select(key, "last_ts", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
     missing = missing.select(key, "step",
-                             F.timestamp_add("MINUTE", F.col("step") * F.lit(interval_minutes), F.col("last_ts")).alias(ts),
+                             F.timestamp_add("MINUTE", F.col("step") * F.lit(interval_minutes),
+                                             F.col("last_ts")).alias(ts),
                              F.lit(None).cast("double").alias("prediction"))
     return out.unionByName(missing)
 

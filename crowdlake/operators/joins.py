@@ -63,7 +63,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     hi = F.floor((_micros(F.col("_t")) + F.lit(tol_us)) / F.lit(width))
     r = r.withColumn("_b", F.explode(F.sequence(lo, hi)))
     r = r.withColumn("_is_left", F.lit(False))
-    lt = lt.select("_t", "_b", F.lit(True).alias("_is_left"), F.lit(None).cast(r.schema["_rord"].dataType).alias("_rord"),
+    lt = lt.select("_t", "_b", F.lit(True).alias("_is_left"),
+                   F.lit(None).cast(r.schema["_rord"].dataType).alias("_rord"),
                    F.lit(None).cast(r.schema["_p"].dataType).alias("_p"))
     u = lt.unionByName(r.select("_t", "_b", "_is_left", "_rord", "_p"))
 
@@ -142,8 +143,9 @@ def detect_join_key(roads: DataFrame, ids: DataFrame, id_col: str = "id_str",
     ``explode(properties)`` -> left-semi join with the distinct ids ->
     overlap count per property name -> top-1; equal overlaps are broken by the
     fallback list, then by name. When no property overlaps, the first named
-    fallback present in any feature wins, else the smallest property name. Runs on all features (the reference samples at
-    most 5,000; the full scan is distributed and exact).
+    fallback present in any feature wins, else the smallest property name.
+    Runs on all features (the reference samples at most 5,000; the full scan
+    is distributed and exact).
     """
     kv = roads.select(F.explode(props_col).alias("prop", "val")).where(F.col("val").isNotNull())
     kv = kv.withColumn("val_id", id_text(F.col("val")))
