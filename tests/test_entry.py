@@ -39,3 +39,20 @@ def test_every_survey_key_is_registered():
     assert len(keys) == 121
     missing = [k for k in keys if k not in E.queries()]
     assert not missing, missing
+
+
+def test_every_oracle_sql_runs_in_duckdb():
+    import duckdb
+
+    tables = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+              "embeddings", "pages", "benchmark", "labels", "conversations"]
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    failures = {}
+    for key, sql in E.oracle_sql().items():
+        try:
+            con.execute(sql).fetchall()
+        except Exception as exc:  # noqa: BLE001
+            failures[key] = str(exc)[:200]
+    assert not failures, failures
