@@ -100,7 +100,7 @@ def frame_floor(ts, minutes: int = 3) -> Column:
     return F.timestamp_add("SECOND", secs - F.pmod(secs, F.lit(width)), epoch)
 
 
-def localize(local_ntz, tz: str = LOCAL_TZ, fix: bool = False) -> tuple[Column, Column]:
+def localize(local_ntz, tz: str = LOCAL_TZ) -> tuple[Column, Column]:
     """Naive local wall clock -> (UTC-NTZ, ambiguous flag).
 
     Nonexistent wall times (spring-forward gap) are shifted forward to the end

@@ -164,12 +164,13 @@ def detect_join_key(roads: DataFrame, ids: DataFrame, id_col: str = "id_str",
 
 
 def roads_with_traffic(roads: DataFrame, traffic: DataFrame, key_field: str,
-                       id_col: str = "id_str", level_col: str = "traffic_level",
+                       id_col: str = "id_str", level_col: str = "mean_level",
                        props_col: str = "properties") -> DataFrame:
     """Road features kept only where the segment has a level; level attached (inner join)."""
     r = roads.withColumn("rid_str", id_text(F.try_element_at(F.col(props_col), F.lit(key_field))))
     r = r.where(F.col("rid_str").isNotNull())
-    return r.join(traffic, r["rid_str"] == traffic[id_col], "inner").drop(id_col)
+    t = traffic.where(F.col(level_col).isNotNull() & ~F.isnan(level_col))
+    return r.join(t, r["rid_str"] == t[id_col], "inner").drop(id_col)
 
 
 # ---------------------------------------------------------------------------
