@@ -7,7 +7,7 @@ derives the lag / rolling features from the array with native array
 functions, scores every location with one ``model.transform``, and appends the
 prediction to both the counts and the state's prediction array. Calendar and
 weather inputs stay frozen at the last observed row (the reference's
-behaviour; ``fix=True`` advances the calendar).
+behaviour; ``fix=True`` advances the hour of day with each step).
 
 The plan grows with each step, so every ``checkpoint_every`` steps the state
 is checkpointed to ``spark.checkpoint.dir`` (reliable storage: the job
