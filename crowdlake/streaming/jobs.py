@@ -5,10 +5,12 @@ Structured Streaming file sources with checkpointed state, so a restarted
 query resumes exactly where it stopped. Event time is carried as a real
 TIMESTAMP (``event_time``) because watermarks reject TIMESTAMP_NTZ.
 
-Late-data rule (the reference has none): event-time streams use a 15-minute
-watermark — the width of the reference's vessel snapshot. Windows and
-buffered rows are emitted once the watermark passes them; rows later than
-that are dropped.
+Late-data rule (the reference has none): the flow, 3-minute-frame and
+feature streams use a 15-minute watermark — the width of the reference's
+vessel snapshot. Windows and buffered rows are emitted once the watermark
+passes them; rows later than that are dropped. The history and latest-reading
+streams keep every row; the vessel window keeps the latest position per
+vessel within the window of the newest time seen.
 """
 
 from __future__ import annotations
