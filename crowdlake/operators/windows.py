@@ -53,16 +53,30 @@ def sequence_index(df: DataFrame, key: str, order_cols: list[str], chunk=None,
 
 def lag_and_rolling(df: DataFrame, key: str, order_cols: list[str], value: str,
                     lags: list[int] | None = None, windows: list[int] | None = None,
-                    bucket_rows: int = 4096, chunk=None, include_current: bool = True) -> DataFrame:
+                    bucket_rows: int = 4096, chunk=None, include_current: bool = True,
+                    strategy: str = "bucketed", max_rows_per_task: int = 2_000_000) -> DataFrame:
     """Add ``lag_k`` and ``roll_mean_w`` columns per key.
 
     ``roll_mean_w`` is the mean of the last ``w`` rows including the current
     one (the reference's default, which leaks the target); it is NULL unless
     all ``w`` values are present. ``include_current=False`` shifts the frame
     one row back (the documented fix).
+
+    ``strategy="bucketed"`` (default) never puts a key's whole series in one
+    task. ``strategy="auto"`` first counts rows per key (a partial-combining
+    aggregation; one number reaches the driver) and uses the one-shuffle
+    per-key window when the largest key has at most ``max_rows_per_task``
+    rows, the bucketed plan otherwise — a size-checked choice, like a checked
+    broadcast. Both give the same result.
     """
     lags = DEFAULT_LAGS if lags is None else list(lags)
     windows = DEFAULT_ROLLING if windows is None else list(windows)
+    if strategy == "auto":
+        largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        if largest <= max_rows_per_task:
+            return lag_and_rolling_simple(df, key, order_cols, value, lags, windows, include_current)
+    elif strategy != "bucketed":
+        raise ValueError(f"strategy must be 'bucketed' or 'auto', not {strategy!r}")
     shift = 0 if include_current else 1
     context = max(lags + [w + shift - 1 for w in windows] + [1])
     bucket_rows = max(bucket_rows, context)
@@ -88,14 +102,16 @@ def lag_and_rolling(df: DataFrame, key: str, order_cols: list[str], value: str,
 
 
 def lag_and_rolling_simple(df: DataFrame, key: str, order_cols: list[str], value: str,
-                           lags: list[int] | None = None, windows: list[int] | None = None) -> DataFrame:
+                           lags: list[int] | None = None, windows: list[int] | None = None,
+                           include_current: bool = True) -> DataFrame:
     """Same result with one window per key (one exchange; for keys of bounded length)."""
     lags = DEFAULT_LAGS if lags is None else list(lags)
     windows = DEFAULT_ROLLING if windows is None else list(windows)
+    shift = 0 if include_current else 1
     w = Window.partitionBy(key).orderBy(*order_cols)
     cols = {f"lag_{k}": F.lag(value, k).over(w) for k in lags}
     for n in windows:
-        frame = w.rowsBetween(-(n - 1), 0)
+        frame = w.rowsBetween(-(n - 1) - shift, -shift)
         cols[f"roll_mean_{n}"] = F.when(F.count(value).over(frame) == F.lit(n), F.avg(value).over(frame))
     return df.withColumns(cols)
 

@@ -258,3 +258,21 @@ def test_flow_at_time(spark):
     assert round(got[1], 5) == 0.99502 and got[2] == 0.0 and got[3] == 0.0   # 3: no reading at t(0)
     got3 = {r.sensor: r.flow for r in flow_at_time(readings, locs, t(3)).collect()}
     assert got3[3] is None and got3[2] == 0.0
+
+
+def test_lag_strategy_auto_matches_bucketed(spark):
+    rnd = random.Random(21)
+    rows = [(s, t(rnd.randrange(0, 5000)), i, float(rnd.randint(0, 9))) for i, s in enumerate([1] * 300 + [2] * 40)]
+    df = spark.createDataFrame(rows, "sensor int, ts timestamp_ntz, event_id int, count double")
+    cols = ["event_id", "lag_1", "lag_5", "roll_mean_3"]
+
+    def run(**kw):
+        out = W.lag_and_rolling(df, "sensor", ["ts", "event_id"], "count", [1, 5], [3], bucket_rows=50, **kw)
+        return sorted(tuple(None if v is None else round(v, 9) for v in r) for r in out.select(*cols).collect())
+
+    base = run()
+    assert run(strategy="auto") == base                              # small keys: plain window
+    assert run(strategy="auto", max_rows_per_task=100) == base       # hot key: bucketed
+    assert run(include_current=False) == run(strategy="auto", include_current=False)
+    with pytest.raises(ValueError):
+        W.lag_and_rolling(df, "sensor", ["ts"], "count", strategy="fast")
