@@ -2,14 +2,12 @@
 
 Cluster jobs must never use a machine-local temporary folder: intermediate
 tables and checkpoints go under the folder the cluster names in
-``spark.checkpoint.dir``. Only when that setting is absent (local tests) do we
-create a private folder and register it.
+``spark.checkpoint.dir``. Where that setting is absent (local tests) they go to
+a folder beside the session's warehouse, which every executor can read too.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -74,20 +72,18 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, registering a private one only if unset."""
+    """The shared checkpoint folder: the one the session names, else one in the warehouse."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Local tests only: the cluster always names a shared folder.
-        conf_dir = tempfile.mkdtemp(prefix="crowdlake-ckpt-")
+        conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for an intermediate table."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
