@@ -16,7 +16,16 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records,)}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces packed into 1024-token sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op8_best_fit_packing)}
 
 
 def queries() -> dict:
