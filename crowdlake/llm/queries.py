@@ -16,6 +16,13 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op2_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on 4-word shingles at 80 %: doc_id, n_shingles, component_id, kept."""
+    from .hyperminhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into 1024-token sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
@@ -25,7 +32,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op8_best_fit_packing)}
 
 
 def queries() -> dict:
