@@ -23,6 +23,16 @@ def op2_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: doc_id, held_out, lang_pred, score (and cross_entropy, rejected)."""
+    from .langid import fold, identify, learn
+
+    docs = documents(spark, sf_dir)
+    spec, calibration = learn(docs)
+    rows = docs.select("doc_id", "text", (fold() == 0).alias("held_out"))
+    return identify(rows, spec, calibration, ["doc_id", "held_out"])
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into 1024-token sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
@@ -32,7 +42,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op6_language_id, op8_best_fit_packing)}
 
 
 def queries() -> dict:
