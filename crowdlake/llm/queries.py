@@ -23,6 +23,15 @@ def op2_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op5_kneser_ney_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (and perplexity)."""
+    from .kneserney import held_out, score, train
+
+    docs = documents(spark, sf_dir)
+    spec = train(docs.where(~held_out()))
+    return score(docs.select("doc_id", held_out().alias("held_out"), "text"), spec, ["doc_id", "held_out"])
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document: doc_id, held_out, lang_pred, score (and cross_entropy, rejected)."""
     from .langid import fold, identify, learn
@@ -42,7 +51,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op6_language_id, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op5_kneser_ney_score, op6_language_id, op8_best_fit_packing)}
 
 
 def queries() -> dict:
