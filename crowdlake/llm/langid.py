@@ -233,15 +233,15 @@ def _model(spec: dict) -> Model:
     return _models[key]
 
 
-def cross_entropies(docs: DataFrame, spec: dict, keep: list[str]) -> DataFrame:
+def cross_entropies(docs: DataFrame, spec: dict, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, ``n_symbols`` and the array ``ce``: nats per symbol under each language, in the order of ``spec``."""
     languages = len(spec["languages"])
 
     def score(batches):
         model = _model(spec) if languages else None
         for batch in batches:
-            for part in text_slices(batch):
-                cp, starts, ends, split = _words(part.column("text"))
+            for part in text_slices(batch, text):
+                cp, starts, ends, split = _words(part.column(text))
                 rows = part.num_rows
                 n, total = np.zeros(rows), np.zeros((rows, languages))
                 if len(starts) and languages:
@@ -259,7 +259,7 @@ def cross_entropies(docs: DataFrame, spec: dict, keep: list[str]) -> DataFrame:
                                                  names=[*keep, "n_symbols", "ce"])
 
     types = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(score, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_symbols long, ce array<double>")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(score, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_symbols long, ce array<double>")
 
 
 def _decide(scored: DataFrame, languages: list[str]) -> DataFrame:
@@ -304,9 +304,9 @@ def _posterior(sharpness: float) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def identify(docs: DataFrame, spec: dict, calibration: dict, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, spec: dict, calibration: dict, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` and ``rejected``."""
-    rows = _decide(cross_entropies(docs, spec, keep), spec["languages"])
+    rows = _decide(cross_entropies(docs, spec, keep, text), spec["languages"])
     over = reduce(lambda a, x: F.when((F.col("lang_pred") == x[0]) & (_deviation(F.lit(x[1][0])) > F.lit(x[1][1])), F.lit(True)).otherwise(a),
                   calibration["limits"].items(), F.lit(False))
     return rows.select(*keep, "lang_pred", F.when(F.col("best").isNull(), F.lit(0.0)).otherwise(F.array_max(_posterior(calibration["sharpness"]))).alias("score"),

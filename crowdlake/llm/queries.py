@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 
@@ -23,6 +24,14 @@ def op2_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the production mixture takes: doc_id, domain, lang, source, n_tokens, epoch."""
+    from .mixing import PRODUCTION, mix
+
+    rows = mix(documents(spark, sf_dir), **PRODUCTION)
+    return rows.select("doc_id", "domain", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "n_tokens", "epoch")
+
+
 def op5_kneser_ney_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (and perplexity)."""
     from .kneserney import held_out, score, train
@@ -42,6 +51,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, spec, calibration, ["doc_id", "held_out"])
 
 
+def op10_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines: doc_id, text, n_lines, n_dropped."""
+    from .lines import drop_recurring_lines
+
+    return drop_recurring_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into 1024-token sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
@@ -51,12 +67,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op5_kneser_ney_score, op6_language_id, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op8_best_fit_packing, op10_template_line_dedup)}
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    from .mixing import OP4_SQL
+
+    import corpus_pipeline
+
+    return {"op4_mix_sources": OP4_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
