@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, embeddings
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op2_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op3_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th vector: query_id, rank, vec_id, score."""
+    from .balltree import top_k, vectors
+
+    whole = vectors(embeddings(spark, sf_dir)).select("vec_id", F.transform("v", lambda x: F.floor(x * 64).cast("double")).alias("v"))
+    return top_k(whole, whole.where("vec_id % 20 = 0"), k=20)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the production mixture takes: doc_id, domain, lang, source, n_tokens, epoch."""
     from .mixing import PRODUCTION, mix
@@ -67,7 +75,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op8_best_fit_packing, op10_template_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op8_best_fit_packing, op10_template_line_dedup)}
 
 
 def queries() -> dict:
