@@ -59,6 +59,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, spec, calibration, ["doc_id", "held_out"])
 
 
+def op9_flat_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9: vec_id, n_links, component_id, kept."""
+    from .flatgraph import near_vectors
+
+    return near_vectors(embeddings(spark, sf_dir), cosine=0.9)[0]
+
+
 def op10_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its recurring lines: doc_id, text, n_lines, n_dropped."""
     from .lines import drop_recurring_lines
@@ -75,7 +82,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op8_best_fit_packing, op10_template_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op8_best_fit_packing, op9_flat_graph_dedup, op10_template_line_dedup)}
 
 
 def queries() -> dict:
