@@ -73,6 +73,15 @@ def op10_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document: doc_id, n_bytes, n_tokens, over_limit."""
+    import public_tokenizers
+
+    from .transducer import count_tokens
+
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into 1024-token sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
@@ -82,7 +91,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op8_best_fit_packing, op9_flat_graph_dedup, op10_template_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op7_transducer_token_counts, op8_best_fit_packing, op9_flat_graph_dedup, op10_template_line_dedup)}
 
 
 def queries() -> dict:
