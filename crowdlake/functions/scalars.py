@@ -124,14 +124,21 @@ def localize(local_ntz, tz: str = LOCAL_TZ) -> tuple[Column, Column]:
 
 def hour24_fix(yyyymmdd, hh) -> Column:
     """Station date + hour 1..24 -> TIMESTAMP_NTZ; hour 24 is 00:00 the next day."""
-    day = F.to_timestamp_ntz(_c(yyyymmdd).cast("string"), F.lit("yyyyMMdd"))
-    return F.timestamp_add("HOUR", _c(hh).cast("int"), day)
+    text = F.lpad(_c(yyyymmdd).cast("string"), 8, "0")
+    iso = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    day = F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso).try_cast("timestamp_ntz")
+    return F.timestamp_add("HOUR", _c(hh).try_cast("int"), day)
 
 
 def parse_date_ampm(date_col, time_col) -> Column:
-    """``dd/MM/yy`` + ``h:mm AM`` text -> TIMESTAMP_NTZ, bad -> NULL."""
+    """``dd/MM/yy`` + ``h:mm AM`` text -> TIMESTAMP_NTZ, bad -> NULL; no session time zone takes part."""
     txt = F.concat_ws(" ", _c(date_col), _c(time_col))
-    return F.try_to_timestamp(txt, F.lit("dd/MM/yy h:mm a")).cast("timestamp_ntz")
+    form = r"^(\d{2})/(\d{2})/(\d{2}) (\d{1,2}):(\d{2}) ([AaPp])[Mm]$"
+    part = lambda i: F.regexp_extract(txt, form, i)
+    hour = part(4).try_cast("int")
+    hour = F.when(hour.between(1, 12), hour % 12 + F.when(F.lower(part(6)) == "p", 12).otherwise(0))
+    iso = F.concat(F.lit("20"), part(3), F.lit("-"), part(2), F.lit("-"), part(1), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(5), F.lit(":00"))
+    return F.when(txt.rlike(form), iso).try_cast("timestamp_ntz")
 
 
 def calendar_features(ts) -> dict[str, Column]:
@@ -238,13 +245,18 @@ def crowd_flow(count, width) -> Column:
     return _c(count).cast("bigint") / _c(width) / F.lit(3.0)
 
 
+def whole_number(text: Column) -> Column:
+    """Text -> BIGINT, exact for whole numbers; a number with a fraction or exponent loses its fraction, other text is NULL."""
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+
+
 def id_text(c) -> Column:
-    """Numeric id -> integer text (``12.0`` -> ``"12"``); other text unchanged."""
-    c = _c(c)
-    as_num = c.cast("string").try_cast("double")
-    integral = F.when(~F.isnan(as_num) & (F.abs(as_num) < F.lit(9.2e18)),
-                      as_num.cast("bigint").cast("string"))
-    return F.coalesce(integral, c.cast("string"))
+    """An id as text: a number written with a zero fraction or as a large double loses that form, other text is unchanged
+    (``12.0`` -> ``"12"``, ``0012`` and ``1e3`` stay)."""
+    text = _c(c).cast("string")
+    return (F.when(text.rlike(r"^[+-]?\d+\.\d+$"), F.regexp_replace(text, r"\..*$", ""))
+            .when(text.rlike(r"^-?\d\.\d+E\d+$"), F.coalesce(text.try_cast("double").try_cast("bigint").cast("string"), text))
+            .otherwise(text))
 
 
 def fixed_text(x: Column, digits: int) -> Column:

@@ -143,37 +143,48 @@ def mse(scored: DataFrame, actual: str, pred: str) -> DataFrame:
     return scored.agg(F.avg(e * e).alias("mse"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], partitions: int | None = None) -> dict:
+#: A range of at most this many distinct values is ranked at once.
+RANKED_VALUES = 200_000
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], ranked: int = RANKED_VALUES) -> dict:
     """Exact quantiles with linear interpolation (pandas / ``quantile_cont``), distributed.
 
-    1. pre-aggregate to (distinct value, count) — a value repeated by a third
-       of the rows becomes one row, so no task sees the hot value's rows;
-    2. range-partition the distinct values and number their cumulative counts
-       inside each partition (window per partition), shifted by a prefix sum
-       over the per-partition totals (one row per partition);
-    3. keep the few values whose rank interval holds a wanted rank.
+    1. rows are reduced to (distinct value, count), so a value repeated by a third of the rows is one row;
+    2. a range of values is cut at bounds that are fixed numbers (approximate quantiles, taken once); counting
+       its parts tells which part holds a wanted rank. Only such parts are looked into again, until they hold
+       at most ``ranked`` distinct values, which a window numbers.
 
-    Returns ``{p: value}``; the driver only receives the handful of values at
-    the wanted ranks (and the row count).
+    Returns ``{p: value}``; the driver receives the counts of some 250 parts a round and the values at the
+    wanted ranks. Nothing depends on which task a row is in.
     """
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    vals = x.groupBy("x").agg(F.count("*").alias("c"))
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = vals.repartitionByRange(parts, "x").withColumn("_pid", F.spark_partition_id())
-    within = ranged.withColumn("_cum", F.sum("c").over(
-        Window.partitionBy("_pid").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = ranged.groupBy("_pid").agg(F.sum("c").alias("_t"))
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = int(totals.agg(F.sum("_t")).first()[0] or 0)
-    if n == 0:
-        return {p: None for p in probs}
-    wanted = sorted({r for p in probs for r in (int((n - 1) * p // 1), -int(-(n - 1) * p // 1))})
-    cum = within.join(offsets.select("_pid", "_off"), "_pid").select(
-        "x", (F.col("_off") + F.col("_cum") - F.col("c")).alias("_lo"), (F.col("_off") + F.col("_cum")).alias("_hi"))
-    hits = cum.select("x", F.explode(F.filter(F.array(*[F.lit(k) for k in wanted]),
-                                                lambda k: (k >= F.col("_lo")) & (k < F.col("_hi")))).alias("k"))
-    at = {r.k: r.x for r in hits.collect()}
+    vals = x.groupBy("x").agg(F.count("*").alias("c")).persist()
+    try:
+        n, distinct, low, high = vals.agg(F.sum("c"), F.count("*"), F.min("x"), F.max("x")).first()
+        if not n:
+            return {p: None for p in probs}
+        wanted = sorted({r for p in probs for r in (int((n - 1) * p // 1), -int(-(n - 1) * p // 1))})
+        at: dict = {}
+        todo = [(low, high, 0, distinct, wanted)]  # values from low to high, both included, behind so many rows
+        while todo:
+            low, high, before, distinct, ranks = todo.pop()
+            part = vals.where((F.col("x") >= low) & (F.col("x") <= high))
+            if distinct <= ranked:
+                w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)  # at most ``ranked`` rows
+                cum = part.withColumn("hi", F.sum("c").over(w) + F.lit(before)).withColumn("lo", F.col("hi") - F.col("c"))
+                hit = F.filter(F.array(*[F.lit(k) for k in ranks]), lambda k: (k >= F.col("lo")) & (k < F.col("hi")))
+                at.update({r.k: r.x for r in cum.select("x", F.explode(hit).alias("k")).collect()})
+                continue
+            bounds = sorted(set(part.approxQuantile("x", [i / 250 for i in range(1, 250)], 0.001)) - {low})
+            number = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.col("x") >= b))
+            for r in sorted(part.groupBy(number.alias("i")).agg(F.sum("c").alias("c"), F.count("*").alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()):
+                mine = [k for k in ranks if before <= k < before + r.c]
+                if mine:
+                    todo.append((r.lo, r.hi, before, r.d, mine))
+                before += r.c
+    finally:
+        vals.unpersist()
     out = {}
     for p in probs:
         h = (n - 1) * p

@@ -106,8 +106,8 @@ def describe_profile(df: DataFrame, cols: list[str], exact: bool = True, accurac
 
     Moments come from one aggregation pass over all columns. Quartiles are
     exact by default (pandas' linear interpolation) through
-    ``aggregates.exact_quantiles`` — distinct values with counts, range
-    partitioned, so no task holds a whole column or a hot value's rows;
+    ``aggregates.exact_quantiles`` — distinct values with counts, narrowed to
+    the ranges that hold the ranks, so no task holds a whole column or a hot value's rows;
     ``exact=False`` uses the ``percentile_approx`` sketch instead.
     """
     from crowdlake.operators.aggregates import exact_quantiles

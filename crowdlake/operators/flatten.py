@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdlake.functions.scalars import parse_iso_utc
+from crowdlake.functions.scalars import parse_iso_utc, whole_number
 
 
 def _unquote(x: Column) -> Column:
@@ -91,12 +91,12 @@ def flatten_carflow(raw: DataFrame, time_col: str = "time", data_col: str = "dat
 def pack_carflow(flat_text: DataFrame, time_dtype: str | None = None) -> DataFrame:
     """Coerce time / id / level, drop rows with any bad value, keep 3 columns."""
     t = parse_iso_utc(F.col("time_raw"), time_dtype)
-    idn = F.trim(F.col("id_raw")).try_cast("double")
+    idn = whole_number(F.trim(F.col("id_raw")))
     lvl = F.trim(F.col("level_raw")).try_cast("double")
     d = flat_text.select(t.alias("time_utc"), idn.alias("_idn"), lvl.alias("traffic_level"))
-    d = d.where(F.col("time_utc").isNotNull() & F.col("_idn").isNotNull() & ~F.isnan("_idn")
+    d = d.where(F.col("time_utc").isNotNull() & F.col("_idn").isNotNull()
                 & F.col("traffic_level").isNotNull() & ~F.isnan("traffic_level"))
-    return d.select("time_utc", F.col("_idn").cast("bigint").alias("id"), "traffic_level")
+    return d.select("time_utc", F.col("_idn").alias("id"), "traffic_level")
 
 
 def carflow_flat(raw: DataFrame, keep_first_pair: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crowdlake.functions.scalars import fixed_text
 from crowdlake.functions.bands import band_traffic
 
 # Required fields of the circle/heat layers and of the arrow layer.
@@ -27,12 +28,13 @@ def traffic_features(roads_with_level: DataFrame, level: str = "mean_level",
                      id_col: str = "rid_str") -> DataFrame:
     """Road rows as feature properties: rounded level, constant width, RGBA colour."""
     b = band_traffic(level)
+    rounded = fixed_text(F.col(level), 2).cast("double")
     return roads_with_level.select(
         "*",
-        F.round(F.col(level), 2).alias("traffic_level_2d"),
+        rounded.alias("traffic_level_2d"),
         F.lit(ROAD_LINE_WIDTH).alias("width"),
         b["band"].alias("band"),
         b["rgba"].alias("rgba"),
-        F.to_json(F.struct(F.col(id_col).alias("id"), F.round(F.col(level), 2).alias("traffic_level"),
+        F.to_json(F.struct(F.col(id_col).alias("id"), rounded.alias("traffic_level"),
                            b["rgba"].alias("rgba"), F.lit(ROAD_LINE_WIDTH).alias("width"))).alias("feature_json"),
     )

@@ -102,7 +102,7 @@ def q_stream_vessel_window(spark, d):
     root = scratch_path(spark, "vessel_state")
     ST.run_available(stream, None, scratch_path(spark, "vessel_ckpt"),
                      foreach_batch=ST.vessel_window_upsert(root, VESSEL_WINDOW_MINUTES))
-    return spark.read.parquet(f"{root}/current").select("id_str", "time_utc", "lon", "lat", "speed_cm_s")
+    return ST.vessel_window_table(spark, root).select("id_str", "time_utc", "lon", "lat", "speed_cm_s")
 
 
 ORACLE["stream_vessel_window"] = O.W("vessels") + """, rw AS (
@@ -115,15 +115,15 @@ WHERE time_utc >= (SELECT max(time_utc) FROM vessels) - INTERVAL 1440 MINUTE"""
 def q_stream_features(spark, d):
     sink = scratch_path(spark, "features_sink")
     feats = ST.stream_features(_readings_stream(spark, d), "sensor", "ts", "event_id", "count",
-                               Q.CHECK_LAGS, Q.CHECK_WINDOWS)
+                               Q.LAGS, Q.ROLLING)
     ST.run_available(feats, sink, scratch_path(spark, "features_ckpt"))
     out = spark.read.parquet(sink)
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("roll_mean_")})
 
 
 # rows the final watermark (newest event time, in ms, minus 15 minutes) has passed
-ORACLE["stream_features"] = "WITH " + SI.SQL["readings"] + ",\n" + O._feat_sql(Q.CHECK_LAGS, Q.CHECK_WINDOWS, "sf") + \
-    "\nSELECT sensor, ts, event_id, \"count\", " + ", ".join(f"lag_{k}" for k in Q.CHECK_LAGS) + ", " + \
-    ", ".join(f"round(roll_mean_{n}, 6) AS roll_mean_{n}" for n in Q.CHECK_WINDOWS) + \
+ORACLE["stream_features"] = "WITH " + SI.SQL["readings"] + ",\n" + O._feat_sql(Q.LAGS, Q.ROLLING, "sf") + \
+    "\nSELECT sensor, ts, event_id, \"count\", " + ", ".join(f"lag_{k}" for k in Q.LAGS) + ", " + \
+    ", ".join(f"round(roll_mean_{n}, 6) AS roll_mean_{n}" for n in Q.ROLLING) + \
     " FROM sf WHERE epoch_us(ts) <= ((SELECT epoch_ms(max(ts)) FROM events) - 900000) * 1000"
 

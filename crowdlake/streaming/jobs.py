@@ -108,38 +108,65 @@ def stream_frames_3min(flat: DataFrame, key: str = "id", ts: str = "time_utc",
 # ---------------------------------------------------------------------------
 
 def vessel_window_upsert(state_root: str, window_minutes: float = 15, key: str = "id_str",
-                         ts: str = "time_utc", tie: str = "event_id"):
+                         ts: str = "time_utc", tie: str = "event_id", keep_versions: int = 3):
     """``foreachBatch`` function keeping the latest position per vessel within the window.
 
-    Version ``v`` of the state table is written from version ``v-1`` plus the
+    Version ``v`` of the state table is written from the newest version before it plus the
     batch (latest per vessel, then rows older than newest-time minus the
     window are evicted). Re-running a batch id rewrites the same version, so
-    the sink is idempotent under retries.
+    the sink is idempotent under retries. Readers take ``vessel_window_table``, the newest complete
+    version; the last ``keep_versions`` are kept. A version that exists but cannot be read fails the batch.
     """
     from crowdlake.operators.windows import latest_per_key
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = None
-        if batch_id > 0:
-            # explicit schema: an empty version reads as an empty table instead of failing
-            for path in (f"{state_root}/v{batch_id - 1}", f"{state_root}/current"):
-                try:
-                    prev = spark.read.schema(batch.schema).parquet(path)
-                    break
-                except Exception:  # noqa: BLE001 - version not written (yet)
-                    prev = None
-        merged = batch if prev is None else prev.unionByName(batch)
-        latest = latest_per_key(merged, key, [ts, tie])
-        newest = latest.select(F.max(ts)).scalar()
-        keep = latest.where(F.col(ts) >= F.timestamp_add("SECOND", F.lit(-int(window_minutes * 60)), newest))
-        keep.write.mode("overwrite").parquet(f"{state_root}/v{batch_id}")
-        keep.sparkSession.read.parquet(f"{state_root}/v{batch_id}").write.mode("overwrite").parquet(
-            f"{state_root}/current")
+        done = [v for v in _versions(spark, state_root) if v < batch_id]
+        batch = batch.persist()
+        try:
+            merged = batch
+            if done:  # explicit schema: an empty version reads as an empty table
+                merged = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{state_root}/v{max(done)}"))
+            latest = latest_per_key(merged, key, [ts, tie])
+            newest = latest.select(F.max(ts)).scalar()
+            keep = latest.where(F.col(ts) >= F.timestamp_add("SECOND", F.lit(-int(window_minutes * 60)), newest))
+            keep.write.mode("overwrite").parquet(f"{state_root}/v{batch_id}")
+        finally:
+            batch.unpersist()
+        for v in sorted(done)[: -(keep_versions - 1)] if keep_versions > 1 else done:
+            _folder(spark, f"{state_root}/v{v}", delete=True)
 
     return upsert
 
 
+def vessel_window_table(spark: SparkSession, state_root: str, schema=None) -> DataFrame:
+    """The newest complete version of the vessel window."""
+    done = _versions(spark, state_root)
+    if not done:
+        raise FileNotFoundError(f"no version of the vessel window under {state_root}")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(f"{state_root}/v{max(done)}")
+
+
+def _folder(spark: SparkSession, path: str, delete: bool = False):
+    """The file system and path object of a folder, which is deleted if asked for."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if delete:
+        fs.delete(p, True)
+    return fs, p
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the versions that were written to their end."""
+    fs, p = _folder(spark, root)
+    if not fs.exists(p):
+        return []
+    names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(p) if s.isDirectory()]
+    return [int(n[1:]) for n, path in names if n[:1] == "v" and n[1:].isdigit() and _folder(spark, f"{path}/_SUCCESS")[0].exists(_folder(spark, f"{path}/_SUCCESS")[1])]
+
+
 # ---------------------------------------------------------------------------
 # op 121: lag / rolling features of each new reading from a per-sensor ring buffer
 # ---------------------------------------------------------------------------

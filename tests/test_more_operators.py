@@ -172,7 +172,7 @@ def test_exact_quantiles_match_numpy_with_hot_value(spark, parts):
     vals = np.concatenate([np.full(500, 7.0), rnd.normal(10, 3, 1000).round(2)])   # a third is one value
     df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = A.exact_quantiles(df, "v", probs, partitions=parts)
+    got = A.exact_quantiles(df, "v", probs, ranked=parts)
     want = np.percentile(vals, [p * 100 for p in probs])
     assert [round(got[p], 9) for p in probs] == [round(w, 9) for w in want]
     one = A.exact_quantiles(spark.createDataFrame([(3.0,)], "v double"), "v", [0.5])
