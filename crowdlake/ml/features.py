@@ -20,14 +20,23 @@ def create_features(wide: DataFrame, ts: str, sensors: list[str], feature_cols:
     return feats.dropna() if dropna else feats
 
 
+#: The model's calendar inputs.
+CALENDAR = ["hour", "minute", "day", "month", "weekday", "is_weekend"]
+
+
+def with_calendar(df: DataFrame, ts: str) -> DataFrame:
+    """The six calendar columns of the time column."""
+    cal = calendar_features(ts)
+    return df.withColumns({"hour": cal["hour"], "minute": F.minute(ts), "day": F.dayofmonth(ts), "month": F.month(ts),
+                           "weekday": cal["weekday"], "is_weekend": cal["is_weekend"]})
+
+
 def create_features_long(long: DataFrame, key: str, ts: str, value: str, order_tie: str | None = None,
                          lags: list[int] | None = None, windows: list[int] | None = None,
                          dropna: bool = True) -> DataFrame:
     """Same features from an already-long table, with calendar columns from ``ts``."""
-    cal = calendar_features(ts)
-    d = long.withColumns({"hour": cal["hour"], "weekday": cal["weekday"], "is_weekend": cal["is_weekend"]})
     order = [ts] + ([order_tie] if order_tie else [])
-    feats = lag_and_rolling(d, key, order, value, lags, windows)
+    feats = lag_and_rolling(with_calendar(long, ts), key, order, value, lags, windows)
     return feats.dropna() if dropna else feats
 
 

@@ -1,14 +1,6 @@
-"""Boosted-tree models (ops 109-113).
-
-* the global model is an MLlib ``Pipeline(VectorAssembler, GBTRegressor)``,
-  trained distributed over all locations;
-* per-sensor models (op 110) are many small, independent fits: the rows are
-  shuffled by sensor and each group is fitted inside its task with a compact
-  numpy gradient-boosting learner (``groupBy(sensor).applyInPandas``), so
-  thousands of sensors train in parallel instead of in a driver loop. A loop
-  of MLlib fits would pay Spark's per-stage overhead for every tree level of
-  every one of the 1000 trees per sensor (~0.2 s per tree measured here):
-  hours for a few dozen sensors whose data is a few hundred hourly rows each.
+"""Boosted-tree models (ops 109, 111-113).
+
+The global model is an MLlib ``Pipeline(VectorAssembler, GBTRegressor)``, trained distributed over all locations.
 
 MLlib trees are not XGBoost (no second-order term, no regularisation, column
 sampling per node rather than per tree, no missing-value branch): scores are
@@ -17,8 +9,6 @@ close, not bit-equal, and rows with NULL features must be dropped first.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -26,8 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 # The reference's global model configuration.
 GLOBAL_PARAMS = dict(n_trees=300, max_depth=6, learning_rate=0.05, subsample=0.9, colsample=0.8)
-# The reference's per-sensor model configuration.
-PER_SENSOR_PARAMS = dict(n_trees=1000, max_depth=6, learning_rate=0.05)
 
 
 def global_model_spec(feature_cols: list[str], label: str = "count", n_trees: int = 300, max_depth: int = 6,
@@ -40,27 +28,23 @@ def global_model_spec(feature_cols: list[str], label: str = "count", n_trees: in
     return Pipeline(stages=[assembler, gbt])
 
 
-def training_partitions(n_rows: int, parallelism: int, rows_per_partition: int = 100_000) -> int:
-    """Partitions for an iterative fit: ~100k rows each, at most the cluster's parallelism.
+def train_global_model(train: DataFrame, feature_cols: list[str], label: str = "count", partitions: int | None = None,
+                       **params) -> PipelineModel:
+    """Fit the global model on complete training rows.
 
-    Boosting runs several jobs per tree, so on small inputs per-task overhead
-    dominates (one task is fastest); on large inputs every core gets a slice.
+    Boosting samples rows per partition, so the layout is fixed: rows are dealt by a hash of their values into
+    ``partitions`` (default: the session's shuffle partitions) and sorted. The same rows and setting give
+    the same model on any number of cores.
     """
-    return max(1, min(parallelism, -(-n_rows // rows_per_partition)))
-
-
-def train_global_model(train: DataFrame, feature_cols: list[str], label: str = "count", **params) -> PipelineModel:
-    """Fit the global model on complete training rows, sized into partitions by row count."""
     p = dict(GLOBAL_PARAMS)
     p.update(params)
-    clean = train.dropna(subset=list(feature_cols) + [label]).persist()
+    cols = [*feature_cols, label]
+    n = partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = train.dropna(subset=cols).select(*cols).repartition(n, *cols).sortWithinPartitions(*cols).persist()
     try:
-        # the count materialises the cache with full upstream parallelism
-        parts = training_partitions(clean.count(), clean.sparkSession.sparkContext.defaultParallelism)
-        sized = clean.coalesce(parts) if parts < clean.rdd.getNumPartitions() else clean.repartition(parts)
-        return global_model_spec(feature_cols, label, **p).fit(sized)
+        return global_model_spec(feature_cols, label, **p).fit(laid)
     finally:
-        clean.unpersist()
+        laid.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -85,119 +69,3 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-# ---------------------------------------------------------------------------
-# per-sensor boosted trees, fitted inside tasks
-# ---------------------------------------------------------------------------
-
-def _best_split(X: np.ndarray, r: np.ndarray, min_leaf: int):
-    """Best (feature, threshold, gain) for squared loss on residuals ``r``.
-
-    All features at once: one column-wise argsort, cumulative residual sums and
-    the variance-reduction gain of every cut, then the arg-max.
-    """
-    n, p = X.shape
-    order = np.argsort(X, axis=0, kind="stable")
-    xs = np.take_along_axis(X, order, axis=0)
-    cs = np.cumsum(r[order], axis=0)[:-1]
-    total = cs[-1] + r[order[-1, 0]] if n > 1 else r.sum()
-    left_n = np.arange(1, n, dtype=float)[:, None]
-    ok = (xs[1:] > xs[:-1]) & (left_n >= min_leaf) & ((n - left_n) >= min_leaf)
-    if not ok.any():
-        return None, None, 0.0
-    gain = cs * cs / left_n + (total - cs) ** 2 / (n - left_n) - total * total / n
-    gain = np.where(ok, gain, -np.inf)
-    flat = int(np.argmax(gain))
-    i, j = divmod(flat, p)
-    if not np.isfinite(gain[i, j]) or gain[i, j] <= 1e-12:
-        return None, None, 0.0
-    return j, 0.5 * (xs[i, j] + xs[i + 1, j]), float(gain[i, j])
-
-
-def _fit_tree(X, r, depth, min_leaf):
-    """Depth-limited regression tree as flat arrays (feature, threshold, left, right, value)."""
-    feat, thr, left, right, value = [], [], [], [], []
-
-    def grow(idx, d):
-        node = len(feat)
-        feat.append(-1)
-        thr.append(0.0)
-        left.append(-1)
-        right.append(-1)
-        value.append(float(r[idx].mean()))
-        if d < depth and len(idx) >= 2 * min_leaf:
-            j, t, gain = _best_split(X[idx], r[idx], min_leaf)
-            if j is not None and gain > 0:
-                mask = X[idx, j] <= t
-                feat[node], thr[node] = j, t
-                left[node] = grow(idx[mask], d + 1)
-                right[node] = grow(idx[~mask], d + 1)
-        return node
-
-    grow(np.arange(len(r)), 0)
-    return np.array(feat), np.array(thr), np.array(left), np.array(right), np.array(value)
-
-
-def _predict_tree(tree, X):
-    feat, thr, left, right, value = tree
-    node = np.zeros(len(X), dtype=int)
-    for _ in range(64):
-        f = feat[node]
-        leaf = f < 0
-        if leaf.all():
-            break
-        go_left = X[np.arange(len(X)), np.where(leaf, 0, f)] <= thr[node]
-        node = np.where(leaf, node, np.where(go_left, left[node], right[node]))
-    return value[node]
-
-
-def fit_boosted(X: np.ndarray, y: np.ndarray, n_trees: int = 100, max_depth: int = 6,
-                learning_rate: float = 0.05, min_leaf: int = 1):
-    """Gradient boosting with squared loss: base = mean, trees fit the residuals."""
-    base = float(y.mean())
-    pred = np.full(len(y), base)
-    trees = []
-    for _ in range(n_trees):
-        tree = _fit_tree(X, y - pred, max_depth, min_leaf)
-        pred = pred + learning_rate * _predict_tree(tree, X)
-        trees.append(tree)
-    return base, trees
-
-
-def predict_boosted(model, X: np.ndarray, learning_rate: float = 0.05) -> np.ndarray:
-    base, trees = model
-    out = np.full(len(X), base)
-    for t in trees:
-        out = out + learning_rate * _predict_tree(t, X)
-    return out
-
-
-def train_per_sensor(df: DataFrame, key: str, ts: str, feature_col: str, label: str, split_col: str = "split",
-                     n_trees: int = 1000, max_depth: int = 6, learning_rate: float = 0.05) -> DataFrame:
-    """One model per sensor, fitted on its ``train`` rows, scoring its ``test`` rows.
-
-    ``feature_col`` is an ARRAY<DOUBLE> column. Returns (key, ts, actual,
-    prediction, n_train) for the test rows of every sensor.
-    """
-    schema = f"{key} {dict(df.dtypes)[key]}, {ts} {dict(df.dtypes)[ts]}, actual double, prediction double, n_train long"
-
-    def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[pdf[split_col] == "train"]
-        test = pdf[pdf[split_col] == "test"]
-        if train.empty or test.empty:
-            return pd.DataFrame(columns=[key, ts, "actual", "prediction", "n_train"])
-        Xtr = np.vstack(train[feature_col].to_numpy()).astype(float)
-        Xte = np.vstack(test[feature_col].to_numpy()).astype(float)
-        model = fit_boosted(Xtr, train[label].to_numpy(dtype=float), n_trees, max_depth, learning_rate)
-        pred = predict_boosted(model, Xte, learning_rate)
-        return pd.DataFrame({key: test[key].to_numpy(), ts: test[ts].to_numpy(),
-                             "actual": test[label].to_numpy(dtype=float), "prediction": pred,
-                             "n_train": len(train)})
-
-    cols = [key, ts, feature_col, label, split_col]
-    # Fits are compute-heavy but their inputs are small: an explicit partition
-    # count keeps AQE from packing every sensor into one task by byte size, and
-    # the grouped apply reuses this partitioning (no second shuffle).
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*cols).repartition(parts, key).groupBy(key).applyInPandas(fit_group, schema)

@@ -53,17 +53,18 @@ def ordered_fraction_split(df: DataFrame, ts: str, train_frac: float = 0.80,
 
 def random_split(df: DataFrame, keys: list[str], seed: int = 42, train_pct: int = 80) -> DataFrame:
     """Seeded 80/20 split by a hash of the row keys: repeatable under any partitioning."""
-    h = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(100))
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100
     return df.withColumn("split", F.when(h < train_pct, F.lit("train")).otherwise(F.lit("test")))
 
 
 def fold_plan(n: int, window: int = 200, test: int = 200, n_splits: int = 10) -> tuple[int, int]:
-    """(step, fold count) of the rolling scheme; the reference's formula, capped at ``n_splits``."""
+    """(step, fold count) of the rolling scheme: every start that the step reaches, so a remainder adds folds beyond ``n_splits``."""
     max_start = n - (window + test)
     step = max_start // (n_splits - 1) if n_splits > 1 else max_start
     if step < 1:
         raise ValueError(f"rolling folds need at least {window + test + n_splits - 1} points, got {n}")
-    count = min(-(-max_start // step), n_splits)
+    count = -(-max_start // step)
     return step, count
 
 

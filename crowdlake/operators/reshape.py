@@ -33,13 +33,18 @@ def location_index(df: DataFrame, location: str, out: str = "location_id",
     the column position, as the reference enumerates its columns; it is a
     native ``array_position`` lookup, no join. Without it, locations are
     numbered in sorted order of the distinct values (a table of one row per
-    sensor, joined back).
+    sensor, joined back), inside blocks of neighbouring values whose sizes are summed up.
     """
     if order is not None:
         pos = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(location).cast("string"))
         return df.withColumn(out, F.when(pos > 0, (pos - 1).cast("int")))
-    locs = df.select(location).distinct()
-    idx = locs.withColumn(out, (F.row_number().over(Window.orderBy(location)) - 1).cast("int"))
+    number = dict(df.dtypes)[location] in ("tinyint", "smallint", "int", "bigint")
+    block = F.floor(F.col(location) / F.lit(1024)) if number else F.substring(location, 1, 2)
+    locs = df.select(location).distinct().withColumn("_block", block)
+    locs = locs.withColumn("_in", F.row_number().over(Window.partitionBy("_block").orderBy(location)))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = locs.groupBy("_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    idx = locs.join(blocks, locs["_block"].eqNullSafe(blocks["_block"])).select(location, (F.col("_before") + F.col("_in") - 1).cast("int").alias(out))
     return df.join(idx, location, "left")
 
 

@@ -15,9 +15,9 @@ data. ``lag_and_rolling`` therefore works on bounded buckets:
    context copies are dropped afterwards.
 
 Partition sizes are bounded by ``bucket_rows + context`` whatever the skew.
-The numbering step holds one (key, chunk) per task: the default chunk is a
-day (480 rows for a 3-minute sensor); for feeds denser than that per key,
-pass a finer ``chunk`` (an hour, a minute) so a chunk still fits a task.
+The numbering step holds one (key, chunk) per task: the default chunk is an
+hour (20 rows for a 3-minute sensor); for feeds with more rows in an hour of one key than
+a task should hold, pass a finer ``chunk`` (a minute).
 """
 
 from __future__ import annotations
@@ -35,48 +35,34 @@ def sequence_index(df: DataFrame, key: str, order_cols: list[str], chunk=None,
     """0-based position of each row within its key, ordered by ``order_cols``.
 
     ``chunk`` is a coarse, order-preserving Column of the first order column
-    (default: the day of a timestamp) used to split a key's rows.
+    (default: the hour of a timestamp) used to split a key's rows.
     """
-    chunk_col = chunk if chunk is not None else F.date_trunc("day", F.col(order_cols[0]))
-    d = df.withColumn("_chunk", chunk_col)
-    w = Window.partitionBy(key, "_chunk").orderBy(*order_cols)
-    d = d.withColumn("_rn", F.row_number().over(w))
-    counts = d.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
-    prefix = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(prefix), F.lit(0))).drop("_n")
-    offsets = offsets.withColumnRenamed(key, "_okey").withColumnRenamed("_chunk", "_ochunk")
-    # null-safe: rows with a NULL key or time keep their place (NULLs sort first, as in a plain window)
-    cond = d[key].eqNullSafe(offsets["_okey"]) & d["_chunk"].eqNullSafe(offsets["_ochunk"])
-    d = d.join(offsets, cond).drop("_okey", "_ochunk")
-    return d.withColumn(out, F.col("_off") + F.col("_rn") - 1).drop("_chunk", "_rn", "_off")
+    chunk_col = chunk if chunk is not None else F.date_trunc("hour", F.col(order_cols[0]))
+    # Null-safe key columns, so that the window and the join deal rows out alike: a NULL key or time keeps
+    # its place (NULLs sort first, as in a plain window).
+    part = {"_k": F.coalesce(F.col(key).cast("string"), F.lit("")), "_kn": F.col(key).isNull(),
+            "_c": F.coalesce(chunk_col.cast("string"), F.lit("")), "_cn": chunk_col.isNull()}
+    d = df.withColumns({**part, "_chunk": chunk_col})
+    d = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order_cols)))
+    counts = d.groupBy(*part).agg(F.count("*").alias("_n"), F.first("_chunk").alias("_at"))
+    prefix = Window.partitionBy("_k", "_kn").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(prefix), F.lit(0))).drop("_n", "_at")
+    d = d.join(offsets, list(part))
+    return d.withColumn(out, F.col("_off") + F.col("_rn") - 1).drop(*part, "_chunk", "_rn", "_off")
 
 
 def lag_and_rolling(df: DataFrame, key: str, order_cols: list[str], value: str,
                     lags: list[int] | None = None, windows: list[int] | None = None,
-                    bucket_rows: int = 4096, chunk=None, include_current: bool = True,
-                    strategy: str = "bucketed", max_rows_per_task: int = 2_000_000) -> DataFrame:
+                    bucket_rows: int = 4096, chunk=None, include_current: bool = True) -> DataFrame:
     """Add ``lag_k`` and ``roll_mean_w`` columns per key.
 
     ``roll_mean_w`` is the mean of the last ``w`` rows including the current
     one (the reference's default, which leaks the target); it is NULL unless
     all ``w`` values are present. ``include_current=False`` shifts the frame
     one row back (the documented fix).
-
-    ``strategy="bucketed"`` (default) never puts a key's whole series in one
-    task. ``strategy="auto"`` first counts rows per key (a partial-combining
-    aggregation; one number reaches the driver) and uses the one-shuffle
-    per-key window when the largest key has at most ``max_rows_per_task``
-    rows, the bucketed plan otherwise — a size-checked choice, like a checked
-    broadcast. Both give the same result.
     """
     lags = DEFAULT_LAGS if lags is None else list(lags)
     windows = DEFAULT_ROLLING if windows is None else list(windows)
-    if strategy == "auto":
-        largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-        if largest <= max_rows_per_task:
-            return lag_and_rolling_simple(df, key, order_cols, value, lags, windows, include_current)
-    elif strategy != "bucketed":
-        raise ValueError(f"strategy must be 'bucketed' or 'auto', not {strategy!r}")
     shift = 0 if include_current else 1
     context = max(lags + [w + shift - 1 for w in windows] + [1])
     bucket_rows = max(bucket_rows, context)

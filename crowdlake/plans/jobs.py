@@ -85,16 +85,18 @@ def train_crowd_model(counts: DataFrame, weather: DataFrame, model_path: str, cu
 
     Returns ``(model, features, feature_cols)``.
     """
-    from crowdlake.ml.features import create_features_long
+    from crowdlake.ml.features import CALENDAR, create_features_long
     from crowdlake.ml.models import save_model, train_global_model
     from crowdlake.ml.splits import chronological_split
     from crowdlake.operators.joins import asof_nearest
+    from crowdlake.operators.reshape import location_index
 
     weather_cols = weather_cols or [c for c in weather.columns if c != ts]
     merged = asof_nearest(counts, weather.select(ts, *weather_cols), ts, ts, tolerance_minutes,
                           right_order=weather_order, suffix_ts="weather_ts")
+    merged = location_index(merged, key)
     feats = create_features_long(merged, key, ts, value, order_tie=tie, lags=lags, windows=windows)
-    feature_cols = (["hour", "weekday", "is_weekend"] + [c for c in weather_cols if c != weather_order]
+    feature_cols = (["location_id"] + CALENDAR + [c for c in weather_cols if c != weather_order]
                     + [c for c in feats.columns if c.startswith(("lag_", "roll_mean_"))])
     feats = feats.dropna(subset=feature_cols)
     train = chronological_split(feats, ts, cutoff).where(F.col("split") == "train")
@@ -139,12 +141,14 @@ def land_carflow(spark, raw_path: str, parquet_path: str, csv_gz_path: str, mode
     from crowdlake.sources.readers import read_carflow_nested
     from crowdlake.sources.sinks import write_csv_gz, write_parquet
 
+    if mode not in ("parquet", "csv", "both"):
+        raise ValueError(f"mode must be parquet, csv or both, not {mode!r}")
     flat = carflow_flat(read_carflow_nested(spark, raw_path)).withColumn("date", F.to_date("time_utc"))
     out = {}
     if mode in ("parquet", "both"):
-        out["parquet"] = write_parquet(flat, parquet_path, partition_by=["date"])
+        # rows of a day meet before the write (AQE splits a large day), so a day has few files
+        out["parquet"] = write_parquet(flat.hint("rebalance", "date"), parquet_path, partition_by=["date"])
+        flat = spark.read.parquet(parquet_path)  # the feed is flattened once
     if mode in ("csv", "both"):
-        out["csv"] = write_csv_gz(flat.drop("date"), csv_gz_path)
-    if not out:
-        raise ValueError(f"mode must be parquet, csv or both, not {mode!r}")
+        out["csv"] = write_csv_gz(flat.select("time_utc", "id", "traffic_level"), csv_gz_path)
     return out

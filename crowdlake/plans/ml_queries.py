@@ -18,6 +18,8 @@ from crowdlake.functions.scalars import ntz_lit
 from crowdlake.ml import forecast as FC
 from crowdlake.ml import models as MD
 from crowdlake.ml import splits as SP
+from crowdlake.ml.features import CALENDAR, with_calendar
+from crowdlake.operators import joins as J
 from crowdlake.operators import reshape as R
 from crowdlake.operators import topk as TK
 from crowdlake.operators import windows as W
@@ -30,8 +32,11 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 CUTOFF = dt.datetime(2024, 1, 20)
-FEATURES = ["hour", "weekday", "is_weekend"] + [f"lag_{k}" for k in Q.CHECK_LAGS] + \
-    [f"roll_mean_{n}" for n in Q.CHECK_WINDOWS]
+WEATHER = ["temperature", "dew_point", "air_pressure", "wind_speed", "max_gust", "rainfall", "sunshine_duration", "relative_humidity"]
+#: Inputs that stay as they are over the forecast's steps.
+FROZEN = ["location_id"] + CALENDAR + WEATHER
+#: The reference model's 32 inputs.
+FEATURES = FROZEN + [f"lag_{k}" for k in Q.LAGS] + [f"roll_mean_{n}" for n in Q.ROLLING]
 SCALE_COLS = ["count", "lag_1", "lag_2", "roll_mean_3"]
 
 
@@ -78,6 +83,11 @@ def q_random_split(spark, d):
     return SP.random_split(rd, ["sensor", "event_id"], seed=42, train_pct=80).select("sensor", "event_id", "split")
 
 
+ORACLE["random_split"] = O.W("readings") + """SELECT sensor, event_id,
+  CASE WHEN CAST('0x' || substr(md5('42:' || CAST(sensor AS VARCHAR) || ':' || CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80
+       THEN 'train' ELSE 'test' END AS split FROM readings"""
+
+
 @q("rolling_folds")
 def q_rolling_folds(spark, d):
     hours = SI.readings_wide(spark, d).select("hour")
@@ -87,7 +97,7 @@ def q_rolling_folds(spark, d):
 ORACLE["rolling_folds"] = O.W("readings_wide") + """, p AS (
   SELECT hour, row_number() OVER (ORDER BY hour) - 1 AS pos FROM readings_wide),
 n AS (SELECT count(*) AS n, (count(*) - 400) // 9 AS step FROM p),
-k AS (SELECT range AS fold, range * (SELECT step FROM n) AS start FROM range(0, 10)
+k AS (SELECT range AS fold, range * (SELECT step FROM n) AS start FROM range(0, (SELECT (n - 400) // step + 1 FROM n))
       WHERE range * (SELECT step FROM n) < (SELECT n - 400 FROM n))
 SELECT p.hour, CAST(k.fold AS INTEGER) AS fold, CASE WHEN p.pos < k.start + 200 THEN 'train' ELSE 'test' END AS role
 FROM p JOIN k ON p.pos >= k.start AND p.pos < k.start + 400"""
@@ -114,13 +124,28 @@ ORACLE["standard_scale"] = O.W("featd") + ", st AS (SELECT " + ", ".join(
 # ---------------------------------------------------------------------------
 
 
+@SI.per_session
+def inputs_table(spark, d):
+    """Readings with the nearest hour's weather, the location's number and the calendar."""
+    wx = Q.station_clean(spark, d).groupBy(F.col("datetime").alias("ts")).agg(*[F.avg(c).alias(c) for c in WEATHER])
+    merged = J.asof_nearest(SI.readings(spark, d), wx, "ts", "ts", 60, suffix_ts="weather_ts").drop("weather_ts")
+    return with_calendar(R.location_index(merged, "sensor"), "ts")
+
+
+@SI.per_session
+def model_table(spark, d):
+    """The 32 inputs and the count of every reading, complete rows only."""
+    feats = W.lag_and_rolling(inputs_table(spark, d), "sensor", ["ts", "event_id"], "count", Q.LAGS, Q.ROLLING)
+    return feats.dropna(subset=FEATURES)
+
+
 def _model_dir(spark, d) -> str:
     tag = hashlib.sha1(os.path.abspath(d).encode()).hexdigest()[:10]
     return os.path.join(ensure_checkpoint_dir(spark), "models", f"global-{tag}")
 
 
 def _fit_and_save(spark, d):
-    f = Q.features_table(spark, d)
+    f = model_table(spark, d)
     train = f.where(F.col("ts") < ntz_lit(CUTOFF))
     model = MD.train_global_model(train, FEATURES, "count")
     path = MD.save_model(model, _model_dir(spark, d))
@@ -140,7 +165,7 @@ def _model(spark, d):
 
 
 def _test_rows(spark, d):
-    f = Q.features_table(spark, d)
+    f = model_table(spark, d)
     return f.where(F.col("ts") >= ntz_lit(CUTOFF))
 
 
@@ -152,7 +177,7 @@ def q_train_global_model(spark, d):
 
 @q("predict")
 def q_predict(spark, d):
-    f = Q.features_table(spark, d)
+    f = model_table(spark, d)
     return MD.predict(_model(spark, d), f, ["sensor", "ts", "count"])
 
 
@@ -173,16 +198,13 @@ def q_save_load_model(spark, d):
 
 
 def _history(spark, d):
-    rd = SI.readings(spark, d).where(F.col("ts") <= ntz_lit(Q.NOW))
-    rd = rd.withColumns({"hour": F.hour("ts"), "weekday": F.weekday("ts"),
-                         "is_weekend": (F.weekday("ts") >= 5).cast("int")})
-    return rd
+    return inputs_table(spark, d).where(F.col("ts") <= ntz_lit(Q.NOW))
 
 
 def _forecast(spark, d):
     return FC.recursive_forecast(_model(spark, d), _history(spark, d), "sensor", "ts", "count",
-                                 ["hour", "weekday", "is_weekend"], steps=20, interval_minutes=3,
-                                 lags=Q.CHECK_LAGS, windows=Q.CHECK_WINDOWS, checkpoint_every=5)
+                                 FROZEN, steps=20, interval_minutes=3,
+                                 lags=Q.LAGS, windows=Q.ROLLING, checkpoint_every=5)
 
 
 @q("recursive_forecast")
@@ -202,44 +224,12 @@ def q_prediction_series(spark, d):
     20-step forecast and actual future per sensor, via ``jobs.score_and_forecast``."""
     from crowdlake.plans import jobs
 
-    return jobs.score_and_forecast(_model(spark, d), _history(spark, d).unionByName(
-        _future(spark, d)), Q.NOW, lags=Q.CHECK_LAGS, windows=Q.CHECK_WINDOWS, steps=20, interval_minutes=3)
-
-
-def _future(spark, d):
-    rd = SI.readings(spark, d).where(F.col("ts") > ntz_lit(Q.NOW))
-    return rd.withColumns({"hour": F.hour("ts"), "weekday": F.weekday("ts"),
-                           "is_weekend": (F.weekday("ts") >= 5).cast("int")})
+    return jobs.score_and_forecast(_model(spark, d), inputs_table(spark, d), Q.NOW, frozen=FROZEN,
+                                   lags=Q.LAGS, windows=Q.ROLLING, steps=20, interval_minutes=3)
 
 
-# ---------------------------------------------------------------------------
-# per-sensor models on hourly sliding windows
-# ---------------------------------------------------------------------------
-
-def hourly_window_table(spark, d, past_hours: int = 3, horizon: int = 1):
-    """(sensor, window_end, X ARRAY, target, split) from the hourly wide table.
-
-    X is the reference's vector: the past window of every sensor (hour-major),
-    every sensor's window mean and std, and the calendar of the window end.
-    """
-    long = R.melt_counts(SI.readings_wide(spark, d), ["hour"], SI.WIDE_SENSORS, "sensor", "value")
-    sw = W.sliding_window_vectors(long, "sensor", "hour", "value", past_hours, horizon)
-    per_t = sw.groupBy("window_end").agg(
-        F.sort_array(F.collect_list(F.struct("sensor", "past_values", "past_mean", "past_std"))).alias("_s"))
-    x = F.concat(F.flatten(F.transform("_s", lambda s: s["past_values"])),
-                 F.transform("_s", lambda s: s["past_mean"]), F.transform("_s", lambda s: s["past_std"]),
-                 F.array(F.hour("window_end").cast("double"), F.weekday("window_end").cast("double"),
-                         (F.weekday("window_end") >= 5).cast("double"),
-                         F.sin(F.lit(6.283185307179586) * F.hour("window_end") / F.lit(24.0)),
-                         F.cos(F.lit(6.283185307179586) * F.hour("window_end") / F.lit(24.0))))
-    xt = per_t.select("window_end", x.alias("X"))
-    rows = sw.select("sensor", "window_end", "target").where(F.col("target").isNotNull()).join(xt, "window_end")
-    return SP.ordered_fraction_split(rows, "window_end", 0.80, 0.15)
-
-
-@q("train_per_sensor")
-def q_train_per_sensor(spark, d):
-    rows = hourly_window_table(spark, d)
-    p = MD.PER_SENSOR_PARAMS
-    return MD.train_per_sensor(rows, "sensor", "window_end", "X", "target", "split",
-                               n_trees=p["n_trees"], max_depth=p["max_depth"], learning_rate=p["learning_rate"])
+@q("predict_current")
+def q_predict_current(spark, d):
+    """The score of every sensor's newest complete row."""
+    newest = W.latest_per_key(model_table(spark, d), "sensor", ["ts", "event_id"])
+    return MD.predict(_model(spark, d), newest, ["sensor", "ts", "count"])

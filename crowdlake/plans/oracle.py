@@ -92,7 +92,8 @@ def _carflow_flat_sql(keep_first_pair: bool, name: str) -> str:
   FROM (SELECT time_raw, {parts} AS parts FROM {name}_h WHERE first_line = '') WHERE len(parts) = 2),
 {name} AS (
   SELECT timezone('UTC', TRY_CAST(time_raw AS TIMESTAMPTZ)) AS time_utc,
-         CAST(trunc(TRY_CAST(trim(id_raw) AS DOUBLE)) AS BIGINT) AS id,
+         CASE WHEN regexp_full_match(trim(id_raw), '[+-]?[0-9]+') THEN TRY_CAST(trim(id_raw) AS BIGINT)
+              ELSE CAST(trunc(TRY_CAST(trim(id_raw) AS DOUBLE)) AS BIGINT) END AS id,
          TRY_CAST(trim(level_raw) AS DOUBLE) AS traffic_level
   FROM {name}_p
   WHERE TRY_CAST(time_raw AS TIMESTAMPTZ) IS NOT NULL
@@ -122,12 +123,13 @@ def _feat_sql(lags, wins, name="feat"):
     windows += [f"w{n} AS (PARTITION BY sensor ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
                 for n in wins]
     return (f"{name} AS (\n  SELECT ts, sensor, event_id, \"count\", CAST(hour(ts) AS INTEGER) AS hour, "
+            "CAST(minute(ts) AS INTEGER) AS minute, CAST(day(ts) AS INTEGER) AS day, CAST(month(ts) AS INTEGER) AS month, "
             f"CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,\n    "
             + ",\n    ".join(cols) + "\n  FROM readings\n  WINDOW " + ",\n    ".join(windows) + ")")
 
 
-_FEAT_COLS = [f"lag_{k}" for k in Q.CHECK_LAGS] + [f"roll_mean_{n}" for n in Q.CHECK_WINDOWS]
-_CTE["feat"] = _feat_sql(Q.CHECK_LAGS, Q.CHECK_WINDOWS)
+_FEAT_COLS = [f"lag_{k}" for k in Q.LAGS] + [f"roll_mean_{n}" for n in Q.ROLLING]
+_CTE["feat"] = _feat_sql(Q.LAGS, Q.ROLLING)
 _CTE["featd"] = "featd AS (SELECT * FROM feat WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _FEAT_COLS) + ")"
 _CTE["scored"] = """scored AS (SELECT sensor, ts, "count", lag_1 AS pred FROM featd)"""
 _CTE["r2t"] = """r2m AS (SELECT sensor, avg("count") AS m FROM scored GROUP BY sensor),
@@ -278,10 +280,7 @@ ORACLE["id_text"] = """WITH kv AS (
   SELECT s_suppkey AS feature_id, 'WVK_ID' AS prop, CAST(s_suppkey AS VARCHAR) AS val FROM supplier
   UNION ALL SELECT s_suppkey, 'name', s_name FROM supplier
   UNION ALL SELECT s_suppkey, 'nation', 'N' || CAST(s_nationkey AS VARCHAR) FROM supplier)
-SELECT feature_id, prop,
-  CASE WHEN TRY_CAST(val AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST(val AS DOUBLE))
-       THEN CAST(CAST(trunc(TRY_CAST(val AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE val END AS id_text
-FROM kv"""
+SELECT feature_id, prop, regexp_replace(val, '^([+-]?[0-9]+)[.][0-9]+$', '\\1') AS id_text FROM kv"""
 
 
 def _half_up(x, digits):
@@ -419,14 +418,14 @@ ORACLE["mse"] = W("scored") + """SELECT round(avg(("count" - pred) * ("count" -
 # 2.7 windows
 # ---------------------------------------------------------------------------
 
-ORACLE["lag_features"] = "WITH " + SI_SQL["readings"] + ",\n" + _feat_sql(Q.CHECK_LAGS, [], "lf") + \
-    "\nSELECT ts, sensor, event_id, \"count\", " + ", ".join(f"lag_{k}" for k in Q.CHECK_LAGS) + " FROM lf"
-ORACLE["rolling_means"] = "WITH " + SI_SQL["readings"] + ",\n" + _feat_sql([], Q.CHECK_WINDOWS, "rf") + \
+ORACLE["lag_features"] = "WITH " + SI_SQL["readings"] + ",\n" + _feat_sql(Q.LAGS, [], "lf") + \
+    "\nSELECT ts, sensor, event_id, \"count\", " + ", ".join(f"lag_{k}" for k in Q.LAGS) + " FROM lf"
+ORACLE["rolling_means"] = "WITH " + SI_SQL["readings"] + ",\n" + _feat_sql([], Q.ROLLING, "rf") + \
     "\nSELECT ts, sensor, event_id, \"count\", " + ", ".join(
-        f"round(roll_mean_{n}, 6) AS roll_mean_{n}" for n in Q.CHECK_WINDOWS) + " FROM rf"
-_FEAT_OUT = ("ts, sensor, event_id, \"count\", hour, weekday, is_weekend, "
-             + ", ".join(f"lag_{k}" for k in Q.CHECK_LAGS) + ", "
-             + ", ".join(f"round(roll_mean_{n}, 6) AS roll_mean_{n}" for n in Q.CHECK_WINDOWS))
+        f"round(roll_mean_{n}, 6) AS roll_mean_{n}" for n in Q.ROLLING) + " FROM rf"
+_FEAT_OUT = ("ts, sensor, event_id, \"count\", hour, minute, day, month, weekday, is_weekend, "
+             + ", ".join(f"lag_{k}" for k in Q.LAGS) + ", "
+             + ", ".join(f"round(roll_mean_{n}, 6) AS roll_mean_{n}" for n in Q.ROLLING))
 ORACLE["create_features"] = W("featd") + f"SELECT {_FEAT_OUT} FROM featd"
 ORACLE["latest_per_key"] = W("latest_vessels") + "SELECT * FROM latest_vessels"
 ORACLE["latest_feature_row"] = W("feat") + f"""SELECT {_FEAT_OUT} FROM feat
@@ -521,12 +520,15 @@ ORACLE["highlight_flag"] = W("latest_vessels") + f"""SELECT id_str, id_str IN ({
   CASE WHEN id_str IN ({', '.join(repr(s) for s in Q.SELECTED_VESSELS)}) THEN {_B.HIGHLIGHT_RGBA[2]} ELSE {_B.DEFAULT_RGBA[2]} END AS b,
   CASE WHEN id_str IN ({', '.join(repr(s) for s in Q.SELECTED_VESSELS)}) THEN {_B.HIGHLIGHT_RGBA[3]} ELSE {_B.DEFAULT_RGBA[3]} END AS a
 FROM latest_vessels"""
-ORACLE["traffic_features"] = W("seg") + f"""SELECT s.s_suppkey AS feature_id, g.frame_time, round(g.mean_level, 2) AS traffic_level_2d,
+ORACLE["traffic_features"] = W("seg") + f"""SELECT s.s_suppkey AS feature_id, g.frame_time, CAST(printf('%.2f', g.mean_level) AS DOUBLE) AS traffic_level_2d,
   3.0 AS width, {_TB.replace('mean_level', 'g.mean_level')} AS band, {_RGBA.replace('mean_level', 'g.mean_level')} AS rgba
 FROM supplier s JOIN seg g ON CAST(s.s_suppkey AS VARCHAR) = g.id_str"""
 
 # ---------------------------------------------------------------------------
 # entry flagship
+ORACLE["flow_at_time"] = W("readings", "ploc", "flow") + """, m AS (SELECT max(ts) AS at FROM readings)
+SELECT s.sensor, m.at AS ts, CASE WHEN f.event_id IS NULL THEN 0.0 ELSE f.flow END AS flow
+FROM (SELECT DISTINCT sensor FROM readings) s CROSS JOIN m LEFT JOIN flow f ON f.sensor = s.sensor AND f.ts = m.at"""
 # ---------------------------------------------------------------------------
 
 ORACLE["crowd_flow_map"] = _FLOWB + f"""SELECT ts, sensor, event_id, "count", width, flow,

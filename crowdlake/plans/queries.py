@@ -33,12 +33,8 @@ QUERIES: dict = {}
 # Fixed parameters of the registered queries (features of the operators, not row caps).
 NOW = dt.datetime(2024, 1, 15, 12, 0, 0)
 CHOSEN_SENSORS = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144]
-# FIXTURES §2: test series hold 45-99 rows per sensor, so a 75-row lag would
-# leave almost nothing after dropna; the registered queries use lags up to 20.
-# The library defaults (windows.DEFAULT_LAGS / DEFAULT_ROLLING) keep the full
-# lists, which the unit tests exercise.
-CHECK_LAGS = [1, 2, 3, 5, 10, 20]
-CHECK_WINDOWS = [3, 5, 10, 20]
+# The reference model's full feature lists.
+LAGS, ROLLING = W.DEFAULT_LAGS, W.DEFAULT_ROLLING
 SELECTED_VESSELS = ["1", "2", "3"]
 
 
@@ -84,7 +80,7 @@ def features_table(spark, d, dropna=True) -> DataFrame:
     from crowdlake.ml.features import create_features_long
 
     return create_features_long(SI.readings(spark, d), "sensor", "ts", "count", order_tie="event_id",
-                                lags=CHECK_LAGS, windows=CHECK_WINDOWS, dropna=dropna)
+                                lags=LAGS, windows=ROLLING, dropna=dropna)
 
 
 @SI.per_session
@@ -571,13 +567,13 @@ def _round_feats(df):
 @q("lag_features")
 def q_lag_features(spark, d):
     rd = SI.readings(spark, d)
-    return W.lag_and_rolling(rd, "sensor", ["ts", "event_id"], "count", CHECK_LAGS, [])
+    return W.lag_and_rolling(rd, "sensor", ["ts", "event_id"], "count", LAGS, [])
 
 
 @q("rolling_means")
 def q_rolling_means(spark, d):
     rd = SI.readings(spark, d)
-    return _round_feats(W.lag_and_rolling(rd, "sensor", ["ts", "event_id"], "count", [], CHECK_WINDOWS))
+    return _round_feats(W.lag_and_rolling(rd, "sensor", ["ts", "event_id"], "count", [], ROLLING))
 
 
 @q("create_features")
@@ -760,6 +756,14 @@ def q_crowd_flow_map(spark, d):
     return jobs.crowd_flow_map(SI.readings(spark, d), SI.locations(spark, d))
 
 
+@q("flow_at_time")
+def q_flow_at_time(spark, d):
+    """Every sensor's flow at the newest reading's time; sensors without a reading then give 0."""
+    rd = SI.readings(spark, d)
+    at = rd.agg(F.max("ts")).first()[0]
+    return jobs.flow_at_time(rd, SI.locations(spark, d), at)
+
+
 @q("vessel_snapshot")
 def q_vessel_snapshot(spark, d):
     return jobs.vessel_snapshot(SI.vessels(spark, d), 1440).drop("tooltip")

@@ -16,28 +16,15 @@ def _wrap(fn):
 
 
 def all_queries() -> dict:
-    from crowdlake.plans import queries
-
-    out = {}
-    out.update(queries.QUERIES)
-    for mod_name in ("crowdlake.plans.io_queries", "crowdlake.plans.ml_queries", "crowdlake.plans.stream_queries"):
-        try:
-            mod = __import__(mod_name, fromlist=["QUERIES"])
-        except ImportError:
-            continue
-        out.update(mod.QUERIES)
+    from crowdlake.plans import io_queries, ml_queries, queries, stream_queries
+
+    out = queries.QUERIES | io_queries.QUERIES | ml_queries.QUERIES | stream_queries.QUERIES
     return {k: _wrap(v) for k, v in out.items()}
 
 
 def all_oracle_sql() -> dict:
-    from crowdlake.plans import oracle
-
-    out = dict(oracle.ORACLE)
-    for mod_name in ("crowdlake.plans.io_queries", "crowdlake.plans.ml_queries", "crowdlake.plans.stream_queries"):
-        try:
-            mod = __import__(mod_name, fromlist=["ORACLE"])
-        except ImportError:
-            continue
-        out.update(getattr(mod, "ORACLE", {}))
+    from crowdlake.plans import io_queries, ml_queries, oracle, stream_queries
+
+    out = oracle.ORACLE | io_queries.ORACLE | ml_queries.ORACLE | stream_queries.ORACLE
     keys = set(all_queries())
     return {k: v for k, v in out.items() if k in keys}

@@ -236,9 +236,10 @@ SQL["weather_text"] = """weather_text AS (
 # ---------------------------------------------------------------------------
 
 def _level_text(value_col):
-    cents = F.least(F.round(value_col * F.lit(100.0)).cast("bigint"), F.lit(10000).cast("bigint"))
-    return F.concat(F.floor(cents / 10000).cast("string"), F.lit("."),
-                    F.lpad((cents % 10000).cast("string"), 4, "0"))
+    """value / 1000 with five digits: no value in the events reaches a level above 1, none is cut."""
+    cents = F.round(value_col * F.lit(100.0)).cast("bigint")
+    return F.concat(F.floor(cents / 100000).cast("string"), F.lit("."),
+                    F.lpad((cents % 100000).cast("string"), 5, "0"))
 
 
 @per_session
@@ -273,8 +274,8 @@ carflow_raw AS (
               ELSE strftime(frame, '%Y-%m-%dT%H:%M:%S') || 'Z' END AS "time",
          CASE WHEN fi % 3 <> 0 THEN 'id' || (CASE WHEN fi % 2 = 1 THEN ';' ELSE ',' END) || 'traffic_level' || chr(10) ELSE '' END
          || string_agg(CAST(user_id AS VARCHAR) || (CASE WHEN fi % 2 = 1 THEN ';' ELSE ',' END)
-              || CAST(least(CAST(round(value * 100.0) AS BIGINT), 10000) // 10000 AS VARCHAR) || '.'
-              || lpad(CAST(least(CAST(round(value * 100.0) AS BIGINT), 10000) % 10000 AS VARCHAR), 4, '0'),
+              || CAST(CAST(round(value * 100.0) AS BIGINT) // 100000 AS VARCHAR) || '.'
+              || lpad(CAST(CAST(round(value * 100.0) AS BIGINT) % 100000 AS VARCHAR), 5, '0'),
               chr(10) ORDER BY ts, event_id) AS data
   FROM carflow_src GROUP BY frame, fi)"""
 

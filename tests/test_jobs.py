@@ -24,7 +24,7 @@ def test_train_then_score_and_forecast(spark, tmp_dir):
     assert load_model(path).stages[-1].getNumTrees == 5
     cut = feats.agg(F.max("ts")).first()[0] - dt.timedelta(days=3)
     now = feats.where(F.col("ts") <= F.lit(cut.isoformat(" ")).cast("timestamp_ntz")).agg(F.max("ts")).first()[0]
-    out = jobs.score_and_forecast(model, feats, now, frozen=["hour", "weekday", "is_weekend", "temperature"],
+    out = jobs.score_and_forecast(model, feats, now, frozen=["location_id", "hour", "minute", "day", "month", "weekday", "is_weekend", "temperature"],
                                   lags=[1, 2, 3], windows=[3], steps=4)
     kinds = {r.type: r["count"] for r in out.groupBy("type").count().collect()}
     assert {"historic", "current", "prediction_multistep"} <= set(kinds)

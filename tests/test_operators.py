@@ -260,19 +260,27 @@ def test_flow_at_time(spark):
     assert got3[3] is None and got3[2] == 0.0
 
 
-def test_lag_strategy_auto_matches_bucketed(spark):
+def test_lag_with_a_third_of_all_rows_in_one_day_of_one_sensor(spark):
     rnd = random.Random(21)
-    rows = [(s, t(rnd.randrange(0, 5000)), i, float(rnd.randint(0, 9))) for i, s in enumerate([1] * 300 + [2] * 40)]
+    rows = [(1, t(0) + dt.timedelta(seconds=rnd.randrange(3600 * 6)), i, float(rnd.randint(0, 9))) for i in range(400)]
+    rows += [(1 + i % 40, t(0) + dt.timedelta(hours=rnd.randrange(2000)), 400 + i, float(rnd.randint(0, 9))) for i in range(800)]
+    rows += [(None, None, 1300 + i, float(i)) for i in range(5)]
     df = spark.createDataFrame(rows, "sensor int, ts timestamp_ntz, event_id int, count double")
-    cols = ["event_id", "lag_1", "lag_5", "roll_mean_3"]
-
-    def run(**kw):
-        out = W.lag_and_rolling(df, "sensor", ["ts", "event_id"], "count", [1, 5], [3], bucket_rows=50, **kw)
-        return sorted(tuple(None if v is None else round(v, 9) for v in r) for r in out.select(*cols).collect())
-
-    base = run()
-    assert run(strategy="auto") == base                              # small keys: plain window
-    assert run(strategy="auto", max_rows_per_task=100) == base       # hot key: bucketed
-    assert run(include_current=False) == run(strategy="auto", include_current=False)
-    with pytest.raises(ValueError):
-        W.lag_and_rolling(df, "sensor", ["ts"], "count", strategy="fast")
+    cols = ["event_id", "lag_1", "lag_75", "roll_mean_60"]
+    a = W.lag_and_rolling(df, "sensor", ["ts", "event_id"], "count", [1, 75], [60], bucket_rows=100)
+    b = W.lag_and_rolling_simple(df, "sensor", ["ts", "event_id"], "count", [1, 75], [60])
+    out = [sorted(tuple(-1 if v is None else round(v, 9) for v in r) for r in x.select(*cols).collect()) for x in (a, b)]
+    assert out[0] == out[1]
+
+
+def test_lag_shuffles_the_rows_twice(spark):
+    df = spark.createDataFrame([(1, t(0), 1, 1.0)], "sensor int, ts timestamp_ntz, event_id int, count double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = W.lag_and_rolling(df, "sensor", ["ts", "event_id"], "count", [1], [3])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    rows = [x for x in plan.splitlines() if "Exchange" in x]
+    # numbering and buckets move all rows; the counts' own numbering is the same exchange again, their sums are one row a chunk
+    assert len(rows) <= 5, plan

@@ -37,7 +37,7 @@ SECTIONS = [
     ("2.10 Classification and map-ready tables", "band_count band_flow band_arrow_count band_arrow_flow band_traffic "
      "heat_points stop_class highlight_flag traffic_features"),
     ("2.11 Machine learning", "chronological_split ordered_fraction_split random_split rolling_folds standard_scale "
-     "train_global_model train_per_sensor predict feature_importance save_load_model recursive_forecast "
+     "train_global_model predict feature_importance save_load_model recursive_forecast "
      "forecast_vs_actual"),
     ("2.12 Streaming", "stream_latest_reading stream_crowd_flow stream_history stream_frames_3min "
      "stream_vessel_window stream_features"),
@@ -53,8 +53,7 @@ HELPERS = {"features_table": "ml.features.create_features_long", "flat_carflow":
            "weather_text_numbers": "sources.readers.clean_weather_text", "scored_table": "ml.features.create_features_long",
            "_r2": "operators.aggregates.r2_by_sensor", "_latest_counts": "operators.windows.latest_per_key",
            "_frame_totals": "operators.aggregates.total_crowd", "_forecast": "ml.forecast.recursive_forecast",
-           "_model": "ml.models.train_global_model", "_fit_and_save": "ml.models.train_global_model",
-           "hourly_window_table": "operators.windows.sliding_window_vectors"}
+           "_model": "ml.models.train_global_model", "_fit_and_save": "ml.models.train_global_model"}
 DIRECT = {"carflow_flat": "operators.flatten.carflow_flat", "flatten_carflow": "operators.flatten.flatten_carflow",
           "pack_carflow": "operators.flatten.pack_carflow", "positions_from_grid": "sources.readers.positions_from_grid",
           "parse_locations": "operators.joins.parse_locations", "create_features_long":
