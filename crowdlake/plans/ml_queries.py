@@ -31,8 +31,13 @@ from crowdlake.session import ensure_checkpoint_dir, scratch_path
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-CUTOFF = dt.datetime(2024, 1, 20)
+# Rows with a full 75-row history start late in the month: about half of them lie before this day.
+CUTOFF = dt.datetime(2024, 1, 30)
+# The forecast starts when some sensors have that history.
+FORECAST_NOW = dt.datetime(2024, 1, 30, 12)
 WEATHER = ["temperature", "dew_point", "air_pressure", "wind_speed", "max_gust", "rainfall", "sunshine_duration", "relative_humidity"]
+#: Layout of the training rows: part of the model's definition, like its seed. Raise it with the cluster.
+TRAIN_PARTITIONS = 2
 #: Inputs that stay as they are over the forecast's steps.
 FROZEN = ["location_id"] + CALENDAR + WEATHER
 #: The reference model's 32 inputs.
@@ -62,7 +67,7 @@ def q_chronological_split(spark, d):
 
 
 ORACLE["chronological_split"] = O.W("featd") + """SELECT sensor, ts, event_id,
-  CASE WHEN ts < TIMESTAMP '2024-01-20 00:00:00' THEN 'train' ELSE 'test' END AS split FROM featd"""
+  CASE WHEN ts < TIMESTAMP '2024-01-30 00:00:00' THEN 'train' ELSE 'test' END AS split FROM featd"""
 
 
 @q("ordered_fraction_split")
@@ -114,7 +119,7 @@ def q_standard_scale(spark, d):
 ORACLE["standard_scale"] = O.W("featd") + ", st AS (SELECT " + ", ".join(
     f"avg({c}) AS m_{c}, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}"
     for c in ['"count"', "lag_1", "lag_2", "roll_mean_3"]).replace('m_"count"', "m_count").replace(
-    's_"count"', "s_count") + " FROM featd WHERE ts < TIMESTAMP '2024-01-20 00:00:00')\nSELECT sensor, event_id, " + \
+    's_"count"', "s_count") + " FROM featd WHERE ts < TIMESTAMP '2024-01-30 00:00:00')\nSELECT sensor, event_id, " + \
     ", ".join(f"round(({c} - m_{n}) / s_{n}, 6) AS {c}" for c, n in
               [('"count"', "count"), ("lag_1", "lag_1"), ("lag_2", "lag_2"), ("roll_mean_3", "roll_mean_3")]) + \
     " FROM featd, st"
@@ -147,7 +152,7 @@ def _model_dir(spark, d) -> str:
 def _fit_and_save(spark, d):
     f = model_table(spark, d)
     train = f.where(F.col("ts") < ntz_lit(CUTOFF))
-    model = MD.train_global_model(train, FEATURES, "count")
+    model = MD.train_global_model(train, FEATURES, "count", partitions=TRAIN_PARTITIONS)
     path = MD.save_model(model, _model_dir(spark, d))
     _SAVED[path] = True
     return model
@@ -198,7 +203,7 @@ def q_save_load_model(spark, d):
 
 
 def _history(spark, d):
-    return inputs_table(spark, d).where(F.col("ts") <= ntz_lit(Q.NOW))
+    return inputs_table(spark, d).where(F.col("ts") <= ntz_lit(FORECAST_NOW))
 
 
 def _forecast(spark, d):
@@ -214,7 +219,7 @@ def q_recursive_forecast(spark, d):
 
 @q("forecast_vs_actual")
 def q_forecast_vs_actual(spark, d):
-    actual = SI.readings(spark, d).where(F.col("ts") > ntz_lit(Q.NOW))
+    actual = SI.readings(spark, d).where(F.col("ts") > ntz_lit(FORECAST_NOW))
     return FC.forecast_vs_actual(_forecast(spark, d), actual, "sensor", "ts", "count", 3)
 
 
@@ -224,7 +229,7 @@ def q_prediction_series(spark, d):
     20-step forecast and actual future per sensor, via ``jobs.score_and_forecast``."""
     from crowdlake.plans import jobs
 
-    return jobs.score_and_forecast(_model(spark, d), inputs_table(spark, d), Q.NOW, frozen=FROZEN,
+    return jobs.score_and_forecast(_model(spark, d), inputs_table(spark, d), FORECAST_NOW, frozen=FROZEN,
                                    lags=Q.LAGS, windows=Q.ROLLING, steps=20, interval_minutes=3)
 
 
