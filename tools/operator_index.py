@@ -37,7 +37,7 @@ SECTIONS = [
     ("2.10 Classification and map-ready tables", "band_count band_flow band_arrow_count band_arrow_flow band_traffic "
      "heat_points stop_class highlight_flag traffic_features"),
     ("2.11 Machine learning", "chronological_split ordered_fraction_split random_split rolling_folds standard_scale "
-     "train_global_model predict feature_importance save_load_model recursive_forecast "
+     "train_global_model train_per_sensor predict feature_importance save_load_model recursive_forecast "
      "forecast_vs_actual"),
     ("2.12 Streaming", "stream_latest_reading stream_crowd_flow stream_history stream_frames_3min "
      "stream_vessel_window stream_features"),
@@ -100,7 +100,7 @@ def main():
         for key in keys.split():
             n += 1
             eps = entry_points(raw[key]) if key in raw else []
-            check = "oracle" if key in oracle else ("rows" if key in raw else "MISSING")
+            check = "oracle" if key in oracle else ("rows" if key in raw else "not built")
             lines.append(f"| {n} | `{key}` | {', '.join(f'`{e}`' for e in eps)} | {check} |")
         lines.append("")
     with open(args.out, "w") as f:
