@@ -138,3 +138,28 @@ def test_tenths_and_imperial(spark):
     m = w.select(*[conv[k].alias(k) for k in conv]).first()
     assert (m.temperature, m.dew_point) == (100.0, 0.0)
     assert abs(m.wind_speed - 4.4704) < 1e-12 and abs(m.pressure - 33.8639) < 1e-12 and m.precipitation == 25.4
+
+
+def test_ids_are_exact(spark):
+    rows = [("9007199254740993",), ("12.0",), ("0012",), ("1e3",), ("abc",), ("1.0E7",), ("nan",), (None,)]
+    df = spark.createDataFrame(rows, "s string")
+    got = [tuple(r) for r in df.select(S.id_text("s"), S.whole_number(F.col("s"))).collect()]
+    assert got == [("9007199254740993", 9007199254740993), ("12", 12), ("0012", 12), ("1e3", 1000), ("abc", None),
+                   ("10000000", 10000000), ("nan", None), (None, None)]
+
+
+def test_bad_clock_text_is_null(spark):
+    df = spark.createDataFrame([("20250820", "24"), ("2025082", "x"), ("bad", "1"), (None, "3")], "d string, h string")
+    got = [r.t for r in df.select(S.hour24_fix("d", "h").alias("t")).collect()]
+    assert got[0] == dt.datetime(2025, 8, 21) and got[1:] == [None, None, None]
+
+
+def test_am_pm_does_not_depend_on_the_session_zone(spark):
+    df = spark.createDataFrame([("10/03/24", "2:30 AM"), ("10/03/24", "12:05 PM"), ("31/02/24", "1:00 AM"), ("10/03/24", "13:00 PM")], "d string, t string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r.x for r in df.select(S.parse_date_ampm("d", "t").alias("x")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 3, 10, 12, 5), None, None]
