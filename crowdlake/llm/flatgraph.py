@@ -6,7 +6,8 @@ in the graph so far, and each vector's candidates are pruned robustly (a candida
 factor ``ALPHA``), edges both ways. The adjacency lists of the shards are united by vector. A second job searches: each
 vector is looked for, from the medoid, in the shards of its ``PROBES`` nearest centres, by a greedy search with a beam that then expands through all neighbours in
 range until none is new. What it finds is verified with double-precision cosines. Each shard audits some of its searches against brute force
-and widens its beam while their recall is below ``RECALL``.
+and widens its beam while their recall is below ``RECALL``; a shard that stays below it at ``WIDEST`` is compared in blocks, which its
+bounded size allows.
 
 A found vector is counted in the shard that owns it only, so counts add up without any list of pairs; for the
 components a task hands on one edge per vector to its root among the links it saw. Equal vectors are one class from the start,
@@ -28,6 +29,7 @@ from .common import components, materialize
 
 SHARD, OVERLAP, PROBES = 3_000, 2, 5
 DEGREE, POOL, BEAM, ALPHA, RECALL, AUDIT = 24, 48, 32, 1.2, 0.97, 24
+WIDEST = 128
 #: Vectors that the centres are fitted on; every vector is indexed.
 SAMPLE = 20_000
 _BLOCK = 512
@@ -158,6 +160,13 @@ def range_search(x: np.ndarray, adj: np.ndarray, entry: int, q: np.ndarray, leas
     return out
 
 
+def _scan(x: np.ndarray, q: np.ndarray, least: float):
+    """For each query the rows in range, block by block."""
+    for a in range(0, len(q), _BLOCK):
+        near = q[a: a + _BLOCK] @ x.T >= least
+        yield from (np.flatnonzero(row) for row in near)
+
+
 def _load(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     v = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
     return table.column("id").to_numpy(), v
@@ -199,9 +208,11 @@ def _search_shard(cosine: float):
                 found = range_search(x, adj, entry, p[probe], least, beam)
                 truth = sum(len(e) for e in exact)
                 hits = sum(len(np.intersect1d(e, f)) for e, f in zip(exact, found))
-                if hits >= RECALL * truth or beam >= len(ids):
+                if hits >= RECALL * truth or beam >= WIDEST:
                     break
                 beam *= 2
+            # A graph that the widest beam does not search well enough: this shard's vectors are compared in blocks instead.
+            poor = hits < RECALL * truth
 
             def top(i):
                 while root[i] != i:
@@ -209,7 +220,7 @@ def _search_shard(cosine: float):
                     i = root[i]
                 return i
 
-            for i, f in enumerate(range_search(x, adj, entry, p, least, beam)):
+            for i, f in enumerate(_scan(x, p, least) if poor else range_search(x, adj, entry, p, least, beam)):
                 f = f[v[f] @ q[i] >= cosine]  # in double precision
                 f = f[ids[f] != qid[i]]
                 if len(f):
