@@ -15,9 +15,15 @@ from crowdlake.session import scratch_path
 SLICE_BYTES = 4 << 20
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared scratch folder and read it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back: cuts the lineage, survives lost executors.
+
+    ``compact``: a table of a few numbers per row is written by two tasks per core, however many shuffle
+    partitions they take together, instead of one small file per partition.
+    """
     path = scratch_path(df.sparkSession, name)
+    if compact:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -92,9 +98,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     edges = edges.select("a", "b").where(F.col("a") != F.col("b"))
     both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-                       f"{name}-edges")
+                       f"{name}-edges", compact=True)
     state = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")),
-                        f"{name}-0")
+                        f"{name}-0", compact=True)
     step = 0
     while True:
         step += 1
@@ -105,7 +111,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         jump = state.select(F.col("node").alias("label"), F.col("label").alias("root"))
         new = materialize(hop.join(jump, "label", "left")
                           .select("node", "was", F.least("label", F.coalesce("root", "label")).alias("label")),
-                          f"{name}-{step}")
+                          f"{name}-{step}", compact=True)
         changed = new.where(F.col("label") != F.col("was")).limit(1).count()
         state = new.select("node", "label")
         if not changed:

@@ -8,8 +8,9 @@ the threshold, and is confirmed on the full shingle sets. Components of the conf
 Nothing is quadratic in a group of copies. Documents of one shingle set are one class from the start, and one of them
 stands for it. In a band bucket every class first meets only the bucket's leader, its smallest id. What these links leave in
 different components meets again, and only across components: in buckets of at most ``SMALL`` classes pair by pair; in larger ones under the
-classes' rarest shingles (a prefix of which any pair over the threshold shares one), ``SMALL`` leaders a round until every such
-pair has met. No candidate is dropped.
+classes' rarest shingles: any pair over the threshold shares one that is within the short index prefix of one of them, so those that have it there
+lead, a few of them a round and of different components first, until all have met the rest of their group; sizes and the shingles'
+places in the order bound the intersection and spare most pairs. No candidate is dropped.
 
 Defined results: words are runs of bytes outside 0x20 and 0x09-0x0D after lower-casing A-Z; with fewer words than a shingle
 the whole sequence is the one shingle; a text that is null or has no word has an empty set and is linked with nothing. A null ``doc_id`` is
@@ -28,8 +29,13 @@ from .common import components, materialize, text_slices
 from .textbytes import LOWER, mix64, shingle_hashes, span_hashes, text_bytes, words
 
 REGISTERS, ROWS, MANTISSA = 240, 6, 10
-SMALL = 32
-_EMPTY = np.uint16(0)
+#: Up to SMALL classes a band bucket is finished pair by pair. A group under a rare shingle has up to LEADERS leaders in the first round, GROW
+#: times as many in each later one.
+SMALL, LEADERS, GROW = 32, 16, 8
+#: Slots in which shingles are counted to order them by rarity.
+SLOTS = 1 << 18
+#: Up to so many ids are broadcast to pick rows by; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -110,10 +116,15 @@ def _meetable(similarity: float):
     return F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
 
 
-def _leaders(groups: DataFrame, similarity: float) -> DataFrame:
+def _shared(groups: DataFrame) -> DataFrame:
+    """The rows of groups with two members or more, with the smallest id of the group and its size as ``l``."""
+    lead = groups.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"), F.max("id").alias("last")).where("l.id < last").select("key", "l")
+    return groups.join(lead, "key")
+
+
+def _leaders(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs of each group's smallest id with the others."""
-    lead = groups.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", "l")
-    return (groups.join(lead, "key").where("id <> l.id")
+    return (shared.where("id <> l.id")
             .select(F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
             .where(_meetable(similarity)).select("a", "b").distinct())
 
@@ -133,6 +144,16 @@ def _within(named: DataFrame, similarity: float) -> DataFrame:
     return lists.select(F.explode(pairs).alias("p")).select("p.*").where(_meetable(similarity)).select("a", "b").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _picked(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows whose ``id`` is among ``ids``, which are written first and broadcast if their number allows."""
+    ids = materialize(ids, name, compact=True)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _near_enough(pairs: DataFrame, reps: DataFrame, similarity: float, slack: float) -> DataFrame:
     """Pairs whose estimated similarity is at most ``slack`` below the threshold."""
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -151,15 +172,13 @@ def _near_enough(pairs: DataFrame, reps: DataFrame, similarity: float, slack: fl
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs with ``100 * intersection >= percent * union`` of the full sets, which are made again for the documents in question."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
                 sets = [s.tobytes() for s in _sets(part.column("text"), size)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
-    sets = materialize(texts.join(ends, "id", "left_semi").mapInArrow(run, "id long, hashes binary"), "shingle-sets")
+    sets = materialize(_picked(texts, _ends(pairs), "confirm-ids").mapInArrow(run, "id long, hashes binary"), "shingle-sets")
 
     def check(batches):
         for batch in batches:
@@ -184,20 +203,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack:
     reps = materialize(known.groupBy("class").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        near = materialize(_near_enough(pairs, reps, similarity, slack), f"near-{name}")
-        return materialize(_confirm(near, texts, shingle, percent), f"links-{name}")
+    def linked(pairs: DataFrame, name: str) -> DataFrame | None:
+        """The confirmed ones of candidate pairs; None if there are none."""
+        pairs = materialize(pairs, f"pairs-{name}", compact=True)
+        if not pairs.limit(1).count():
+            return None
+        near = materialize(_near_enough(pairs, _picked(reps, _ends(pairs), f"sketch-ids-{name}"), similarity, slack), f"near-{name}", compact=True)
+        if not near.limit(1).count():
+            return None
+        return materialize(_confirm(near, texts, shingle, percent), f"links-{name}", compact=True)
 
     # Texts of one doc_id are one document.
     several = known.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("doc_id")
     links = (known.join(several, "doc_id").join(reps.select("class", "id"), "class").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
 
-    groups = materialize(bands(reps), "bands")
-    links = materialize(links.unionByName(linked(_leaders(groups, similarity), "leaders")), "links")
-    label = components(links, "near-dup")
-    left = materialize(_labelled(groups, label), "open")
-    links = links.unionByName(linked(_within(left, similarity), "small"))
+    groups = materialize(_shared(materialize(bands(reps), "bands")), "shared-bands", compact=True)
+    links = _more(links, linked(_leaders(groups, similarity), "leaders"))
     label = components(links, "near-dup")
+    left = materialize(_labelled(groups.drop("l"), label), "open", compact=True)
+    found = linked(_within(left, similarity), "small")
+    if found is not None:
+        links = _more(links, found)
+        label = components(links, "near-dup")
     label = _finish_large(left, links, label, texts, linked, shingle, percent)
 
     rows = sk.join(reps.select("class", F.col("id").alias("node")), "class", "left").join(label, "node", "left")
@@ -207,43 +234,72 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _more(links: DataFrame, found: DataFrame | None) -> DataFrame:
+    return links if found is None else links.unionByName(found)
+
+
 def _finish_large(left: DataFrame, links: DataFrame, label: DataFrame, texts: DataFrame, linked, shingle: int, percent: int) -> DataFrame:
     """Meet the pairs of large buckets that still lie in different components under their rarest shingles; returns the final labels."""
     similarity = percent / 100
     members = _labelled(left.where(F.col("c") > SMALL).select("key", "id", "n"), label)
-    members = materialize(members.select("id", "n").distinct(), "open-members")
+    members = materialize(members.select("id", "n").distinct(), "open-members", compact=True)
     if not members.limit(1).count():
         return label
 
-    def run(batches):
+    mine = _picked(texts, members.select("id"), "open-ids")
+    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+
+    def count(batches):
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in text_slices(batch):
+                for s in _sets(part.column("text"), shingle):
+                    seen += np.bincount((s >> shift).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["slot", "seen"])
+
+    # Rarity: how often a shingle's slot occurs, one number for each of SLOTS slots whatever the corpus.
+    rarity = np.zeros(SLOTS, np.int64)
+    for r in mine.mapInArrow(count, "slot long, seen long").groupBy("slot").agg(F.sum("seen").alias("seen")).collect():
+        rarity[r.slot] = r.seen
+
+    def prefixes(batches):
         for batch in batches:
             for part in text_slices(batch):
                 for i, s in enumerate(_sets(part.column("text"), shingle)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), part.column("id")[i].as_py(), np.int64)), pa.array(s.view(np.int64))], names=["id", "h"])
-
-    post = texts.join(members, "id", "left_semi").mapInArrow(run, "id long, h long").join(members, "id")
-    post = materialize(post, "open-shingles")
-    df = post.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    rare = Window.partitionBy("id").orderBy("df", "h")
-    prefix = (post.join(df, "h", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", F.row_number().over(rare))
-              .where(F.expr(f"at <= n - ceil(n * {percent} / 100.0) + 1") & (F.col("df") > 1)).select(F.col("h").alias("key"), "id", "n"))
-    prefix = materialize(prefix, "prefix")
-    met = None
+                    n, d = len(s), rarity[(s >> shift).astype(np.int64)]
+                    take = np.lexsort((s, d))[: n + (-n * percent) // 100 + 1]
+                    at = np.arange(1, len(take) + 1)
+                    leads = at <= n + (-n * 2 * percent) // (100 + percent) + 1
+                    on = d[take] > 1
+                    k = int(on.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(s[take][on].view(np.int64)), pa.array(np.full(k, part.column("id")[i].as_py(), np.int64)), pa.array(np.full(k, n, np.int64)),
+                                                      pa.array(at[on]), pa.array(leads[on])], names=["key", "id", "n", "at", "leads"])
+
+    # By rarity, a pair over the threshold shares a shingle that is in one's index prefix and in the other's longer probe prefix.
+    prefix = materialize(mine.mapInArrow(prefixes, "key long, id long, n long, at long, leads boolean").distinct(), "prefix")
+    met, most = None, LEADERS
     while True:
-        todo = prefix if met is None else prefix.join(met, ["key", "id"], "left_anti")
-        todo = materialize(_labelled(todo, label), "todo")
-        if not todo.limit(1).count():
-            return label
-        # Small groups meet in full; of a large one, some leaders meet the rest. Chunks keep the choice of leaders off a single task.
+        todo = materialize(_labelled(prefix, label), "todo", compact=True)
+        open_ = todo.where("leads") if met is None else todo.where("leads").join(met, ["key", "id"], "left_anti")
+        # Some of a group's leaders meet the rest, of different components first. Chunks keep their choice off a single task.
         chunk = Window.partitionBy("key", F.expr("pmod(xxhash64(id), 64)")).orderBy("id")
-        whole = Window.partitionBy("key").orderBy("id")
-        lead = (todo.where(F.col("c") > SMALL).withColumn("r", F.row_number().over(chunk)).where(F.col("r") <= SMALL)
-                .withColumn("r", F.row_number().over(whole)).where(F.col("r") <= SMALL)
-                .select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")))
-        lead = materialize(lead, "leaders")
-        star = todo.join(lead, "key").where("component <> c_a").select("a", F.col("id").alias("b"), "n_a", F.col("n").alias("n_b"))
-        star = star.where(_meetable(similarity)).select("a", "b")
-        links = links.unionByName(linked(_within(todo, similarity).unionByName(star).distinct(), "rare"))
-        label = components(links, "near-dup")
-        done = todo.where(F.col("c") <= SMALL).select("key", "id").unionByName(lead.select("key", F.col("a").alias("id")))
-        met = materialize(done if met is None else met.unionByName(done), "met")
+        turn = Window.partitionBy("key", "component").orderBy("id")
+        whole = Window.partitionBy("key").orderBy("turn", "id")
+        lead = (open_.withColumn("r", F.row_number().over(chunk)).where(F.col("r") <= most).withColumn("turn", F.row_number().over(turn))
+                .withColumn("r", F.row_number().over(whole)).where(F.col("r") <= most)
+                .select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c_a")))
+        lead = materialize(lead, "leaders", compact=True)
+        if not lead.limit(1).count():
+            return label
+        # If this is the first shingle that a pair shares, the rest of the intersection lies behind both places.
+        rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) + 1
+        can = (F.col("component") != F.col("c_a")) & (rest * (100 + percent) >= percent * (F.col("n_a") + F.col("n")))
+        star = todo.join(lead, "key").where(can & (F.least("n_a", "n") >= similarity * F.greatest("n_a", "n") - 1e-6))
+        found = linked(star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "rare")
+        if found is not None:
+            links = _more(links, found)
+            label = components(links, "near-dup")
+        done = lead.select("key", F.col("a").alias("id"))
+        met = materialize(done if met is None else met.unionByName(done), "met", compact=True)
+        most *= GROW

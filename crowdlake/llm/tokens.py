@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 
 import numpy as np

@@ -154,7 +154,9 @@ def near_texts():
 
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(hyperminhash, "SMALL", 4)
-    monkeypatch.setattr(hyperminhash, "RARE", 8)
+    monkeypatch.setattr(hyperminhash, "LEADERS", 1)
+    monkeypatch.setattr(hyperminhash, "GROW", 2)
+    monkeypatch.setattr(hyperminhash, "BROADCAST_IDS", 20)
     rows = near_texts()
     got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 4, 80)
