@@ -1,10 +1,9 @@
-"""Splits, metrics, the per-sensor learner, forecast state, streaming vs batch."""
+"""Splits, metrics, forecast state, streaming vs batch."""
 
 import datetime as dt
 import os
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
