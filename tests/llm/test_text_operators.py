@@ -304,6 +304,19 @@ def test_templates_match_brute_force(spark):
     assert {(r.doc, i) for r in got for i in r.dropped} == brute_templates(rows)
 
 
+def test_short_and_varied_lines(spark):
+    """By hand, without the operator's constants: short lines from three documents on, lines with variable words at every length."""
+    names = ["anna", "bert", "carl", "dora"]
+    rows = [(d, "\n".join(["All rights reserved.", "les.", *(["just twice"] if d < 2 else []), f"the user named {n}",
+                           f"the account of {n} logged in from {m} today", f"we wish {'every' * (d + 1)} {n} {m}", f"{n} wrote this line alone"]))
+            for d, (n, m) in enumerate(zip(names, ["home", "work", "school", "abroad"]))]
+    got = {r.doc_id: r for r in lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[0].text == rows[0][1]
+    for d, (_, text) in list(enumerate(rows))[1:]:
+        stay = [x for x in text.split("\n") if x == "just twice" or x.startswith("we wish") or x.endswith("alone")]
+        assert got[d].text.split("\n") == stay and got[d].n_dropped == 4
+
+
 def test_mixture(spark, mixed, empty):
     out = mixing.mix(mixed, part=(1, 1), epochs=2)
     assert out.columns == [c for c in mixed.columns if c != "domain"] + ["domain", "n_tokens", "epoch"]
