@@ -4,11 +4,15 @@ Vectors go to the ``OVERLAP`` nearest of some centres, the first of which owns t
 vectors has several shards, dealt by a hash. Each shard's task builds a graph over its vectors: batches of doubling size are searched for
 in the graph so far, and each vector's candidates are pruned robustly (a candidate goes if a kept one is closer to it by the
 factor ``ALPHA``), edges both ways. The adjacency lists of the shards are united by vector. A second job searches: each
-vector is looked for, from the medoid, in the shards of its ``PROBES`` nearest centres, by a greedy search with a beam that then expands through all neighbours in
+vector is looked for, from the medoid, in the shards of its nearest centres, as many as a measurement over all shards asks for, by a greedy search with a beam that then expands through all neighbours in
 range until none is new. What it finds is verified with double-precision cosines. Each shard audits some of its searches against brute force
 and widens its beam while their recall is below ``RECALL``; a shard that stays below it at ``WIDEST`` is compared in blocks, which its
 bounded size allows.
 
+The number of centres is measured on asked vectors whose links are found by brute force against all rows: the least number, ``PROBES`` or more, with
+which ``REACH`` of an asked vector's links, on average, have their owner among its centres. More vectors are asked until ``LINKED`` of them have links, up to ``MOST_ASKED``;
+if too few have, vectors made at the threshold cosine, in random directions, are the links.
+
 A found vector is counted in the shard that owns it only, so counts add up without any list of pairs; for the
 components a task hands on one edge per vector to its root among the links it saw. Equal vectors are one class from the start,
 weighted with its size.
@@ -33,6 +37,8 @@ WIDEST = 128
 #: Vectors that the centres are fitted on; every vector is indexed.
 SAMPLE = 20_000
 _BLOCK = 512
+#: Vectors asked first and at most, how many of them must have links, and the share of links that the probed centres must own.
+ASKED, MOST_ASKED, LINKED, REACH = 512, 8_192, 64, 0.98
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
@@ -242,14 +248,78 @@ def _search_shard(cosine: float):
     return run
 
 
-def _assign(fit: DataFrame, shard: int) -> DataFrame:
-    """Each class with its ``PROBES`` nearest centres, one row each: ``id, v, weight, dim, centre, place`` (0: the nearest)."""
+def _truth(fit: DataFrame, dim: int, ids: np.ndarray, q: np.ndarray, c: np.ndarray, cosine: float):
+    """All links of the asked vectors, by brute force: arrays of the ask, the rank of the owner among the ask's centres, and the weight."""
+    rank = np.argsort(np.argsort(-(q @ c.T), 1, kind="stable"), 1)
+
+    def run(batches):
+        for batch in batches:
+            vid, weight = batch.column("id").to_numpy(), batch.column("weight").to_numpy()
+            x = batch.column("v").flatten().to_numpy().reshape(len(vid), -1)
+            for a in range(0, len(x), _BLOCK):
+                part = x[a: a + _BLOCK]
+                owner = np.argmax(part @ c.T, 1)
+                i, j = np.nonzero(part @ q.T >= cosine)
+                other = vid[a + i] != ids[j]
+                i, j = i[other], j[other]
+                key, at = np.unique(j * len(c) + rank[j, owner[i]], return_inverse=True)
+                if len(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(key // len(c)), pa.array(key % len(c)), pa.array(np.bincount(at, weight[a + i]).astype(np.int64))], names=["ask", "rank", "n"])
+
+    found = fit.where(F.col("dim") == dim).select("id", "v", "weight").mapInArrow(run, "ask long, rank long, n long").groupBy("ask", "rank").agg(F.sum("n").alias("n")).toArrow()
+    return tuple(found.column(n).to_numpy() for n in ("ask", "rank", "n"))
+
+
+def _reach(ask: np.ndarray, rank: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """For 1 to ``k`` probes: the share of an ask's links whose owner is probed, averaged over the asks that have links."""
+    names, at = np.unique(ask, return_inverse=True)
+    share = np.bincount(rank, n / np.bincount(at, n)[at], k) if len(names) else np.zeros(k)
+    return np.cumsum(share) / max(len(names), 1)
+
+
+def _made_ranks(q: np.ndarray, c: np.ndarray, cosine: float) -> np.ndarray:
+    """The rank, among each vector's centres, of the owner of a vector made at the threshold cosine to it."""
+    u = np.random.RandomState(11).randn(*q.shape)
+    u -= (u * q).sum(1)[:, None] * q
+    u /= np.maximum(np.linalg.norm(u, axis=1), 1e-12)[:, None]
+    owner = np.argmax((cosine * q + np.sqrt(max(1 - cosine * cosine, 0)) * u) @ c.T, 1)
+    order = np.argsort(-(q @ c.T), 1, kind="stable")
+    return np.argmax(order == owner[:, None], 1)
+
+
+def measure(fit: DataFrame, dim: int, n: int, c: np.ndarray, cosine: float):
+    """The number of centres to probe, and the asked ids with the weight of their links."""
+    many = ASKED
+    while True:
+        rows = fit.where(F.col("dim") == dim).orderBy(F.xxhash64("id", F.lit(1))).limit(many).select("id", "v").collect()
+        ids, q = np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows])
+        ask, rank, weight = _truth(fit, dim, ids, q, c, cosine)
+        enough = len(np.unique(ask)) >= LINKED
+        if enough or many >= min(n, MOST_ASKED):
+            break
+        many *= 4
+    if not enough and many < n:  # all vectors asked is the truth itself
+        made = _made_ranks(q, c, cosine)
+        probes = int(np.argmax(_reach(np.arange(len(made)), made, np.ones(len(made)), len(c)) >= REACH)) + 1
+    elif len(ask):
+        probes = int(np.argmax(_reach(ask, rank, weight, len(c)) >= REACH - 1e-9)) + 1
+    else:
+        probes = 1
+    return max(probes, PROBES), dict(zip(ids.tolist(), np.bincount(ask, weight, len(ids)).astype(int).tolist()))
+
+
+def fit_centres(fit: DataFrame, shard: int) -> dict[int, tuple[int, np.ndarray]]:
+    """The number of classes and the centres for each vector length."""
     totals = {r["dim"]: r["n"] for r in fit.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row per vector length
     fitted = {}
     for dim, n in totals.items():
         some = fit.where(F.col("dim") == dim).orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()
-        fitted[dim] = centres(np.array([r["v"] for r in some]), max(1, min(-(-n // shard), len(some) // 16)))
+        fitted[dim] = n, centres(np.array([r["v"] for r in some]), max(1, min(-(-n // shard), len(some) // 16)))
+    return fitted
+
 
+def _assign(fit: DataFrame, fitted: dict[int, np.ndarray], probes: dict[int, int]) -> DataFrame:
+    """Each class with its nearest centres, one row each: ``id, v, weight, dim, centre, place`` (0: the nearest)."""
     def run(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -257,7 +327,7 @@ def _assign(fit: DataFrame, shard: int) -> DataFrame:
                 part = batch.filter(pa.array(dims == dim))
                 c = fitted[int(dim)]
                 x = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
-                order = np.argsort(-(x @ c.T), 1, kind="stable")[:, :PROBES]
+                order = np.argsort(-(x @ c.T), 1, kind="stable")[:, :probes[int(dim)]]
                 k = order.shape[1]
                 take = pa.array(np.repeat(np.arange(part.num_rows), k))
                 yield pa.RecordBatch.from_arrays([*(part.column(n).take(take) for n in ("id", "v", "weight", "dim")), pa.array(order.ravel()), pa.array(np.tile(np.arange(k), part.num_rows))],
@@ -284,7 +354,9 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", emb
     rows = materialize(rows, "unit-vectors")
     fit = rows.where("id is not null").groupBy("id").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v"))
     fit = materialize(fit.withColumn("dim", F.size("v")), "vector-classes")
-    placed = materialize(_assign(fit, shard), "vector-places")
+    fitted = fit_centres(fit, shard)
+    measured = {dim: measure(fit, dim, n, c, cosine) for dim, (n, c) in fitted.items()}
+    placed = materialize(_assign(fit, {dim: c for dim, (_, c) in fitted.items()}, {dim: m[0] for dim, m in measured.items()}), "vector-places")
     index = placed.where(F.col("place") < OVERLAP)
     parts = index.groupBy("dim", "centre").agg(F.ceil(F.count("*") / (shard * OVERLAP)).cast("long").alias("parts"))  # a row per centre
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
