@@ -5,9 +5,10 @@ vectors has several shards, dealt by a hash. Each shard's task builds a graph ov
 in the graph so far, and each vector's candidates are pruned robustly (a candidate goes if a kept one is closer to it by the
 factor ``ALPHA``), edges both ways. The adjacency lists of the shards are united by vector. A second job searches: each
 vector is looked for, from the medoid, in the shards of its nearest centres, as many as a measurement over all shards asks for, by a greedy search with a beam that then expands through all neighbours in
-range until none is new. What it finds is verified with double-precision cosines. Each shard audits some of its searches against brute force
-and widens its beam while their recall is below ``RECALL``; a shard that stays below it at ``WIDEST`` is compared in blocks, which its
-bounded size allows.
+range until none is new. What it finds is verified with double-precision cosines. Each shard audits some of its searches against brute force,
+drawn until they have ``LINKS`` links to other vectors, and widens its beam while their mean recall is below ``RECALL``; a shard that stays below it at
+``WIDEST``, or in which ``MOST_AUDIT`` searches have fewer links, is compared in blocks, which its bounded size allows. At the end the counts of the asked vectors are
+held against brute force over all rows: below ``OVERALL``, on average over those with links, all shards are compared in blocks, and then more centres probed, up to all.
 
 The number of centres is measured on asked vectors whose links are found by brute force against all rows: the least number, ``PROBES`` or more, with
 which ``REACH`` of an asked vector's links, on average, have their owner among its centres. More vectors are asked until ``LINKED`` of them have links, up to ``MOST_ASKED``;
@@ -34,6 +35,7 @@ from .common import components, materialize
 SHARD, OVERLAP, PROBES = 3_000, 2, 5
 DEGREE, POOL, BEAM, ALPHA, RECALL, AUDIT = 24, 48, 32, 1.2, 0.97, 24
 WIDEST = 128
+LINKS, MOST_AUDIT, OVERALL = 32, 384, 0.95
 #: Vectors that the centres are fitted on; every vector is indexed.
 SAMPLE = 20_000
 _BLOCK = 512
@@ -185,7 +187,23 @@ def _build_shard(table: pa.Table) -> pa.Table:
     return pa.table({"id": ids, "near": pa.array([f.tolist() for f in flat], pa.list_(pa.int64()))})
 
 
-def _search_shard(cosine: float):
+def _audited(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, cosine: float) -> tuple[np.ndarray, list[np.ndarray], bool]:
+    """Asks drawn until they have enough links, those of them with links, and whether there were enough or no more to draw."""
+    order = np.random.RandomState(3).permutation(len(qid))[:MOST_AUDIT]
+    probe, exact, links = [], [], 0
+    for a in range(0, len(order), AUDIT):
+        for i, near in zip(order[a: a + AUDIT], q[order[a: a + AUDIT]] @ v.T >= cosine):
+            e = np.flatnonzero(near & (ids != qid[i]))
+            if len(e):
+                probe.append(i)
+                exact.append(e)
+                links += len(e)
+        if links >= LINKS and len(probe) >= min(LINKS // 4, len(qid)):
+            break
+    return np.array(probe, np.int64), exact, links >= LINKS and len(probe) >= min(LINKS // 4, len(qid))
+
+
+def _search_shard(cosine: float, scan: bool = False):
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         nodes, asks = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
@@ -204,21 +222,22 @@ def _search_shard(cosine: float):
             adj[np.repeat(np.arange(len(ids)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = np.where(ids[at] == flat, at, -1)
         x, p = v.astype(np.float32), q.astype(np.float32)
         count, root = np.zeros(len(qid), np.int64), np.arange(len(ids))
-        edges_a, edges_b, beam, hits, truth = [], [], BEAM, 0, 0
+        edges_a, edges_b, beam = [], [], BEAM
         if len(ids):
             entry = int(np.argmax(x @ x.mean(0)))
             least = cosine - 1e-5
-            probe = np.linspace(0, len(qid) - 1, min(AUDIT, len(qid))).astype(int)
-            exact = [np.flatnonzero(v @ q[i] >= cosine) for i in probe]
-            while True:
-                found = range_search(x, adj, entry, p[probe], least, beam)
-                truth = sum(len(e) for e in exact)
-                hits = sum(len(np.intersect1d(e, f)) for e, f in zip(exact, found))
-                if hits >= RECALL * truth or beam >= WIDEST:
-                    break
-                beam *= 2
-            # A graph that the widest beam does not search well enough: this shard's vectors are compared in blocks instead.
-            poor = hits < RECALL * truth
+            # Too few links to judge the graph by, or a graph that the widest beam does not search well enough: this shard's vectors are compared in blocks instead.
+            poor = scan
+            if not scan:
+                probe, exact, enough = _audited(v, ids, q, qid, cosine)
+                poor = not enough
+                while enough:
+                    found = range_search(x, adj, entry, p[probe], least, beam)
+                    recall = np.mean([np.isin(e, f).mean() for e, f in zip(exact, found)])
+                    poor = recall < RECALL
+                    if not poor or beam >= WIDEST:
+                        break
+                    beam *= 2
 
             def top(i):
                 while root[i] != i:
@@ -242,8 +261,8 @@ def _search_shard(cosine: float):
         a = np.array(list(map(int, edges_a)) + [i for i, _ in mine], np.int64)
         b = np.array(real + [j for _, j in mine], np.int64)
         on = count > 0
-        return pa.table({"kind": np.concatenate([np.zeros(on.sum(), np.int64), np.ones(len(a), np.int64), [2]]),
-                         "a": np.concatenate([qid[on], a, [hits]]), "b": np.concatenate([count[on], b, [truth]])})
+        return pa.table({"kind": np.concatenate([np.zeros(on.sum(), np.int64), np.ones(len(a), np.int64)]),
+                         "a": np.concatenate([qid[on], a]), "b": np.concatenate([count[on], b])})
 
     return run
 
@@ -342,8 +361,23 @@ def union_graph(index: DataFrame) -> DataFrame:
     return made.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # OVERLAP lists
 
 
+def _links(fit: DataFrame, fitted: dict[int, np.ndarray], probes: dict[int, int], cosine: float, shard: int, scan: bool) -> DataFrame:
+    """``kind, a, b``: a class and the weight of its links (0, several rows a class), or an edge between classes (1)."""
+    placed = materialize(_assign(fit, fitted, probes), "vector-places")
+    index = placed.where(F.col("place") < OVERLAP)
+    parts = index.groupBy("dim", "centre").agg(F.ceil(F.count("*") / (shard * OVERLAP)).cast("long").alias("parts"))  # a row per centre
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    index = materialize(index.join(parts, ["dim", "centre"]).select("dim", "centre", part.alias("part"), "id", "v", "weight", (F.col("place") == 0).alias("own")), "vector-index")
+    graph = materialize(union_graph(index), "vector-graph")
+    nodes = index.join(graph, "id").select("dim", "centre", "part", F.lit(0).alias("side"), "id", "v", "weight", "own", "near")
+    asks = placed.join(parts, ["dim", "centre"]).select("dim", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"),
+                                                        "id", "v", "weight", F.lit(False).alias("own"), F.array().cast("array<long>").alias("near"))
+    found = nodes.unionByName(asks).groupBy("dim", "centre", "part").applyInArrow(_search_shard(cosine, scan), "kind long, a long, b long")
+    return materialize(found, "vector-links")
+
+
 def near_vectors(df: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """One row per vector, ``vec_id, n_links, component_id, kept``, and the audit, one row with ``hits`` and ``truth``."""
+    """One row per vector, ``vec_id, n_links, component_id, kept``, and the audit, one row with ``hits`` and ``truth``: the asked vectors' links."""
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -356,18 +390,18 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", emb
     fit = materialize(fit.withColumn("dim", F.size("v")), "vector-classes")
     fitted = fit_centres(fit, shard)
     measured = {dim: measure(fit, dim, n, c, cosine) for dim, (n, c) in fitted.items()}
-    placed = materialize(_assign(fit, {dim: c for dim, (_, c) in fitted.items()}, {dim: m[0] for dim, m in measured.items()}), "vector-places")
-    index = placed.where(F.col("place") < OVERLAP)
-    parts = index.groupBy("dim", "centre").agg(F.ceil(F.count("*") / (shard * OVERLAP)).cast("long").alias("parts"))  # a row per centre
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    index = materialize(index.join(parts, ["dim", "centre"]).select("dim", "centre", part.alias("part"), "id", "v", "weight", (F.col("place") == 0).alias("own")), "vector-index")
-    graph = materialize(union_graph(index), "vector-graph")
-    nodes = index.join(graph, "id").select("dim", "centre", "part", F.lit(0).alias("side"), "id", "v", "weight", "own", "near")
-    asks = placed.join(parts, ["dim", "centre"]).select("dim", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"),
-                                                        "id", "v", "weight", F.lit(False).alias("own"), F.array().cast("array<long>").alias("near"))
-    found = nodes.unionByName(asks).groupBy("dim", "centre", "part").applyInArrow(_search_shard(cosine), "kind long, a long, b long")
-    found = materialize(found, "vector-links")
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("others"))
+    probes, scan = {dim: m[0] for dim, m in measured.items()}, False
+    truth = {i: n for _, asked in measured.values() for i, n in asked.items() if n}
+    while True:
+        found = _links(fit, {dim: c for dim, (_, c) in fitted.items()}, probes, cosine, shard, scan)
+        counts = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("others"))
+        asked = df.sparkSession.createDataFrame(list(truth.items()), "id long, truth long")
+        got = asked.join(counts, "id", "left").select(F.coalesce("others", F.lit(0)).alias("hits"), "truth")
+        audit = got.agg(F.sum("hits").alias("hits"), F.sum("truth").alias("truth"), F.avg(F.col("hits") / F.col("truth")).alias("recall")).first()
+        whole = scan and all(probes[dim] >= len(c) for dim, (_, c) in fitted.items())
+        if whole or not truth or audit["recall"] >= OVERALL:
+            break
+        probes, scan = {dim: 2 * n if scan else n for dim, n in probes.items()}, True
     label = components(found.where("kind = 1").select("a", "b"), "vectors").withColumnRenamed("node", "id")
     classes = fit.select("id", "least", "weight").join(counts, "id", "left").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -375,4 +409,4 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", emb
     out = rows.select("vec_id", "id").join(done, "id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-    return out, found.where("kind = 2").agg(F.sum("a").alias("hits"), F.sum("b").alias("truth"))
+    return out, df.sparkSession.createDataFrame([(audit["hits"], audit["truth"])], "hits long, truth long")

@@ -1,6 +1,7 @@
 """Small tests of the operators on vectors against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crowdlake.llm import balltree, flatgraph
@@ -98,6 +99,18 @@ def test_probes_grow_with_centres(spark, monkeypatch):
     assert sum(r.n_links for r in got.collect()) >= 0.97 * ((x @ x.T >= 0.9).sum() - len(x))
 
 
+def test_poor_graph_with_sparse_links_is_noticed():
+    """A graph without edges and one link among 1,000 foreign asks, off the first asks that an audit draws."""
+    x = np.eye(40)
+    q = -np.eye(40)[np.arange(1000) % 40]
+    q[501] = x[39]
+    n = len(x) + len(q)
+    table = pa.table({"side": [0] * 40 + [1] * 1000, "id": np.arange(n), "v": pa.array(np.concatenate([x, q]).tolist()), "weight": np.ones(n, np.int64),
+                      "own": np.arange(n) < 40, "near": pa.array([[]] * n, pa.list_(pa.int64()))})
+    got = flatgraph._search_shard(0.9)(table).to_pylist()
+    assert {(r["kind"], r["a"], r["b"]) for r in got if r["kind"] < 2} == {(0, 541, 1), (1, 541, 39)}
+
+
 def test_near_vectors_edges(spark):
     got, _ = flatgraph.near_vectors(spark.createDataFrame([], SCHEMA))
     assert got.count() == 0
