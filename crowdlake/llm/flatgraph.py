@@ -14,6 +14,11 @@ The number of centres is measured on asked vectors whose links are found by brut
 which ``REACH`` of an asked vector's links, on average, have their owner among its centres. More vectors are asked until ``LINKED`` of them have links, up to ``MOST_ASKED``;
 if too few have, vectors made at the threshold cosine, in random directions, are the links.
 
+Vectors in a tight group, within half the threshold angle of a leader, link to each other by the triangle inequality and meet in no task. Leaders are
+found in the sample, where at least one in ``CROWD`` vectors lies that close; all vectors are then dealt to them. A group stays out of the shards of the centres: its
+members count for a vector all at once where the group's radius proves that all or none are in range, and otherwise the vector is looked for in shards of the
+group's own. The asks of a shard come in blocks of about ``ASKS``, so a task holds one shard and one block, whatever the number of asks.
+
 A found vector is counted in the shard that owns it only, so counts add up without any list of pairs; for the
 components a task hands on one edge per vector to its root among the links it saw. Equal vectors are one class from the start,
 weighted with its size.
@@ -41,6 +46,8 @@ SAMPLE = 20_000
 _BLOCK = 512
 #: Vectors asked first and at most, how many of them must have links, and the share of links that the probed centres must own.
 ASKED, MOST_ASKED, LINKED, REACH = 512, 8_192, 64, 0.98
+#: Asks in a task, the share of the sample that makes a group, and the vectors tried as leaders.
+ASKS, CROWD, TRIED = 20_000, 200, 2_000
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
@@ -56,6 +63,36 @@ def centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+def leaders(sample: np.ndarray, cosine: float) -> np.ndarray:
+    """Unit leaders of the tight groups that hold one in ``CROWD`` vectors of the sample or more."""
+    within, least = _half(cosine), max(32, len(sample) // CROWD)
+    alive, out = np.ones(len(sample), bool), []
+    for i in np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int):
+        if alive[i]:
+            near = alive & (sample @ sample[i] >= within)
+            if near.sum() >= least:
+                v = sample[near].sum(0)
+                v /= np.linalg.norm(v)
+                near |= alive & (sample @ v >= within)
+                alive &= ~near
+                out.append(v)
+    return np.array(out).reshape(-1, sample.shape[1])
+
+
+def _half(cosine: float) -> float:
+    """The cosine of half the threshold angle, a little less: two vectors this close to a third are in range of each other."""
+    return float(np.cos(max(np.arccos(cosine) / 2 - 1e-6, 0)))
+
+
+def _groups(x: np.ndarray, lead: np.ndarray, cosine: float) -> np.ndarray:
+    """The group of each vector, -1: none."""
+    if not len(lead):
+        return np.full(len(x), -1)
+    s = x @ lead.T
+    near = np.argmax(s, 1)
+    return np.where(s[np.arange(len(x)), near] >= _half(cosine), near, -1)
+
+
 def greedy(x: np.ndarray, adj: np.ndarray, entry: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of all queries side by side: the best ``beam`` nodes found for each and their similarities."""
     n = len(q)
@@ -146,9 +183,8 @@ def build(x: np.ndarray) -> np.ndarray:
     return adj
 
 
-def range_search(x: np.ndarray, adj: np.ndarray, entry: int, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-    """For each query the nodes in range that the greedy search and then the expansion through neighbours in range reach."""
-    out = []
+def range_search(x: np.ndarray, adj: np.ndarray, entry: int, q: np.ndarray, least: float, beam: int):
+    """For each query, one after the other, the nodes in range that the greedy search and then the expansion through neighbours in range reach."""
     for a in range(0, len(q), _BLOCK):
         part = q[a: a + _BLOCK]
         ids, sims = greedy(x, adj, entry, part, beam)
@@ -164,8 +200,7 @@ def range_search(x: np.ndarray, adj: np.ndarray, entry: int, q: np.ndarray, leas
                 seen[near] = True
                 edge = near[x[near] @ part[i] >= least]
                 found = np.concatenate([found, edge])
-            out.append(found)
-    return out
+            yield found
 
 
 def _scan(x: np.ndarray, q: np.ndarray, least: float):
@@ -267,8 +302,8 @@ def _search_shard(cosine: float, scan: bool = False):
     return run
 
 
-def _truth(fit: DataFrame, dim: int, ids: np.ndarray, q: np.ndarray, c: np.ndarray, cosine: float):
-    """All links of the asked vectors, by brute force: arrays of the ask, the rank of the owner among the ask's centres, and the weight."""
+def _truth(fit: DataFrame, dim: int, ids: np.ndarray, q: np.ndarray, c: np.ndarray, lead: np.ndarray, cosine: float):
+    """All links of the asked vectors, by brute force (rank 0: links to a group's members): arrays of the ask, the rank of the owner among the ask's centres, and the weight."""
     rank = np.argsort(np.argsort(-(q @ c.T), 1, kind="stable"), 1)
 
     def run(batches):
@@ -281,7 +316,7 @@ def _truth(fit: DataFrame, dim: int, ids: np.ndarray, q: np.ndarray, c: np.ndarr
                 i, j = np.nonzero(part @ q.T >= cosine)
                 other = vid[a + i] != ids[j]
                 i, j = i[other], j[other]
-                key, at = np.unique(j * len(c) + rank[j, owner[i]], return_inverse=True)
+                key, at = np.unique(j * len(c) + np.where(_groups(part, lead, cosine)[i] >= 0, 0, rank[j, owner[i]]), return_inverse=True)
                 if len(key):
                     yield pa.RecordBatch.from_arrays([pa.array(key // len(c)), pa.array(key % len(c)), pa.array(np.bincount(at, weight[a + i]).astype(np.int64))], names=["ask", "rank", "n"])
 
@@ -306,13 +341,13 @@ def _made_ranks(q: np.ndarray, c: np.ndarray, cosine: float) -> np.ndarray:
     return np.argmax(order == owner[:, None], 1)
 
 
-def measure(fit: DataFrame, dim: int, n: int, c: np.ndarray, cosine: float):
+def measure(fit: DataFrame, dim: int, n: int, c: np.ndarray, lead: np.ndarray, cosine: float):
     """The number of centres to probe, and the asked ids with the weight of their links."""
     many = ASKED
     while True:
         rows = fit.where(F.col("dim") == dim).orderBy(F.xxhash64("id", F.lit(1))).limit(many).select("id", "v").collect()
         ids, q = np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows])
-        ask, rank, weight = _truth(fit, dim, ids, q, c, cosine)
+        ask, rank, weight = _truth(fit, dim, ids, q, c, lead, cosine)
         enough = len(np.unique(ask)) >= LINKED
         if enough or many >= min(n, MOST_ASKED):
             break
@@ -327,32 +362,92 @@ def measure(fit: DataFrame, dim: int, n: int, c: np.ndarray, cosine: float):
     return max(probes, PROBES), dict(zip(ids.tolist(), np.bincount(ask, weight, len(ids)).astype(int).tolist()))
 
 
-def fit_centres(fit: DataFrame, shard: int) -> dict[int, tuple[int, np.ndarray]]:
-    """The number of classes and the centres for each vector length."""
+def fit_centres(fit: DataFrame, shard: int, cosine: float) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """The number of classes, the centres and the groups' leaders for each vector length."""
     totals = {r["dim"]: r["n"] for r in fit.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row per vector length
     fitted = {}
     for dim, n in totals.items():
-        some = fit.where(F.col("dim") == dim).orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()
-        fitted[dim] = n, centres(np.array([r["v"] for r in some]), max(1, min(-(-n // shard), len(some) // 16)))
+        some = np.array([r["v"] for r in fit.where(F.col("dim") == dim).orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()])
+        lead = leaders(some, cosine)
+        loose = some[_groups(some, lead, cosine) < 0] if len(lead) else some
+        loose = loose if len(loose) else some
+        fitted[dim] = n, centres(loose, max(1, min(-(-n // shard), len(loose) // 16))), lead
     return fitted
 
 
-def _assign(fit: DataFrame, fitted: dict[int, np.ndarray], probes: dict[int, int]) -> DataFrame:
-    """Each class with its nearest centres, one row each: ``id, v, weight, dim, centre, place`` (0: the nearest)."""
+def _group_sizes(fit: DataFrame, lead: dict[int, np.ndarray], cosine: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each vector length, of each group: the angle that holds all members, their weight, and the smallest id."""
+    def run(batches):
+        for batch in batches:
+            dims, ids, weight = (batch.column(n).to_numpy() for n in ("dim", "id", "weight"))
+            for dim in np.unique(dims):
+                part, mine = batch.filter(pa.array(dims == dim)), dims == dim
+                x = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
+                g = _groups(x, lead[int(dim)], cosine)
+                for j in np.unique(g[g >= 0]):
+                    on = g == j
+                    yield pa.RecordBatch.from_pydict({"dim": [dim], "g": [j], "cos": [float((x[on] @ lead[int(dim)][j]).min())], "weight": [int(weight[mine][on].sum())], "id": [int(ids[mine][on].min())]},
+                                                     pa.schema([("dim", pa.int32()), ("g", pa.int64()), ("cos", pa.float64()), ("weight", pa.int64()), ("id", pa.int64())]))
+
+    out = {dim: (np.zeros(len(l)), np.zeros(len(l), np.int64), np.zeros(len(l), np.int64)) for dim, l in lead.items()}
+    if any(map(len, lead.values())):
+        sizes = fit.mapInArrow(run, "dim int, g long, cos double, weight long, id long").groupBy("dim", "g").agg(F.min("cos").alias("cos"), F.sum("weight").alias("weight"), F.min("id").alias("id"))
+        for r in sizes.collect():  # a row per leader
+            radius, weight, least = out[r["dim"]]
+            radius[r["g"]], weight[r["g"]], least[r["g"]] = np.arccos(min(r["cos"], 1.0)), r["weight"], r["id"]
+    return out
+
+
+def _reaches(x: np.ndarray, g: np.ndarray, lead: np.ndarray, radius: np.ndarray, weight: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector and group: whether all members are in range, and whether some may be."""
+    angle, most = np.arccos(np.clip(x @ lead.T, -1, 1)), np.arccos(cosine)
+    own = g[:, None] == np.arange(len(lead))
+    every = own | (angle + radius <= most - 1e-7)
+    return every & (weight > 0), ~every & (angle - radius <= most + 1e-7) & (weight > 0)
+
+
+def _whole_groups(fit: DataFrame, lead: dict, sizes: dict, cosine: float) -> DataFrame:
+    """``kind, a, b`` as ``_links`` has them: links to all members of a group at once."""
+    def run(batches):
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                ids, own = part.column("id").to_numpy(), part.column("weight").to_numpy()
+                x = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
+                radius, weight, least = sizes[int(dim)]
+                g = _groups(x, lead[int(dim)], cosine)
+                i, j = np.nonzero(_reaches(x, g, lead[int(dim)], radius, weight, cosine)[0])
+                n = weight[j] - np.where(g[i] == j, own[i], 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], len(i))), pa.array(np.tile(ids[i], 2)), pa.array(np.concatenate([n, least[j]]))], names=["kind", "a", "b"])
+
+    return fit.mapInArrow(run, "kind long, a long, b long").where("kind = 1 or b > 0")
+
+
+def _assign(fit: DataFrame, fitted: dict[int, np.ndarray], probes: dict[int, int], lead: dict, sizes: dict, cosine: float) -> DataFrame:
+    """Each class with its nearest centres, and the groups (numbered behind the centres) that it is in or may reach in part:
+    ``id, v, weight, dim, centre, node, own, ask``: whether it is indexed there, first of all there, and looked for there."""
     def run(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                c = fitted[int(dim)]
+                c, l = fitted[int(dim)], lead[int(dim)]
                 x = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
                 order = np.argsort(-(x @ c.T), 1, kind="stable")[:, :probes[int(dim)]]
                 k = order.shape[1]
-                take = pa.array(np.repeat(np.arange(part.num_rows), k))
-                yield pa.RecordBatch.from_arrays([*(part.column(n).take(take) for n in ("id", "v", "weight", "dim")), pa.array(order.ravel()), pa.array(np.tile(np.arange(k), part.num_rows))],
-                                                 names=["id", "v", "weight", "dim", "centre", "place"])
+                g = _groups(x, l, cosine)
+                place, loose = np.tile(np.arange(k), len(x)), np.repeat(g < 0, k)
+                member = np.flatnonzero(g >= 0)
+                some, to = np.nonzero(_reaches(x, g, l, *sizes[int(dim)][:2], cosine)[1]) if len(l) else (member[:0], member[:0])
+                take = pa.array(np.concatenate([np.repeat(np.arange(len(x)), k), member, some]))
+                centre = np.concatenate([order.ravel(), len(c) + g[member], len(c) + to])
+                yes, no = np.ones(len(member), bool), np.zeros(len(some), bool)
+                yield pa.RecordBatch.from_arrays([*(part.column(n).take(take) for n in ("id", "v", "weight", "dim")), pa.array(centre), pa.array(np.concatenate([loose & (place < OVERLAP), yes, no])),
+                                                  pa.array(np.concatenate([loose & (place == 0), yes, no])), pa.array(np.concatenate([np.ones(len(place), bool), ~yes, ~no]))],
+                                                 names=["id", "v", "weight", "dim", "centre", "node", "own", "ask"])
 
-    return fit.mapInArrow(run, "id long, v array<double>, weight long, dim int, centre long, place long")
+    return fit.mapInArrow(run, "id long, v array<double>, weight long, dim int, centre long, node boolean, own boolean, ask boolean")
 
 
 def union_graph(index: DataFrame) -> DataFrame:
@@ -361,18 +456,22 @@ def union_graph(index: DataFrame) -> DataFrame:
     return made.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # OVERLAP lists
 
 
-def _links(fit: DataFrame, fitted: dict[int, np.ndarray], probes: dict[int, int], cosine: float, shard: int, scan: bool) -> DataFrame:
+def _links(fit: DataFrame, fitted: dict, probes: dict[int, int], lead: dict, sizes: dict, cosine: float, shard: int, scan: bool) -> DataFrame:
     """``kind, a, b``: a class and the weight of its links (0, several rows a class), or an edge between classes (1)."""
-    placed = materialize(_assign(fit, fitted, probes), "vector-places")
-    index = placed.where(F.col("place") < OVERLAP)
-    parts = index.groupBy("dim", "centre").agg(F.ceil(F.count("*") / (shard * OVERLAP)).cast("long").alias("parts"))  # a row per centre
+    placed = materialize(_assign(fit, fitted, probes, lead, sizes, cosine), "vector-places")
+    parts = placed.groupBy("dim", "centre").agg(F.ceil(F.count_if("node") / (shard * OVERLAP)).cast("long").alias("parts"),
+                                                F.ceil(F.count_if("ask") / ASKS).cast("long").alias("blocks"))  # a row per centre
+    parts = parts.where("parts > 0 and blocks > 0")
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    index = materialize(index.join(parts, ["dim", "centre"]).select("dim", "centre", part.alias("part"), "id", "v", "weight", (F.col("place") == 0).alias("own")), "vector-index")
+    index = materialize(placed.where("node").join(parts, ["dim", "centre"]).select("dim", "centre", part.alias("part"), "blocks", "id", "v", "weight", "own"), "vector-index")
     graph = materialize(union_graph(index), "vector-graph")
-    nodes = index.join(graph, "id").select("dim", "centre", "part", F.lit(0).alias("side"), "id", "v", "weight", "own", "near")
-    asks = placed.join(parts, ["dim", "centre"]).select("dim", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"),
-                                                        "id", "v", "weight", F.lit(False).alias("own"), F.array().cast("array<long>").alias("near"))
-    found = nodes.unionByName(asks).groupBy("dim", "centre", "part").applyInArrow(_search_shard(cosine, scan), "kind long, a long, b long")
+    each = [F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(n[:-1]) for n in ("parts", "blocks")]
+    nodes = index.join(graph, "id").select("dim", "centre", "part", each[1], F.lit(0).alias("side"), "id", "v", "weight", "own", "near")
+    asks = placed.where("ask").join(parts, ["dim", "centre"]).select("dim", "centre", each[0], F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).alias("block"), F.lit(1).alias("side"),
+                                                                     "id", "v", "weight", F.lit(False).alias("own"), F.array().cast("array<long>").alias("near"))
+    found = nodes.unionByName(asks).groupBy("dim", "centre", "part", "block").applyInArrow(_search_shard(cosine, scan), "kind long, a long, b long")
+    if any(map(len, lead.values())):
+        found = found.unionByName(_whole_groups(fit, lead, sizes, cosine))
     return materialize(found, "vector-links")
 
 
@@ -388,17 +487,19 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", emb
     rows = materialize(rows, "unit-vectors")
     fit = rows.where("id is not null").groupBy("id").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v"))
     fit = materialize(fit.withColumn("dim", F.size("v")), "vector-classes")
-    fitted = fit_centres(fit, shard)
-    measured = {dim: measure(fit, dim, n, c, cosine) for dim, (n, c) in fitted.items()}
+    fitted = fit_centres(fit, shard, cosine)
+    measured = {dim: measure(fit, dim, *f, cosine) for dim, f in fitted.items()}
+    lead = {dim: f[2] for dim, f in fitted.items()}
+    sizes = _group_sizes(fit, lead, cosine)
     probes, scan = {dim: m[0] for dim, m in measured.items()}, False
     truth = {i: n for _, asked in measured.values() for i, n in asked.items() if n}
     while True:
-        found = _links(fit, {dim: c for dim, (_, c) in fitted.items()}, probes, cosine, shard, scan)
+        found = _links(fit, {dim: f[1] for dim, f in fitted.items()}, probes, lead, sizes, cosine, shard, scan)
         counts = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("others"))
         asked = df.sparkSession.createDataFrame(list(truth.items()), "id long, truth long")
         got = asked.join(counts, "id", "left").select(F.coalesce("others", F.lit(0)).alias("hits"), "truth")
         audit = got.agg(F.sum("hits").alias("hits"), F.sum("truth").alias("truth"), F.avg(F.col("hits") / F.col("truth")).alias("recall")).first()
-        whole = scan and all(probes[dim] >= len(c) for dim, (_, c) in fitted.items())
+        whole = scan and all(probes[dim] >= len(f[1]) for dim, f in fitted.items())
         if whole or not truth or audit["recall"] >= OVERALL:
             break
         probes, scan = {dim: 2 * n if scan else n for dim, n in probes.items()}, True

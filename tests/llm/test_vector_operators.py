@@ -111,6 +111,27 @@ def test_poor_graph_with_sparse_links_is_noticed():
     assert {(r["kind"], r["a"], r["b"]) for r in got if r["kind"] < 2} == {(0, 541, 1), (1, 541, 39)}
 
 
+def test_tight_groups_are_exact_and_stay_out_of_the_shards(spark, monkeypatch):
+    """Two tight groups near each other, and vectors at every distance around them: exact links once shards are scanned, and no group in the shards of the centres."""
+    monkeypatch.setattr(flatgraph, "OVERALL", 2.0)
+    rng = np.random.RandomState(4)
+    a, b = np.eye(8)[0], np.array([np.cos(0.4), np.sin(0.4)] + [0.0] * 6)
+    x = np.concatenate([a + 0.02 * rng.randn(150, 8), b + 0.02 * rng.randn(100, 8), rng.randn(100, 8), a + rng.randn(100, 8) * np.linspace(0, 0.4, 100)[:, None]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lead = flatgraph.leaders(x, 0.9)
+    assert len(lead) == 2
+    g = flatgraph._groups(x, lead, 0.9)
+    near = x @ x.T >= 0.9
+    assert all(near[np.ix_(g == j, g == j)].all() and (g == j).sum() >= 100 for j in range(2))
+    got, _ = flatgraph.near_vectors(frame(spark, x), cosine=0.9, shard=1000)
+    assert {r.vec_id: r.n_links for r in got.collect()} == {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
+    fit = spark.createDataFrame([(i, [float(c) for c in v], 1, 8) for i, v in enumerate(x)], "id long, v array<double>, weight long, dim int")
+    centre = {8: np.eye(8)[:2]}
+    rows = flatgraph._assign(fit, centre, {8: 2}, {8: lead}, flatgraph._group_sizes(fit, {8: lead}, 0.9), 0.9).collect()
+    assert {r.id for r in rows if r.node and r.centre < 2} == set(np.flatnonzero(g < 0).tolist())
+    assert not [r for r in rows if r.ask and g[r.id] >= 0 and r.centre == 2 + g[r.id]]  # no member is looked for in its own group
+
+
 def test_near_vectors_edges(spark):
     got, _ = flatgraph.near_vectors(spark.createDataFrame([], SCHEMA))
     assert got.count() == 0
