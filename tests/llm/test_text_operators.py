@@ -260,6 +260,30 @@ def test_character_probabilities_sum_to_one(spark):
         assert np.exp(model.log_probability(grams)).sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_limits_come_from_held_out_documents(spark, monkeypatch):
+    """The calibrating model has learned from no document it is calibrated on; few documents, or none outside fold 1, are no error."""
+    from crowdlake.llm import langid
+
+    seen, train, calibrate = {}, langid.train, langid.calibrate
+
+    def trained(docs):
+        spec = train(docs)
+        seen[id(spec)] = spec, {r.doc_id for r in docs.select("doc_id").collect()}
+        return spec
+
+    def calibrated(docs, spec):
+        assert not seen[id(spec)][1] & {r.doc_id for r in docs.select("doc_id").collect()}
+        return calibrate(docs, spec)
+
+    monkeypatch.setattr(langid, "train", trained)
+    monkeypatch.setattr(langid, "calibrate", calibrated)
+    rows = [(i, f"the old house by the river number{i % 7} stood empty" if i % 2 else f"das alte haus am fluss nummer{i % 7} stand leer", "en" if i % 2 else "de") for i in range(40)]
+    for some in (rows, [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string")
+        got = langid.identify(docs, *langid.learn(docs), ["doc_id", "lang"]).collect()
+        assert len(got) == len(some) and all(r.lang == r.lang_pred and not r.rejected for r in got)
+
+
 def test_recurring_lines(spark, mixed, empty):
     passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     changed = passage.replace(" paa ", " xx ").replace("pcb", "other")
