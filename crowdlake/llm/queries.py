@@ -91,7 +91,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op7_transducer_token_counts, op8_best_fit_packing, op9_flat_graph_dedup, op10_template_line_dedup)}
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its 400-byte strings that start elsewhere too: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    from .suffixes import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), length=400).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op7_transducer_token_counts, op8_best_fit_packing, op9_flat_graph_dedup, op10_template_line_dedup, op11_suffix_array_dedup)}
 
 
 def queries() -> dict:
