@@ -99,7 +99,14 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op7_transducer_token_counts, op8_best_fit_packing, op9_flat_graph_dedup, op10_template_line_dedup, op11_suffix_array_dedup)}
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, per source: part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
+    from .filteraudit import audit
+
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op7_transducer_token_counts, op8_best_fit_packing, op9_flat_graph_dedup, op10_template_line_dedup, op11_suffix_array_dedup, op13_filter_interaction_audit)}
 
 
 def queries() -> dict:
@@ -109,8 +116,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
+    from .filteraudit import OP13_SQL
     from .mixing import OP4_SQL
 
     import corpus_pipeline
 
-    return {"op4_mix_sources": OP4_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_mix_sources": OP4_SQL, "op13_filter_interaction_audit": OP13_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
