@@ -99,6 +99,13 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_blocked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item: item_id, rank, doc_id, score."""
+    from .lexical import search
+
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders, per source: part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
     from .filteraudit import audit
@@ -106,7 +113,7 @@ def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op7_transducer_token_counts, op8_best_fit_packing, op9_flat_graph_dedup, op10_template_line_dedup, op11_suffix_array_dedup, op13_filter_interaction_audit)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_hyperminhash_dedup, op3_ball_tree_top_k, op4_mix_sources, op5_kneser_ney_score, op6_language_id, op7_transducer_token_counts, op8_best_fit_packing, op9_flat_graph_dedup, op10_template_line_dedup, op11_suffix_array_dedup, op12_blocked_lexical_search, op13_filter_interaction_audit)}
 
 
 def queries() -> dict:
@@ -117,8 +124,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     from .filteraudit import OP13_SQL
+    from .lexical import OP12_SQL
     from .mixing import OP4_SQL
 
     import corpus_pipeline
 
-    return {"op4_mix_sources": OP4_SQL, "op13_filter_interaction_audit": OP13_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_mix_sources": OP4_SQL, "op12_blocked_lexical_search": OP12_SQL, "op13_filter_interaction_audit": OP13_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
