@@ -7,7 +7,8 @@ Method: per-term geometric blocking.
     1. Texts become vectors over the queries' terms, in shards of up to ``SHARD`` documents; lengths and document counts cover all rows.
     2. In each shard the posting list of every term is clustered by document similarity: members go to the nearest of evenly taken
        members by the inner product of random projections of their weighted vectors. Each block stores the largest impact of
-       every coordinate of its documents. The table of blocks is written.
+       every coordinate of its documents. A task writes its shards' blocks to one file; the table of shards that finished tasks
+       return names file and place, so that nothing of a lost task is read.
     3. A query goes through its terms from the rarest to the most common. A document is due in the list of the rarest of the query's
        terms that it holds, so a block's summary needs the coordinates of its term and the more common ones only. The inner product
        of query and summary bounds the scores of the documents that are due in the block; a block is skipped only when that bound is below the
@@ -27,13 +28,17 @@ about ``QUERY_BYTES`` of text, dealt by hash, and only such a block, with its te
 from __future__ import annotations
 
 import math
+import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from crowdlake.session import scratch_path
+
+from .common import materialize, open_fs, text_slices
 from .textbytes import LOWER, mix64, powers, text_bytes
 
 #: Documents of one shard.
@@ -43,7 +48,9 @@ BLOCK = 64
 #: Bytes of query text that are searched for together.
 QUERY_BYTES = 4 << 20
 #: Entries of block summaries that are sorted at once.
-PIECE = 1 << 22
+PIECE = 1 << 19
+#: Bytes of text that are searched for terms at once.
+SLICE = 1 << 20
 #: Blocks of a shard that are scored for the first bound.
 FIRST = 4
 _DIMS = 16
@@ -54,10 +61,11 @@ for _lo, _hi in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CODES = np.random.RandomState(29).randint(1, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _inverse = np.ones(1, np.uint64)
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 VECTORS = "ids binary, none binary, n binary, off binary, terms binary, tfs binary, held array<int>, df array<long>, docs long, total long"
-INDEX = ("ids binary, none binary, off binary, terms binary, impacts binary, lists binary, blocks binary, members binary, edges binary, "
-         "coords binary, most binary, seed_query array<int>, seed_score array<long>")
+_VECTOR_FIELDS = ("ids", "none", "n", "off", "terms", "tfs")
+INDEX = "file string, at long, packed array<long>, plain array<long>, seed_query array<int>, seed_score array<long>"
 
 
 def weight(n_docs: int, df: int) -> int:
@@ -110,7 +118,7 @@ def _search_block(docs: DataFrame, block: DataFrame, k: int) -> DataFrame:
     places = np.full(max(1, len(vocabulary)), -1, np.int32)
     for t, p in place.items():
         places[t] = p
-    index = materialize(vectors.mapInArrow(_blocks(places, weights, plan, n_docs or 0, total or 0, k), INDEX), "blocks")
+    index = materialize(vectors.select(*_VECTOR_FIELDS).mapInArrow(_blocks(scratch_path(spark, "blocks"), places, weights, plan, n_docs or 0, total or 0, k), INDEX), "shards")
     best = Window.partitionBy("q").orderBy(F.desc("s"))
     seeds = (index.select(F.explode(F.arrays_zip("seed_query", "seed_score")).alias("x")).select(F.col("x.seed_query").alias("q"), F.col("x.seed_score").alias("s"))
              .withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("q", "s").collect())
@@ -174,7 +182,7 @@ def _vectors(vocabulary: list[bytes]):
         kept: list[tuple] = []
         size = 0
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=SLICE):
                 kept.append((part.column("doc_id"), *counts(part)))
                 size += part.num_rows
                 if size >= SHARD:
@@ -240,7 +248,24 @@ class Shard:
 
     @classmethod
     def read(cls, row: dict) -> Shard:
-        return cls(**{k: np.frombuffer(row[k], t) for k, t in cls.FIELDS.items()})
+        store, path = open_fs(row["file"])
+        out, at = {}, row["at"]
+        with store.open_input_file(path) as f:
+            for (k, t), size, plain in zip(cls.FIELDS.items(), row["packed"], row["plain"]):
+                out[k] = np.frombuffer(_CODEC.decompress(f.read_at(size, at), plain), t)
+                at += size
+        return cls(**out)
+
+    def write(self, stream) -> tuple[list[int], list[int]]:
+        """Append the arrays to a file; their packed and plain sizes."""
+        packed, plain = [], []
+        for k, t in self.FIELDS.items():
+            raw = np.ascontiguousarray(getattr(self, k), t)
+            data = _CODEC.compress(raw)
+            stream.write(data)
+            packed.append(len(data))
+            plain.append(raw.nbytes)
+        return packed, plain
 
     @classmethod
     def build(cls, row: dict, places: np.ndarray, weights: np.ndarray, n_docs: int, total: int) -> Shard:
@@ -364,20 +389,32 @@ def _summaries(post, starts, row_end, terms, impact) -> tuple[np.ndarray, np.nda
     return np.concatenate(edge), np.concatenate(coords), np.concatenate(most)
 
 
-def _blocks(places, weights, plan, n_docs, total, k):
+def _blocks(folder, places, weights, plan, n_docs, total, k):
     def run(batches):
         dense = np.zeros(max(1, len(weights)), np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard = Shard.build(batch.slice(i, 1).to_pylist()[0], places, weights, n_docs, total)
-                query, score = [], []
-                for q, (at, coef) in enumerate(plan):
-                    s = shard.top(at, coef, dense, 1, k, only=FIRST)[1][:k]
-                    query += [q] * len(s)
-                    score += s.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(getattr(shard, f), t).tobytes()], pa.binary()) for f, t in Shard.FIELDS.items()]
-                                                 + [pa.array([query], pa.list_(pa.int32())), pa.array([score], pa.list_(pa.int64()))],
-                                                 names=[*Shard.FIELDS, "seed_query", "seed_score"])
+        file, stream = f"{folder}/{uuid.uuid4().hex}", None
+        try:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    if stream is None:
+                        store, path = open_fs(file)
+                        store.create_dir(os.path.dirname(path), recursive=True)
+                        stream, at = store.open_output_stream(path), 0
+                    shard = Shard.build(batch.slice(i, 1).to_pylist()[0], places, weights, n_docs, total)
+                    query, score = [], []
+                    for q, (terms, coef) in enumerate(plan):
+                        s = shard.top(terms, coef, dense, 1, k, only=FIRST)[1][:k]
+                        query += [q] * len(s)
+                        score += s.tolist()
+                    packed, plain = shard.write(stream)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([file]), pa.array([at]), pa.array([packed], pa.list_(pa.int64())), pa.array([plain], pa.list_(pa.int64())),
+                         pa.array([query], pa.list_(pa.int32())), pa.array([score], pa.list_(pa.int64()))],
+                        names=["file", "at", "packed", "plain", "seed_query", "seed_score"])
+                    at += sum(packed)
+        finally:
+            if stream is not None:
+                stream.close()
     return run
 
 
