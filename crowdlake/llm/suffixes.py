@@ -86,7 +86,8 @@ def _repeated(keyed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     sizes = distinct.groupBy("value").agg(F.sum(F.col("rep.n") + (length - 1)).alias("bytes"))
     total = distinct.select(F.sum(F.col("rep.n").cast("long") + (length - 1)).alias("t")).first().t or 0
     shards = max(1, -(-int(total) // SHARD))
-    large = sizes.where(F.col("bytes") > SHARD).select("value", F.ceil(F.col("bytes") / SHARD).cast("int").alias("parts"))
+    large = materialize(sizes.where(F.col("bytes") > SHARD).select("value", F.ceil(F.col("bytes") / SHARD).cast("int").alias("parts")),
+                        "large-keys", compact=True)
     placed = distinct.join(large, "value", "left").select(
         "value", "d1", "d2", (F.col("copies") > 1).alias("copies"), "rep", F.coalesce("parts", F.lit(0)).alias("parts"),
         F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("value"), F.lit(shards))).otherwise(F.col("value")).alias("g1"),
