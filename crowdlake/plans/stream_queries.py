@@ -41,10 +41,10 @@ def _readings_stream(spark, d):
 
 @q("stream_latest_reading")
 def q_stream_latest_reading(spark, d):
-    sink = scratch_path(spark, "latest_sink")
-    ST.run_available(ST.stream_latest_reading(_readings_stream(spark, d)), sink,
-                     scratch_path(spark, "latest_ckpt"), mode="complete", foreach_batch=ST.overwrite_sink(sink))
-    return spark.read.parquet(sink)
+    latest = ST.stream_latest_reading(_readings_stream(spark, d))
+    table = ST.latest_reading_sink(scratch_path(spark, "latest_table"))
+    ST.run_available(latest, None, scratch_path(spark, "latest_ckpt"), mode="update", foreach_batch=table.upserter())
+    return table.read(spark, latest.schema)
 
 
 ORACLE["stream_latest_reading"] = O.W("latest_counts") + "SELECT sensor, \"count\", ts, event_id FROM latest_counts"
@@ -98,11 +98,11 @@ VESSEL_WINDOW_MINUTES = 1440
 @q("stream_vessel_window")
 def q_stream_vessel_window(spark, d):
     path, schema = _land(SI.vessels(spark, d), spark, "vessels_src")
-    stream = ST.file_stream(spark, path, schema, max_files_per_trigger=1)
-    root = scratch_path(spark, "vessel_state")
-    ST.run_available(stream, None, scratch_path(spark, "vessel_ckpt"),
-                     foreach_batch=ST.vessel_window_upsert(root, VESSEL_WINDOW_MINUTES))
-    return ST.vessel_window_table(spark, root).select("id_str", "time_utc", "lon", "lat", "speed_cm_s")
+    changes = ST.stream_latest_in_window(ST.file_stream(spark, path, schema, max_files_per_trigger=1), VESSEL_WINDOW_MINUTES)
+    table = ST.vessel_window_sink(scratch_path(spark, "vessel_table"))
+    ST.run_available(changes, None, scratch_path(spark, "vessel_ckpt"), foreach_batch=ST.vessel_window_upsert(table))
+    return (ST.vessel_window_table(spark, table, changes.schema, VESSEL_WINDOW_MINUTES)
+            .select("id_str", "time_utc", "lon", "lat", "speed_cm_s"))
 
 
 ORACLE["stream_vessel_window"] = O.W("vessels") + """, rw AS (

@@ -15,16 +15,13 @@ vessel within the window of the newest time seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crowdlake.functions.scalars import crowd_flow, instant_to_utc_ntz, utc_ntz_to_instant
 from crowdlake.operators.windows import DEFAULT_LAGS, DEFAULT_ROLLING
+from crowdlake.streaming.keyed import KeyedTable
+from crowdlake.streaming.state import FeatureRing, LatestInWindow, rocksdb_state
 
 WATERMARK = "15 minutes"
 
@@ -50,13 +47,19 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
 
 def stream_latest_reading(readings: DataFrame, key: str = "sensor", ts: str = "ts",
                           tie: str = "event_id", value: str = "count") -> DataFrame:
-    """Running ``max_by`` per sensor; use output mode ``update`` or ``complete``."""
+    """Running ``max_by`` per sensor. In output mode ``update`` a batch emits the sensors it has changed,
+    which ``latest_reading_sink`` merges into a keyed table."""
     order = F.struct(F.col(ts), F.col(tie))
     return readings.groupBy(key).agg(
         F.max_by(F.struct(F.col(value).alias(value), F.col(ts).alias(ts), F.col(tie).alias(tie)), order).alias("_m")
     ).select(key, f"_m.{value}", f"_m.{ts}", f"_m.{tie}")
 
 
+def latest_reading_sink(root: str, key: str = "sensor", ts: str = "ts", tie: str = "event_id", buckets: int = 32) -> KeyedTable:
+    """The keyed table of latest readings: a batch rewrites only the buckets of the sensors it has changed."""
+    return KeyedTable(root, key, [ts, tie], buckets)
+
+
 # ---------------------------------------------------------------------------
 # ops 117-118: flow and history
 # ---------------------------------------------------------------------------
@@ -104,67 +107,43 @@ def stream_frames_3min(flat: DataFrame, key: str = "id", ts: str = "time_utc",
 
 
 # ---------------------------------------------------------------------------
-# op 120: latest vessel positions within the window, upserted per micro-batch
+# op 120: latest vessel positions within the window, as changes into a keyed table
 # ---------------------------------------------------------------------------
 
-def vessel_window_upsert(state_root: str, window_minutes: float = 15, key: str = "id_str",
-                         ts: str = "time_utc", tie: str = "event_id", keep_versions: int = 3):
-    """``foreachBatch`` function keeping the latest position per vessel within the window.
+def stream_latest_in_window(positions: DataFrame, window_minutes: float = 15, key: str = "id_str",
+                            ts: str = "time_utc", tie: str = "event_id") -> DataFrame:
+    """Changes of "latest row per key within the window behind the newest event time" (append mode, RocksDB state).
+
+    One row of state per key; a batch emits an ``upsert`` for each key with a newer row and a ``delete`` for each key whose row
+    the watermark, which trails the newest event by the window, has passed - with or without new data of
+    that key. So work and output follow the batch, not the table. Rows older than the window are dropped as they come.
+    """
+    kinds = dict(positions.dtypes)
+    columns = [c for c in positions.columns if c != key]
+    schema = ", ".join(f"`{c}`: {kinds[c]}" for c in columns)
+    out = ", ".join([f"`{key}` {kinds[key]}"] + [f"`{c}` {kinds[c]}" for c in columns] + ["change string"])
+    s = with_event_time(positions, ts).withWatermark("event_time", f"{int(window_minutes * 60_000)} milliseconds")
+    return s.groupBy(key).transformWithStateInPandas(LatestInWindow(key, ts, tie, columns, schema), out, "append", "eventTime")
+
+
+def vessel_window_sink(root: str, key: str = "id_str", ts: str = "time_utc", tie: str = "event_id", buckets: int = 32) -> KeyedTable:
+    """The keyed table that the window's changes go to."""
+    return KeyedTable(root, key, [ts, tie], buckets)
+
 
-    Version ``v`` of the state table is written from the newest version before it plus the
-    batch (latest per vessel, then rows older than newest-time minus the
-    window are evicted). Re-running a batch id rewrites the same version, so
-    the sink is idempotent under retries. Readers take ``vessel_window_table``, the newest complete
-    version; the last ``keep_versions`` are kept. A version that exists but cannot be read fails the batch.
+def vessel_window_upsert(table: KeyedTable):
+    """``foreachBatch`` function: upserts and deletes of a batch into the keyed table."""
+    return table.upserter(deleted=lambda: F.col("change") == "delete")
+
+
+def vessel_window_table(spark: SparkSession, table: KeyedTable, schema, window_minutes: float = 15, ts: str = "time_utc") -> DataFrame:
+    """The window's current rows.
+
+    The watermark has millisecond steps and moves after its batch: the bound behind the newest row is applied once more, exactly.
     """
-    from crowdlake.operators.windows import latest_per_key
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = [v for v in _versions(spark, state_root) if v < batch_id]
-        batch = batch.persist()
-        try:
-            merged = batch
-            if done:  # explicit schema: an empty version reads as an empty table
-                merged = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{state_root}/v{max(done)}"))
-            latest = latest_per_key(merged, key, [ts, tie])
-            newest = latest.select(F.max(ts)).scalar()
-            keep = latest.where(F.col(ts) >= F.timestamp_add("SECOND", F.lit(-int(window_minutes * 60)), newest))
-            keep.write.mode("overwrite").parquet(f"{state_root}/v{batch_id}")
-        finally:
-            batch.unpersist()
-        for v in sorted(done)[: -(keep_versions - 1)] if keep_versions > 1 else done:
-            _folder(spark, f"{state_root}/v{v}", delete=True)
-
-    return upsert
-
-
-def vessel_window_table(spark: SparkSession, state_root: str, schema=None) -> DataFrame:
-    """The newest complete version of the vessel window."""
-    done = _versions(spark, state_root)
-    if not done:
-        raise FileNotFoundError(f"no version of the vessel window under {state_root}")
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{state_root}/v{max(done)}")
-
-
-def _folder(spark: SparkSession, path: str, delete: bool = False):
-    """The file system and path object of a folder, which is deleted if asked for."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if delete:
-        fs.delete(p, True)
-    return fs, p
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the versions that were written to their end."""
-    fs, p = _folder(spark, root)
-    if not fs.exists(p):
-        return []
-    names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(p) if s.isDirectory()]
-    return [int(n[1:]) for n, path in names if n[:1] == "v" and n[1:].isdigit() and _folder(spark, f"{path}/_SUCCESS")[0].exists(_folder(spark, f"{path}/_SUCCESS")[1])]
+    rows = table.read(spark, schema).drop("change")
+    newest = rows.select(F.max(ts)).scalar()
+    return rows.where(F.col(ts) >= F.timestamp_add("MICROSECOND", F.lit(-int(window_minutes * 60_000_000)), newest))
 
 
 # ---------------------------------------------------------------------------
@@ -174,75 +153,24 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 def stream_features(readings: DataFrame, key: str = "sensor", ts: str = "ts", tie: str = "event_id",
                     value: str = "count", lags: list[int] | None = None,
                     windows: list[int] | None = None, delay: str = WATERMARK) -> DataFrame:
-    """Lag / rolling features of each reading from bounded per-sensor state.
-
-    ``applyInPandasWithState`` with an event-time watermark: new rows wait in
-    the sensor's state until the watermark passes them, then are processed in
-    (time, tie) order against a ring buffer of the sensor's last
-    ``max(lags, windows)`` values. So rows may arrive out of order within the
-    watermark delay and the output still equals the batch ``lag_and_rolling``
-    for every row older than the watermark; rows arriving behind the watermark
-    (not newer than the buffer) are dropped. A key with pending rows sets an
-    event-time timeout, so its rows are released even if no new data arrives
-    for it. State per sensor: the buffer plus at most ``delay`` of pending rows.
+    """Lag / rolling features of each reading from bounded per-sensor state (append mode, RocksDB state).
+
+    ``transformWithState`` with an event-time timer per sensor: new rows wait in map state, chunk by chunk, until the watermark
+    passes them, and are then released in (time, tie) order against a ring of the sensor's last
+    ``max(lags, windows)`` values in list state. So rows may arrive out of order within the
+    delay and the output still equals the batch ``lag_and_rolling`` for every row older than the watermark; rows
+    behind the watermark are dropped, and a row that comes twice counts once. A backfill of one
+    hot sensor is read back chunk by chunk: memory follows the chunk, not the sensor's rows.
     """
     lags = DEFAULT_LAGS if lags is None else list(lags)
     windows = DEFAULT_ROLLING if windows is None else list(windows)
-    need = max(lags + windows)
     key_type = dict(readings.dtypes)[key]
     feat_cols = [f"lag_{k}" for k in lags] + [f"roll_mean_{n}" for n in windows]
     out_schema = (f"{key} {key_type}, {ts} timestamp_ntz, {tie} bigint, {value} double, "
                   + ", ".join(f"{c} double" for c in feat_cols))
-    state_schema = ("buf_us array<bigint>, buf_tie array<bigint>, buf_val array<double>, "
-                    "pend_us array<bigint>, pend_tie array<bigint>, pend_val array<double>")
-    empty = pd.DataFrame({"_us": pd.Series([], dtype="int64"), "_tie": pd.Series([], dtype="int64"),
-                          "_val": pd.Series([], dtype="float64")})
-
-    def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            buf_us, buf_tie, buf_val, pend_us, pend_tie, pend_val = (list(x) for x in state.get)
-        else:
-            buf_us, buf_tie, buf_val, pend_us, pend_tie, pend_val = [], [], [], [], [], []
-        frames = [p for p in pdfs if len(p)]
-        new = (pd.concat(frames, ignore_index=True) if frames else None)
-        pend = pd.DataFrame({"_us": pend_us, "_tie": pend_tie, "_val": pend_val}).astype(empty.dtypes)
-        if new is not None:
-            add = pd.DataFrame({"_us": pd.to_datetime(new[ts]).astype("int64") // 1000,
-                                "_tie": new[tie].astype("int64"), "_val": new[value].astype(float)})
-            pend = pd.concat([pend, add], ignore_index=True)
-        if buf_us:                                   # behind the buffer: arrived too late
-            last = (buf_us[-1], buf_tie[-1])
-            pend = pend[[(u, t) > last for u, t in zip(pend["_us"], pend["_tie"])]]
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        pend = pend.sort_values(["_us", "_tie"], kind="stable")
-        ready, wait = pend[pend["_us"] <= wm_us], pend[pend["_us"] > wm_us]
-        hist = np.array(buf_val + ready["_val"].tolist(), dtype=float)
-        pos = np.arange(len(buf_val), len(hist))          # positions of the released rows
-        rows = {}
-        for lg in lags:                                   # vectorised: no per-row Python loop
-            src = pos - lg
-            rows[f"lag_{lg}"] = np.where(src >= 0, hist[np.clip(src, 0, None)], np.nan) if len(pos) else []
-        for w in windows:
-            out = np.full(len(pos), np.nan)
-            if len(hist) >= w and len(pos):
-                means = np.lib.stride_tricks.sliding_window_view(hist, w).mean(axis=1)
-                start = pos - w + 1                       # window ending at pos starts here
-                ok = start >= 0
-                out[ok] = means[start[ok]]
-            rows[f"roll_mean_{w}"] = out
-        all_us = buf_us + ready["_us"].tolist()
-        all_tie = buf_tie + ready["_tie"].tolist()
-        state.update((all_us[-need:], all_tie[-need:], hist.tolist()[-need:],
-                      wait["_us"].tolist(), wait["_tie"].tolist(), wait["_val"].tolist()))
-        if len(wait):
-            state.setTimeoutTimestamp(int(-(-int(wait["_us"].min()) // 1000)))
-        yield pd.DataFrame({key: [k[0]] * len(ready),
-                            ts: pd.to_datetime(ready["_us"].to_numpy(), unit="us"),
-                            tie: ready["_tie"].to_numpy(), value: ready["_val"].to_numpy(), **rows})
-
     s = with_event_time(readings, ts).withWatermark("event_time", delay)
-    return s.groupBy(key).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return s.groupBy(key).transformWithStateInPandas(
+        FeatureRing(key, ts, tie, value, lags, windows), out_schema, "append", "eventTime")
 
 
 # ---------------------------------------------------------------------------
@@ -251,19 +179,13 @@ def stream_features(readings: DataFrame, key: str = "sensor", ts: str = "ts", ti
 
 def run_available(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append",
                   fmt: str = "parquet", foreach_batch=None) -> None:
-    """Process everything available now, then stop (``trigger(availableNow=True)``)."""
+    """Process everything available now, then stop (``trigger(availableNow=True)``); state is kept in RocksDB."""
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if foreach_batch is not None:
-        q = w.foreachBatch(foreach_batch).start()
-    else:
-        q = w.format(fmt).option("path", sink_path).start()
+    with rocksdb_state(df.sparkSession):
+        if foreach_batch is not None:
+            q = w.foreachBatch(foreach_batch).start()
+        else:
+            q = w.format(fmt).option("path", sink_path).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-
-
-def overwrite_sink(path: str):
-    """``foreachBatch`` writer for complete / update mode results: the table is rewritten per batch."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-    return write

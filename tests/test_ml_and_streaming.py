@@ -107,21 +107,6 @@ def test_stream_features_out_of_order_equal_batch(spark, tmp_dir):
     assert norm(got) == norm(want) and got.count() == 3 * 25
 
 
-def test_vessel_window_upsert_over_batches(spark, tmp_dir):
-    rows = [("A", T0, 1, 4.8, 52.3, 1.0), ("B", T0 + dt.timedelta(minutes=1), 2, 4.8, 52.3, 1.0),
-            ("A", T0 + dt.timedelta(minutes=20), 3, 4.9, 52.4, 2.0), ("C", T0 + dt.timedelta(minutes=21), 4, 4.7, 52.2, 3.0)]
-    schema = "id_str string, time_utc timestamp_ntz, event_id bigint, lon double, lat double, speed_cm_s double"
-    df = spark.createDataFrame(rows, schema)
-    src = os.path.join(tmp_dir, "vsrc")
-    df.where("event_id <= 2").coalesce(1).write.mode("append").parquet(src)
-    df.where("event_id > 2").coalesce(1).write.mode("append").parquet(src)
-    stream = ST.file_stream(spark, src, df.schema, max_files_per_trigger=1)
-    root = os.path.join(tmp_dir, "state")
-    ST.run_available(stream, None, os.path.join(tmp_dir, "vckpt"), foreach_batch=ST.vessel_window_upsert(root, 15))
-    got = {r.id_str: r.event_id for r in ST.vessel_window_table(spark, root).collect()}
-    assert got == {"A": 3, "C": 4}       # B is older than newest - 15 min
-
-
 def test_recursive_forecast_equals_step_by_step(spark):
     rnd = random.Random(8)
     lags, wins = [1, 2, 3], [2, 3]
