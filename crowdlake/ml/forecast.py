@@ -90,9 +90,9 @@ def recursive_forecast(model: PipelineModel, history: DataFrame, key: str, ts: s
 
 def forecast_vs_actual(forecast: DataFrame, actual: DataFrame, key: str, ts: str, value: str,
                        interval_minutes: int = 3) -> DataFrame:
-    """Forecast beside the mean actual of the same interval; error columns added (left join)."""
+    """Forecast beside the mean actual of the interval its time falls in; error columns added (left join)."""
     from crowdlake.functions.scalars import frame_floor
 
-    act = actual.groupBy(key, frame_floor(ts, interval_minutes).alias(ts)).agg(F.avg(value).alias("actual"))
-    j = forecast.join(act, [key, ts], "left")
+    act = actual.groupBy(key, frame_floor(ts, interval_minutes).alias("_frame")).agg(F.avg(value).alias("actual"))
+    j = forecast.withColumn("_frame", frame_floor(ts, interval_minutes)).join(act, [key, "_frame"], "left").drop("_frame")
     return j.withColumn("error", F.col("prediction") - F.col("actual")).withColumn("abs_error", F.abs("error"))

@@ -10,7 +10,7 @@ close, not bit-equal, and rows with NULL features must be dropped first.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +47,19 @@ def train_global_model(train: DataFrame, feature_cols: list[str], label: str = "
         laid.unpersist()
 
 
+def formula_model(expression: str, prediction: str = "prediction") -> PipelineModel:
+    """A model that is one SQL expression over the input columns: scored, saved and loaded like the trees.
+
+    Use it for baselines (weighted persistence and the like) whose results anyone can recompute.
+    """
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, CAST({expression} AS DOUBLE) AS {prediction} FROM __THIS__")])
+
+
+def with_scaler(scaler: PipelineModel, model: PipelineModel) -> PipelineModel:
+    """One model to save: the fitted scaler in front of a model that was trained on scaled columns."""
+    return PipelineModel([*scaler.stages, *model.stages])
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Score rows; ``prediction`` is added (NULL-feature rows must be removed beforehand)."""
     out = model.transform(df)

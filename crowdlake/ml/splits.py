@@ -7,6 +7,8 @@ resulting position is joined back to the rows.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,25 +89,29 @@ def rolling_folds(df: DataFrame, ts: str, window: int = 200, test: int = 200, n_
     return df.join(tagged.drop("_pos"), ts)
 
 
-def fit_standard_scaler(train: DataFrame, cols: list[str], sample_std: bool = False) -> dict:
-    """Fit: mean and std of each column over ``train`` in ONE aggregation.
+def fit_standard_scaler(train: DataFrame, cols: list[str], sample_std: bool = False) -> PipelineModel:
+    """Fit mean and deviation of each column over ``train`` in one aggregation; the fitted scaler is a pipeline stage.
 
-    Like MLlib's ``StandardScaler``, the fitted model is its statistics — two
-    numbers per feature, held by the driver — so applying it is a plain
-    projection that never re-reads the training rows.
+    The statistics (two numbers per column) stand in the stage itself as exact double literals, so it is
+    saved, loaded, and put in front of a model like any other stage, and applying it is a plain projection. A
+    column that does not vary, or has no values, is divided by 1; the population deviation is used unless ``sample_std``
+    (MLlib's own scaler uses the sample deviation and maps such columns to 0).
     """
     std_fn = F.stddev_samp if sample_std else F.stddev_pop
-    row = train.agg(*[e for c in cols for e in (F.avg(c).alias(f"m_{c}"), std_fn(c).alias(f"s_{c}"))]).first()
-    model = {}
-    for c in cols:
-        std = row[f"s_{c}"]
-        model[c] = (row[f"m_{c}"], 1.0 if std is None or std == 0 else std)
-    return model
-
-
-def apply_standard_scaler(df: DataFrame, model: dict) -> DataFrame:
-    """Transform: ``(x - mean) / std`` with the fitted statistics (zero std scales by 1)."""
-    return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in model.items()})
+    row = train.agg(*[e for i, c in enumerate(cols) for e in (F.avg(f"`{c}`").alias(f"m{i}"), std_fn(f"`{c}`").alias(f"s{i}"))]).first()
+    scaled = []
+    for i, c in enumerate(cols):
+        mean, std = row[f"m{i}"], row[f"s{i}"]
+        std = std if std and std == std else 1.0
+        mean = "CAST(NULL AS DOUBLE)" if mean is None else f"CAST('{mean!r}' AS DOUBLE)"
+        scaled.append(f"(`{c}` - {mean}) / CAST('{std!r}' AS DOUBLE) AS `{c}`")
+    listed = ", ".join(f"`{c}`" for c in cols)
+    return PipelineModel([SQLTransformer(statement=f"SELECT * EXCEPT ({listed}), {', '.join(scaled)} FROM __THIS__")])
+
+
+def apply_standard_scaler(df: DataFrame, scaler: PipelineModel) -> DataFrame:
+    """``(x - mean) / std`` with the fitted statistics, columns in their old order."""
+    return scaler.transform(df).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def standard_scale(df: DataFrame, train: DataFrame, cols: list[str], sample_std: bool = False) -> DataFrame:

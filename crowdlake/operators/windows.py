@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdlake.operators.reshape import location_index
+
 # The feature lists used by the reference's model.
 DEFAULT_LAGS = [1, 2, 3, 5, 10, 20, 30, 40, 50, 60, 75]
 DEFAULT_ROLLING = [3, 5, 10, 20, 40, 60]
@@ -152,3 +154,56 @@ def sliding_window_vectors(hourly_long: DataFrame, key: str, ts: str, value: str
     keep = ((F.col("_i") >= past_hours - 1) & (F.col("_i") < F.col("_n") - horizon)
             & ((F.col("_i") - (past_hours - 1)) % step_hours == 0))
     return out.where(keep).drop("_i", "_n")
+
+
+def hourly_cells(readings: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """The hour-by-sensor table (hour, sensor number, hourly mean), one row per hour of the span and sensor; NULL without readings.
+
+    Sensors are numbered in sorted order. The empty cells come from two sequences (hours, numbers) and meet the real
+    ones in one aggregation; nothing is paired up.
+    """
+    hour = F.date_trunc("hour", F.col(ts)).alias("hour")
+    means = location_index(readings.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).groupBy(hour, key).agg(F.avg(value).alias("v")), key, "s")
+    span = means.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"), F.max("s").alias("top"))
+    empty = (span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hour"), "top")
+             .select("hour", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("s"), F.lit(None).cast("double").alias("v")))
+    return empty.unionByName(means.select("hour", "s", "v")).groupBy("hour", "s").agg(F.max("v").alias("v"))
+
+
+def hourly_window_vectors(readings: DataFrame, key: str, ts: str, value: str, weather: DataFrame | None = None,
+                          weather_hour: str = "hour", weather_cols: list[str] | None = None,
+                          past_hours: int = 3, horizon: int = 1, step_hours: int = 1) -> DataFrame:
+    """One training row per hour over all sensors: ``window_end, features, target, target_ts, n_sensors``.
+
+    ``features`` holds, in this order: the sensors' values of every window hour (hour after hour, oldest first,
+    sensors in sorted order, NULL -> 0); their means and standard deviations (ddof 1) over the window;
+    the weather of the last hour (NULL -> 0); hour, weekday, weekend flag, sine and cosine of the hour. ``target`` is every
+    sensor's value ``horizon`` hours later (NULL stays). Windows that reach before the first or whose target lies behind the
+    last hour are left out; windows end every ``step_hours`` hours.
+
+    Work is hours x sensors x window: each sensor's window runs over its hours (a frame of ``past_hours`` rows),
+    then an hour's cells meet in one row in the sensors' order.
+    """
+    weather_cols = list(weather_cols or [])
+    cells = hourly_cells(readings, key, ts, value).withColumn("v0", F.coalesce("v", F.lit(0.0)))
+    by_hour = Window.partitionBy("s").orderBy("hour")
+    past = by_hour.rowsBetween(1 - past_hours, 0)
+    every = cells.select(
+        "hour", "s", F.collect_list("v0").over(past).alias("past"), F.avg("v0").over(past).alias("mean"),
+        F.coalesce(F.stddev_samp("v0").over(past), F.lit(0.0)).alias("std"),
+        F.lead("v", horizon).over(by_hour).alias("target"), F.lead("hour", horizon).over(by_hour).alias("target_ts"),
+        (F.row_number().over(by_hour) - 1).alias("i"))
+    kept = every.where((F.size("past") == past_hours) & F.col("target_ts").isNotNull() & ((F.col("i") - (past_hours - 1)) % step_hours == 0))
+    rows = kept.groupBy(F.col("hour").alias("window_end"), "target_ts").agg(
+        F.sort_array(F.collect_list(F.struct("s", "past", "mean", "std", "target"))).alias("c"))
+    flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(past_hours - 1)), lambda k: F.transform("c", lambda x: x["past"][k])))
+    if weather is not None:
+        hourly = weather.groupBy(F.col(weather_hour).alias("window_end")).agg(*[F.avg(c).alias(f"w_{c}") for c in weather_cols])
+        rows = rows.join(hourly, "window_end", "left")
+    hour, weekday = F.hour("window_end"), F.weekday("window_end")
+    angle = F.lit(2.0) * F.pi() * hour / F.lit(24.0)
+    clock = F.array(*[x.cast("double") for x in (hour, weekday, (weekday >= 5).cast("int"), F.sin(angle), F.cos(angle))])
+    there = [F.coalesce(F.col(f"w_{c}").cast("double"), F.lit(0.0)) for c in weather_cols] if weather is not None else []
+    parts = [flat, F.transform("c", lambda x: x["mean"]), F.transform("c", lambda x: x["std"])] + ([F.array(*there)] if there else []) + [clock]
+    return rows.select("window_end", F.concat(*parts).alias("features"), F.transform("c", lambda x: x["target"]).alias("target"),
+                       "target_ts", F.size("c").alias("n_sensors"))

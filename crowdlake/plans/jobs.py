@@ -108,7 +108,7 @@ def train_crowd_model(counts: DataFrame, weather: DataFrame, model_path: str, cu
 def score_and_forecast(model, history: DataFrame, now, key: str = "sensor", ts: str = "ts",
                        value: str = "count", frozen: list[str] | None = None,
                        lags: list[int] | None = None, windows: list[int] | None = None,
-                       steps: int = 20, interval_minutes: int = 3) -> DataFrame:
+                       steps: int = 20, interval_minutes: int = 3, checkpoint_every: int = 5) -> DataFrame:
     """The prediction page as one table: history, current, forecast and actual future per sensor.
 
     ``history`` must carry the model's frozen inputs (calendar / weather columns).
@@ -120,7 +120,7 @@ def score_and_forecast(model, history: DataFrame, now, key: str = "sensor", ts:
     frozen = frozen or ["hour", "weekday", "is_weekend"]
     t_now = ntz_lit(now)
     upto = history.where(F.col(ts) <= t_now)
-    fc = recursive_forecast(model, upto, key, ts, value, frozen, steps, interval_minutes, lags, windows)
+    fc = recursive_forecast(model, upto, key, ts, value, frozen, steps, interval_minutes, lags, windows, checkpoint_every)
     horizon = F.timestamp_add("MINUTE", F.lit(steps * interval_minutes), t_now)
     parts = {
         "historic": history.where(F.col(ts) < t_now).select(key, ts, F.col(value).alias("v")),

@@ -15,6 +15,7 @@ import os
 from pyspark.sql import functions as F
 
 from crowdlake.functions.scalars import ntz_lit
+from crowdlake.ml import features as FT
 from crowdlake.ml import forecast as FC
 from crowdlake.ml import models as MD
 from crowdlake.ml import splits as SP
@@ -112,7 +113,8 @@ FROM p JOIN k ON p.pos >= k.start AND p.pos < k.start + 400"""
 def q_standard_scale(spark, d):
     f = Q.features_table(spark, d)
     train = f.where(F.col("ts") < ntz_lit(CUTOFF))
-    out = SP.standard_scale(f, train, SCALE_COLS)
+    path = MD.save_model(SP.fit_standard_scaler(train, SCALE_COLS), scratch_path(spark, "scaler"))
+    out = SP.apply_standard_scaler(f, MD.load_model(path))
     return out.select("sensor", "event_id", *[r6(F.col(c)).alias(c) for c in SCALE_COLS])
 
 
@@ -206,31 +208,176 @@ def _history(spark, d):
     return inputs_table(spark, d).where(F.col("ts") <= ntz_lit(FORECAST_NOW))
 
 
-def _forecast(spark, d):
-    return FC.recursive_forecast(_model(spark, d), _history(spark, d), "sensor", "ts", "count",
+# A formula is plain expressions, which the optimizer would nest step into step: the state is cut after every step.
+#: The baseline beside the boosted trees: weighted persistence with a little weather and clock.
+BASELINE = ("0.4D * `count` + 0.2D * lag_1 + 0.1D * lag_75 + 0.2D * roll_mean_3 + 0.1D * roll_mean_60"
+            " + 0.01D * temperature + 0.05D * hour")
+
+
+def _baseline(spark):
+    """The baseline as it comes back from storage."""
+    return MD.load_model(MD.save_model(MD.formula_model(BASELINE), scratch_path(spark, "baseline")))
+
+
+def _forecast(spark, d, model, checkpoint_every=5):
+    return FC.recursive_forecast(model, _history(spark, d), "sensor", "ts", "count",
                                  FROZEN, steps=20, interval_minutes=3,
-                                 lags=Q.LAGS, windows=Q.ROLLING, checkpoint_every=5)
+                                 lags=Q.LAGS, windows=Q.ROLLING, checkpoint_every=checkpoint_every)
+
+
+def _versus(spark, d, model, checkpoint_every=5):
+    actual = SI.readings(spark, d).where(F.col("ts") > ntz_lit(FORECAST_NOW))
+    return FC.forecast_vs_actual(_forecast(spark, d, model, checkpoint_every), actual, "sensor", "ts", "count", 3)
+
+
+def _series(spark, d, model, checkpoint_every=5):
+    from crowdlake.plans import jobs
+
+    return jobs.score_and_forecast(model, inputs_table(spark, d), FORECAST_NOW, frozen=FROZEN,
+                                   lags=Q.LAGS, windows=Q.ROLLING, steps=20, interval_minutes=3, checkpoint_every=checkpoint_every)
 
 
 @q("recursive_forecast")
 def q_recursive_forecast(spark, d):
-    return _forecast(spark, d)
+    """20 steps of every sensor by the stored baseline formula, which SQL recomputes step by step."""
+    return _forecast(spark, d, _baseline(spark), 1).withColumn("prediction", r6(F.col("prediction")))
+
+
+_CONDITION = "abs(epoch_us(x.datetime) - epoch_us(r.ts)) <= 3600000000"
+_FORECAST_SQL = O.W("readings", "station_clean").replace("WITH ", "WITH RECURSIVE ", 1) + f""", wx AS (
+  SELECT datetime, avg(temperature) AS temperature FROM station_clean GROUP BY 1),
+inputs AS (
+  SELECT r.sensor, r.ts, r.event_id, r."count", hour(r.ts) AS hour, x.temperature
+  FROM readings r LEFT JOIN wx x ON {_CONDITION}
+  QUALIFY row_number() OVER (PARTITION BY r.event_id ORDER BY abs(epoch_us(x.datetime) - epoch_us(r.ts)), x.datetime) = 1),
+hist AS (
+  SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY ts DESC, "count" DESC) AS rn FROM inputs
+  WHERE ts <= TIMESTAMP '2024-01-30 12:00:00'),
+state AS (
+  SELECT sensor, max(ts) AS last_ts, list("count" ORDER BY ts, "count") AS counts,
+         max(hour) FILTER (rn = 1) AS hour, max(temperature) FILTER (rn = 1) AS temperature,
+         count("count") = 76 AS whole
+  FROM hist WHERE rn <= 76 GROUP BY sensor),
+fc AS (
+  SELECT sensor, last_ts, hour, temperature, counts, 0 AS step, CAST(NULL AS DOUBLE) AS prediction FROM state WHERE whole
+  UNION ALL
+  SELECT sensor, last_ts, hour, temperature, list_append(counts[2:], p), step + 1, p
+  FROM (SELECT *, 0.4::DOUBLE * counts[76] + 0.2::DOUBLE * counts[75] + 0.1::DOUBLE * counts[1]
+               + 0.2::DOUBLE * list_sum(counts[74:76]) / 3.0::DOUBLE + 0.1::DOUBLE * list_sum(counts[17:76]) / 60.0::DOUBLE
+               + 0.01::DOUBLE * temperature + 0.05::DOUBLE * hour AS p
+        FROM fc WHERE step < 20)),
+forecast AS (
+  SELECT sensor, step, last_ts + to_minutes(3 * step) AS ts, prediction FROM fc WHERE step > 0
+  UNION ALL
+  SELECT sensor, k, last_ts + to_minutes(3 * k), NULL FROM state, (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS k) WHERE NOT whole)"""
+
+ORACLE["recursive_forecast"] = _FORECAST_SQL + "\nSELECT sensor, CAST(step AS INTEGER) AS step, ts, round(prediction, 6) AS prediction FROM forecast"
 
 
 @q("forecast_vs_actual")
 def q_forecast_vs_actual(spark, d):
-    actual = SI.readings(spark, d).where(F.col("ts") > ntz_lit(FORECAST_NOW))
-    return FC.forecast_vs_actual(_forecast(spark, d), actual, "sensor", "ts", "count", 3)
+    out = _versus(spark, d, _baseline(spark), 1)
+    return out.withColumns({c: r6(F.col(c)) for c in ("prediction", "actual", "error", "abs_error")})
+
+
+ORACLE["forecast_vs_actual"] = _FORECAST_SQL + """, act AS (
+  SELECT sensor, time_bucket(INTERVAL 3 MINUTE, ts) AS frame, avg("count") AS actual FROM readings
+  WHERE ts > TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1, 2)
+SELECT f.sensor, CAST(f.step AS INTEGER) AS step, f.ts, round(prediction, 6) AS prediction, round(actual, 6) AS actual,
+       round(prediction - actual, 6) AS error, round(abs(prediction - actual), 6) AS abs_error
+FROM forecast f LEFT JOIN act a ON f.sensor = a.sensor AND time_bucket(INTERVAL 3 MINUTE, f.ts) = a.frame"""
 
 
 @q("prediction_series")
 def q_prediction_series(spark, d):
     """The prediction page's table (op 91 with the forecast): historic, current,
     20-step forecast and actual future per sensor, via ``jobs.score_and_forecast``."""
-    from crowdlake.plans import jobs
+    return _series(spark, d, _baseline(spark), 1).withColumn("value", r6(F.col("value")))
+
+
+ORACLE["prediction_series"] = _FORECAST_SQL + """
+SELECT sensor, ts, round("count", 6) AS value, CASE WHEN ts < TIMESTAMP '2024-01-30 12:00:00' THEN 'historic'
+         WHEN ts = TIMESTAMP '2024-01-30 12:00:00' THEN 'current' ELSE 'actual_future' END AS type
+FROM readings WHERE ts <= TIMESTAMP '2024-01-30 13:00:00'
+UNION ALL SELECT sensor, ts, round(prediction, 6), 'prediction_multistep' FROM forecast"""
+
+
+@q("recursive_forecast_boosted")
+def q_recursive_forecast_boosted(spark, d):
+    """The same forecast by the boosted trees."""
+    return _forecast(spark, d, _model(spark, d))
+
+
+@q("forecast_vs_actual_boosted")
+def q_forecast_vs_actual_boosted(spark, d):
+    return _versus(spark, d, _model(spark, d))
+
+
+@q("prediction_series_boosted")
+def q_prediction_series_boosted(spark, d):
+    return _series(spark, d, _model(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# training inputs in wide form
+# ---------------------------------------------------------------------------
+
 
-    return jobs.score_and_forecast(_model(spark, d), inputs_table(spark, d), FORECAST_NOW, frozen=FROZEN,
-                                   lags=Q.LAGS, windows=Q.ROLLING, steps=20, interval_minutes=3)
+@q("create_features_wide")
+def q_create_features_wide(spark, d):
+    """The wide table's own path: sensors by column order, weather and calendar per time, incomplete rows kept.
+
+    Means of hourly means have up to nine digits before they end, so rounding to six would meet halves."""
+    wx = Q.station_clean(spark, d).groupBy(F.col("datetime").alias("timestamp")).agg(*[F.avg(c).alias(c) for c in WEATHER])
+    wide = with_calendar(SI.readings_wide(spark, d).withColumnRenamed("hour", "timestamp"), "timestamp").join(wx, "timestamp", "left")
+    out = FT.create_features(wide, "timestamp", SI.WIDE_SENSORS, CALENDAR + WEATHER, Q.LAGS, Q.ROLLING, dropna=False)
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c in ("count", *WEATHER) or c.startswith(("lag_", "roll_mean_"))})
+
+
+ORACLE["create_features_wide"] = O.W("readings_wide", "station_clean") + """, wx AS (
+  SELECT datetime AS "timestamp", """ + ", ".join(f"avg({c}) AS {c}" for c in WEATHER) + """ FROM station_clean GROUP BY 1),
+long AS (
+""" + "\n  UNION ALL ".join(f"""SELECT hour AS "timestamp", '{s}' AS location, CAST({i} AS INTEGER) AS location_id, {s} AS "count" FROM readings_wide"""
+                            for i, s in enumerate(SI.WIDE_SENSORS)) + """)
+SELECT l."timestamp", location, location_id, round("count", 9) AS "count",
+  CAST(hour(l."timestamp") AS INTEGER) AS hour, CAST(minute(l."timestamp") AS INTEGER) AS minute, CAST(day(l."timestamp") AS INTEGER) AS day,
+  CAST(month(l."timestamp") AS INTEGER) AS month, CAST(isodow(l."timestamp") - 1 AS INTEGER) AS weekday,
+  CAST(CASE WHEN isodow(l."timestamp") >= 6 THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,
+  """ + ", ".join(f"round({c}, 9) AS {c}" for c in WEATHER) + ",\n  " +     ", ".join(f'round(lag("count", {k}) OVER w, 9) AS lag_{k}' for k in Q.LAGS) + ",\n  " +     ", ".join(f'CASE WHEN count("count") OVER w{n} = {n} THEN round(avg("count") OVER w{n}, 9) END AS roll_mean_{n}' for n in Q.ROLLING) + """
+FROM long l LEFT JOIN wx ON wx."timestamp" = l."timestamp"
+WINDOW w AS (PARTITION BY location_id ORDER BY l."timestamp"), """ + ", ".join(
+    f'w{n} AS (PARTITION BY location_id ORDER BY l."timestamp" ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)' for n in Q.ROLLING)
+
+
+@q("hourly_window_vectors")
+def q_hourly_window_vectors(spark, d):
+    """One training row per hour over all sensors, with weather and clock."""
+    out = W.hourly_window_vectors(SI.readings(spark, d), "sensor", "ts", "count", Q.station_clean(spark, d), "datetime", WEATHER,
+                                  past_hours=3, horizon=1)
+    return out.withColumns({c: F.transform(c, lambda x: F.round(x, 6)) for c in ("features", "target")})
+
+
+ORACLE["hourly_window_vectors"] = O.W("readings", "station_clean") + """, means AS (
+  SELECT date_trunc('hour', ts) AS hour, sensor, avg("count") AS v FROM readings GROUP BY 1, 2),
+sensors AS (SELECT sensor, row_number() OVER (ORDER BY sensor) AS s FROM (SELECT DISTINCT sensor FROM readings)),
+grid AS (
+  SELECT h.hour, s.sensor, s.s FROM (SELECT unnest(generate_series((SELECT min(hour) FROM means), (SELECT max(hour) FROM means), INTERVAL 1 HOUR)) AS hour) h, sensors s),
+cells AS (SELECT g.hour, g.s, m.v, coalesce(m.v, 0.0) AS v0 FROM grid g LEFT JOIN means m ON g.hour = m.hour AND g.sensor = m.sensor),
+win AS (
+  SELECT hour, s, lag(v0, 2) OVER w AS p1, lag(v0, 1) OVER w AS p2, v0 AS p3, avg(v0) OVER f AS mean, stddev_samp(v0) OVER f AS std,
+         lead(v, 1) OVER w AS target, lead(hour, 1) OVER w AS target_ts
+  FROM cells WINDOW w AS (PARTITION BY s ORDER BY hour), f AS (PARTITION BY s ORDER BY hour ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+vec AS (
+  SELECT hour, target_ts, count(*) AS n, list(round(target, 6) ORDER BY s) AS target,
+         list(round(p1, 6) ORDER BY s) || list(round(p2, 6) ORDER BY s) || list(round(p3, 6) ORDER BY s)
+           || list(round(mean, 6) ORDER BY s) || list(round(std, 6) ORDER BY s) AS f
+  FROM win WHERE p1 IS NOT NULL AND target_ts IS NOT NULL GROUP BY 1, 2),
+wx AS (SELECT datetime, """ + ", ".join(f"avg({c}) AS {c}" for c in WEATHER) + """ FROM station_clean GROUP BY 1)
+SELECT hour AS window_end, target_ts, CAST(n AS INTEGER) AS n_sensors, target,
+       f || [""" + ", ".join(f"round(coalesce({c}, 0.0), 6)::DOUBLE" for c in WEATHER) + """]
+         || [hour(hour)::DOUBLE, (isodow(hour) - 1)::DOUBLE, (CASE WHEN isodow(hour) >= 6 THEN 1 ELSE 0 END)::DOUBLE,
+             round(sin(2.0 * pi() * hour(hour) / 24.0), 6), round(cos(2.0 * pi() * hour(hour) / 24.0), 6)] AS features
+FROM vec LEFT JOIN wx ON wx.datetime = vec.hour"""
 
 
 @q("predict_current")
