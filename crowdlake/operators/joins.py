@@ -24,7 +24,7 @@ def _micros(ts: Column) -> Column:
 
 def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
                  tolerance_minutes: float = 60, right_order: str | None = None,
-                 suffix_ts: str = "matched_ts", split: int = 1) -> DataFrame:
+                 suffix_ts: str = "matched_ts") -> DataFrame:
     """Attach to every left row the right row nearest in time within the tolerance.
 
     pandas ``merge_asof(direction='nearest')`` semantics: the tolerance is
@@ -33,59 +33,53 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     or before the left time and the first when after. Left rows are never
     lost or duplicated.
 
-    Plan (linear, no candidate pairs): the match depends only on the left
-    time, so it is found once per *distinct* left time. Distinct left times
-    and right rows are unioned and partitioned by tolerance-wide time bucket;
-    every right row is also copied into the two neighbouring buckets, so a
-    bucket holds every right row that can be within tolerance of its left
-    times. Inside a bucket one running window yields, for each left time, the
-    latest right row at or before it, and another the earliest right row at
-    or after it; the nearer one is kept. Both windows share one shuffle on the
-    bucket; the result is joined back to the left rows on the time.
-
-    ``split`` narrows buckets to ``tolerance / split`` so that a burst of left
-    times inside one tolerance window spreads over ``split`` tasks; each right
-    row is then copied into the ``2*split + 1`` buckets it can match. The
-    result is the same for every ``split``.
+    Plan (linear, no candidate pairs, no copies of rows): both sides become one table of distinct times, whatever the number of
+    rows at a time, cut into blocks of a second (or of the tolerance, if that is shorter). ``nearest_times`` finds
+    each left time's neighbours inside its block and takes those of blocks without right times from a carry over the table of blocks.
+    Only the matched time is joined to the right side, which is reduced to the first and the last
+    row of each time.
     """
     tol_us = int(tolerance_minutes * 60 * 1_000_000)
-    width = max(1, tol_us // max(1, int(split)))
     right_cols = [c for c in right.columns if c != right_on]
-    order_col = right_order or right_on
-    payload_fields = [F.col("_t").alias(suffix_ts)] + [F.col(c) for c in right_cols]
-
-    lt = (left.select(F.col(left_on).alias("_t")).where(F.col("_t").isNotNull()).distinct()
-          .withColumn("_b", F.floor(_micros(F.col("_t")) / F.lit(width))))
-    r = right.where(F.col(right_on).isNotNull()).select(
-        F.col(right_on).alias("_t"), F.col(order_col).alias("_rord"), *right_cols)
-    r = r.withColumn("_p", F.struct(*payload_fields)).select("_t", "_rord", "_p")
-    lo = F.floor((_micros(F.col("_t")) - F.lit(tol_us)) / F.lit(width))
-    hi = F.floor((_micros(F.col("_t")) + F.lit(tol_us)) / F.lit(width))
-    r = r.withColumn("_b", F.explode(F.sequence(lo, hi)))
-    r = r.withColumn("_is_left", F.lit(False))
-    lt = lt.select("_t", "_b", F.lit(True).alias("_is_left"),
-                   F.lit(None).cast(r.schema["_rord"].dataType).alias("_rord"),
-                   F.lit(None).cast(r.schema["_p"].dataType).alias("_p"))
-    u = lt.unionByName(r.select("_t", "_b", "_is_left", "_rord", "_p"))
-
-    # latest right at or before: right rows sort before a left row of the same time
-    before = (Window.partitionBy("_b").orderBy(F.col("_t"), F.col("_is_left"), F.col("_rord"))
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # earliest right at or after: right rows sort after a left row of the same time
-    after = (Window.partitionBy("_b").orderBy(F.col("_t"), (~F.col("_is_left")), F.col("_rord"))
-             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    m = u.select("_t", "_b", "_is_left",
-                 F.last("_p", ignorenulls=True).over(before).alias("_prev"),
-                 F.first("_p", ignorenulls=True).over(after).alias("_next"))
-    m = m.where(F.col("_is_left"))
-    d_prev = _micros(F.col("_t")) - _micros(F.col(f"_prev.{suffix_ts}"))
-    d_next = _micros(F.col(f"_next.{suffix_ts}")) - _micros(F.col("_t"))
-    prev_ok = F.col("_prev").isNotNull() & (d_prev <= F.lit(tol_us))
-    next_ok = F.col("_next").isNotNull() & (d_next <= F.lit(tol_us))
-    best = F.when(prev_ok & (~next_ok | (d_prev <= d_next)), F.col("_prev")).when(next_ok, F.col("_next"))
-    best_df = m.select(F.col("_t").alias("_lts"), best.alias("_m"))
-    best_df = best_df.select("_lts", *[F.col(f"_m.{c}").alias(c) for c in [suffix_ts] + right_cols])
-    return left.join(best_df, left[left_on] == best_df["_lts"], "left").drop("_lts")
+    payload = F.struct(F.col(right_on).alias(suffix_ts), *[F.col(c) for c in right_cols])
+    order = F.struct(F.col(right_order or right_on).alias("o"))
+    reduced = right.where(F.col(right_on).isNotNull()).groupBy(_micros(F.col(right_on)).alias("_rt")).agg(
+        F.min_by(payload, order).alias("_first"), F.max_by(payload, order).alias("_last"))
+    found = nearest_times(left.select(_micros(F.col(left_on)).alias("us")), right.select(_micros(F.col(right_on)).alias("us")), tol_us)
+    best = found.join(reduced, found["match"] == reduced["_rt"]).select(
+        "us", F.when(F.col("match") <= F.col("us"), F.col("_last")).otherwise(F.col("_first")).alias("_m"))
+    best = best.select(F.col("us").alias("_lts"), *[F.col(f"_m.{c}").alias(c) for c in [suffix_ts] + right_cols])
+    return left.join(best, _micros(left[left_on]) == best["_lts"], "left").drop("_lts")
+
+
+def nearest_times(left: DataFrame, right: DataFrame, tolerance: int, block: int = 1_000_000) -> DataFrame:
+    """The nearest right time (``match``) of every distinct left time within ``tolerance``; both sides hold a column ``us`` of whole numbers.
+
+    Carry over ordered blocks, in three levels of bounded size: a window over the times of a block; one over the blocks of a span, which is as
+    wide as the tolerance at least; and the neighbouring spans' last and first right time by equi-joins - nothing farther can match.
+    Of two right times at the same distance the earlier one is taken.
+    """
+    width = max(1, min(block, tolerance))
+    per_span = max(1, -(-tolerance // width))
+    both = (left.where("us IS NOT NULL").select("us", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("r"))
+            .unionByName(right.where("us IS NOT NULL").select("us", F.lit(False).alias("asks"), F.col("us").alias("r"))))
+    times = both.groupBy("us").agg(F.max("asks").alias("asks"), F.max("r").alias("r")).withColumn("b", F.floor(F.col("us") / F.lit(width)))
+    blocks = times.groupBy("b").agg(F.max("r").alias("last"), F.min("r").alias("first")).withColumn("s", F.floor(F.col("b") / F.lit(per_span)))
+    spans = blocks.where("last IS NOT NULL").groupBy("s").agg(F.max("last").alias("last"), F.min("first").alias("first"))
+    in_span = Window.partitionBy("s").orderBy("b")
+    carry = blocks.select("b", "s", F.max("last").over(in_span.rowsBetween(Window.unboundedPreceding, -1)).alias("p"),
+                          F.min("first").over(in_span.rowsBetween(1, Window.unboundedFollowing)).alias("n"))
+    carry = (carry.join(spans.select((F.col("s") + 1).alias("s"), F.col("last").alias("_p")), "s", "left")
+             .join(spans.select((F.col("s") - 1).alias("s"), F.col("first").alias("_n")), "s", "left")
+             .select("b", F.coalesce("p", "_p").alias("p"), F.coalesce("n", "_n").alias("n")))
+    in_block = Window.partitionBy("b").orderBy("us")
+    near = times.select("us", "asks", "b", F.max("r").over(in_block.rowsBetween(Window.unboundedPreceding, 0)).alias("before"),
+                        F.min("r").over(in_block.rowsBetween(0, Window.unboundedFollowing)).alias("after"))
+    near = near.where("asks").join(carry, "b").select("us", F.coalesce("before", "p").alias("before"), F.coalesce("after", "n").alias("after"))
+    back, ahead = F.col("us") - F.col("before"), F.col("after") - F.col("us")
+    match = (F.when((back <= tolerance) & (ahead.isNull() | (ahead > tolerance) | (back <= ahead)), F.col("before"))
+             .when(ahead <= tolerance, F.col("after")))
+    return near.select("us", match.alias("match")).where("match IS NOT NULL")
 
 
 # ---------------------------------------------------------------------------

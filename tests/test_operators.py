@@ -53,10 +53,10 @@ def test_flow_and_arrow_bands(spark):
 # as-of nearest
 # ---------------------------------------------------------------------------
 
-def _asof(spark, left_rows, right_rows, tol=60, split=1):
+def _asof(spark, left_rows, right_rows, tol=60):
     left = spark.createDataFrame(left_rows, "lid int, ts timestamp_ntz")
     right = spark.createDataFrame(right_rows, "ts timestamp_ntz, rid int, v string")
-    out = J.asof_nearest(left, right, "ts", "ts", tol, right_order="rid", split=split)
+    out = J.asof_nearest(left, right, "ts", "ts", tol, right_order="rid")
     return {r.lid: r.v for r in out.collect()}
 
 
@@ -210,8 +210,8 @@ def test_asof_dense_duplicates_and_exact_hits(spark):
     rnd = random.Random(9)
     left = [(i, T0 + dt.timedelta(minutes=rnd.randrange(0, 600, 5))) for i in range(300)]
     right = [(T0 + dt.timedelta(minutes=rnd.randrange(0, 600, 10)), j, f"w{j}") for j in range(200)]
-    for tol, split in ((7, 1), (30, 1), (30, 4)):
-        got = _asof(spark, left, right, tol=tol, split=split)
+    for tol in (7, 30):
+        got = _asof(spark, left, right, tol=tol)
         lp = pd.DataFrame(left, columns=["lid", "ts"]).sort_values("ts", kind="stable")
         rp = pd.DataFrame(right, columns=["ts", "rid", "v"]).sort_values(["ts", "rid"], kind="stable")
         exp = pd.merge_asof(lp, rp, on="ts", direction="nearest", tolerance=pd.Timedelta(minutes=tol))
@@ -219,6 +219,33 @@ def test_asof_dense_duplicates_and_exact_hits(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("tolerance,block", [(40, 7), (40, 40), (5, 100), (1000, 3), (1, 1)])
+def test_nearest_times_over_narrow_blocks(spark, tolerance, block):
+    """Times that reach over many empty blocks, spans and signs, against a plain search."""
+    rnd = random.Random(tolerance)
+    left = [rnd.randrange(-900, 900) for _ in range(200)] + [0, 0]
+    right = [rnd.randrange(-900, 900) for _ in range(60)]
+    frames = [spark.createDataFrame([(x,) for x in side] + [(None,)], "us long").repartition(3) for side in (left, right)]
+    got = {r.us: r.match for r in J.nearest_times(*frames, tolerance, block).collect()}
+    want = {}
+    for x in left:
+        d, m = min((abs(y - x), y) for y in right)
+        if d <= tolerance:
+            want[x] = m
+    assert got == want and len(got) > 5
+
+
+def test_asof_plan_reads_each_side_of_a_hot_time_once(spark):
+    """A third of both sides at one time: the windows see one row of it, and no row is copied."""
+    left = spark.createDataFrame([(i, t(0) if i % 3 == 0 else t(i)) for i in range(600)], "lid int, ts timestamp_ntz")
+    right = spark.createDataFrame([(t(0) if i % 3 == 0 else t(i), i) for i in range(300)], "ts timestamp_ntz, rid int")
+    out = J.asof_nearest(left, right, "ts", "ts", 60, right_order="rid")
+    assert out.where("lid % 3 = 0").select("rid").distinct().collect() == [(297,)] and out.count() == 600
+    times = J.nearest_times(left.selectExpr("unix_micros(cast(ts as timestamp)) AS us"), right.selectExpr("unix_micros(cast(ts as timestamp)) AS us"), 10**11)
+    assert times.count() == left.select("ts").distinct().count()
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_asof_keeps_every_left_row(spark):
     left = spark.createDataFrame([(1, t(10)), (2, t(10)), (3, None), (4, t(500))], "lid int, ts timestamp_ntz")
     right = spark.createDataFrame([(t(0), 1, "a"), (t(20), 2, "b")], "ts timestamp_ntz, rid int, v string")
