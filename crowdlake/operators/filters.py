@@ -63,11 +63,8 @@ def incomplete_rows(df: DataFrame, required: list[str], report_cols: list[str])
 
 def incomplete_rows_by_layer(df: DataFrame, layers: dict, report_cols: list[str]) -> DataFrame:
     """Rows skipped by any map layer (each layer has its own required fields), de-duplicated, sorted."""
-    out = None
-    for required in layers.values():
-        part = incomplete_rows(df, required, report_cols)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct().orderBy(*report_cols)
+    required = sorted({c for cols in layers.values() for c in cols})  # one pass: any layer's field that is missing
+    return incomplete_rows(df, required, report_cols)
 
 
 def drop_null_flow(df: DataFrame, col: str = "flow") -> DataFrame:

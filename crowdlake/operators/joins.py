@@ -134,7 +134,7 @@ def detect_join_key(roads: DataFrame, ids: DataFrame, id_col: str = "id_str",
                     props_col: str = "properties") -> DataFrame:
     """One-row table naming the property whose values overlap the known ids most.
 
-    ``explode(properties)`` -> left-semi join with the distinct ids ->
+    ``explode(properties)`` -> count by (name, value) -> left join with the distinct ids ->
     overlap count per property name -> top-1; equal overlaps are broken by the
     fallback list, then by name. When no property overlaps, the first named
     fallback present in any feature wins, else the smallest property name.
@@ -142,11 +142,10 @@ def detect_join_key(roads: DataFrame, ids: DataFrame, id_col: str = "id_str",
     is distributed and exact).
     """
     kv = roads.select(F.explode(props_col).alias("prop", "val")).where(F.col("val").isNotNull())
-    kv = kv.withColumn("val_id", id_text(F.col("val")))
-    known = ids.select(F.col(id_col).alias("val_id")).distinct()
-    overlap = kv.join(known, "val_id", "left_semi").groupBy("prop").agg(F.count("*").alias("overlap"))
-    names = kv.select("prop").distinct()
-    scored = names.join(overlap, "prop", "left").fillna(0, ["overlap"])
+    # one pass over the bags: a value that many features share is one row before it meets the ids
+    kv = kv.groupBy("prop", id_text(F.col("val")).alias("val_id")).agg(F.count("*").alias("n"))
+    known = ids.select(F.col(id_col).alias("val_id"), F.lit(True).alias("known")).distinct()
+    scored = kv.join(known, "val_id", "left").groupBy("prop").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("overlap"))
     fb_rank = F.lit(len(ROAD_KEY_FALLBACKS))
     for i, fb in reversed(list(enumerate(ROAD_KEY_FALLBACKS))):
         fb_rank = F.when(F.col("prop") == fb, F.lit(i)).otherwise(fb_rank)

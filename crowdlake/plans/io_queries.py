@@ -143,7 +143,7 @@ ORACLE["read_carflow_nested"] = O.W("cf") + "SELECT time_utc, id, traffic_level
 @q("read_carflow_flat")
 def q_read_carflow_flat(spark, d):
     path = SK.write_csv_gz(land_flat_text(spark, d), scratch_path(spark, "carflow_flat_csv_gz"))
-    return RD.read_carflow_flat(spark, path, partitions=spark.sparkContext.defaultParallelism)
+    return RD.read_carflow_flat(spark, path)
 
 
 ORACLE["read_carflow_flat"] = ORACLE["read_carflow_nested"]
@@ -159,6 +159,19 @@ def q_read_carflow_any(spark, d):
 ORACLE["read_carflow_any"] = ORACLE["read_carflow_nested"]
 
 
+@q("read_carflow_any_csv")
+def q_read_carflow_any_csv(spark, d):
+    """The same reader on a flat CSV.GZ and on the raw nested feed."""
+    flat = SK.write_csv_gz(land_flat_text(spark, d), scratch_path(spark, "carflow_flat") + ".csv.gz")
+    raw = SK.write_csv(SI.carflow_raw(spark, d), scratch_path(spark, "carflow_raw") + ".csv")
+    return (RD.read_carflow_any(spark, flat).withColumn("kind", F.lit("flat"))
+            .unionByName(RD.read_carflow_any(spark, raw).withColumn("kind", F.lit("nested"))))
+
+
+ORACLE["read_carflow_any_csv"] = O.W("cf") + """SELECT time_utc, id, traffic_level, 'flat' AS kind FROM cf
+UNION ALL SELECT time_utc, id, traffic_level, 'nested' FROM cf"""
+
+
 @q("read_vessels")
 def q_read_vessels(spark, d):
     v = SI.vessels(spark, d)
@@ -181,19 +194,24 @@ def q_read_snapshot_parquet(spark, d):
 ORACLE["read_snapshot_parquet"] = "SELECT * FROM events"
 
 
+def _land_lines(df, feature, path):
+    """One feature per line, as many files as tasks."""
+    df.select(F.to_json(feature).alias("value")).write.text(path)
+    return path
+
+
 def _land_stops(spark, d):
     st = SI.stops(spark, d)
     feat = F.struct(F.lit("Feature").alias("type"),
                     F.struct(F.col("name").alias("Naam"), F.col("mode").alias("Modaliteit"),
                              F.col("lines").alias("Lijn")).alias("properties"),
                     F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"))
-    grouped = _features_collection(st.withColumn("grp", F.col("stop_id") % 8), "grp", feat)
-    return land_geojson(grouped, scratch_path(spark, "stops_geojson"), "grp")
+    return _land_lines(st, feat, scratch_path(spark, "stops_geojson"))
 
 
 @q("read_stops")
 def q_read_stops(spark, d):
-    return RD.read_stops(spark, _land_stops(spark, d))
+    return RD.read_stops(spark, _land_stops(spark, d), one_per_line=True)
 
 
 ORACLE["read_stops"] = O.W("stops") + "SELECT name, mode, lines, lon, lat FROM stops"
@@ -226,7 +244,7 @@ ORACLE["flatten_api_pages"] = """SELECT c_custkey AS id, c_name AS naam, c_mktse
   52.0 + c_nationkey / 100.0 AS "locatie.lat", 4.0 + (c_custkey % 1000) / 1000.0 AS "locatie.lon" FROM customer"""
 
 
-def _land_roads(spark, d):
+def _land_roads(spark, d, one_per_line=True):
     su = SI.table(spark, d, "supplier")
     lon = F.lit(4.0) + (F.col("s_suppkey") % 200) / F.lit(1000.0)
     lat = F.lit(52.0) + F.col("s_nationkey") / F.lit(1000.0)
@@ -235,13 +253,15 @@ def _land_roads(spark, d):
                              F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("nation")).alias("properties"),
                     F.struct(F.lit("LineString").alias("type"),
                              F.array(F.array(lon, lat), F.array(lon + F.lit(0.001), lat)).alias("coordinates")).alias("geometry"))
-    grouped = _features_collection(su.withColumn("grp", F.col("s_suppkey") % 4), "grp", feat)
+    if one_per_line:
+        return _land_lines(su, feat, scratch_path(spark, "roads_geojson"))
+    grouped = _features_collection(su.withColumn("grp", F.floor(F.col("s_suppkey") / 100)), "grp", feat)
     return land_geojson(grouped, scratch_path(spark, "roads_geojson"), "grp")
 
 
 @q("read_roads")
 def q_read_roads(spark, d):
-    roads = RD.read_roads(spark, _land_roads(spark, d))
+    roads = RD.read_roads(spark, _land_roads(spark, d), one_per_line=True)
     return roads.select("feature_id", S.id_text(F.try_element_at("properties", F.lit("WVK_ID"))).alias("wvk_id"),
                         F.try_element_at("properties", F.lit("name")).alias("name"), "geom_type")
 
@@ -252,7 +272,7 @@ ORACLE["read_roads"] = """SELECT s_suppkey AS feature_id, CAST(s_suppkey AS VARC
 
 @q("road_property_names")
 def q_road_property_names(spark, d):
-    return RD.road_property_names(RD.read_roads(spark, _land_roads(spark, d)))
+    return RD.road_property_names(RD.read_roads(spark, _land_roads(spark, d, one_per_line=False)))
 
 
 ORACLE["road_property_names"] = "SELECT * FROM (VALUES ('WVK_ID'), ('name'), ('nation')) t(prop)"

@@ -115,21 +115,15 @@ def score_and_forecast(model, history: DataFrame, now, key: str = "sensor", ts:
     """
     from crowdlake.functions.scalars import ntz_lit
     from crowdlake.ml.forecast import recursive_forecast
-    from crowdlake.operators.setops import concat_typed_series
+    from crowdlake.operators.setops import concat_typed_series, typed_series
 
     frozen = frozen or ["hour", "weekday", "is_weekend"]
     t_now = ntz_lit(now)
     upto = history.where(F.col(ts) <= t_now)
     fc = recursive_forecast(model, upto, key, ts, value, frozen, steps, interval_minutes, lags, windows, checkpoint_every)
-    horizon = F.timestamp_add("MINUTE", F.lit(steps * interval_minutes), t_now)
-    parts = {
-        "historic": history.where(F.col(ts) < t_now).select(key, ts, F.col(value).alias("v")),
-        "current": history.where(F.col(ts) == t_now).select(key, ts, F.col(value).alias("v")),
-        "prediction_multistep": fc.select(key, ts, F.col("prediction").alias("v")),
-        "actual_future": history.where((F.col(ts) > t_now) & (F.col(ts) <= horizon))
-                                .select(key, ts, F.col(value).alias("v")),
-    }
-    return concat_typed_series(parts, ts, "v", keys=[key]).withColumnRenamed("v", "value")
+    shown = typed_series(history, now, ts, value, [key], steps, interval_minutes).withColumnRenamed(value, "v")
+    predicted = concat_typed_series({"prediction_multistep": fc.select(key, ts, F.col("prediction").alias("v"))}, ts, "v", keys=[key])
+    return shown.unionByName(predicted).withColumnRenamed("v", "value")
 
 
 # ---------------------------------------------------------------------------
@@ -139,16 +133,24 @@ def score_and_forecast(model, history: DataFrame, now, key: str = "sensor", ts:
 def land_carflow(spark, raw_path: str, parquet_path: str, csv_gz_path: str, mode: str = "both") -> dict:
     """Nested feed file(s) -> flat rows -> date-partitioned parquet and/or gzipped CSV."""
     from crowdlake.sources.readers import read_carflow_nested
-    from crowdlake.sources.sinks import write_csv_gz, write_parquet
+    from crowdlake.sources.sinks import write_both
 
-    if mode not in ("parquet", "csv", "both"):
-        raise ValueError(f"mode must be parquet, csv or both, not {mode!r}")
     flat = carflow_flat(read_carflow_nested(spark, raw_path)).withColumn("date", F.to_date("time_utc"))
-    out = {}
-    if mode in ("parquet", "both"):
-        # rows of a day meet before the write (AQE splits a large day), so a day has few files
-        out["parquet"] = write_parquet(flat.hint("rebalance", "date"), parquet_path, partition_by=["date"])
-        flat = spark.read.parquet(parquet_path)  # the feed is flattened once
-    if mode in ("csv", "both"):
-        out["csv"] = write_csv_gz(flat.select("time_utc", "id", "traffic_level"), csv_gz_path)
-    return out
+    # rows of a day meet before the write (AQE splits a large day), so a day has few files
+    return write_both(flat.hint("rebalance", "date") if mode != "csv" else flat, parquet_path, csv_gz_path, mode,
+                      partition_by=["date"], csv_columns=["time_utc", "id", "traffic_level"])
+
+
+def recent_positions(spark, path: str, window_minutes: float = 15, ts: str = "time_utc") -> DataFrame:
+    """The window behind the newest row of a table that ``land_positions`` keeps: only the days it can reach are read."""
+    from crowdlake.sources.readers import read_newest_days
+
+    return recent_window(read_newest_days(spark, path, int(-(-window_minutes // 1440))).drop("date"), ts, window_minutes)
+
+
+def land_positions(positions: DataFrame, path: str, ts: str = "time_utc") -> str:
+    """Positions kept by day (``date``) and sorted by time inside each file, for windows that end at the newest row."""
+    from crowdlake.sources.sinks import write_parquet
+
+    by_day = positions.withColumn("date", F.to_date(ts)).hint("rebalance", "date").sortWithinPartitions("date", ts)
+    return write_parquet(by_day, path, partition_by=["date"])

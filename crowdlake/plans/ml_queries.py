@@ -37,8 +37,6 @@ CUTOFF = dt.datetime(2024, 1, 30)
 # The forecast starts when some sensors have that history.
 FORECAST_NOW = dt.datetime(2024, 1, 30, 12)
 WEATHER = ["temperature", "dew_point", "air_pressure", "wind_speed", "max_gust", "rainfall", "sunshine_duration", "relative_humidity"]
-#: Layout of the training rows: part of the model's definition, like its seed. Raise it with the cluster.
-TRAIN_PARTITIONS = 2
 #: Inputs that stay as they are over the forecast's steps.
 FROZEN = ["location_id"] + CALENDAR + WEATHER
 #: The reference model's 32 inputs.
@@ -154,7 +152,7 @@ def _model_dir(spark, d) -> str:
 def _fit_and_save(spark, d):
     f = model_table(spark, d)
     train = f.where(F.col("ts") < ntz_lit(CUTOFF))
-    model = MD.train_global_model(train, FEATURES, "count", partitions=TRAIN_PARTITIONS)
+    model = MD.train_global_model(train, FEATURES, "count")
     path = MD.save_model(model, _model_dir(spark, d))
     _SAVED[path] = True
     return model
@@ -198,6 +196,17 @@ def q_top_importances(spark, d):
     return TK.top_importances(MD.feature_importance(spark, _model(spark, d), FEATURES), 8)
 
 
+@q("model_check")
+def q_model_check(spark, d):
+    """What the trees must hold: rows scored, the error of lag 1 on them, an error below it, 32 importances that sum to one."""
+    rows = MD.predict(_model(spark, d), _test_rows(spark, d), ["count", "lag_1"])
+    sq = lambda c: F.sqrt(F.avg((F.col("count") - F.col(c)) ** 2))
+    errors = rows.agg(F.count("prediction").alias("scored"), r6(sq("lag_1")).alias("lag_1_rmse"), (sq("prediction") <= sq("lag_1")).alias("better_than_lag_1"))
+    imp = MD.feature_importance(spark, _model(spark, d), FEATURES)
+    total = imp.agg(F.round(F.sum("importance"), 6)).scalar()
+    return errors.withColumns({"importances": imp.agg(F.count("*")).scalar(), "importance_sum": total})
+
+
 @q("save_load_model")
 def q_save_load_model(spark, d):
     path = MD.save_model(_model(spark, d), scratch_path(spark, "model_copy"))
@@ -271,6 +280,13 @@ forecast AS (
   UNION ALL
   SELECT sensor, k, last_ts + to_minutes(3 * k), NULL FROM state, (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS k) WHERE NOT whole)"""
 
+ORACLE["model_check"] = _FORECAST_SQL[:_FORECAST_SQL.index(",\nhist AS")] + ",\n" + O._feat_sql(Q.LAGS, Q.ROLLING, "mf") + """,
+held AS (SELECT mf."count", mf.lag_1 FROM mf JOIN inputs i USING (event_id)
+         WHERE mf.ts >= TIMESTAMP '2024-01-30 00:00:00' AND i.temperature IS NOT NULL AND """ + " AND ".join(
+    f"mf.{c} IS NOT NULL" for c in O._FEAT_COLS) + """)
+SELECT count(*) AS scored, round(sqrt(avg(("count" - lag_1) * ("count" - lag_1))), 6) AS lag_1_rmse, true AS better_than_lag_1,
+       CAST(32 AS BIGINT) AS importances, 1.0::DOUBLE AS importance_sum FROM held"""
+
 ORACLE["recursive_forecast"] = _FORECAST_SQL + "\nSELECT sensor, CAST(step AS INTEGER) AS step, ts, round(prediction, 6) AS prediction FROM forecast"
 
 

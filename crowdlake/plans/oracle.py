@@ -201,11 +201,36 @@ def o(name):
 
 ORACLE["flatten_carflow"] = W("cf") + "SELECT time_utc, id, traffic_level FROM cf"
 ORACLE["flatten_carflow_strict"] = W("cfs") + "SELECT time_utc, id, traffic_level FROM cfs"
-ORACLE["pack_carflow"] = W("cf") + """SELECT timezone('UTC', TRY_CAST(time_raw AS TIMESTAMPTZ)) AS time_utc,
-  count(*) AS text_rows,
-  count(*) FILTER (WHERE TRY_CAST(time_raw AS TIMESTAMPTZ) IS NOT NULL AND TRY_CAST(trim(id_raw) AS DOUBLE) IS NOT NULL
-                   AND TRY_CAST(trim(level_raw) AS DOUBLE) IS NOT NULL) AS packed_rows
-FROM cf_p GROUP BY 1"""
+ORACLE["pack_carflow"] = W("cf") + """, spoilt AS (
+  SELECT time_raw, (length(level_raw) + TRY_CAST(id_raw AS BIGINT)) % 7 AS k, id_raw, level_raw FROM cf_p),
+texts AS (
+  SELECT time_raw, CASE k WHEN 1 THEN id_raw || '.0' WHEN 2 THEN 'x' ELSE id_raw END AS i,
+         CASE k WHEN 3 THEN 'n/a' WHEN 4 THEN ' ' || level_raw || ' ' ELSE level_raw END AS l FROM spoilt)
+SELECT timezone('UTC', TRY_CAST(time_raw AS TIMESTAMPTZ)) AS time_utc, CAST(trunc(TRY_CAST(i AS DOUBLE)) AS BIGINT) AS id,
+       TRY_CAST(trim(l) AS DOUBLE) AS traffic_level
+FROM texts WHERE TRY_CAST(time_raw AS TIMESTAMPTZ) IS NOT NULL AND TRY_CAST(i AS DOUBLE) IS NOT NULL AND TRY_CAST(trim(l) AS DOUBLE) IS NOT NULL"""
+
+
+def _quoted_sql(keep_first_pair: bool) -> str:
+    """Logical lines and fields by regular expressions over the text of a frame."""
+    def line(c):
+        return f"""regexp_extract_all(data || chr(10), '(?:"(?:[^"]|"")*"[^{c}\\n]*|[^{c}"\\n][^{c}\\n]*|{c})*\\n')"""
+
+    def fields(c):
+        return f"""regexp_extract_all(rtrim(line, chr(10)) || '{c}', '"(?:[^"]|"")*"[^{c}\\n]*{c}|[^{c}"\\n][^{c}\\n]*{c}|{c}')"""
+
+    first = "\n  UNION ALL SELECT \"time\", is_semi, headed, ls[1] FROM ql WHERE NOT headed" if keep_first_pair else ""
+    return f"""WITH {SI_SQL["carflow_quoted"]},
+ql AS (SELECT "time", is_semi, headed, CASE WHEN is_semi THEN {line(";")} ELSE {line(",")} END AS ls FROM carflow_quoted),
+qr AS (SELECT "time", is_semi, headed, unnest(ls[2:]) AS line FROM ql{first}),
+qf AS (SELECT "time", headed, CASE WHEN is_semi THEN {fields(";")} ELSE {fields(",")} END AS t FROM qr),
+qv AS (SELECT "time", regexp_replace(t[1], '^"?([^"]*)"?.$', '\\1') AS i, regexp_replace(t[CASE WHEN headed THEN 3 ELSE 2 END], '^"?([^"]*)"?.$', '\\1') AS l
+       FROM qf WHERE len(t) >= CASE WHEN headed THEN 3 ELSE 2 END)
+SELECT timezone('UTC', TRY_CAST("time" AS TIMESTAMPTZ)) AS time_utc, CAST(i AS BIGINT) AS id, CAST(l AS DOUBLE) AS traffic_level FROM qv"""
+
+
+ORACLE["flatten_carflow_quoted"] = _quoted_sql(True)
+ORACLE["flatten_carflow_quoted_strict"] = _quoted_sql(False)
 
 _CAL = ("hour AS \"timestamp\", CAST(hour(hour) AS INTEGER) AS hour, CAST(minute(hour) AS INTEGER) AS minute, "
         "CAST(day(hour) AS INTEGER) AS day, CAST(month(hour) AS INTEGER) AS month, "
@@ -326,6 +351,7 @@ WHERE datetime >= TIMESTAMP '2024-01-05 00:00:00' AND datetime < TIMESTAMP '2024
 ORACLE["recent_window"] = W("vessels") + """SELECT * FROM vessels
 WHERE time_utc >= (SELECT max(time_utc) FROM vessels) - INTERVAL 1440 MINUTE
   AND time_utc <= (SELECT max(time_utc) FROM vessels)"""
+ORACLE["recent_window_daily"] = ORACLE["recent_window"]
 ORACLE["drop_incomplete"] = W("ploc") + """SELECT sensor, name, lat, lon, width FROM ploc
 WHERE lat IS NOT NULL AND lon IS NOT NULL AND width IS NOT NULL"""
 ORACLE["incomplete_rows"] = W("ploc") + """SELECT DISTINCT sensor, name FROM ploc

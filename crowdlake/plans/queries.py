@@ -27,6 +27,7 @@ from crowdlake.operators import windows as W
 from crowdlake.operators.flatten import carflow_flat, flatten_carflow
 from crowdlake.plans import jobs
 from crowdlake.plans import standins as SI
+from crowdlake.session import scratch_path
 
 QUERIES: dict = {}
 
@@ -119,16 +120,26 @@ def q_flatten_carflow_strict(spark, d):
     return carflow_flat(SI.carflow_raw(spark, d), keep_first_pair=False)
 
 
+@q("flatten_carflow_quoted")
+def q_flatten_carflow_quoted(spark, d):
+    """Frames whose quoted fields hold separators, quotes and line breaks."""
+    return carflow_flat(SI.carflow_quoted(spark, d))
+
+
+@q("flatten_carflow_quoted_strict")
+def q_flatten_carflow_quoted_strict(spark, d):
+    return carflow_flat(SI.carflow_quoted(spark, d), keep_first_pair=False)
+
+
 @q("pack_carflow")
 def q_pack_carflow(spark, d):
-    """Per frame time: flattened text rows and how many of them survive ``pack_carflow``."""
+    """The packed rows of text rows with good and bad times, ids and levels: two of seven rows are spoilt."""
     from crowdlake.operators.flatten import pack_carflow
 
     txt = flatten_carflow(SI.carflow_raw(spark, d))
-    text_rows = txt.groupBy(S.parse_iso_utc("time_raw").alias("time_utc")).agg(F.count("*").alias("text_rows"))
-    packed = pack_carflow(txt).groupBy("time_utc").agg(F.count("*").alias("packed_rows"))
-    return (text_rows.join(packed, "time_utc", "left")
-            .select("time_utc", "text_rows", F.coalesce("packed_rows", F.lit(0)).cast("bigint").alias("packed_rows")))
+    kind = F.pmod(F.length("level_raw") + F.col("id_raw").try_cast("bigint"), F.lit(7))
+    return pack_carflow(txt.select("time_raw", F.when(kind == 1, F.concat("id_raw", F.lit(".0"))).when(kind == 2, F.lit("x")).otherwise(F.col("id_raw")).alias("id_raw"),
+                                   F.when(kind == 3, F.lit("n/a")).when(kind == 4, F.concat(F.lit(" "), "level_raw", F.lit(" "))).otherwise(F.col("level_raw")).alias("level_raw")))
 
 
 @q("melt_counts")
@@ -341,6 +352,13 @@ def q_recent_window(spark, d):
     return FL.recent_window(SI.vessels(spark, d), "time_utc", 1440)
 
 
+@q("recent_window_daily")
+def q_recent_window_daily(spark, d):
+    """The same window over positions that are kept by day and sorted by time: only the newest days are read."""
+    path = jobs.land_positions(SI.vessels(spark, d), scratch_path(spark, "positions_by_day"))
+    return jobs.recent_positions(spark, path, 1440)
+
+
 @q("drop_incomplete")
 def q_drop_incomplete(spark, d):
     loc = parsed_locations(spark, d)
@@ -650,19 +668,12 @@ def q_sort_series(spark, d):
 @q("concat_typed_series")
 def q_concat_typed_series(spark, d):
     rd = SI.readings(spark, d).select(F.col("ts").alias("timestamp"), F.col("count").alias("value"), "sensor")
-    ts = F.col("timestamp")
-    parts = {
-        "historic": rd.where(ts < ntz_lit(NOW)),
-        "current": rd.where(ts == ntz_lit(NOW)),
-        "actual_future": rd.where((ts > ntz_lit(NOW)) & (ts <= ntz_lit(NOW + dt.timedelta(minutes=60)))),
-    }
-    return SO.concat_typed_series(parts, "timestamp", "value", keys=["sensor"])
+    return SO.typed_series(rd, NOW, "timestamp", "value", keys=["sensor"], steps=20, minutes=3)
 
 
 @q("concat_history_current")
 def q_concat_history_current(spark, d):
-    rd = SI.readings(spark, d)
-    return SO.concat_history_current(rd.where(F.col("ts") < ntz_lit(NOW)), rd.where(F.col("ts") == ntz_lit(NOW)))
+    return SO.history_and_current(SI.readings(spark, d), "ts", NOW)
 
 
 @q("concat_columns")

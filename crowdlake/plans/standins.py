@@ -280,6 +280,44 @@ carflow_raw AS (
   FROM carflow_src GROUP BY frame, fi)"""
 
 
+# ---------------------------------------------------------------------------
+# carflow_quoted: the same frames with quoted fields that hold separators, quotes and line breaks
+# ---------------------------------------------------------------------------
+
+@per_session
+def carflow_quoted(spark, sf_dir) -> DataFrame:
+    """Two of three frames have a header and a quoted note between id and level; the third has quoted pairs."""
+    ev = table(spark, sf_dir, "events")
+    frame = frame_floor("ts", 3)
+    rows = ev.select(frame.alias("frame"), "ts", "event_id", "event_type", "user_id", "value")
+    rows = rows.withColumn("fi", (F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"),
+                                                    F.col("frame")) / 180).cast("bigint"))
+    sep = F.when(F.col("fi") % 2 == 1, F.lit(";")).otherwise(F.lit(","))
+    ident, level = F.col("user_id").cast("string"), _level_text(F.col("value"))
+    note = F.concat(F.lit('"'), F.col("event_type"), sep, F.lit(' lane ""'), (F.col("event_id") % 4).cast("string"), F.lit('""\n99'), sep, F.lit('0.5"'))
+    line = F.when(F.col("fi") % 3 != 0, F.concat(ident, sep, note, sep, F.lit('"'), level, F.lit('"'))).otherwise(
+        F.concat(F.lit('"'), ident, F.lit('"'), sep, F.lit('"'), level, F.lit('"')))
+    grouped = (rows.select("frame", "fi", "ts", "event_id", line.alias("line"))
+               .groupBy("frame", "fi")
+               .agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "line"))).alias("items")))
+    body = F.array_join(F.transform("items", lambda x: x["line"]), "\n")
+    header = F.when(F.col("fi") % 3 != 0, F.concat(F.lit('id'), sep, F.lit('"note"'), sep, F.lit('"Traffic_Level"\n')))
+    time_txt = F.concat(F.date_format("frame", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    return grouped.select(time_txt.alias("time"), F.concat(F.coalesce(header, F.lit("")), body).alias("data"))
+
+
+SQL["carflow_quoted"] = r"""carflow_quoted AS (
+  SELECT strftime(frame, '%Y-%m-%dT%H:%M:%S') || 'Z' AS "time", fi % 2 = 1 AS is_semi, fi % 3 <> 0 AS headed,
+         CASE WHEN fi % 3 <> 0 THEN 'id' || s || '"note"' || s || '"Traffic_Level"' || chr(10) ELSE '' END || string_agg(
+           CASE WHEN fi % 3 <> 0
+             THEN CAST(user_id AS VARCHAR) || s || '"' || event_type || s || ' lane ""' || CAST(event_id % 4 AS VARCHAR) || '""' || chr(10) || '99' || s || '0.5"' || s || '"' || lv || '"'
+             ELSE '"' || CAST(user_id AS VARCHAR) || '"' || s || '"' || lv || '"' END, chr(10) ORDER BY ts, event_id) AS data
+  FROM (SELECT *, CAST(epoch(frame) AS BIGINT) // 180 AS fi, CASE WHEN (CAST(epoch(frame) AS BIGINT) // 180) % 2 = 1 THEN ';' ELSE ',' END AS s,
+               CAST(CAST(round(value * 100.0) AS BIGINT) // 100000 AS VARCHAR) || '.' || lpad(CAST(CAST(round(value * 100.0) AS BIGINT) % 100000 AS VARCHAR), 5, '0') AS lv
+        FROM (SELECT *, time_bucket(INTERVAL 3 MINUTE, ts) AS frame FROM events))
+  GROUP BY frame, fi, s)"""
+
+
 # ---------------------------------------------------------------------------
 # vessels: typed positions (id text, UTC time, lon, lat, speed cm/s)
 # ---------------------------------------------------------------------------
