@@ -27,6 +27,8 @@ from .common import map_array, materialize, text_slices, write_bytes
 from .textbytes import mix64, text_bytes
 
 ORDER = 4
+#: Bytes of text whose characters are worked on at once: a symbol takes some 50 bytes in arrays.
+SLICE = 1 << 20
 BEGIN, END = 0x110001, 0x110002
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _tables: list = []
@@ -109,7 +111,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
 
     def count(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=SLICE):
                 label = part.column("lang").dictionary_encode()
                 code = label.indices.to_numpy(zero_copy_only=False)
                 cp, starts, ends, split = _words(part.column("text"))
@@ -240,7 +242,7 @@ def cross_entropies(docs: DataFrame, spec: dict, keep: list[str], text: str = "t
     def score(batches):
         model = _model(spec) if languages else None
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, SLICE):
                 cp, starts, ends, split = _words(part.column(text))
                 rows = part.num_rows
                 n, total = np.zeros(rows), np.zeros((rows, languages))
