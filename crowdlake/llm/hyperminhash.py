@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import components, materialize, text_slices
 from .textbytes import LOWER, mix64, shingle_hashes, span_hashes, text_bytes, words
 
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
 REGISTERS, ROWS, MANTISSA = 240, 6, 10
 #: Up to SMALL classes a band bucket is finished pair by pair. A group under a rare shingle has up to LEADERS leaders in the first round, GROW
 #: times as many in each later one.

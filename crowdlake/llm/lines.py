@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import materialize, text_slices
 from .textbytes import LOWER, mix64, powers, span_hashes, text_bytes, words
 
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
 DEPTH, SEGMENTS, LEAST_WORDS, GENERAL_WORDS = 3, 4, 1, 4
 #: Documents in which a line of at most ``DEPTH`` words recurs.
 SHORT_DOCUMENTS = 3
