@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, text_slices
+from .common import components, materialize, slices_returned
 from .textbytes import LOWER, mix64, shingle_hashes, span_hashes, text_bytes, words
 
 #: Bytes of text that are worked on at once.
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
         import hashlib
 
         for batch in batches:
-            for part in text_slices(batch, max_bytes=SLICE):
+            for part in slices_returned(batch, max_bytes=SLICE):
                 n, digest, sketch = [], [], []
                 for s in _sets(part.column("text"), size):
                     n.append(len(s))
@@ -176,7 +176,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     """Pairs with ``100 * intersection >= percent * union`` of the full sets, which are made again for the documents in question."""
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, max_bytes=SLICE):
+            for part in slices_returned(batch, max_bytes=SLICE):
                 sets = [s.tobytes() for s in _sets(part.column("text"), size)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
@@ -254,7 +254,7 @@ def _finish_large(left: DataFrame, links: DataFrame, label: DataFrame, texts: Da
     def count(batches):
         seen = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for part in text_slices(batch, max_bytes=SLICE):
+            for part in slices_returned(batch, max_bytes=SLICE):
                 for s in _sets(part.column("text"), shingle):
                     seen += np.bincount((s >> shift).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(seen)
@@ -267,7 +267,7 @@ def _finish_large(left: DataFrame, links: DataFrame, label: DataFrame, texts: Da
 
     def prefixes(batches):
         for batch in batches:
-            for part in text_slices(batch, max_bytes=SLICE):
+            for part in slices_returned(batch, max_bytes=SLICE):
                 for i, s in enumerate(_sets(part.column("text"), shingle)):
                     n, d = len(s), rarity[(s >> shift).astype(np.int64)]
                     take = np.lexsort((s, d))[: n + (-n * percent) // 100 + 1]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from crowdlake.session import scratch_path
 
-from .common import map_array, materialize, text_slices, write_bytes
+from .common import map_array, materialize, slices_returned, write_bytes
 from .textbytes import mix64, text_bytes
 
 ORDER = 4
@@ -111,7 +111,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
 
     def count(batches):
         for batch in batches:
-            for part in text_slices(batch, max_bytes=SLICE):
+            for part in slices_returned(batch, max_bytes=SLICE):
                 label = part.column("lang").dictionary_encode()
                 code = label.indices.to_numpy(zero_copy_only=False)
                 cp, starts, ends, split = _words(part.column("text"))
@@ -242,7 +242,7 @@ def cross_entropies(docs: DataFrame, spec: dict, keep: list[str], text: str = "t
     def score(batches):
         model = _model(spec) if languages else None
         for batch in batches:
-            for part in text_slices(batch, text, SLICE):
+            for part in slices_returned(batch, text, SLICE):
                 cp, starts, ends, split = _words(part.column(text))
                 rows = part.num_rows
                 n, total = np.zeros(rows), np.zeros((rows, languages))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, slices_returned
 from .textbytes import LOWER, mix64, powers, span_hashes, text_bytes, words
 
 #: Bytes of text that are worked on at once.
@@ -82,7 +82,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """``doc, text_hash, line, leaf, keys``: every line with words; ``leaf`` is null where fewer than two positions may vary."""
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, max_bytes=SLICE):
+            for part in slices_returned(batch, max_bytes=SLICE):
                 row, line, first, n, leaf, total, value = _parse(part.column("text"))
                 if len(row):
                     keys, splits = templates(first, n, leaf, total, value)
@@ -108,7 +108,7 @@ def _line_words(docs: DataFrame, leaves: np.ndarray) -> DataFrame:
     """``doc, text_hash, line, leaf, form, words``: the lines of the mapped leaves, with the hash of the masked line and those of its words behind the first."""
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, max_bytes=SLICE):
+            for part in slices_returned(batch, max_bytes=SLICE):
                 row, line, first, n, leaf, total, value = _parse(part.column("text"))
                 at = mix64(leaf)
                 bit = np.mod(at.view(np.int64), BITS)
