@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 GLOBAL_PARAMS = dict(n_trees=300, max_depth=6, learning_rate=0.05, subsample=0.9, colsample=0.8)
 
 
+#: Training rows of one partition: the trees' thousands of small stages cost more than rows do below that.
+ROWS_PER_PARTITION = 100_000
+
+
 def global_model_spec(feature_cols: list[str], label: str = "count", n_trees: int = 300, max_depth: int = 6,
                     learning_rate: float = 0.05, subsample: float = 0.9, colsample: float = 0.8,
                     seed: int = 42) -> Pipeline:
@@ -32,19 +36,21 @@ def train_global_model(train: DataFrame, feature_cols: list[str], label: str = "
                        **params) -> PipelineModel:
     """Fit the global model on complete training rows.
 
-    Boosting samples rows per partition, so the layout is fixed: rows are dealt by a hash of their values into
-    ``partitions`` (default: the session's shuffle partitions) and sorted. The same rows and setting give
-    the same model on any number of cores.
+    Boosting samples rows per partition, so the layout follows the rows alone: they are dealt by a hash of their
+    values into ``partitions`` (default: one for every ``ROWS_PER_PARTITION`` rows, two at least) and sorted. The same rows give
+    the same model on any number of cores and under any session setting.
     """
     p = dict(GLOBAL_PARAMS)
     p.update(params)
     cols = [*feature_cols, label]
-    n = partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = train.dropna(subset=cols).select(*cols).repartition(n, *cols).sortWithinPartitions(*cols).persist()
+    rows = train.dropna(subset=cols).select(*cols).persist()
+    n = partitions or max(2, -(-rows.count() // ROWS_PER_PARTITION))
+    laid = rows.repartition(n, *cols).sortWithinPartitions(*cols).persist()
     try:
         return global_model_spec(feature_cols, label, **p).fit(laid)
     finally:
         laid.unpersist()
+        rows.unpersist()
 
 
 def formula_model(expression: str, prediction: str = "prediction") -> PipelineModel:
