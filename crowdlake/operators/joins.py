@@ -56,7 +56,7 @@ def nearest_times(left: DataFrame, right: DataFrame, tolerance: int, block: int
     """The nearest right time (``match``) of every distinct left time within ``tolerance``; both sides hold a column ``us`` of whole numbers.
 
     Carry over ordered blocks, in three levels of bounded size: a window over the times of a block; one over the blocks of a span, which is as
-    wide as the tolerance at least; and the neighbouring spans' last and first right time by equi-joins - nothing farther can match.
+    wide as the tolerance at least; and the neighbouring spans' last and first right time by an equi-join - nothing farther can match.
     Of two right times at the same distance the earlier one is taken.
     """
     width = max(1, min(block, tolerance))
@@ -69,8 +69,10 @@ def nearest_times(left: DataFrame, right: DataFrame, tolerance: int, block: int
     in_span = Window.partitionBy("s").orderBy("b")
     carry = blocks.select("b", "s", F.max("last").over(in_span.rowsBetween(Window.unboundedPreceding, -1)).alias("p"),
                           F.min("first").over(in_span.rowsBetween(1, Window.unboundedFollowing)).alias("n"))
-    carry = (carry.join(spans.select((F.col("s") + 1).alias("s"), F.col("last").alias("_p")), "s", "left")
-             .join(spans.select((F.col("s") - 1).alias("s"), F.col("first").alias("_n")), "s", "left")
+    sides = F.array(F.struct((F.col("s") + 1).alias("s"), F.col("last").alias("p"), F.lit(None).cast("long").alias("n")),
+                    F.struct((F.col("s") - 1).alias("s"), F.lit(None).cast("long").alias("p"), F.col("first").alias("n")))
+    beside = spans.select(F.explode(sides).alias("x")).groupBy(F.col("x.s").alias("s")).agg(F.max("x.p").alias("_p"), F.max("x.n").alias("_n"))
+    carry = (carry.join(beside, "s", "left")
              .select("b", F.coalesce("p", "_p").alias("p"), F.coalesce("n", "_n").alias("n")))
     in_block = Window.partitionBy("b").orderBy("us")
     near = times.select("us", "asks", "b", F.max("r").over(in_block.rowsBetween(Window.unboundedPreceding, 0)).alias("before"),

@@ -109,7 +109,8 @@ def test_typed_series_equals_stacked_parts(spark):
     assert got == sorted(map(str, map(tuple, SO.concat_typed_series(parts, "ts", "v", ["sensor"]).collect()))) and len(got) == 6
 
 
-SCANS = {"concat_typed_series": 1, "concat_history_current": 1, "incomplete_rows": 1, "detect_join_key": 2, "asof_nearest": 4, "pack_carflow": 1,
+# as-of: each side's times for the windows, the blocks and the spans, and each side's rows; only times are read but for the last
+SCANS = {"concat_typed_series": 1, "concat_history_current": 1, "incomplete_rows": 1, "detect_join_key": 2, "asof_nearest": 8, "pack_carflow": 1,
          "flatten_carflow_quoted": 1}
 
 
