@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from crowdlake.functions.scalars import crowd_flow, instant_to_utc_ntz, utc_ntz_to_instant
 from crowdlake.operators.windows import DEFAULT_LAGS, DEFAULT_ROLLING
 from crowdlake.streaming.keyed import KeyedTable
-from crowdlake.streaming.state import FeatureRing, LatestInWindow, rocksdb_state
+from crowdlake.streaming.state import LatestInWindow, PackedFeatureRing, rocksdb_state
 
 WATERMARK = "15 minutes"
 
@@ -155,7 +155,7 @@ def stream_features(readings: DataFrame, key: str = "sensor", ts: str = "ts", ti
                     windows: list[int] | None = None, delay: str = WATERMARK) -> DataFrame:
     """Lag / rolling features of each reading from bounded per-sensor state (append mode, RocksDB state).
 
-    ``transformWithState`` with an event-time timer per sensor: new rows wait in map state, chunk by chunk, until the watermark
+    ``transformWithState`` with an event-time timer per sensor: new rows wait in map state, in blocks of time chunks, until the watermark
     passes them, and are then released in (time, tie) order against a ring of the sensor's last
     ``max(lags, windows)`` values in list state. So rows may arrive out of order within the
     delay and the output still equals the batch ``lag_and_rolling`` for every row older than the watermark; rows
@@ -165,12 +165,9 @@ def stream_features(readings: DataFrame, key: str = "sensor", ts: str = "ts", ti
     lags = DEFAULT_LAGS if lags is None else list(lags)
     windows = DEFAULT_ROLLING if windows is None else list(windows)
     key_type = dict(readings.dtypes)[key]
-    feat_cols = [f"lag_{k}" for k in lags] + [f"roll_mean_{n}" for n in windows]
-    out_schema = (f"{key} {key_type}, {ts} timestamp_ntz, {tie} bigint, {value} double, "
-                  + ", ".join(f"{c} double" for c in feat_cols))
+    ring = PackedFeatureRing(key, ts, tie, value, lags, windows)
     s = with_event_time(readings, ts).withWatermark("event_time", delay)
-    return s.groupBy(key).transformWithStateInPandas(
-        FeatureRing(key, ts, tie, value, lags, windows), out_schema, "append", "eventTime")
+    return ring.unpacked(s.groupBy(key).transformWithStateInPandas(ring, ring.schema(key_type), "append", "eventTime"))
 
 
 # ---------------------------------------------------------------------------

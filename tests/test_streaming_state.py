@@ -121,6 +121,46 @@ def test_ring_drops_repeats_and_late_rows():
     assert list(p.handleExpiredTimer(("a",), Watermark(60_000 * 9), None)) == []
 
 
+def test_ring_of_a_sparse_key_costs_few_calls(monkeypatch):
+    """A month of 66 readings is one entry of the state, written once; blocks that fill up are cut, and rows before the first block move it."""
+    calls = []
+    monkeypatch.setattr(FakeMap, "updateValue", lambda self, k, v: (calls.append(len(v[0])), self.state.map.update({k: v})))
+    rng = np.random.RandomState(2)
+    us = np.sort(rng.choice(30 * 86_400, 66, replace=False)).astype(np.int64) * 1_000_000
+    p = ring()
+    list(p.handleInputRows(("a",), iter([frame(us, np.arange(66), np.arange(66.0))]), Watermark(0)))
+    assert calls == [66] and list(p.handle.map) == [(int(us[0]) // 3_600_000_000,)]
+    out = pd.concat(p.handleExpiredTimer(("a",), Watermark(31 * 86_400_000), None))
+    assert out["tie"].tolist() == list(range(66)) and not p.handle.map
+
+    us = rng.choice(30 * 86_400, 3000, replace=False).astype(np.int64) * 1_000_000
+    p = ring()
+    for lo in range(0, 3000, 70):
+        i = np.arange(lo, min(lo + 70, 3000))
+        list(p.handleInputRows(("a",), iter([frame(us[i], i, i)]), Watermark(0)))
+        held = sorted(p.handle.map.items())
+        assert all(a[1][0][-1] // 3_600_000_000 < b[0][0] for a, b in zip(held, held[1:]))
+    assert max(len(v[0]) for v in p.handle.map.values()) <= S._BLOCK and len(p.handle.map) < 40
+    got = pd.concat(p.handleExpiredTimer(("a",), Watermark(31 * 86_400_000), None))
+    assert got["tie"].tolist() == np.argsort(us).tolist()
+
+
+def test_packed_frames_hold_the_same_rows(spark):
+    """One row of arrays a key, made rows again by Spark: equal to the plain frames, NULL where a value or a history is missing."""
+    plain, packed = ring(), S.PackedFeatureRing("k", "ts", "tie", "v", [1, 3], [2])
+    packed.init(FakeState())
+    rows = frame([3_000_001, 1_000_000, 2_000_000, 4_000_000], [3, 1, 2, 4], [30, 10, np.nan, 40])
+    out = []
+    for p in (plain, packed):
+        list(p.handleInputRows(("a",), iter([rows]), Watermark(0)))
+        out.append(pd.concat(p.handleExpiredTimer(("a",), Watermark(9000), None)))
+    assert len(out[1]) == 1
+    listed = [(r.k, r.us.tolist(), r.tie.tolist(), r.val.tolist()) for r in out[1].itertuples()]
+    got = packed.unpacked(spark.createDataFrame(listed, packed.schema("string"))).orderBy("ts").collect()
+    want = [tuple(None if v != v else v for v in r) for r in out[0].itertuples(index=False, name=None)]
+    assert [tuple(r) for r in got] == [(k, ts.to_pydatetime(), *rest) for k, ts, *rest in want]
+
+
 def test_features_of_a_replayed_stream(spark, tmp_dir):
     """Files delivered twice, the stream stopped and started between them: each reading comes out once, as in batch."""
     rnd = random.Random(6)
