@@ -109,3 +109,29 @@ def test_formula_model_forecasts_step_by_step(spark, tmp_dir):
                                    "sensor int, ts timestamp_ntz, count double")
     versus = {(r.sensor, r.step): r.actual for r in FC.forecast_vs_actual(fc, actual, "sensor", "ts", "count", 3).collect()}
     assert len(versus) == 24 and versus[(1, 1)] == 6.0 and versus[(1, 2)] is None and versus[(2, 1)] is None
+
+
+def test_fitting_and_scoring_read_one_stored_table(spark, monkeypatch):
+    """A query that has to fit the model computes its table once: it is stored, and the scored rows come from the file."""
+    from crowdlake.plans import ml_queries as MQ
+
+    at = dt.datetime(2024, 1, 29, 22)
+    rows = [(1, at + dt.timedelta(hours=h), h, float(h)) for h in range(5)]
+    table = spark.createDataFrame(rows, "sensor bigint, ts timestamp_ntz, event_id bigint, count double")
+    table = table.withColumns({c: F.lit(1.0) for c in MQ.FEATURES if c != "lag_1"}).withColumn("lag_1", F.col("count") - 1)
+    seen = []
+
+    def fit(train, features, label):
+        seen.append((train.count(), train.inputFiles()))
+        return MD.formula_model("lag_1")
+
+    monkeypatch.setattr(MQ, "model_table", lambda *_: table)
+    monkeypatch.setattr(MQ, "_SAVED", {})
+    monkeypatch.setattr(MD, "train_global_model", fit)
+    for query, n in ((MQ.q_train_global_model, 3), (MQ.q_predict, 5), (MQ.q_save_load_model, 3)):
+        MQ._SAVED.clear()
+        out = query(spark, "/made/up")
+        assert out.inputFiles() and set(seen[-1][1]) == set(out.inputFiles())
+        assert sorted(r["prediction"] for r in out.collect()) == [float(h - 1) for h in range(5 - n, 5)]
+    assert [n for n, _ in seen] == [2, 2, 2]
+    assert MQ.q_predict(spark, "/made/up").count() == 5 and len(seen) == 3

@@ -53,7 +53,7 @@ HELPERS = {"features_table": "ml.features.create_features_long", "flat_carflow":
            "weather_text_numbers": "sources.readers.clean_weather_text", "scored_table": "ml.features.create_features_long",
            "_r2": "operators.aggregates.r2_by_sensor", "_latest_counts": "operators.windows.latest_per_key",
            "_frame_totals": "operators.aggregates.total_crowd", "_forecast": "ml.forecast.recursive_forecast",
-           "_model": "ml.models.train_global_model", "_fit_and_save": "ml.models.train_global_model"}
+           "_model": "ml.models.train_global_model", "_model_and_rows": "ml.models.train_global_model"}
 DIRECT = {"carflow_flat": "operators.flatten.carflow_flat", "flatten_carflow": "operators.flatten.flatten_carflow",
           "pack_carflow": "operators.flatten.pack_carflow", "positions_from_grid": "sources.readers.positions_from_grid",
           "parse_locations": "operators.joins.parse_locations", "create_features_long":
