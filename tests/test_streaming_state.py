@@ -146,10 +146,10 @@ def test_ring_of_a_sparse_key_costs_few_calls(monkeypatch):
 
 
 def test_packed_frames_hold_the_same_rows(spark):
-    """One row of arrays a key, made rows again by Spark: equal to the plain frames, NULL where a value or a history is missing."""
+    """One row of arrays a key, made rows again by Spark: equal to the plain frames, NULL where a time, a value or a history is missing."""
     plain, packed = ring(), S.PackedFeatureRing("k", "ts", "tie", "v", [1, 3], [2])
     packed.init(FakeState())
-    rows = frame([3_000_001, 1_000_000, 2_000_000, 4_000_000], [3, 1, 2, 4], [30, 10, np.nan, 40])
+    rows = frame([3_000_001, 1_000_000, 2_000_000, 4_000_000, S._NAT], [3, 1, 2, 4, 5], [30, 10, np.nan, 40, 50])
     out = []
     for p in (plain, packed):
         list(p.handleInputRows(("a",), iter([rows]), Watermark(0)))
@@ -157,8 +157,8 @@ def test_packed_frames_hold_the_same_rows(spark):
     assert len(out[1]) == 1
     listed = [(r.k, r.us.tolist(), r.tie.tolist(), r.val.tolist()) for r in out[1].itertuples()]
     got = packed.unpacked(spark.createDataFrame(listed, packed.schema("string"))).orderBy("ts").collect()
-    want = [tuple(None if v != v else v for v in r) for r in out[0].itertuples(index=False, name=None)]
-    assert [tuple(r) for r in got] == [(k, ts.to_pydatetime(), *rest) for k, ts, *rest in want]
+    want = [tuple(None if pd.isna(v) else v for v in r) for r in out[0].itertuples(index=False, name=None)]
+    assert [tuple(r) for r in got] == [(k, ts and ts.to_pydatetime(), *rest) for k, ts, *rest in want] and got[0].ts is None
 
 
 def test_features_of_a_replayed_stream(spark, tmp_dir):
