@@ -9,8 +9,8 @@ prediction to both the counts and the state's prediction array. Calendar and
 weather inputs stay frozen at the last observed row (the reference's
 behaviour; ``fix=True`` advances the hour of day with each step).
 
-The plan grows with each step, so every ``checkpoint_every`` steps the state
-is checkpointed to ``spark.checkpoint.dir`` (reliable storage: the job
+The plan grows with each step, so the first state and that of every ``checkpoint_every`` steps
+are written once under ``spark.checkpoint.dir`` and read back (reliable storage: the job
 survives executor loss).
 """
 
@@ -22,6 +22,14 @@ from pyspark.sql import functions as F
 
 from crowdlake.ml.features import array_features
 from crowdlake.operators.windows import DEFAULT_LAGS, DEFAULT_ROLLING
+from crowdlake.session import scratch_path
+
+
+def _written(state: DataFrame) -> DataFrame:
+    """The state read back from storage: one job that scores each row once (an eager checkpoint runs its last stage twice)."""
+    path = scratch_path(state.sparkSession, "forecast_state")
+    state.write.parquet(path)
+    return state.sparkSession.read.schema(state.schema).parquet(path)
 
 
 def initial_state(history: DataFrame, key: str, ts: str, value: str, frozen: list[str],
@@ -58,7 +66,7 @@ def recursive_forecast(model: PipelineModel, history: DataFrame, key: str, ts: s
     lags = DEFAULT_LAGS if lags is None else list(lags)
     windows = DEFAULT_ROLLING if windows is None else list(windows)
     need = max(lags + windows) + 1
-    state = initial_state(history, key, ts, value, frozen, lags, windows)
+    state = _written(initial_state(history, key, ts, value, frozen, lags, windows))
     complete = (F.size("counts") >= F.lit(need)) & F.forall("counts", lambda x: x.isNotNull() & ~F.isnan(x))
     short = state.where(~complete)
     state = state.where(complete).withColumn("preds", F.array().cast("array<double>"))
@@ -75,7 +83,7 @@ def recursive_forecast(model: PipelineModel, history: DataFrame, key: str, ts: s
             F.slice(appended, F.size(appended) - F.lit(need - 1), need).alias("counts"),
             F.concat(F.col("preds"), F.array(F.col("prediction"))).alias("preds"))
         if checkpoint_every and step % checkpoint_every == 0 and step < steps:
-            state = state.checkpoint(eager=True)
+            state = _written(state)
     out = state.select(key, "last_ts", F.posexplode("preds").alias("_i", "prediction"))
     out = out.select(key, (F.col("_i") + 1).alias("step"),
                      F.timestamp_add("MINUTE", (F.col("_i") + 1) * F.lit(interval_minutes), F.col("last_ts")).alias(ts),

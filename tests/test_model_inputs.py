@@ -135,3 +135,26 @@ def test_fitting_and_scoring_read_one_stored_table(spark, monkeypatch):
         assert sorted(r["prediction"] for r in out.collect()) == [float(h - 1) for h in range(5 - n, 5)]
     assert [n for n, _ in seen] == [2, 2, 2]
     assert MQ.q_predict(spark, "/made/up").count() == 5 and len(seen) == 3
+
+
+@pytest.mark.parametrize("query", ["recursive_forecast", "prediction_series"])
+def test_forecast_queries_make_their_inputs_once(spark, monkeypatch, query):
+    """History, fit, forecast and shown rows come from one stored table: every input row is made once."""
+    from crowdlake.plans import ml_queries as ML
+
+    end = ML.FORECAST_NOW - dt.timedelta(minutes=3)
+    rows = [(s, i, end - dt.timedelta(minutes=3 * i), float(i % 7 + s)) for s, n in ((1, 80), (2, 76), (3, 5)) for i in range(n)]
+    plain = spark.createDataFrame(rows, "sensor long, event_id long, ts timestamp_ntz, `count` double")
+    plain = plain.withColumns({c: F.lit(1) for c in ["location_id", *ML.CALENDAR]} | {c: F.lit(2.0) for c in ML.WEATHER})
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(ML, "inputs_table", lambda spark, d: plain.mapInArrow(counted, plain.schema))
+    out = ML.QUERIES[query](spark, "").collect()
+    assert made.value == len(rows)
+    told = [r for r in out if (r.prediction if query == "recursive_forecast" else r.value) is not None]
+    assert len(out) == (60 if query == "recursive_forecast" else len(rows) + 60) and len(told) == len(out) - 20
