@@ -119,15 +119,15 @@ def _meetable(similarity: float):
 
 
 def _shared(groups: DataFrame) -> DataFrame:
-    """The rows of groups with two members or more, with the smallest id of the group and its size as ``l``."""
-    lead = groups.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"), F.max("id").alias("last")).where("l.id < last").select("key", "l")
+    """The rows of groups with two members or more, with the smallest id of the group as ``first``."""
+    lead = groups.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     return groups.join(lead, "key")
 
 
 def _leaders(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs of each group's smallest id with the others."""
-    return (shared.where("id <> l.id")
-            .select(F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
+    lead = shared.where("id = first").select("key", F.col("n").alias("n_a"))
+    return (shared.where("id <> first").join(lead, "key").select(F.col("first").alias("a"), F.col("id").alias("b"), "n_a", F.col("n").alias("n_b"))
             .where(_meetable(similarity)).select("a", "b").distinct())
 
 
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack:
     groups = materialize(_shared(materialize(bands(reps), "bands")), "shared-bands", compact=True)
     links = _more(links, linked(_leaders(groups, similarity), "leaders"))
     label = components(links, "near-dup")
-    left = materialize(_labelled(groups.drop("l"), label), "open", compact=True)
+    left = materialize(_labelled(groups.drop("first"), label), "open", compact=True)
     found = linked(_within(left, similarity), "small")
     if found is not None:
         links = _more(links, found)
@@ -280,9 +280,9 @@ def _finish_large(left: DataFrame, links: DataFrame, label: DataFrame, texts: Da
 
     # By rarity, a pair over the threshold shares a shingle that is in one's index prefix and in the other's longer probe prefix.
     prefix = materialize(mine.mapInArrow(prefixes, "key long, id long, n long, at long, leads boolean").distinct(), "prefix")
-    met, most = None, LEADERS
+    still, met, most = prefix, None, LEADERS
     while True:
-        todo = materialize(_labelled(prefix, label), "todo", compact=True)
+        todo = materialize(_labelled(still, label), "todo", compact=True)
         open_ = todo.where("leads") if met is None else todo.where("leads").join(met, ["key", "id"], "left_anti")
         # Some of a group's leaders meet the rest, of different components first. Chunks keep their choice off a single task.
         chunk = Window.partitionBy("key", F.expr("pmod(xxhash64(id), 64)")).orderBy("id")
@@ -304,4 +304,8 @@ def _finish_large(left: DataFrame, links: DataFrame, label: DataFrame, texts: Da
             label = components(links, "near-dup")
         done = lead.select("key", F.col("a").alias("id"))
         met = materialize(done if met is None else met.unionByName(done), "met", compact=True)
+        # A group goes on only while some of its leaders have not met the rest; one whose leaders all have makes no more pairs.
+        turns = open_.groupBy("key").agg(F.count("*").alias("o")).join(lead.groupBy("key").agg(F.count("*").alias("p")), "key", "left")
+        more = materialize(turns.where("p is null or o > p").select("key"), "unfinished", compact=True)
+        still = todo.select("key", "id", "n", "at", "leads").join(more, "key", "left_semi")
         most *= GROW

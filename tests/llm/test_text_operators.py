@@ -163,6 +163,26 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_leave_finished_groups(spark, monkeypatch):
+    """After the first round only groups some of whose leaders have not met the rest are labelled again."""
+    for name, value in (("SMALL", 4), ("LEADERS", 1), ("GROW", 2)):
+        monkeypatch.setattr(hyperminhash, name, value)
+    write, keys = hyperminhash.materialize, {"todo": [], "leaders": []}
+
+    def noted(df, name, **how):
+        out = write(df, name, **how)
+        if name in keys and "key" in out.columns:
+            keys[name].append({r.key for r in out.select("key").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(hyperminhash, "materialize", noted)
+    rows = near_texts()
+    got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 4, 80)
+    assert len(keys["todo"]) > 1 and keys["leaders"][0]
+    assert all(todo == lead for todo, lead in zip(keys["todo"][1:], keys["leaders"][1:], strict=True))
+
+
 def test_near_duplicates_edge_rows(spark, mixed, empty):
     got = hyperminhash.near_duplicates(mixed, shingle=4).collect()
     by = {r.doc_id: r for r in got if r.doc_id is not None}
