@@ -2,7 +2,8 @@
 
 A document's set is its distinct word shingles. Its sketch has ``REGISTERS`` buckets; a bucket's register holds, for the smallest shingle
 hash that falls into it, the number of leading zeros and ``MANTISSA`` following bits. Bands of ``ROWS`` neighbouring registers are the keys under
-which documents meet. A pair that met goes on if its estimated similarity, corrected for registers that agree by chance, is not far below
+which documents meet. In a band of which a set uses at most half, an empty register counts as the first used one in an order of its own
+(densification), so that unrelated sets do not meet under the one or two registers that both use. A pair that met goes on if its estimated similarity, corrected for registers that agree by chance, is not far below
 the threshold, and is confirmed on the full shingle sets. Components of the confirmed links give the groups.
 
 Nothing is quadratic in a group of copies. Documents of one shingle set are one class from the start, and one of them
@@ -95,16 +96,36 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, sketch binary")
 
 
+def filled(reg: np.ndarray) -> np.ndarray:
+    """Sketches (rows of registers) without empty registers: per register ``number << 16 | value`` of itself or, if it is empty, of the
+    first used one in its own order. Two sets agree in any place as often as their smallest hashes do. Rows without a used register stay 0."""
+    out = np.where(reg != 0, (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(16)) | reg, np.uint64(0))
+    row, at = np.nonzero((reg == 0) & reg.any(1)[:, None])
+    order = np.argsort(mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64)).reshape(REGISTERS, REGISTERS), axis=1)
+    for turn in range(REGISTERS):
+        if not len(row):
+            break
+        source = order[at, turn]
+        value = reg[row, source]
+        on = value != 0
+        out[row[on], at[on]] = (source[on].astype(np.uint64) << np.uint64(16)) | value[on]
+        row, at = row[~on], at[~on]
+    return out
+
+
 def bands(reps: DataFrame) -> DataFrame:
     """``key, id, n`` for every band of a sketch that has a used register; ``n`` is the set's size."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            reg = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS // ROWS, ROWS)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            reg = sketch.reshape(-1, REGISTERS // ROWS, ROWS)
+            few = (reg != 0).sum(2) <= ROWS // 2
+            reg = np.where(few[:, :, None], filled(sketch).reshape(reg.shape), reg)
             key = np.zeros(reg.shape[:2], np.uint64)
             for k in range(ROWS):
-                key = mix64(key + reg[:, :, k].astype(np.uint64) + np.uint64(1))
+                key = mix64(key + reg[:, :, k] + np.uint64(1))
             key = mix64(key ^ np.arange(reg.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             row, band = np.nonzero(reg.any(2))
             row_ = pa.array(row)
@@ -121,7 +142,7 @@ def _meetable(similarity: float):
 def _shared(groups: DataFrame) -> DataFrame:
     """The rows of groups with two members or more, with the smallest id of the group as ``first``."""
     lead = groups.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    return groups.join(lead, "key")
+    return groups.join(materialize(lead, "shared-keys", compact=True), "key")
 
 
 def _leaders(shared: DataFrame, similarity: float) -> DataFrame:
@@ -213,13 +234,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack:
         near = materialize(_near_enough(pairs, _picked(reps, _ends(pairs), f"sketch-ids-{name}"), similarity, slack), f"near-{name}", compact=True)
         if not near.limit(1).count():
             return None
-        return materialize(_confirm(near, texts, shingle, percent), f"links-{name}", compact=True)
+        found = materialize(_confirm(near, texts, shingle, percent), f"links-{name}", compact=True)
+        return found if found.limit(1).count() else None
 
     # Texts of one doc_id are one document.
     several = known.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("doc_id")
     links = (known.join(several, "doc_id").join(reps.select("class", "id"), "class").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
 
-    groups = materialize(_shared(materialize(bands(reps), "bands")), "shared-bands", compact=True)
+    # A set so small that one shingle more or less is too much links with no other set.
+    wide = reps.where(F.col("n_shingles") * 100 >= percent * (F.col("n_shingles") + 1))
+    groups = materialize(_shared(materialize(bands(wide), "bands")), "shared-bands", compact=True)
     links = _more(links, linked(_leaders(groups, similarity), "leaders"))
     label = components(links, "near-dup")
     left = materialize(_labelled(groups.drop("first"), label), "open", compact=True)
@@ -307,5 +331,7 @@ def _finish_large(left: DataFrame, links: DataFrame, label: DataFrame, texts: Da
         # A group goes on only while some of its leaders have not met the rest; one whose leaders all have makes no more pairs.
         turns = open_.groupBy("key").agg(F.count("*").alias("o")).join(lead.groupBy("key").agg(F.count("*").alias("p")), "key", "left")
         more = materialize(turns.where("p is null or o > p").select("key"), "unfinished", compact=True)
+        if not more.limit(1).count():
+            return label
         still = todo.select("key", "id", "n", "at", "leads").join(more, "key", "left_semi")
         most *= GROW

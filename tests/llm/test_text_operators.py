@@ -183,6 +183,31 @@ def test_near_duplicates_leave_finished_groups(spark, monkeypatch):
     assert all(todo == lead for todo, lead in zip(keys["todo"][1:], keys["leaders"][1:], strict=True))
 
 
+def test_bands_of_small_sets_keep_unrelated_ones_apart(spark):
+    """Sets of 12 to 60 shingles use few registers of a band; unrelated ones hardly meet there, pairs at the threshold all do."""
+    rng, rows = np.random.RandomState(3), []
+    for i in range(1500):
+        whole = np.unique(rng.randint(0, 1 << 62, rng.randint(15, 60)).astype(np.uint64))
+        cut = len(whole) // 10
+        for j, s in enumerate((whole[cut:], whole[: len(whole) - cut])):
+            rows.append((2 * i + j, bytearray(hyperminhash.registers(s).tobytes()), len(s)))
+    met = {}
+    for r in hyperminhash.bands(spark.createDataFrame(rows, "id long, sketch binary, n_shingles long")).collect():
+        met.setdefault(r.key, set()).add(r.id)
+    pairs = {(a, b) for ids in met.values() for a in ids for b in ids if a < b}
+    assert {(2 * i, 2 * i + 1) for i in range(1500)} <= pairs
+    assert sum(a // 2 != b // 2 for a, b in pairs) <= 5
+
+
+def test_filled_sketches_have_no_empty_register():
+    reg = np.stack([hyperminhash.registers(np.arange(1, n + 1, dtype=np.uint64)) for n in (1, 5, 300)] + [np.zeros(hyperminhash.REGISTERS, np.uint16)])
+    out = hyperminhash.filled(reg)
+    assert (out[:3] != 0).all() and not out[3].any()
+    at = (out >> np.uint64(16)).astype(int)[:3]
+    assert (np.take_along_axis(reg[:3], at, 1) == (out[:3] & np.uint64(0xFFFF))).all()  # each is a register of its own sketch
+    assert (at == np.arange(hyperminhash.REGISTERS))[reg[:3] != 0].all()
+
+
 def test_near_duplicates_edge_rows(spark, mixed, empty):
     got = hyperminhash.near_duplicates(mixed, shingle=4).collect()
     by = {r.doc_id: r for r in got if r.doc_id is not None}
