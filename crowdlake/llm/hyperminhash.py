@@ -171,10 +171,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _picked(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Rows whose ``id`` is among ``ids``, which are written first and broadcast if their number allows."""
+def written_ids(ids: DataFrame, name: str) -> DataFrame:
+    """Ids to pick rows by, written first; a join broadcasts them if their number allows."""
     ids = materialize(ids, name, compact=True)
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _picked(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows whose ``id`` is among ``ids``."""
+    return rows.join(written_ids(ids, name), "id", "left_semi")
 
 
 def _near_enough(pairs: DataFrame, reps: DataFrame, similarity: float, slack: float) -> DataFrame:

@@ -208,6 +208,27 @@ def test_filled_sketches_have_no_empty_register():
     assert (at == np.arange(hyperminhash.REGISTERS))[reg[:3] != 0].all()
 
 
+def test_pipeline_near_dedup_picks_rows_without_a_shuffle_of_texts(spark):
+    """The ids that go meet the texts by broadcast, however many stay; repeated ids leave one row and rows without an id all stay."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"d{i}x{j}" for j in range(20))) for i in range(40)]
+    rows += [(100, " ".join(base)), (101, " ".join(base)), (102, " ".join(base + ["end"])), (5, "a second text"), (5, "a second text"), (103, None), (None, " ".join(base)), (None, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_dedup(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    gone = {(101, rows[41][1]), (102, rows[42][1]), (5, rows[5][1])}
+    assert got == collections.Counter({r: 2 if r[0] is None else 1 for r in rows if r not in gone})
+
+
 def test_near_duplicates_edge_rows(spark, mixed, empty):
     got = hyperminhash.near_duplicates(mixed, shingle=4).collect()
     by = {r.doc_id: r for r in got if r.doc_id is not None}
