@@ -58,6 +58,36 @@ def test_hourly_rows_of_short_and_empty_tables(spark):
     assert W.hourly_window_vectors(df.limit(0), "sensor", "ts", "v").count() == 0
 
 
+def test_hourly_rows_are_dealt_out_one_by_one_from_filled_cells(spark, monkeypatch):
+    """Rows as wide as a task may hold get a task each, empty cells are not stored or sent, and batches may end anywhere."""
+    monkeypatch.setattr(W, "ROW_BYTES", 1, raising=False)
+    readings = [(s, T0 + dt.timedelta(hours=h, minutes=m), float(s * h + m)) for s in range(40) for h in range(s % 3, 30, 7) for m in (0, 9)]
+    readings += [(99, T0 + dt.timedelta(hours=2), None), (3, T0 + dt.timedelta(hours=28), float("nan"))]  # a sensor without values; not a number is no NULL
+    df = spark.createDataFrame(readings, "sensor int, ts timestamp_ntz, v double").repartition(3)
+    cells = {}
+    for s, t, v in readings:
+        cells.setdefault((s, t.replace(minute=0)), []).append(v)
+    assert W.hourly_cells(df, "sensor", "ts", "v").count() == len(cells)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = W.hourly_window_vectors(df, "sensor", "ts", "v", past_hours=2, horizon=3, step_hours=2)
+        got = out.select("*", F.spark_partition_id().alias("task")).orderBy("window_end").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    sensors = sorted({s for s, _ in cells})
+    assert [r.window_end for r in got] == [T0 + dt.timedelta(hours=h) for h in range(1, 27, 2)] and len({r.task for r in got}) == len(got)
+    mean = {k: None if None in x else sum(x) / len(x) for k, x in cells.items()}
+    for r in got:
+        past = [[mean.get((s, r.window_end - dt.timedelta(hours=k))) or 0.0 for s in sensors] for k in (1, 0)]
+        want = [mean.get((s, r.target_ts)) for s in sensors]
+        assert r.target_ts == r.window_end + dt.timedelta(hours=3) and r.n_sensors == len(r.target) == 41
+        assert np.allclose(r.features[:164], np.concatenate([*past, np.mean(past, axis=0), np.std(past, axis=0, ddof=1)]))
+        assert [x is None for x in r.target] == [x is None for x in want]
+        assert np.allclose([x for x in r.target if x is not None], [x for x in want if x is not None], equal_nan=True)
+    assert np.isnan(got[-1].target[3])
+
+
 def test_scaler_is_stored_and_applied_in_another_session(spark, tmp_dir):
     rows = [(i, float(i * i), 3.0, None if i == 4 else 0.1 * i, "keep") for i in range(10)]
     schema = "id int, x double, constant double, `odd.name` double, note string"
